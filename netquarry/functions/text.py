@@ -172,14 +172,18 @@ def parse_bytes(c: Column) -> Column:
 
 
 def format_bytes(c: Column) -> Column:
-    """1234 -> '1.2 KB'."""
+    """1234 -> '1.2 KB'. Ties go to the even digit."""
     n = c.cast("double")
-    expr = F.when(n < 1024, F.format_string("%.1f B", n))
+
+    def shown(scale: float, unit: str) -> Column:
+        return F.format_string(f"%.1f {unit}", F.bround(n / scale, 1))
+
+    expr = F.when(n < 1024, shown(1.0, "B"))
     scale = 1024.0
     for unit in ("KB", "MB", "GB"):
-        expr = expr.when(n < scale * 1024, F.format_string(f"%.1f {unit}", n / scale))
+        expr = expr.when(n < scale * 1024, shown(scale, unit))
         scale *= 1024
-    return expr.otherwise(F.format_string("%.1f TB", n / scale))
+    return expr.otherwise(shown(scale, "TB"))
 
 
 def epoch_text(c: Column) -> Column:

@@ -92,3 +92,266 @@ http AS (
          CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
          'ua-' || (page_id % 5) AS user_agent
   FROM pages)"""
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet fields from lineitem: five captures, frames ordered by order and line."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.expr("concat('cap-', l_orderkey % 5)").alias("capture_id"),
+        F.expr("(l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey").alias("frame_no"),
+        F.expr("CAST(l_orderkey AS DOUBLE) + l_linenumber / 8e0").alias("ts"),
+        F.expr("CAST(floor(l_quantity * 30) AS INT)").alias("frame_len"),
+        F.expr(
+            "array('eth', 'ip', CASE l_linestatus WHEN 'O' THEN 'tcp' ELSE 'udp' END, "
+            "CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'tls' "
+            "WHEN l_returnflag = 'R' THEN 'dns' WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'http' "
+            "WHEN l_returnflag = 'A' THEN 'kerberos' WHEN l_linestatus = 'O' THEN 'smb2' ELSE 'icmp' END)"
+        ).alias("protocols"),
+        F.expr("concat('00:00:00:00:', l_suppkey % 7, ':', l_linenumber)").alias("eth_src"),
+        F.expr("concat('10.0.', l_suppkey DIV 256, '.', l_suppkey % 256)").alias("ip_src"),
+        F.expr(
+            "CASE WHEN l_partkey % 3 = 0 THEN concat('10.0.1.', l_partkey % 50) "
+            "ELSE concat('203.0.113.', l_partkey % 100) END"
+        ).alias("ip_dst"),
+        F.expr("CAST(l_linenumber * 30 AS STRING)").alias("ip_ttl"),
+        F.expr("CASE WHEN l_linestatus = 'O' THEN CAST(l_partkey % 5 * 20 + 80 AS INT) END").alias("tcp_dstport"),
+        F.expr("CASE WHEN l_linestatus <> 'O' THEN CAST(l_partkey % 4 + 53 AS INT) END").alias("udp_dstport"),
+        F.expr("concat('h', l_partkey % 20, '.example.com')").alias("dns_qry_name"),
+        F.expr("l_returnflag = 'R' AND l_linestatus <> 'O'").alias("dns_is_response"),
+        F.expr("array(concat('198.51.100.', l_partkey % 30))").alias("dns_a"),
+        F.expr("CAST(l_linenumber % 2 + 1 AS INT)").alias("arp_opcode"),
+        F.expr("concat('10.1.0.', l_suppkey)").alias("arp_src_ip"),
+        F.expr("concat('10.1.0.', l_partkey % 200)").alias("arp_dst_ip"),
+        F.expr("concat('mac-', CASE WHEN l_suppkey % 3 = 0 THEN l_linenumber ELSE l_suppkey END)").alias("arp_src_mac"),
+        F.expr("CASE WHEN l_partkey % 1000 = 7 THEN 'Basic dTpw' END").alias("http_authorization"),
+        F.expr("CASE WHEN l_partkey % 1000 = 8 THEN 'USER' END").alias("ftp_command"),
+        F.expr("CAST(floor(l_quantity * 20) AS INT)").alias("data_len"),
+    )
+
+
+PACKETS_SQL = """
+packets AS (
+  SELECT 'cap-' || (l_orderkey % 5) AS capture_id,
+         (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS frame_no,
+         CAST(l_orderkey AS DOUBLE) + l_linenumber / 8e0 AS ts,
+         CAST(floor(l_quantity * 30) AS INT) AS frame_len,
+         CASE l_linestatus WHEN 'O' THEN 'tcp' ELSE 'udp' END AS transport,
+         CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'tls'
+              WHEN l_returnflag = 'R' THEN 'dns'
+              WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'http'
+              WHEN l_returnflag = 'A' THEN 'kerberos'
+              WHEN l_linestatus = 'O' THEN 'smb2' ELSE 'icmp' END AS app,
+         '00:00:00:00:' || (l_suppkey % 7) || ':' || l_linenumber AS eth_src,
+         '10.0.' || (l_suppkey // 256) || '.' || (l_suppkey % 256) AS ip_src,
+         CASE WHEN l_partkey % 3 = 0 THEN '10.0.1.' || (l_partkey % 50)
+              ELSE '203.0.113.' || (l_partkey % 100) END AS ip_dst,
+         l_linenumber * 30 AS ip_ttl,
+         CASE WHEN l_linestatus = 'O' THEN l_partkey % 5 * 20 + 80 END AS tcp_dstport,
+         CASE WHEN l_linestatus <> 'O' THEN l_partkey % 4 + 53 END AS udp_dstport,
+         'h' || (l_partkey % 20) || '.example.com' AS dns_qry_name,
+         (l_returnflag = 'R' AND l_linestatus <> 'O') AS dns_is_response,
+         '198.51.100.' || (l_partkey % 30) AS dns_a,
+         l_linenumber % 2 + 1 AS arp_opcode,
+         '10.1.0.' || l_suppkey AS arp_src_ip,
+         '10.1.0.' || (l_partkey % 200) AS arp_dst_ip,
+         'mac-' || CASE WHEN l_suppkey % 3 = 0 THEN l_linenumber ELSE l_suppkey END AS arp_src_mac,
+         CASE WHEN l_partkey % 1000 = 7 THEN 'Basic dTpw' END AS http_authorization,
+         CASE WHEN l_partkey % 1000 = 8 THEN 'USER' END AS ftp_command,
+         CAST(floor(l_quantity * 20) AS INT) AS data_len
+  FROM lineitem)"""
+
+
+def kerberos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.expr("concat('cap-', o_orderkey % 5)").alias("capture_id"),
+        F.col("o_orderkey").cast("double").alias("ts"),
+        F.expr("concat('10.0.0.', o_custkey % 40)").alias("orig_h"),
+        F.expr("concat('10.0.9.', o_custkey % 3)").alias("resp_h"),
+        F.expr("CASE o_orderstatus WHEN 'F' THEN 'TGS' WHEN 'O' THEN 'AS' ELSE 'OTHER' END").alias("request_type"),
+        F.expr("CASE WHEN o_orderpriority LIKE '1%' THEN 'rc4-hmac' WHEN o_orderpriority LIKE '2%' THEN 'RC4-HMAC' "
+               "ELSE 'aes256-cts' END").alias("cipher"),
+        F.expr("concat('svc/', o_custkey % 300)").alias("service"),
+        F.expr("CASE WHEN o_orderpriority LIKE '5%' THEN 'KDC_ERR_PREAUTH_FAILED' END").alias("error_msg"),
+        F.expr("concat('user', o_custkey % 50, CASE WHEN o_custkey % 2 = 0 THEN '$' ELSE '' END, '/CORP.EXAMPLE')").alias("client"),
+    )
+
+
+KERBEROS_SQL = """
+kerberos AS (
+  SELECT 'cap-' || (o_orderkey % 5) AS capture_id, CAST(o_orderkey AS DOUBLE) AS ts,
+         '10.0.0.' || (o_custkey % 40) AS orig_h, '10.0.9.' || (o_custkey % 3) AS resp_h,
+         CASE o_orderstatus WHEN 'F' THEN 'TGS' WHEN 'O' THEN 'AS' ELSE 'OTHER' END AS request_type,
+         CASE WHEN o_orderpriority LIKE '1%' THEN 'rc4-hmac' WHEN o_orderpriority LIKE '2%' THEN 'RC4-HMAC'
+              ELSE 'aes256-cts' END AS cipher,
+         'svc/' || (o_custkey % 300) AS service,
+         CASE WHEN o_orderpriority LIKE '5%' THEN 'KDC_ERR_PREAUTH_FAILED' END AS error_msg,
+         'user' || (o_custkey % 50) || CASE WHEN o_custkey % 2 = 0 THEN '$' ELSE '' END || '/CORP.EXAMPLE' AS client
+  FROM orders)"""
+
+
+def smb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.expr("concat('cap-', l_orderkey % 5)").alias("capture_id"),
+        F.expr("(l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey").alias("uid"),
+        F.expr("CAST(l_orderkey AS DOUBLE)").alias("ts"),
+        F.expr("concat('10.0.0.', l_suppkey % 200)").alias("orig_h"),
+        F.expr("CASE WHEN l_partkey % 4 = 0 THEN concat('203.0.113.', l_partkey % 50) "
+               "ELSE concat('10.0.1.', l_partkey % 50) END").alias("resp_h"),
+        F.expr(
+            r"concat('\\\\SRV', l_suppkey % 9, CASE WHEN l_suppkey % 2 = 0 THEN '.corp.example.com' ELSE '' END, '\\', "
+            "CASE l_returnflag WHEN 'R' THEN 'admin$' WHEN 'A' THEN 'C$' ELSE 'docs' END)"
+        ).alias("path"),
+        F.expr("concat('file-', l_partkey, '.doc')").alias("name"),
+        F.expr("CASE l_linestatus WHEN 'O' THEN 'write' ELSE 'Read' END").alias("action"),
+        F.expr("CAST(l_quantity AS BIGINT)").alias("size"),
+    )
+
+
+SMB_SQL = r"""
+smb AS (
+  SELECT 'cap-' || (l_orderkey % 5) AS capture_id,
+         (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS uid,
+         CAST(l_orderkey AS DOUBLE) AS ts, '10.0.0.' || (l_suppkey % 200) AS orig_h,
+         CASE WHEN l_partkey % 4 = 0 THEN '203.0.113.' || (l_partkey % 50)
+              ELSE '10.0.1.' || (l_partkey % 50) END AS resp_h,
+         '\\SRV' || (l_suppkey % 9) || CASE WHEN l_suppkey % 2 = 0 THEN '.corp.example.com' ELSE '' END || '\' ||
+         CASE l_returnflag WHEN 'R' THEN 'admin$' WHEN 'A' THEN 'C$' ELSE 'docs' END AS path,
+         'file-' || l_partkey || '.doc' AS name,
+         CASE l_linestatus WHEN 'O' THEN 'write' ELSE 'Read' END AS action,
+         CAST(l_quantity AS BIGINT) AS size
+  FROM lineitem)"""
+
+
+def ssl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from lineitem, one per line; even captures carry a validation status."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.expr("concat('cap-', l_orderkey % 5)").alias("capture_id"),
+        F.expr("(l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey").alias("uid"),
+        F.expr("CAST(l_orderkey AS DOUBLE)").alias("ts"),
+        F.expr("concat('10.0.0.', l_suppkey % 200)").alias("orig_h"),
+        F.expr("concat('203.0.113.', l_partkey % 200)").alias("resp_h"),
+        F.expr("CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN '' ELSE concat('h', l_partkey % 9, '.example.com') END").alias("server_name"),
+        F.expr("CASE WHEN l_partkey % 50 = 0 THEN '72a589da586844d7f0818ce684948eea' "
+               "WHEN l_partkey % 50 = 1 THEN '-' ELSE md5(CAST(l_partkey % 50 AS STRING)) END").alias("ja3"),
+        F.expr("CASE WHEN l_suppkey % 40 = 3 THEN 'ec74a5c51106f0419184d0dd08fb05bc' ELSE md5(CAST(l_suppkey % 4 AS STRING)) END").alias("ja3s"),
+        F.lit("TLSv12").alias("version"),
+        F.expr("CASE WHEN l_orderkey % 5 % 2 = 0 AND l_returnflag <> 'N' THEN CASE l_returnflag WHEN 'R' THEN 'ok' ELSE 'self signed' END END").alias("validation_status"),
+        F.expr("array(concat('fp-', l_suppkey), concat('fp-', l_suppkey + 1))").alias("cert_chain_fps"),
+    )
+
+
+SSL_SQL = """
+ssl AS (
+  SELECT 'cap-' || (l_orderkey % 5) AS capture_id,
+         (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS uid,
+         CAST(l_orderkey AS DOUBLE) AS ts, '10.0.0.' || (l_suppkey % 200) AS orig_h,
+         '203.0.113.' || (l_partkey % 200) AS resp_h,
+         CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN '' ELSE 'h' || (l_partkey % 9) || '.example.com' END AS server_name,
+         CASE WHEN l_partkey % 50 = 0 THEN '72a589da586844d7f0818ce684948eea'
+              WHEN l_partkey % 50 = 1 THEN '-' ELSE md5(CAST(l_partkey % 50 AS VARCHAR)) END AS ja3,
+         CASE WHEN l_suppkey % 40 = 3 THEN 'ec74a5c51106f0419184d0dd08fb05bc' ELSE md5(CAST(l_suppkey % 4 AS VARCHAR)) END AS ja3s,
+         CASE WHEN l_orderkey % 5 % 2 = 0 AND l_returnflag <> 'N'
+              THEN CASE l_returnflag WHEN 'R' THEN 'ok' ELSE 'self signed' END END AS validation_status,
+         'fp-' || l_suppkey AS fp1, 'fp-' || (l_suppkey + 1) AS fp2
+  FROM lineitem)"""
+
+
+def x509(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificates: one per supplier in each of five captures."""
+    return table(spark, sf_dir, "supplier").select(
+        F.expr("explode(sequence(0, 4))").alias("c"), "*"
+    ).select(
+        F.expr("concat('cap-', c)").alias("capture_id"),
+        F.lit(1.0).alias("ts"),
+        F.expr("concat('fp-', s_suppkey)").alias("fingerprint"),
+        F.expr("CASE WHEN s_suppkey % 11 = 0 THEN 'CN=abcdefgh' ELSE concat('CN=', s_name) END").alias("certificate_subject"),
+        F.expr("CASE WHEN s_suppkey % 13 = c THEN CASE WHEN s_suppkey % 11 = 0 THEN 'CN=abcdefgh' ELSE concat('CN=', s_name) END "
+               "ELSE 'CN=issuer' END").alias("certificate_issuer"),
+        F.expr("CAST(s_suppkey * 1000 AS DOUBLE)").alias("certificate_not_valid_before"),
+        F.expr("s_suppkey * 1000 + CASE WHEN s_suppkey % 5 = 0 THEN -10e0 WHEN s_suppkey % 7 = 0 THEN 4e8 ELSE 1e7 END").alias("certificate_not_valid_after"),
+        F.lit("rsa").alias("certificate_key_type"),
+        F.lit(2048).alias("certificate_key_length"),
+        F.expr("s_suppkey % 17 = 0").alias("basic_constraints_ca"),
+        F.expr("array(concat('www.', s_suppkey, '.example.com'))").alias("san_dns"),
+    )
+
+
+X509_SQL = """
+x509 AS (
+  SELECT 'cap-' || c AS capture_id, 'fp-' || s_suppkey AS fingerprint,
+         CASE WHEN s_suppkey % 11 = 0 THEN 'CN=abcdefgh' ELSE 'CN=' || s_name END AS subject,
+         CASE WHEN s_suppkey % 13 = c
+              THEN CASE WHEN s_suppkey % 11 = 0 THEN 'CN=abcdefgh' ELSE 'CN=' || s_name END
+              ELSE 'CN=issuer' END AS issuer,
+         CAST(s_suppkey * 1000 AS DOUBLE) AS not_before,
+         s_suppkey * 1000 + CASE WHEN s_suppkey % 5 = 0 THEN -10e0 WHEN s_suppkey % 7 = 0 THEN 4e8 ELSE 1e7 END AS not_after,
+         (s_suppkey % 17 = 0) AS is_ca
+  FROM supplier, (SELECT unnest(range(0, 5)) AS c))"""
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts from events: the event type chooses the alert text."""
+    from netquarry.functions.text import signature_to_technique
+
+    text = F.expr(
+        "CASE event_type WHEN 'click' THEN 'ET SCAN Nmap probe' "
+        "WHEN 'view' THEN 'ET DNS Query to a *.tk domain (evil.tk)' "
+        "WHEN 'error' THEN 'ET MALWARE Win32/Lumma Stealer Related Domain (bad-host .su)' "
+        "WHEN 'purchase' THEN 'ET POLICY FTP login' ELSE 'SURICATA stream error' END"
+    )
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("cap-"), F.date_format("ts", "yyyyMMdd")).alias("capture_id"),
+        F.expr("lpad(event_id, 12, '0')").alias("timestamp"),
+        F.expr("concat('10.0.', user_id DIV 256, '.', user_id % 256)").alias("src_ip"),
+        F.expr("CAST(event_id % 60000 AS INT)").alias("src_port"),
+        F.expr("concat('203.0.113.', CAST(get_json_object(props, '$.k') AS INT))").alias("dst_ip"),
+        F.lit(443).alias("dst_port"),
+        F.lit("TCP").alias("proto"),
+        text.alias("signature"),
+        F.expr("CAST(event_id AS BIGINT)").alias("signature_id"),
+        F.expr("CAST(event_id % 3 + 1 AS INT)").alias("severity"),
+        F.lit("").alias("category"),
+        signature_to_technique(text).alias("technique"),
+    )
+
+
+ALERTS_SQL = """
+alerts AS (
+  SELECT capture_id, timestamp, src_ip, src_port, dst_ip, severity, signature,
+         CASE event_type WHEN 'click' THEN 'T1046' WHEN 'view' THEN 'T1568.002' WHEN 'error' THEN 'T1071'
+                         WHEN 'purchase' THEN 'T1048' END AS technique
+  FROM (SELECT 'cap-' || strftime(ts, '%Y%m%d') AS capture_id,
+         lpad(CAST(event_id AS VARCHAR), 12, '0') AS timestamp, event_type,
+         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS src_ip,
+         event_id % 60000 AS src_port,
+         '203.0.113.' || CAST(json_extract(props, '$.k') AS INT) AS dst_ip,
+         event_id % 3 + 1 AS severity,
+         CASE event_type WHEN 'click' THEN 'ET SCAN Nmap probe'
+              WHEN 'view' THEN 'ET DNS Query to a *.tk domain (evil.tk)'
+              WHEN 'error' THEN 'ET MALWARE Win32/Lumma Stealer Related Domain (bad-host .su)'
+              WHEN 'purchase' THEN 'ET POLICY FTP login' ELSE 'SURICATA stream error' END AS signature
+  FROM events))"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File records from documents."""
+    return table(spark, sf_dir, "documents").select(
+        F.expr("concat('cap-', doc_id % 3)").alias("capture_id"),
+        F.col("doc_id").cast("double").alias("ts"),
+        F.expr("concat('f', doc_id)").alias("fuid"),
+        F.col("source").alias("tx_hosts"),
+        F.expr("concat('text/', lang)").alias("mime_type"),
+        F.expr("concat('Doc-', doc_id % 100, '.TXT')").alias("filename"),
+        F.expr("concat('extract-', doc_id)").alias("extracted"),
+        F.expr("sha2(text, 256)").alias("sha256"),
+        F.col("n_chars").alias("size_bytes"),
+    )
+
+
+FILES_SQL = """
+files AS (
+  SELECT 'cap-' || (doc_id % 3) AS capture_id, CAST(doc_id AS DOUBLE) AS ts, 'f' || doc_id AS fuid,
+         source AS tx_hosts, 'text/' || lang AS mime_type,
+         'Doc-' || (doc_id % 100) || '.TXT' AS filename, 'extract-' || doc_id AS extracted,
+         sha256(text) AS sha256, n_chars AS size_bytes
+  FROM documents)"""

@@ -27,5 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import the modules that register queries."""
     from netquarry.plans import (  # noqa: F401
+        queries_auth,
         queries_beacon,
+        queries_conn,
+        queries_names,
+        queries_packets,
     )
