@@ -32,4 +32,5 @@ def load() -> None:
         queries_conn,
         queries_names,
         queries_packets,
+        queries_rules,
     )
