@@ -1 +1,147 @@
-"""Placeholder."""
+"""Beacon statistics of pairs too large for one task.
+
+The rows of an oversized pair are spread over time slices. Lags are taken within a slice
+and repaired at its border; everything else is a sum, or an exact median found by
+narrowing down a histogram. Nothing is sampled or cut, so the numbers equal those of the
+ordinary way.
+
+Tables of one row per oversized pair are broadcast: their number was bounded when the
+pairs were routed here.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from netquarry.operators import spectral_hot
+from netquarry.session import ensure_checkpoint_dir
+
+# Histogram steps per doubling of a value: a bucket spans 0.017 percent.
+BUCKETS_PER_OCTAVE = 4096
+
+
+def weighted_median(values: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
+    """Exact median of non-negative values with multiplicities, per key.
+
+    Buckets are in value order. Their counts show which one or two hold the middle ranks;
+    only the values of those are ranked one by one.
+    """
+    bucket = F.when(F.col(value) > 0, F.floor(F.log2(value) * BUCKETS_PER_OCTAVE)).otherwise(
+        F.lit(-(2**40))
+    )
+    rows = values.select(*key, value, weight, bucket.cast("bigint").alias("bucket"))
+    ordered = Window.partitionBy(*key).orderBy("bucket")
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*key)
+    ranks = (
+        rows.groupBy(*key, "bucket")
+        .agg(F.sum(weight).alias("n"))
+        .withColumn("below", F.sum("n").over(running) - F.col("n"))
+        .withColumn("total", F.sum("n").over(whole))
+        .withColumn("low", F.expr("(total - 1) DIV 2"))
+        .withColumn("high", F.expr("total DIV 2"))
+    )
+    holds = "(low >= {0} AND low < {0} + {1}) OR (high >= {0} AND high < {0} + {1})"
+    wanted = ranks.where(holds.format("below", "n")).select(*key, "bucket", "below", "low", "high")
+    inside = Window.partitionBy(*key, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        rows.join(F.broadcast(wanted), [*key, "bucket"])
+        .groupBy(*key, "bucket", "below", "low", "high", value)
+        .agg(F.sum(weight).alias("w"))
+        .withColumn("start", F.col("below") + F.sum("w").over(inside) - F.col("w"))
+    )
+
+    def at(rank: str):
+        return F.max(F.when(F.expr(f"{rank} >= start AND {rank} < start + w"), F.col(value)))
+
+    return ranked.groupBy(*key).agg(((at("low") + at("high")) / 2).alias("median"))
+
+
+def time_runs(flows: DataFrame, spec) -> DataFrame:
+    """Distinct times of each pair with their row count and the time before them.
+
+    Equal times are merged before the shuffle. A slice holds about ``slice_rows`` rows and
+    is never shorter than a second.
+    """
+    pair, by_slice = spec.pair, [*spec.pair, "slice"]
+    parts = F.ceil(F.col("n_rows") / spec.slice_rows)
+    width = F.greatest((F.col("t_last") - F.col("t_first")) / parts, F.lit(1.0))
+    place = F.floor((F.col("ts") - F.col("t_first")) / width).cast("bigint")
+    times = flows.withColumn("slice", place).groupBy(*by_slice, "ts").agg(F.count("*").alias("c"))
+    borders = (
+        times.groupBy(*by_slice)
+        .agg(F.max("ts").alias("slice_end"))
+        .select(*by_slice, F.lag("slice_end").over(Window.partitionBy(*pair).orderBy("slice")).alias("before_slice"))
+    )
+    before = F.lag("ts").over(Window.partitionBy(*by_slice).orderBy("ts"))
+    return (
+        times.withColumn("prev", before)
+        .join(borders, by_slice)
+        .select(*by_slice, "ts", "c", (F.col("ts") - F.coalesce("prev", "before_slice")).alias("gap"))
+    )
+
+
+def gap_counts(runs: DataFrame, spec) -> DataFrame:
+    """Distinct usable gaps of each pair with their number."""
+    one = F.lit(1).cast("bigint")
+    steps = F.array(
+        F.struct(F.col("gap").alias("gap"), one.alias("c")),
+        F.struct(F.lit(0.0).alias("gap"), (F.col("c") - 1).alias("c")),
+    )
+    return (
+        runs.select(*spec.pair, F.inline(steps))
+        .where((F.col("gap") <= spec.max_gap_secs) & (F.col("c") > 0))
+        .groupBy(*spec.pair, "gap")
+        .agg(F.sum("c").alias("c"))
+    )
+
+
+def hot_factors(
+    flows: DataFrame, spec, factor_columns: Callable, in_tolerance: Callable
+) -> DataFrame:
+    """Factors of oversized pairs; flows carry n_rows, t_first and t_last of their pair."""
+    pair = spec.pair
+    ensure_checkpoint_dir(flows.sparkSession)
+    # Five passes follow over this table of distinct gaps, so it is written once.
+    gaps = gap_counts(time_runs(flows, spec), spec).checkpoint()
+    means = gaps.groupBy(*pair).agg(
+        F.sum("c").alias("gap_count"), (F.sum(F.col("gap") * F.col("c")) / F.sum("c")).alias("gap_mean")
+    )
+    spread = F.sum(F.pow(F.col("gap") - F.col("gap_mean"), 2) * F.col("c")) / F.sum("c")
+    deviations = gaps.join(F.broadcast(means), pair).groupBy(*pair).agg(F.sqrt(spread).alias("gap_sd"))
+    medians = weighted_median(gaps, pair, "gap", "c")
+    near = F.when(in_tolerance(F.col("gap"), F.col("median"), spec), F.col("c")).otherwise(0)
+    shares = gaps.join(F.broadcast(medians), pair).groupBy(*pair).agg(
+        F.first("median").alias("median"), F.sum(near).alias("in_bin")
+    )
+    sizes = flows.groupBy(*pair).agg(
+        F.count("*").alias("connection_count"),
+        (F.max("ts") - F.min("ts")).alias("span"),
+        F.avg("orig_bytes").alias("bytes_mean"),
+        F.stddev_pop("orig_bytes").alias("bytes_sd"),
+    )
+    stats = sizes.join(means, pair).join(deviations, pair).join(shares, pair)
+    stats = stats.where(
+        (F.col("connection_count") >= spec.min_rows) & (F.col("gap_count") >= spec.min_gaps)
+    )
+    return stats.select(*factor_columns(spec))
+
+
+def hot_scores(
+    flows: DataFrame, spec, factor_columns: Callable, in_tolerance: Callable
+) -> DataFrame:
+    """Factors of oversized pairs near the threshold, with their spectral score."""
+    factors = hot_factors(flows, spec, factor_columns, in_tolerance)
+    near = factors.where(F.col("geomean") >= spec.threshold - spec.spectral_weight).checkpoint()
+    wanted = near.where(F.col("gap_count") >= spec.min_spectral_gaps).select(*spec.pair)
+    chosen = flows.join(F.broadcast(wanted), spec.pair, "left_semi")
+    spectra = spectral_hot.spectra(time_runs(chosen, spec), spec, weighted_median)
+    zero = F.lit(0.0)
+    return near.join(spectra, spec.pair, "left").select(
+        *near.columns,
+        F.coalesce("period", zero).alias("spectral_period_secs"),
+        F.coalesce("score", zero).alias("spectral_score"),
+    )

@@ -32,5 +32,6 @@ def load() -> None:
         queries_conn,
         queries_names,
         queries_packets,
+        queries_report,
         queries_rules,
     )
