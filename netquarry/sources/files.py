@@ -30,10 +30,9 @@ def read_texts(spark: SparkSession, path: str, pattern: str) -> list[tuple[str,
     Only for rule and allow-list files; their contents are needed on the driver to build plans.
     """
     files = read_or_none(
-        lambda: spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        lambda: spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     if files is None:

@@ -19,7 +19,12 @@ def read_zeek_raw(spark: SparkSession, path: str, log: str, extra_fields=()) ->
     expected. Only blank, comment and broken lines are dropped. ``extra_fields`` adds
     fields that log rules name and the standard schema lacks.
     """
-    fields = list(dict.fromkeys([*ZEEK_LOGS[log], *extra_fields]))
+    fields = list(ZEEK_LOGS[log])
+    taken = {column_name(f).lower() for f in fields}
+    for name in extra_fields:
+        if column_name(name).lower() not in taken:
+            fields.append(name)
+            taken.add(column_name(name).lower())
     schema = ", ".join(f"`{f}` string" for f in fields)
     logs = read_or_none(
         lambda: spark.read.schema(schema)
@@ -71,7 +76,7 @@ def empty_log(spark: SparkSession, log: str) -> DataFrame:
 
 
 def available_logs(spark: SparkSession, root: str) -> DataFrame:
-    """Sorted names of the log files present per capture."""
+    """Sorted names of the log files present per capture; files without content are not listed."""
     files = read_or_none(
         lambda: spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
