@@ -30,7 +30,7 @@ def scan_evidence(conn: DataFrame, sources: DataFrame) -> DataFrame:
     with most of the connections never meets one task as raw rows.
     """
     top = scan_candidates(sources, 1)
-    rollup = conn_rollup(conn).withColumnRenamed("orig_h", "src")
+    rollup = conn_rollup(conn).select(CAPTURE, F.col("orig_h").alias("src"), "resp_h", "resp_p")
     key = [CAPTURE, "src"]
     ports = _first_values(rollup, key, "resp_p", 50, "unique_dst_ports_sample")
     targets = _first_values(rollup, key, "resp_h", 20, "unique_dst_hosts_sample")

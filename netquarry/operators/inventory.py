@@ -11,35 +11,68 @@ from netquarry.operators.common import CAPTURE, top_k
 from netquarry.sources.rules import Allowlist
 
 
+def packet_rollup(packets: DataFrame) -> DataFrame:
+    """Packets reduced to one row per (capture, source, destination, protocol chain).
+
+    The inventory reads this table several times; whoever needs more than one part of it
+    persists the reduction and passes it in place of the packets.
+    """
+    return packets.groupBy(CAPTURE, "ip_src", "ip_dst", "protocols").agg(
+        F.count("*").alias("n"),
+        F.sum("frame_len").cast("bigint").alias("bytes"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min("frame_no").alias("first_frame"),
+    )
+
+
+def _rolled(packets: DataFrame) -> DataFrame:
+    """Packets, or their reduction, with the columns of the reduction."""
+    if "n" in packets.columns:
+        return packets
+    return packets.select(
+        CAPTURE, "ip_src", "ip_dst", "protocols",
+        F.lit(1).cast("bigint").alias("n"),
+        F.col("frame_len").cast("bigint").alias("bytes"),
+        F.col("ts").alias("first_ts"),
+        F.col("ts").alias("last_ts"),
+        F.col("frame_no").alias("first_frame"),
+    )
+
+
 def protocol_histogram(packets: DataFrame) -> DataFrame:
     """Frames and bytes per protocol; ``frame`` counts every packet."""
     chain = F.coalesce("protocols", F.array().cast("array<string>"))
     names = F.array_distinct(F.concat(F.array(F.lit("frame")), chain))
     return (
-        packets.select(CAPTURE, "frame_len", F.explode(names).alias("protocol"))
+        _rolled(packets)
+        .select(CAPTURE, "n", "bytes", F.explode(names).alias("protocol"))
         .groupBy(CAPTURE, "protocol")
-        .agg(F.count("*").alias("frames"), F.sum("frame_len").cast("bigint").alias("bytes"))
+        .agg(F.sum("n").alias("frames"), F.sum("bytes").alias("bytes"))
     )
 
 
 def conversations(packets: DataFrame) -> DataFrame:
     """IP conversations, source being the sender of the first packet."""
+    rolled = _rolled(packets)
     src, dst = first_value(F.col("ip_src")), first_value(F.col("ip_dst"))
-    rows = packets.select(
-        CAPTURE, "frame_no", "ts", "frame_len", src.alias("src"), dst.alias("dst")
-    ).where("src IS NOT NULL AND dst IS NOT NULL")
+    rows = rolled.withColumns({"src": src, "dst": dst}).where("src IS NOT NULL AND dst IS NOT NULL")
     low = F.least("src", "dst")
     from_low = F.col("src") == low
+
+    def low_sum(column: str):
+        return F.sum(F.when(from_low, F.col(column)).otherwise(0))
+
     pairs = rows.groupBy(CAPTURE, low.alias("low"), F.greatest("src", "dst").alias("high")).agg(
-        F.min_by("src", "frame_no").alias("src"),
-        F.count("*").alias("frames_total"),
-        F.sum("frame_len").cast("bigint").alias("bytes_total"),
-        F.count(F.when(from_low, 1)).alias("frames_low"),
-        F.coalesce(F.sum(F.when(from_low, F.col("frame_len"))), F.lit(0)).cast("bigint").alias("bytes_low"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
+        F.min_by("src", "first_frame").alias("src"),
+        F.sum("n").alias("frames_total"),
+        F.sum("bytes").alias("bytes_total"),
+        low_sum("n").alias("frames_low"),
+        low_sum("bytes").alias("bytes_low"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
     )
-    starts = packets.groupBy(CAPTURE).agg(F.min("ts").alias("capture_start_ts"))
+    starts = rolled.groupBy(CAPTURE).agg(F.min("first_ts").alias("capture_start_ts"))
     low_first = F.col("src") == F.col("low")
     frames = F.when(low_first, F.col("frames_low")).otherwise(F.expr("frames_total - frames_low"))
     volume = F.when(low_first, F.col("bytes_low")).otherwise(F.expr("bytes_total - bytes_low"))
@@ -165,11 +198,11 @@ def captures(packets: DataFrame) -> DataFrame:
 
     The file size is that of a classic packet file: 24 bytes, and 16 more per packet.
     """
-    totals = packets.groupBy(CAPTURE).agg(
-        F.count("*").alias("total_packets"),
-        (F.sum("frame_len") + 16 * F.count("*") + 24).cast("bigint").alias("file_size_bytes"),
-        F.min("ts").alias("start_ts"),
-        F.max("ts").alias("end_ts"),
+    totals = _rolled(packets).groupBy(CAPTURE).agg(
+        F.sum("n").alias("total_packets"),
+        (F.sum("bytes") + 16 * F.sum("n") + 24).alias("file_size_bytes"),
+        F.min("first_ts").alias("start_ts"),
+        F.max("last_ts").alias("end_ts"),
     )
     flows = conversations(packets).groupBy(CAPTURE).agg(
         F.count("*").alias("total_flows"),

@@ -23,8 +23,10 @@ def confidence_rank(c: Column) -> Column:
     return expr.otherwise(99)
 
 
-def _nested(rules: Rules) -> DataFrame:
+def nested_rules(rules: Rules) -> DataFrame:
     """One row per rule with its gates, signals and bonuses as arrays in file order."""
+    if rules.nested is not None:
+        return rules.nested
 
     def grouped(df: DataFrame, name: str) -> DataFrame:
         rest = [c for c in df.columns if c != "ttp_id"]
@@ -52,7 +54,7 @@ def score_rules(signals: DataFrame, rules: Rules, ioc_match: DataFrame | None =
     values = F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names])
     )
-    nested = _nested(rules)
+    nested = nested_rules(rules)
     table = nested.agg(F.array_sort(F.collect_list(F.struct(*nested.columns)))).scalar()
     rows = (
         signals.select(CAPTURE, values.alias("v"), table.alias("rules"))

@@ -145,17 +145,17 @@ def scan_log(log: DataFrame, rules: list[SigmaRule]) -> DataFrame | None:
         .groupBy(CAPTURE, "rule", "side", "ip")
         .agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
     )
-    totals = counted.where("side = 'src'").groupBy(CAPTURE, "rule").agg(F.sum("n").alias("match_count"))
-    first = top_k(
-        counted.where("ip IS NOT NULL"),
-        [CAPTURE, "rule", "side"],
-        [F.asc_nulls_last("first_ts"), F.asc("ip")],
-        SAMPLE_IPS,
-        rank="position",
+    # Both reductions read the same columns of the same aggregate, so its shuffle is reused.
+    totals = counted.groupBy(CAPTURE, "rule").agg(
+        F.sum(F.when(F.col("side") == "src", F.col("n")).otherwise(0)).alias("match_count"),
+        F.min("first_ts").alias("first_ts"),
     )
+    order_by = [F.col("ip").isNull(), F.asc_nulls_last("first_ts"), F.asc("ip")]
+    first = top_k(counted, [CAPTURE, "rule", "side"], order_by, SAMPLE_IPS, rank="position")
 
     def sample(name: str) -> Column:
-        entries = F.collect_list(F.when(F.col("side") == name, F.struct("position", "ip")))
+        shown = (F.col("side") == name) & F.col("ip").isNotNull()
+        entries = F.collect_list(F.when(shown, F.struct("position", "ip", "n")))
         return F.transform(F.array_sort(entries), lambda e: e["ip"])
 
     samples = first.groupBy(CAPTURE, "rule").agg(

@@ -15,7 +15,7 @@ from netquarry.functions.lists import (
     WEB_SERVICE_DOMAINS,
     WINRM_PORTS,
 )
-from netquarry.functions.net import first_value
+from netquarry.functions.net import first_value, is_external, is_internal
 from netquarry.operators.common import (
     CAPTURE,
     count_if,
@@ -77,10 +77,12 @@ for _name in (
 
 
 def dns_names(dns: DataFrame) -> DataFrame:
-    """One row per (capture, query) with counts.
+    """One row per (capture, query) with counts; such a table is returned as it is.
 
-    String work is done here once per distinct name; all DNS signals read this table.
+    String work is done once per distinct name; all DNS signals read this table.
     """
+    if "n_nxdomain" in dns.columns:
+        return dns
     return dns.groupBy(CAPTURE, "query").agg(
         F.count("*").alias("n"),
         count_if(F.col("qtype_name").isin("TXT", "NULL")).alias("n_txt_null"),
@@ -89,19 +91,32 @@ def dns_names(dns: DataFrame) -> DataFrame:
     )
 
 
+def _parent_key() -> Column:
+    """Parent domain of names that count for parent diversity, null for the others."""
+    q = F.col("query")
+    return F.when(~text.is_srv(q) & ~text.is_mdns(q), text.parent_domain(q))
+
+
+SUSPICIOUS_PARENT = "parent IS NOT NULL AND fqdn_count > 10 AND label_chars / fqdn_count > 15"
+
+
 def dns_parents(dns: DataFrame) -> DataFrame:
     """Distinct names per parent domain; suspicious above 10 names with long first labels."""
-    q = F.col("query")
-    names = dns_names(dns).where(
-        "query IS NOT NULL"
-    ).where(~text.is_srv(q) & ~text.is_mdns(q) & q.contains("."))
-    return (
-        names.groupBy(CAPTURE, text.parent_domain(q).alias("parent"))
+    parents = (
+        dns_names(dns)
+        .groupBy(CAPTURE, _parent_key().alias("parent"))
         .agg(
-            F.count("*").alias("fqdn_count"),
-            F.avg(F.length(text.first_label(q))).alias("avg_first_label_length"),
+            F.count("query").alias("fqdn_count"),
+            F.sum(F.length(text.first_label(F.col("query")))).alias("label_chars"),
         )
-        .withColumn("suspicious", F.expr("fqdn_count > 10 AND avg_first_label_length > 15"))
+        .where("parent IS NOT NULL")
+    )
+    return parents.select(
+        CAPTURE,
+        "parent",
+        "fqdn_count",
+        (F.col("label_chars") / F.col("fqdn_count")).alias("avg_first_label_length"),
+        F.expr(SUSPICIOUS_PARENT).alias("suspicious"),
     )
 
 
@@ -118,30 +133,40 @@ def dns_singletons(dns: DataFrame) -> DataFrame:
 
 
 def dns_signals(dns: DataFrame) -> DataFrame:
+    """All DNS signals in one chain: names, then parent domains, then captures."""
     q, n = F.col("query"), F.col("n")
+    entropy = F.when(text.entropy_eligible(q), text.shannon_entropy(text.first_label(q))).otherwise(0.0)
 
     def weighted(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0).cast("bigint"))
-
+        return F.sum(F.when(condition, n).otherwise(0))
+
+    parents = dns_names(dns).groupBy(CAPTURE, _parent_key().alias("parent")).agg(
+        F.count("query").alias("fqdn_count"),
+        F.sum(F.length(text.first_label(q))).alias("label_chars"),
+        F.sum("n").alias("n"),
+        weighted(q.isNotNull()).alias("n_named"),
+        F.sum(F.length(q) * n).alias("chars"),
+        F.sum("n_txt_null").alias("n_txt_null"),
+        F.sum("n_nxdomain").alias("n_nxdomain"),
+        F.sum("n_ptr").alias("n_ptr"),
+        F.max(entropy).alias("entropy"),
+        weighted(text.has_encoded_label(q)).alias("n_encoded"),
+        weighted(text.domain_in(F.lower(q), WEB_SERVICE_DOMAINS)).alias("n_service"),
+        count_if((n == 1) & text.is_suspicious_name(q)).alias("n_single"),
+    )
     total = F.sum("n")
-    entropy = F.when(text.entropy_eligible(q), text.shannon_entropy(text.first_label(q))).otherwise(0.0)
-    names = dns_names(dns).groupBy(CAPTURE).agg(
-        F.count("query").alias("dns_unique_query_count"),
-        F.coalesce(
-            F.try_divide(F.sum(F.length(q) * n), F.sum(F.when(q.isNotNull(), n))), F.lit(0.0)
-        ).alias("dns_avg_query_length"),
+    return parents.groupBy(CAPTURE).agg(
+        F.sum("fqdn_count").alias("dns_unique_query_count"),
+        F.coalesce(F.try_divide(F.sum("chars"), F.sum("n_named")), F.lit(0.0)).alias("dns_avg_query_length"),
         F.round(F.sum("n_txt_null") / total, 4).alias("dns_txt_null_ratio"),
         F.round(F.sum("n_nxdomain") / total, 4).alias("dns_nxdomain_rate"),
-        F.round(F.max(entropy), 4).alias("dns_max_subdomain_entropy"),
+        F.round(F.max("entropy"), 4).alias("dns_max_subdomain_entropy"),
         F.sum("n_ptr").alias("dns_ptr_lookup_count"),
-        weighted(text.has_encoded_label(q)).alias("dns_base64_label_count"),
-        weighted(text.domain_in(F.lower(q), WEB_SERVICE_DOMAINS)).alias("dns_c2_service_lookup_count"),
-        count_if((n == 1) & text.is_suspicious_name(q)).alias("dns_singleton_suspicious_count"),
+        F.sum("n_encoded").alias("dns_base64_label_count"),
+        F.sum("n_service").alias("dns_c2_service_lookup_count"),
+        F.sum("n_single").alias("dns_singleton_suspicious_count"),
+        count_if(F.expr(SUSPICIOUS_PARENT)).alias("dns_suspicious_parent_count"),
     )
-    parents = dns_parents(dns).groupBy(CAPTURE).agg(
-        count_if(F.col("suspicious")).alias("dns_suspicious_parent_count")
-    )
-    return names.join(parents, CAPTURE, "left").na.fill(0, ["dns_suspicious_parent_count"])
 
 
 # -------------------------------------------------------------------------- HTTP
@@ -174,10 +199,6 @@ def _self_signed(x509: DataFrame) -> DataFrame:
     return x509.where("certificate_subject = certificate_issuer")
 
 
-def _capture_has_status(ssl: DataFrame) -> DataFrame:
-    return ssl.groupBy(CAPTURE).agg((F.count("validation_status") > 0).alias("has_status"))
-
-
 def tls_signals(ssl: DataFrame, x509: DataFrame) -> DataFrame:
     """TLS signals. Certificate anomalies come from the validation status where the log has
     one, and from self-signed certificates otherwise; a missing status counts as not ok."""
@@ -210,22 +231,28 @@ def tls_anomaly_ips(ssl: DataFrame, x509: DataFrame) -> DataFrame:
     Sessions are reduced to distinct (server, fingerprint) before the join on the
     fingerprint, so a certificate seen in most sessions does not pile up in one task.
     """
-    by_status = ssl.join(_capture_has_status(ssl).where("has_status"), CAPTURE, "left_semi").where(
-        ~F.col("validation_status").eqNullSafe("ok") & F.col("resp_h").isNotNull()
-    ).select(CAPTURE, F.col("resp_h").alias("ip")).distinct()
+    servers = ssl.groupBy(CAPTURE, F.col("resp_h").alias("ip")).agg(
+        F.count("validation_status").alias("with_status"),
+        count_if(~F.col("validation_status").eqNullSafe("ok")).alias("not_ok"),
+    )
+    status = servers.groupBy(CAPTURE).agg((F.sum("with_status") > 0).alias("has_status"))
     fingerprints = _self_signed(x509).where("fingerprint IS NOT NULL").select(CAPTURE, "fingerprint").distinct()
     presented = (
         ssl.where("resp_h <> ''")
         .select(CAPTURE, F.col("resp_h").alias("ip"), F.explode("cert_chain_fps").alias("fingerprint"))
         .distinct()
     )
-    by_cert = (
-        presented.join(fingerprints, [CAPTURE, "fingerprint"], "left_semi")
-        .select(CAPTURE, "ip")
+    by_cert = presented.join(fingerprints, [CAPTURE, "fingerprint"], "left_semi").select(
+        CAPTURE, "ip", F.lit(False).alias("by_status")
+    )
+    by_status = servers.where("not_ok > 0 AND ip IS NOT NULL").select(CAPTURE, "ip", F.lit(True).alias("by_status"))
+    return (
+        by_status.unionByName(by_cert)
         .distinct()
-        .join(_capture_has_status(ssl).where("NOT has_status"), CAPTURE, "left_semi")
+        .join(status, CAPTURE)
+        .where("by_status = has_status")
+        .select(CAPTURE, "ip")
     )
-    return by_status.unionByName(by_cert)
 
 
 def tls_sessions(ssl: DataFrame, k: int = 50) -> DataFrame:
@@ -253,9 +280,12 @@ def smb_signals(smb_mapping: DataFrame, hosts: DataFrame | None = None) -> DataF
 def conn_rollup(conn: DataFrame) -> DataFrame:
     """Connections reduced to one row per (capture, source, destination, port).
 
-    The connection table is the largest one; every scan and volume signal is computed
-    from this reduction, which combines on the map side and has no skewed key.
+    The connection table is the largest one. This reduction combines on the map side and
+    has no skewed key; every scan signal is computed from it. A table that is already
+    reduced is returned as it is, so a caller with several uses persists it once.
     """
+    if "n_half_open" in conn.columns:
+        return conn
     state = F.col("conn_state")
     return conn.groupBy(CAPTURE, "orig_h", "resp_h", "resp_p").agg(
         F.count("*").alias("n"),
@@ -274,14 +304,15 @@ EXFIL_FLOOR = 10_000_000
 
 
 def scan_sources(
-    rollup: DataFrame,
+    conn: DataFrame,
     thresholds: DataFrame | None = None,
     ports: int = DEFAULT_SCAN_PORTS,
     hosts: int = DEFAULT_SCAN_HOSTS,
 ) -> DataFrame:
     """Distinct ports and targets per source, with the candidate flag."""
     sources = (
-        rollup.where("orig_h IS NOT NULL")
+        conn_rollup(conn)
+        .where("orig_h IS NOT NULL")
         .groupBy(CAPTURE, F.col("orig_h").alias("src"))
         .agg(
             F.count_distinct("resp_p").alias("unique_dst_ports"),
@@ -291,6 +322,12 @@ def scan_sources(
             F.max("last_ts").alias("last_ts"),
         )
     )
+    return _with_candidates(sources, thresholds, ports, hosts)
+
+
+def _with_candidates(
+    sources: DataFrame, thresholds: DataFrame | None, ports: int, hosts: int
+) -> DataFrame:
     port_limit, host_limit = F.lit(ports), F.lit(hosts)
     if thresholds is not None:
         limits = thresholds.select(CAPTURE, "scan_unique_dst_ports", "scan_unique_dst_hosts")
@@ -317,9 +354,14 @@ def scan_summary(sources: DataFrame) -> DataFrame:
     )
 
 
-def inbound_scanners(rollup: DataFrame, hosts: DataFrame | None = None, min_ports: int = 5) -> DataFrame:
+INBOUND_PORTS = 5
+
+
+def inbound_scanners(
+    conn: DataFrame, hosts: DataFrame | None = None, min_ports: int = INBOUND_PORTS
+) -> DataFrame:
     """External sources with unanswered connections to many ports of internal hosts."""
-    tried = rollup.where("n_inbound_state > 0 AND orig_h IS NOT NULL")
+    tried = conn_rollup(conn).where("n_inbound_state > 0 AND orig_h IS NOT NULL")
     tried = internal_rows(not_internal_rows(tried, "orig_h", hosts), "resp_h", hosts)
     return (
         tried.groupBy(CAPTURE, F.col("orig_h").alias("src"))
@@ -331,19 +373,37 @@ def inbound_scanners(rollup: DataFrame, hosts: DataFrame | None = None, min_port
 def scan_signals(
     conn: DataFrame, hosts: DataFrame | None = None, thresholds: DataFrame | None = None
 ) -> DataFrame:
-    """Scan, half-open, WinRM and inbound-scan signals."""
-    rollup = conn_rollup(conn)
-    counts = rollup.groupBy(CAPTURE).agg(
+    """Scan, half-open, WinRM and inbound-scan signals, in one chain over the reduction.
+
+    With an explicit host table the inbound scanners are found by joins instead.
+    """
+    src, dst, n = F.col("orig_h"), F.col("resp_h"), F.col("n")
+    inbound = (F.col("n_inbound_state") > 0) & ~is_internal(src) & is_internal(dst)
+    rollup = conn_rollup(conn).withColumn("inbound_p", F.when(inbound, F.col("resp_p")))
+    sources = rollup.groupBy(CAPTURE, src.alias("src")).agg(
+        F.count_distinct("resp_p").alias("unique_dst_ports"),
+        F.count_distinct("resp_h").alias("unique_dst_hosts"),
+        F.count_distinct("inbound_p").alias("inbound_ports"),
+        F.sum("n_half_open").alias("n_half_open"),
+        F.sum(F.when(F.col("resp_p").isin(*WINRM_PORTS), n).otherwise(0)).alias("n_winrm"),
+    )
+    sources = _with_candidates(sources, thresholds, DEFAULT_SCAN_PORTS, DEFAULT_SCAN_HOSTS)
+    named = F.col("src").isNotNull()
+    zero = F.lit(0).cast("bigint")
+    out = sources.groupBy(CAPTURE).agg(
         F.sum("n_half_open").alias("scan_syn_only_connection_count"),
-        F.coalesce(
-            F.sum(F.when(F.col("resp_p").isin(*WINRM_PORTS), F.col("n"))), F.lit(0).cast("bigint")
-        ).alias("winrm_connection_count"),
+        F.sum("n_winrm").alias("winrm_connection_count"),
+        count_if(named & F.col("candidate")).alias("scan_candidate_count"),
+        F.coalesce(F.max(F.when(named, F.col("unique_dst_ports"))), zero).alias("scan_max_unique_dst_ports"),
+        F.coalesce(F.max(F.when(named, F.col("unique_dst_hosts"))), zero).alias("scan_max_unique_dst_hosts"),
+        count_if(named & (F.col("inbound_ports") >= INBOUND_PORTS)).alias("inbound_scan_unique_src_count"),
     )
-    inbound = inbound_scanners(rollup, hosts).groupBy(CAPTURE).agg(
+    if hosts is None:
+        return out
+    listed = inbound_scanners(conn, hosts).groupBy(CAPTURE).agg(
         F.count("*").alias("inbound_scan_unique_src_count")
     )
-    summary = scan_summary(scan_sources(rollup, thresholds))
-    return counts.join(summary, CAPTURE, "left").join(inbound, CAPTURE, "left").na.fill(0)
+    return out.drop("inbound_scan_unique_src_count").join(listed, CAPTURE, "left").na.fill(0)
 
 
 def outbound_transfers(
@@ -378,10 +438,28 @@ def exfil_signals(
     thresholds: DataFrame | None = None,
     floor: int = EXFIL_FLOOR,
 ) -> DataFrame:
-    """Largest upload over all connections, for captures with at least one large transfer."""
-    hit = outbound_transfers(conn, hosts, thresholds, floor).select(CAPTURE).distinct()
-    peak = conn_rollup(conn).groupBy(CAPTURE).agg(F.max("max_orig_bytes").alias("max_outbound_bytes"))
-    return peak.join(hit, CAPTURE, "left_semi")
+    """Largest upload over all connections, for captures with at least one large transfer.
+
+    A capture has one if its largest internal to external upload passes the threshold, so
+    two maxima per capture are enough.
+    """
+    rollup = conn_rollup(conn)
+    if hosts is None:
+        outward = is_internal(F.col("orig_h")) & is_external(F.col("resp_h"))
+        peaks = rollup.groupBy(CAPTURE).agg(
+            F.max("max_orig_bytes").alias("max_outbound_bytes"),
+            F.max(F.when(outward, F.col("max_orig_bytes"))).alias("peak"),
+        )
+    else:
+        outward = external_rows(internal_rows(rollup, "orig_h", hosts), "resp_h", hosts)
+        peak = outward.groupBy(CAPTURE).agg(F.max("max_orig_bytes").alias("peak"))
+        peaks = rollup.groupBy(CAPTURE).agg(F.max("max_orig_bytes").alias("max_outbound_bytes"))
+        peaks = peaks.join(peak, CAPTURE, "left")
+    limit = F.lit(floor)
+    if thresholds is not None:
+        peaks = peaks.join(thresholds.select(CAPTURE, "exfil_bytes_threshold"), CAPTURE, "left")
+        limit = F.coalesce("exfil_bytes_threshold", limit)
+    return peaks.where(F.col("peak") > limit).select(CAPTURE, "max_outbound_bytes")
 
 
 # ----------------------------------------------------------------------- packets

@@ -108,25 +108,27 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
     log_rules = rule_source.load_sigma(spark, options.sigma_rules)
 
     # Inventory. A capture is known by its packets or by any of its logs.
-    histogram = inventory.protocol_histogram(packets)
-    convs = inventory.classify_conversations(inventory.conversations(packets))
-    hosts = inventory.hosts(packets)
+    traffic = keep(inventory.packet_rollup(packets))
+    histogram = inventory.protocol_histogram(traffic)
+    convs = inventory.classify_conversations(inventory.conversations(traffic))
+    hosts = inventory.hosts(traffic)
     talkers = keep(inventory.top_talkers(convs))
     known = packets.select(CAPTURE)
     for df in log.values():
         known = known.unionByName(df.select(CAPTURE))
-    captures = keep(known.distinct().join(inventory.captures(packets), CAPTURE, "left"))
+    captures = keep(known.distinct().join(inventory.captures(traffic), CAPTURE, "left"))
     thresholds = inventory.calibrate(captures)
     allowed = inventory.mark_allowed(hosts.select("ip").distinct(), allow).where("allowed")
 
     # Signals.
-    rollup = sig.conn_rollup(log["conn"])
+    rollup = keep(sig.conn_rollup(log["conn"]))
+    names = keep(sig.dns_names(log["dns"]))
     sources = keep(sig.scan_sources(rollup, thresholds))
     scans = sig.scan_candidates(sources)
     transfers = keep(sig.outbound_transfers(log["conn"], thresholds=thresholds))
     first_transfers = sig.first_transfers(transfers)
-    parents = keep(sig.top_parents(log["dns"]))
-    singletons = sig.dns_singletons(log["dns"])
+    parents = keep(sig.top_parents(names))
+    singletons = sig.dns_singletons(names)
     candidates = keep(beacon.beacon_candidates(beacon.internal_to_external(log["conn"]), options.beacon))
     signals = keep(
         sig.assemble_signals(
@@ -134,12 +136,12 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
             sig.packet_signals(packets),
             sig.arp_conflict_signals(packets),
             sig.dcsync_signals(packets, log["kerberos"]),
-            sig.dns_signals(log["dns"]),
+            sig.dns_signals(names),
             sig.http_signals(log["http"]),
             sig.tls_signals(log["ssl"], log["x509"]),
             sig.smb_signals(log["smb_mapping"]),
-            sig.scan_signals(log["conn"], thresholds=thresholds),
-            sig.exfil_signals(log["conn"], thresholds=thresholds),
+            sig.scan_signals(rollup, thresholds=thresholds),
+            sig.exfil_signals(rollup, thresholds=thresholds),
             sig.kerberos_signals(log["kerberos"]),
             beacon.beacon_signals(candidates),
             beacon.external_beacon_signals(beacons),
@@ -154,7 +156,7 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
     findings = keep(scoring.sweep(scores, alerts, sigma_hits, options.report_threshold))
 
     # Evidence.
-    scan_rows = keep(evidence.scan_evidence(log["conn"], sources))
+    scan_rows = keep(evidence.scan_evidence(rollup, sources))
     shares = evidence.smb_share_evidence(log["smb_mapping"])
     tables = {
         "scan": scan_rows,

@@ -31,12 +31,21 @@ BONUSES = "ttp_id string, bonus_id int, required array<string>, bonus decimal(6,
 
 @dataclass(frozen=True)
 class Rules:
-    """The four rule tables."""
+    """The four rule tables, and optionally their nested form (see scoring.nested_rules)."""
 
     rules: DataFrame
     gates: DataFrame
     signals: DataFrame
     bonuses: DataFrame
+    nested: DataFrame | None = None
+
+
+def _nested_ddl() -> str:
+    def array(name: str, ddl: str) -> str:
+        fields = [f.strip().split(" ", 1) for f in re.split(r", (?![^(]*\))", ddl)][1:]
+        return f"{name} array<struct<" + ", ".join(f"{n}: {t}" for n, t in fields) + ">>"
+
+    return ", ".join([RULES, array("gates", GATES), array("signals", RULE_SIGNALS), array("bonuses", BONUSES)])
 
 
 def parse_threshold(text) -> tuple[str | None, float | None, bool]:
@@ -91,11 +100,19 @@ def rules_from_dicts(spark: SparkSession, playbooks: list[dict]) -> Rules:
                 "ttp_id": ttp, "bonus_id": i, "required": list(bonus.get("signals") or []),
                 "bonus": _weight(bonus.get("bonus")),
             })
+    def of(rows: list[dict], ttp: str) -> list[dict]:
+        return [{k: v for k, v in r.items() if k != "ttp_id"} for r in rows if r["ttp_id"] == ttp]
+
+    nested = [
+        r | {"gates": of(gates, r["ttp_id"]), "signals": of(signals, r["ttp_id"]), "bonuses": of(bonuses, r["ttp_id"])}
+        for r in rules
+    ]
     return Rules(
         local_table(spark, rules, RULES),
         local_table(spark, gates, GATES),
         local_table(spark, signals, RULE_SIGNALS),
         local_table(spark, bonuses, BONUSES),
+        local_table(spark, nested, _nested_ddl()),
     )
 
 
