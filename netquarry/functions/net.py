@@ -79,8 +79,9 @@ def ip_values(c: Column) -> Column:
 
 
 def first_value(c: Column) -> Column:
-    """First entry of comma-joined text, null when empty."""
-    return F.nullif(F.trim(F.split_part(c, F.lit(","), F.lit(1))), F.lit(""))
+    """First entry of comma-joined text, null when empty. Single values are not taken apart."""
+    several = F.nullif(F.trim(F.substring_index(c, ",", 1)), F.lit(""))
+    return F.when(c.contains(","), several).when(c != "", c)
 
 
 def ttl_to_os(c: Column) -> Column:

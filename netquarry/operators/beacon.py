@@ -153,16 +153,36 @@ def _cold_factors(flows: DataFrame, spec: BeaconSpec, keep_gaps: bool) -> DataFr
     return stats.select(*columns, *(["gaps"] if keep_gaps else []))
 
 
-def _route(flows: DataFrame, spec: BeaconSpec) -> tuple[DataFrame, DataFrame | None, BeaconSpec]:
+def pair_sizes(flows: DataFrame, spec: BeaconSpec) -> DataFrame:
+    """Rows and time span per pair; combines on the map side."""
+    return flows.groupBy(*spec.pair).agg(
+        F.count("*").alias("n_rows"), F.min("ts").alias("t_first"), F.max("ts").alias("t_last")
+    )
+
+
+def pair_sizes_from_rollup(rollup: DataFrame) -> DataFrame:
+    """The same from a connection reduction, for pairs of (source, destination, port)."""
+    return rollup.where("first_ts IS NOT NULL").select(
+        CAPTURE,
+        F.col("orig_h").alias("src"),
+        F.col("resp_h").alias("dst"),
+        F.coalesce("resp_p", F.lit(0)).alias("port"),
+        F.col("n").alias("n_rows"),
+        F.col("first_ts").alias("t_first"),
+        F.col("last_ts").alias("t_last"),
+    )
+
+
+def _route(
+    flows: DataFrame, spec: BeaconSpec, sizes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """Split flows into ordinary pairs and oversized ones.
 
     Fewer than rows / hot_pair_rows pairs can be oversized. Their list is read back only
     up to ``max_broadcast_pairs``; if there are more, the size limit is doubled until the
     list fits, which keeps every pair and only makes the largest ordinary ones larger.
     """
-    counts = flows.groupBy(*spec.pair).agg(
-        F.count("*").alias("n_rows"), F.min("ts").alias("t_first"), F.max("ts").alias("t_last")
-    )
+    counts = pair_sizes(flows, spec) if sizes is None else sizes
     limit = spec.hot_pair_rows
     while True:
         rows = counts.where(F.col("n_rows") > limit).limit(spec.max_broadcast_pairs + 1).collect()
@@ -170,29 +190,33 @@ def _route(flows: DataFrame, spec: BeaconSpec) -> tuple[DataFrame, DataFrame | N
             break
         limit *= 2
     if not rows:
-        return flows, None, spec
+        return flows, None
     hot = flows.sparkSession.createDataFrame(rows, counts.schema)
     ordinary = flows.join(F.broadcast(hot.select(*spec.pair)), spec.pair, "left_anti")
     oversized = flows.join(F.broadcast(hot), spec.pair)
-    return ordinary, oversized, spec
+    return ordinary, oversized
 
 
-def beacon_factors(flows: DataFrame, spec: BeaconSpec = BeaconSpec()) -> DataFrame:
+def beacon_factors(
+    flows: DataFrame, spec: BeaconSpec = BeaconSpec(), sizes: DataFrame | None = None
+) -> DataFrame:
     """Unrounded factors of every pair with enough rows and gaps."""
-    ordinary, oversized, spec = _route(flows, spec)
+    ordinary, oversized = _route(flows, spec, sizes)
     out = _cold_factors(ordinary, spec, keep_gaps=False)
     if oversized is not None:
         out = out.unionByName(beacon_hot.hot_factors(oversized, spec, factor_columns, in_tolerance))
     return out
 
 
-def beacon_scores(flows: DataFrame, spec: BeaconSpec = BeaconSpec()) -> DataFrame:
+def beacon_scores(
+    flows: DataFrame, spec: BeaconSpec = BeaconSpec(), sizes: DataFrame | None = None
+) -> DataFrame:
     """Factors with the spectral bonus; pairs below the threshold are dropped.
 
     The bonus is at most ``spectral_weight``, so only pairs within that distance of the
     threshold need a spectrum. This is exact and spares nearly all Python work.
     """
-    ordinary, oversized, spec = _route(flows, spec)
+    ordinary, oversized = _route(flows, spec, sizes)
     cold = _cold_factors(ordinary, spec, keep_gaps=True)
     reachable = F.col("geomean") >= spec.threshold - spec.spectral_weight
     cold = cold.where(reachable)
@@ -213,10 +237,15 @@ def beacon_scores(flows: DataFrame, spec: BeaconSpec = BeaconSpec()) -> DataFram
     ).where(F.col("composite_score") >= spec.threshold)
 
 
-def beacon_candidates(flows: DataFrame, spec: BeaconSpec = BeaconSpec()) -> DataFrame:
-    """Best pairs per capture, rounded for display."""
+def beacon_candidates(
+    flows: DataFrame, spec: BeaconSpec = BeaconSpec(), sizes: DataFrame | None = None
+) -> DataFrame:
+    """Best pairs per capture, rounded for display.
+
+    ``sizes`` (see pair_sizes) spares a pass over the flows when it is known already.
+    """
     scores = top_k(
-        beacon_scores(flows, spec),
+        beacon_scores(flows, spec, sizes),
         [CAPTURE],
         [F.desc("composite_score"), *[F.asc(k) for k in spec.keys]],
         spec.top_n,

@@ -84,7 +84,9 @@ def dns_evidence(dns: DataFrame, k: int = 30, minimum: float = 3.5) -> DataFrame
     rows = dns.select(
         CAPTURE, "ts", "uid", "orig_h", "query", "qtype_name", "rcode_name", entropy.alias("entropy")
     ).where(F.col("entropy") > minimum)
-    return top_k(rows, [CAPTURE], [F.desc("entropy"), F.asc("ts"), F.asc("uid")], k, rank="position")
+    # Equal letter counts give sums that differ in the last bit; rounding makes them ties.
+    order = [F.desc(F.round("entropy", 9)), F.asc("ts"), F.asc("uid")]
+    return top_k(rows, [CAPTURE], order, k, rank="position")
 
 
 def credential_evidence(packets: DataFrame, k: int = 20) -> DataFrame:

@@ -63,8 +63,11 @@ def conversations(packets: DataFrame) -> DataFrame:
     def low_sum(column: str):
         return F.sum(F.when(from_low, F.col(column)).otherwise(0))
 
+    # The first sender is found by comparing two frame numbers: text in an aggregate
+    # buffer would turn the hash aggregation into a sort of all packets.
     pairs = rows.groupBy(CAPTURE, low.alias("low"), F.greatest("src", "dst").alias("high")).agg(
-        F.min_by("src", "first_frame").alias("src"),
+        F.min(F.when(from_low, F.col("first_frame"))).alias("low_frame"),
+        F.min(F.when(~from_low, F.col("first_frame"))).alias("high_frame"),
         F.sum("n").alias("frames_total"),
         F.sum("bytes").alias("bytes_total"),
         low_sum("n").alias("frames_low"),
@@ -73,12 +76,12 @@ def conversations(packets: DataFrame) -> DataFrame:
         F.max("last_ts").alias("last_ts"),
     )
     starts = rolled.groupBy(CAPTURE).agg(F.min("first_ts").alias("capture_start_ts"))
-    low_first = F.col("src") == F.col("low")
+    low_first = F.coalesce(F.col("low_frame") <= F.col("high_frame"), F.col("high_frame").isNull())
     frames = F.when(low_first, F.col("frames_low")).otherwise(F.expr("frames_total - frames_low"))
     volume = F.when(low_first, F.col("bytes_low")).otherwise(F.expr("bytes_total - bytes_low"))
     return pairs.join(starts, CAPTURE).select(
         CAPTURE,
-        "src",
+        F.when(low_first, F.col("low")).otherwise(F.col("high")).alias("src"),
         F.when(low_first, F.col("high")).otherwise(F.col("low")).alias("dst"),
         frames.alias("frames_fwd"),
         volume.alias("bytes_fwd"),
@@ -108,10 +111,13 @@ def top_talkers(convs: DataFrame, k: int = 20) -> DataFrame:
 
 
 def hosts(packets: DataFrame) -> DataFrame:
-    """Distinct dotted quads with their internal flag."""
-    both = F.array_union(ip_values(F.col("ip_src")), ip_values(F.col("ip_dst")))
+    """Distinct dotted quads with their internal flag.
+
+    Field texts are made distinct before they are taken apart.
+    """
+    texts = packets.select(CAPTURE, F.explode(F.array("ip_src", "ip_dst")).alias("text")).distinct()
     return (
-        packets.select(CAPTURE, F.explode(both).alias("ip"))
+        texts.select(CAPTURE, F.explode(ip_values(F.col("text"))).alias("ip"))
         .distinct()
         .withColumn("is_internal", is_internal(F.col("ip")))
     )
@@ -149,7 +155,7 @@ def os_hints(packets: DataFrame) -> DataFrame:
         packets.select(CAPTURE, "frame_no", first_value(F.col("ip_src")).alias("ip"), ttl.alias("ttl"))
         .where("ip IS NOT NULL AND ttl IS NOT NULL")
         .groupBy(CAPTURE, "ip")
-        .agg(F.min_by("ttl", "frame_no").alias("ttl"))
+        .agg(F.min_by(F.col("ttl").try_cast("int"), "frame_no").alias("ttl"))
         .select(CAPTURE, "ip", ttl_to_os(F.col("ttl")).alias("os_hint"))
     )
 

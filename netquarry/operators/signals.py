@@ -473,8 +473,17 @@ def _frames(*names: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a + b, [count_if(_has(n)) for n in names]), F.lit(0))
 
 
-# Signals that are plain conditional aggregates of the packet table: one pass computes all.
+PACKET_SIGNALS = (
+    "dns_packet_count", "http_packet_count", "tls_packet_count", "smb_packet_count",
+    "arp_packet_count", "kerberos_packet_count", "icmp_packet_count", "drsuapi_packet_count",
+    "rdp_packet_count", "ldap_packet_count", "cldap_packet_count", "arp_gratuitous_count",
+    "icmp_large_payload_count", "http_on_nonstandard_port_count",
+    "http_cleartext_creds_detected", "cleartext_creds_detected", "ftp_cleartext_detected",
+)
+
+
 def packet_aggregates() -> dict[str, Column]:
+    """Signals that are plain conditional aggregates of the packet table."""
     opcode = F.col("arp_opcode")
     auth = F.coalesce(F.col("http_authorization") != "", F.lit(False))
     ftp = F.coalesce(F.col("ftp_command").isin("USER", "PASS"), F.lit(False))
@@ -501,7 +510,8 @@ def packet_aggregates() -> dict[str, Column]:
 
 
 def packet_signals(packets: DataFrame) -> DataFrame:
-    return packets.groupBy(CAPTURE).agg(*[c.alias(n) for n, c in packet_aggregates().items()])
+    """All packet signals in one pass."""
+    return _packet_subset(packets, PACKET_SIGNALS)
 
 
 def _packet_subset(packets: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 SPECTRUM_TYPE = "period double, score double"
 NO_PEAK = (0.0, 0.0)
+MINIMUM_GAPS = 8
+# Values handled at once when sequences of one length are stacked.
+STACK_VALUES = 4_000_000
 
 
 def peak_score(
@@ -29,23 +32,33 @@ def peak_score(
     return period, float(min(1.0, max(0.0, score)))
 
 
-def spectrum_score(gaps: np.ndarray, noise: float = 3.0, full: float = 10.0, minimum: int = 8):
-    """(period, score) of one gap sequence in time order."""
-    n = len(gaps)
-    if n < minimum:
-        return NO_PEAK
-    clock = np.cumsum(gaps)
-    grid = np.linspace(clock[0], clock[-1], n)
-    step = float(grid[1] - grid[0])
-    if not step > 0:
+def spectrum_scores(gaps: np.ndarray, noise: float = 3.0, full: float = 10.0) -> list[tuple]:
+    """(period, score) of several gap sequences of one length, a row each, in time order."""
+    n = gaps.shape[1]
+    clocks = np.cumsum(gaps, axis=1)
+    grids = np.linspace(clocks[:, 0], clocks[:, -1], n, axis=1)
+    steps = grids[:, 1] - grids[:, 0]
+    even = np.stack([np.interp(g, c, x) for g, c, x in zip(grids, clocks, gaps)])
+    magnitude = np.abs(np.fft.rfft(even - even.mean(axis=1, keepdims=True), axis=1))[:, 1:]
+    best = magnitude.argmax(axis=1)
+    rows = np.arange(len(gaps))
+    peaks = magnitude[rows, best]
+    rest = np.ma.array(magnitude, mask=False)
+    rest[rows, best] = np.ma.masked
+    background = np.ma.median(rest, axis=1).filled(0.0) if magnitude.shape[1] > 1 else peaks
+    out = []
+    for peak, floor, step, k in zip(peaks, background, steps, best):
+        frequency = float((k + 1) / (n * step)) if step > 0 else 0.0
+        found = peak_score(float(peak), float(floor), frequency, noise, full)
+        out.append(found if step > 0 else NO_PEAK)
+    return out
+
+
+def spectrum_score(gaps: np.ndarray, noise: float = 3.0, full: float = 10.0) -> tuple[float, float]:
+    """(period, score) of one gap sequence; fewer than eight gaps have none."""
+    if len(gaps) < MINIMUM_GAPS:
         return NO_PEAK
-    even = np.interp(grid, clock, gaps)
-    magnitude = np.abs(np.fft.rfft(even - even.mean()))[1:]
-    frequency = np.fft.rfftfreq(n, d=step)[1:]
-    best = int(magnitude.argmax())
-    rest = np.delete(magnitude, best)
-    background = float(np.median(rest)) if len(rest) else float(magnitude[best])
-    return peak_score(float(magnitude[best]), background, float(frequency[best]), noise, full)
+    return spectrum_scores(np.asarray(gaps, dtype=float)[None, :], noise, full)[0]
 
 
 def spectrum_udf(noise: float, full: float):
@@ -53,10 +66,18 @@ def spectrum_udf(noise: float, full: float):
 
     @F.pandas_udf(SPECTRUM_TYPE)
     def spectrum(arrays: pd.Series) -> pd.DataFrame:
-        rows = [
-            NO_PEAK if a is None else spectrum_score(np.asarray(a, dtype=float), noise, full)
-            for a in arrays
-        ]
+        rows = [NO_PEAK] * len(arrays)
+        by_length: dict[int, list[int]] = {}
+        for i, a in enumerate(arrays):
+            if a is not None and len(a) >= MINIMUM_GAPS:
+                by_length.setdefault(len(a), []).append(i)
+        for length, members in by_length.items():
+            height = max(1, STACK_VALUES // length)
+            for start in range(0, len(members), height):
+                part = members[start:start + height]
+                stack = np.stack([np.asarray(arrays.iloc[i], dtype=float) for i in part])
+                for i, found in zip(part, spectrum_scores(stack, noise, full)):
+                    rows[i] = found
         return pd.DataFrame(rows, columns=["period", "score"])
 
     return spectrum

@@ -129,7 +129,10 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
     first_transfers = sig.first_transfers(transfers)
     parents = keep(sig.top_parents(names))
     singletons = sig.dns_singletons(names)
-    candidates = keep(beacon.beacon_candidates(beacon.internal_to_external(log["conn"]), options.beacon))
+    default_pairs = options.beacon.keys == beacon.BeaconSpec().keys
+    sizes = beacon.pair_sizes_from_rollup(rollup) if default_pairs else None
+    flows = beacon.internal_to_external(log["conn"])
+    candidates = keep(beacon.beacon_candidates(flows, options.beacon, sizes))
     signals = keep(
         sig.assemble_signals(
             captures,

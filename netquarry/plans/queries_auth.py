@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions.lists import BAD_JA3, BAD_JA3S
-from netquarry.operators import artifacts, evidence, ioc, signals as sig
+from netquarry.operators import artifacts, evidence, ioc, report, signals as sig
 from netquarry.plans import adapters
 from netquarry.plans.catalog import query
 
@@ -72,6 +72,42 @@ def smb_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.smb_events(adapters.smb(spark, sf_dir))
 
 
+@query("smb_writes", rf"""
+WITH {adapters.SMB_SQL}
+SELECT capture_id, trim(path || '\' || name, '\') AS path, count(*) AS writes FROM smb WHERE action = 'write' GROUP BY 1, 2""")
+def smb_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writes = artifacts.smb_writes(artifacts.smb_events(adapters.smb(spark, sf_dir)))
+    return writes.groupBy("capture_id", "path").agg(F.count("*").alias("writes"))
+
+
+@query("smb_file_evidence", f"""
+WITH {adapters.SMB_SQL}
+SELECT capture_id, uid, name, size, CAST(position AS INT) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ts, uid) AS position FROM smb) WHERE position <= 20""")
+def smb_file_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.smb_file_evidence(adapters.smb(spark, sf_dir))
+    return out.select("capture_id", "uid", "name", "size", "position")
+
+
+@query("format_evidence", f"""
+WITH {adapters.SMB_SQL}
+SELECT capture_id, strftime(to_timestamp(1700000000 + ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS ts, orig_h AS src,
+       resp_h AS dst, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ts, uid) AS position
+  FROM smb WHERE regexp_matches(upper(path), 'ADMIN\\$|C\\$|IPC\\$')) WHERE position <= 20""")
+def format_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share evidence for display, times moved into this century."""
+    out = evidence.smb_share_evidence(adapters.smb(spark, sf_dir)).withColumn("ts", F.col("ts") + 1.7e9)
+    return evidence.format_evidence(out.select("capture_id", "ts", "uid", "orig_h", "resp_h", "path"))
+
+
+@query("controller", f"""
+WITH {adapters.SMB_SQL}
+SELECT capture_id, arg_min(resp_h, uid) AS dc FROM smb WHERE regexp_matches(upper(path), 'ADMIN\\$|C\\$|IPC\\$') GROUP BY 1""")
+def controller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.controller(evidence.smb_share_evidence(adapters.smb(spark, sf_dir)))
+
+
 TLS_SQL = f"""
 WITH {adapters.SSL_SQL}, {adapters.X509_SQL},
 status AS (SELECT capture_id, count(validation_status) > 0 AS has_status FROM ssl GROUP BY 1),

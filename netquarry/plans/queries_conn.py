@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions.net import is_internal
-from netquarry.operators import evidence, inventory, signals as sig
-from netquarry.operators.common import count_if
+from netquarry.operators import beacon, evidence, inventory, signals as sig
 from netquarry.plans import adapters
 from netquarry.plans.catalog import query
 from netquarry.sources.rules import networks
@@ -153,10 +152,70 @@ SELECT capture_id, CAST(sum(CASE WHEN d < 64 OR d BETWEEN 96 AND 111 THEN 1 ELSE
        CAST(sum(CASE WHEN oc = 0 AND o4 >= 128 THEN 1 ELSE 0 END) AS BIGINT) AS orig_members
 FROM n GROUP BY 1""")
 def cidr_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connections per capture whose ends lie in a table of networks."""
+    """Connections per capture whose ends lie in a table of networks.
+
+    Rows are counted per address before they meet the networks.
+    """
     conn = adapters.conn(spark, sf_dir)
     nets = networks(spark, NETS)
-    resp = inventory.cidr_semi_join(conn, "resp_h", nets).groupBy("capture_id").agg(F.count("*").alias("resp_members"))
-    orig = inventory.cidr_semi_join(conn, "orig_h", nets).groupBy("capture_id").agg(F.count("*").alias("orig_members"))
-    captures = conn.groupBy("capture_id").agg(count_if(F.lit(False)).alias("zero"))
-    return captures.drop("zero").join(resp, "capture_id", "left").join(orig, "capture_id", "left").na.fill(0)
+
+    def members(column: str, name: str) -> DataFrame:
+        counts = conn.groupBy("capture_id", column).agg(F.count("*").alias("n"))
+        return inventory.cidr_semi_join(counts, column, nets).groupBy("capture_id").agg(F.sum("n").alias(name))
+
+    captures = conn.select("capture_id").distinct()
+    return (
+        captures.join(members("resp_h", "resp_members"), "capture_id", "left")
+        .join(members("orig_h", "orig_members"), "capture_id", "left")
+        .na.fill(0)
+    )
+
+
+@query("outbound_flows", f"""
+WITH {adapters.CONN_SQL}
+SELECT capture_id, orig_h AS src, count(*) AS flows, CAST(sum(orig_bytes) AS DOUBLE) AS bytes
+FROM conn WHERE split_part(orig_h, '.', 4)::INT % 2 = 0 GROUP BY 1, 2""")
+def outbound_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows from an explicit table of internal hosts to all others, by semi and anti join."""
+    conn = adapters.conn(spark, sf_dir)
+    inside = F.split_part("ip", F.lit("."), F.lit(4)).cast("int") % 2 == 0
+    ips = conn.select("capture_id", F.col("orig_h").alias("ip")).distinct()
+    hosts = ips.withColumn("is_internal", inside)
+    flows = beacon.outbound_flows(conn, hosts=hosts)
+    return flows.groupBy("capture_id", "src").agg(F.count("*").alias("flows"), F.sum("orig_bytes").alias("bytes"))
+
+
+@query("http_odd_ports", f"""
+WITH {adapters.CONN_SQL}
+SELECT capture_id, CAST(sum(CASE WHEN resp_p NOT IN (80, 8080) THEN 1 ELSE 0 END) AS BIGINT) AS http_request_odd_port_count
+FROM conn GROUP BY 1""")
+def http_odd_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests off the usual ports, every connection taken as one request."""
+    return sig.http_odd_port_requests(adapters.conn(spark, sf_dir))
+
+
+SPREAD_SQL = f"""
+WITH {adapters.CONN_SQL}, {adapters.PACKETS_SQL},
+spread AS (SELECT 'cap-' || (uid % 5) AS capture_id, * EXCLUDE (capture_id) FROM conn),
+ips AS (SELECT capture_id, ip_src AS ip FROM packets UNION SELECT capture_id, ip_dst FROM packets),
+thresholds AS (
+  SELECT capture_id, 20 AS ports, greatest(10, CAST(floor(count(*) * 0.2e0) AS BIGINT)) AS hosts FROM ips GROUP BY 1),
+sources AS (
+  SELECT capture_id, orig_h AS src, count(DISTINCT resp_p) AS p, count(DISTINCT resp_h) AS h FROM spread GROUP BY 1, 2)
+"""
+
+
+@query("scan_signals", SPREAD_SQL + """
+SELECT s.capture_id, CAST(sum(CASE WHEN p >= ports OR h >= hosts THEN 1 ELSE 0 END) AS BIGINT) AS scan_candidate_count,
+       max(p) AS scan_max_unique_dst_ports, max(h) AS scan_max_unique_dst_hosts, any_value(half) AS scan_syn_only_connection_count,
+       any_value(winrm) AS winrm_connection_count, CAST(0 AS BIGINT) AS inbound_scan_unique_src_count
+FROM sources s JOIN thresholds t ON t.capture_id = s.capture_id
+JOIN (SELECT capture_id, CAST(sum(CASE WHEN conn_state = 'S0' THEN 1 ELSE 0 END) AS BIGINT) AS half,
+             CAST(sum(CASE WHEN resp_p = 5985 THEN 1 ELSE 0 END) AS BIGINT) AS winrm FROM spread GROUP BY 1) c
+  ON c.capture_id = s.capture_id
+GROUP BY 1""")
+def scan_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scan signals with the calibrated thresholds of the packet captures."""
+    thresholds = inventory.calibrate(inventory.captures(adapters.packets(spark, sf_dir)))
+    conn = adapters.conn(spark, sf_dir).withColumn("capture_id", F.expr("concat('cap-', uid % 5)"))
+    return sig.scan_signals(conn, thresholds=thresholds)

@@ -220,6 +220,32 @@ def external_beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beacon.external_beacon_signals(scores)
 
 
+@query("top_external_beacons", """
+SELECT capture_id, src_ip, score, CAST(position AS INT) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, src_ip) AS position FROM (
+    SELECT 'cap-' || (s_suppkey % 4) AS capture_id, round(abs(s_acctbal) / 1e4, 4) AS score, s_name AS src_ip FROM supplier))
+WHERE position <= 20""")
+def top_external_beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = adapters.table(spark, sf_dir, "supplier").select(
+        F.expr("concat('cap-', s_suppkey % 4)").alias("capture_id"),
+        F.expr("round(abs(s_acctbal) / 1e4, 4)").alias("score"),
+        F.col("s_name").alias("src_ip"),
+        F.lit("203.0.113.1").alias("dst_ip"),
+    )
+    return beacon.top_external_beacons(scores).drop("dst_ip")
+
+
+@query("external_addresses", f"""
+WITH {adapters.PACKETS_SQL} {TALKERS_SQL}
+, ips AS (SELECT DISTINCT capture_id, dst AS ip FROM talkers WHERE position <= 12 AND dst NOT LIKE '10.%')
+SELECT capture_id, ip, CAST(r AS INT) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ip) AS r FROM ips) WHERE r <= 15""")
+def external_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "capture_id string, resp_h string")
+    out = filters.external_addresses(talkers(spark, sf_dir), none)
+    return out.withColumnRenamed("at", "position")
+
+
 # ----------------------------------------------------------------------------- victims
 
 
@@ -314,8 +340,9 @@ def display_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     conn = adapters.conn(spark, sf_dir).withColumn("capture_id", F.expr("concat('cap-', uid % 5)"))
     top = talkers(spark, sf_dir)
     sources = sig.scan_sources(sig.conn_rollup(conn), ports=3, hosts=20)
+    signals = all_signals(spark, sf_dir)
     return filters.display_filters(
-        findings(spark, sf_dir), all_signals(spark, sf_dir),
+        findings(spark, sf_dir, signals), signals,
         report.primary_victim(top, inventory.hosts(packets)), inventory.captures(packets), top,
         sig.outbound_transfers(conn, floor=20_000), sig.top_parents(dns), sig.scan_candidates(sources),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators import alerts as alert_ops
-from netquarry.operators import anomaly, scoring, sigma, signals as sig
+from netquarry.operators import anomaly, evidence, scoring, sigma, signals as sig
 from netquarry.plans import adapters
 from netquarry.plans.catalog import ORACLES, query
 from netquarry.sources.files import load_yaml
@@ -42,7 +42,7 @@ def signals_sql() -> str:
     for i, part in enumerate(SIGNAL_PARTS):
         joins += f"\n  LEFT JOIN ({ORACLES[part]}) p{i} USING (capture_id)"
     owner = {
-        "packet_signals": [n for n in sig.packet_aggregates()],
+        "packet_signals": sig.PACKET_SIGNALS,
         "arp_signals": ["arp_ip_conflict_count"],
         "dns_summary": [
             "dns_unique_query_count", "dns_avg_query_length", "dns_txt_null_ratio", "dns_nxdomain_rate",
@@ -209,6 +209,15 @@ SELECT capture_id, ttp_id, score, confidence, replace(signals_fired, '_weak', ''
             "capture_id", "ttp_id", "score", "confidence", F.array_join("signals_fired", ",").alias("signals_fired")
         )
 
+    @query("deep_dive", base + boosts + f"""
+SELECT e.capture_id, e.uid, e.path, b.ttp_id FROM ({ORACLES["smb_shares"]}) e
+JOIN boosted b ON b.capture_id = e.capture_id AND b.ttp_id = 'T1021.002' AND b.score >= 0.6""")
+    def deep_dive(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Share evidence of captures whose share finding is strong."""
+        tables = {"smb_shares": evidence.smb_share_evidence(adapters.smb(spark, sf_dir))}
+        kept = evidence.deep_dive(findings(spark, sf_dir), tables)["smb_shares"]
+        return kept.select("capture_id", "uid", "path", "ttp_id")
+
     @query("anomalies", base + boosts + """
 , strong AS (SELECT capture_id, list(ttp_id) AS ids FROM boosted WHERE score >= 0.6 GROUP BY 1),
 checks AS (
@@ -225,8 +234,9 @@ SELECT capture_id, printf('ANO-%04d', row_number() OVER (PARTITION BY capture_id
 FROM checks WHERE c.hit""")
     def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
         dns = adapters.dns(spark, sf_dir)
+        signals = all_signals(spark, sf_dir)
         out = anomaly.anomalies(
-            all_signals(spark, sf_dir), findings(spark, sf_dir), parents=sig.dns_parents(dns),
+            signals, findings(spark, sf_dir, signals), parents=sig.dns_parents(dns),
             singletons=sig.dns_singletons(dns),
         )
         return out.select("capture_id", "anomaly_id", "anomaly_type")
@@ -237,11 +247,12 @@ def spread_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.alerts(spark, sf_dir).withColumn("capture_id", F.expr("concat('cap-', signature_id % 5)"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
     """Findings raised by alerts and by the built-in log rules."""
+    signals = all_signals(spark, sf_dir) if signals is None else signals
     logs = {"smb_mapping": adapters.smb(spark, sf_dir), "kerberos": adapters.kerberos(spark, sf_dir)}
     rules = [r for r in builtin_sigma() if r.service in logs]
-    scores = scoring.score_rules(all_signals(spark, sf_dir), load_playbooks(spark))
+    scores = scoring.score_rules(signals, load_playbooks(spark))
     return scoring.sweep(scores, spread_alerts(spark, sf_dir), sigma.sigma_scan(logs, rules))
 
 

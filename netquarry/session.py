@@ -18,6 +18,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # One shuffle partition per core is already the right number here.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.ui.enabled", "false")
         # Recording a call site for every column costs more than small queries take.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
