@@ -117,40 +117,35 @@ def in_tolerance(gap: Column, median: Column, spec: BeaconSpec) -> Column:
 
 
 def _cold_factors(flows: DataFrame, spec: BeaconSpec, keep_gaps: bool) -> DataFrame:
-    in_time = Window.partitionBy(*spec.pair).orderBy("ts")
-    gap = F.col("ts") - F.lag("ts").over(in_time)
-    counted = flows.select(
-        *spec.pair, "ts", "orig_bytes", gap.alias("gap"), F.row_number().over(in_time).alias("seq")
+    """Factors of ordinary pairs: one exchange and one sort serve all steps.
+
+    The median is a window value over the pair, so that every factor is a plain aggregate.
+    """
+    whole_pair = Window.partitionBy(*spec.pair)
+    in_time = whole_pair.orderBy("ts")
+    step = F.col("ts") - F.lag("ts").over(in_time)
+    rows = flows.select(
+        *spec.pair, "ts", "orig_bytes", step.alias("step"), F.row_number().over(in_time).alias("seq")
     )
-    usable = F.col("gap") <= spec.max_gap_secs
-    kept = F.struct("seq", "gap") if keep_gaps else F.col("gap")
-    stats = counted.groupBy(*spec.pair).agg(
+    rows = rows.withColumn("gap", F.when(F.col("step") <= spec.max_gap_secs, F.col("step")))
+    rows = rows.withColumn("median", F.percentile("gap", F.lit(0.5)).over(whole_pair))
+    gaps = F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("seq", "gap")))
+    stats = rows.groupBy(*spec.pair).agg(
         F.count("*").alias("connection_count"),
         (F.max("ts") - F.min("ts")).alias("span"),
         F.avg("orig_bytes").alias("bytes_mean"),
         F.stddev_pop("orig_bytes").alias("bytes_sd"),
-        F.count(F.when(usable, 1)).alias("gap_count"),
-        F.avg(F.when(usable, F.col("gap"))).alias("gap_mean"),
-        F.stddev_pop(F.when(usable, F.col("gap"))).alias("gap_sd"),
-        F.collect_list(F.when(usable, kept)).alias("kept"),
+        F.count("gap").alias("gap_count"),
+        F.avg("gap").alias("gap_mean"),
+        F.stddev_pop("gap").alias("gap_sd"),
+        F.max("median").alias("median"),
+        F.count(F.when(in_tolerance(F.col("gap"), F.col("median"), spec), 1)).alias("in_bin"),
+        *([gaps.alias("gaps")] if keep_gaps else []),
     )
     stats = stats.where(
         (F.col("connection_count") >= spec.min_rows) & (F.col("gap_count") >= spec.min_gaps)
     )
-    gaps = F.col("kept")
-    if keep_gaps:
-        gaps = F.transform(F.array_sort("kept"), lambda s: s["gap"])
-    stats = stats.withColumn("gaps", gaps).withColumn("ranked", F.sort_array("gaps"))
-    n = F.col("gap_count")
-    middle = (
-        F.get("ranked", F.expr("CAST((gap_count - 1) DIV 2 AS INT)"))
-        + F.get("ranked", F.expr("CAST(gap_count DIV 2 AS INT)"))
-    ) / 2
-    stats = stats.withColumn("median", middle).withColumn(
-        "in_bin", F.size(F.filter("gaps", lambda g: in_tolerance(g, F.col("median"), spec)))
-    )
-    columns = factor_columns(spec)
-    return stats.select(*columns, *(["gaps"] if keep_gaps else []))
+    return stats.select(*factor_columns(spec), *(["gaps"] if keep_gaps else []))
 
 
 def pair_sizes(flows: DataFrame, spec: BeaconSpec) -> DataFrame:
@@ -222,7 +217,8 @@ def beacon_scores(
     cold = cold.where(reachable)
     needed = F.col("gap_count") >= spec.min_spectral_gaps
     udf = spectral.spectrum_udf(spec.noise_ratio, spec.full_ratio)
-    scored = cold.withColumn("spectrum", udf(F.when(needed, F.col("gaps")))).select(
+    in_order = F.transform(F.array_sort("gaps"), lambda g: g["gap"])
+    scored = cold.withColumn("spectrum", udf(F.when(needed, in_order))).select(
         *spec.pair, *FACTOR_COLUMNS,
         F.col("spectrum.period").alias("spectral_period_secs"),
         F.col("spectrum.score").alias("spectral_score"),
