@@ -139,13 +139,14 @@ def mac_ip(packets: DataFrame) -> DataFrame:
 def hostnames(packets: DataFrame) -> DataFrame:
     """Name of each address from the first answer that holds it."""
     name = F.regexp_replace("dns_qry_name", r"\.+$", "")
-    return (
+    answers = (
         packets.where("dns_is_response AND dns_qry_name <> '' AND size(dns_a) > 0")
         .select(CAPTURE, "frame_no", name.alias("name"), F.explode("dns_a").alias("ip"))
         .where("ip <> ''")
-        .groupBy(CAPTURE, "ip")
-        .agg(F.min_by("name", "frame_no").alias("hostname"))
     )
+    # Answers repeat: they are reduced by hashing before names are compared.
+    distinct = answers.groupBy(CAPTURE, "ip", "name").agg(F.min("frame_no").alias("first_frame"))
+    return distinct.groupBy(CAPTURE, "ip").agg(F.min_by("name", "first_frame").alias("hostname"))
 
 
 def os_hints(packets: DataFrame) -> DataFrame:

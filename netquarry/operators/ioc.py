@@ -171,19 +171,24 @@ def ja3_matches(
 ) -> DataFrame:
     """Sessions with a known-bad fingerprint, the first one per fingerprint pair.
 
-    All sessions are looked at. Tables of fingerprints are broadcast by their size only.
+    All sessions are looked at; those without a match are dropped before any shuffle when
+    the fingerprint tables are small enough for Catalyst to broadcast them.
     """
     spark = ssl.sparkSession
     bad_ja3 = bad_fingerprints(spark, BAD_JA3, "ja3") if bad_ja3 is None else bad_ja3
     bad_ja3s = bad_fingerprints(spark, BAD_JA3S, "ja3s") if bad_ja3s is None else bad_ja3s
-    session = F.struct("orig_h", "resp_h", "server_name")
-    pairs = (
+    known = (
         ssl.where("ja3 IS NOT NULL AND ja3 NOT IN ('', '-', 'nan')")
-        .groupBy(CAPTURE, "ja3", F.coalesce("ja3s", F.lit("")).alias("ja3s"))
-        .agg(F.min_by(session, F.struct("ts", "uid")).alias("s"))
+        .withColumn("ja3s", F.coalesce("ja3s", F.lit("")))
+        .join(bad_ja3, "ja3", "left")
+        .join(bad_ja3s, "ja3s", "left")
+        .where("ja3_family IS NOT NULL OR ja3s_family IS NOT NULL")
+    )
+    session = F.struct("orig_h", "resp_h", "server_name")
+    pairs = known.groupBy(CAPTURE, "ja3", "ja3s", "ja3_family", "ja3s_family").agg(
+        F.min_by(session, F.struct("ts", "uid")).alias("s")
     )
-    joined = pairs.join(bad_ja3, "ja3", "left").join(bad_ja3s, "ja3s", "left")
-    return joined.where("ja3_family IS NOT NULL OR ja3s_family IS NOT NULL").select(
+    return pairs.select(
         CAPTURE, "ja3", "ja3s",
         F.col("ja3_family").isNotNull().alias("matched_bad_ja3"),
         F.col("ja3s_family").isNotNull().alias("matched_bad_ja3s"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netquarry.functions import text
 from netquarry.functions.lists import NOISE_PROTOCOLS
 from netquarry.functions.net import is_internal
-from netquarry.operators.common import CAPTURE, count_if, top_k
+from netquarry.operators.common import CAPTURE, count_if
 from netquarry.operators.scoring import confidence_rank
 
 
@@ -29,19 +29,22 @@ def victim_identity(
             F.struct("ts", address.alias("a")),
         ).alias("lease")
     )
+    # Logs are reduced to distinct values with their first time before texts are compared.
     client = F.col("client")
-    login = kerberos.where("client IS NOT NULL").groupBy(CAPTURE).agg(
+    clients = kerberos.where("client IS NOT NULL").groupBy(CAPTURE, "client", "orig_h").agg(F.min("ts").alias("ts"))
+    login = clients.groupBy(CAPTURE).agg(
         F.min_by(
             F.struct(
                 text.principal_name(client).alias("user"),
                 text.principal_realm(client).alias("realm"),
                 F.nullif("orig_h", F.lit("")).alias("ip"),
             ),
-            F.struct(text.is_machine_account(client).alias("m"), "ts", "client"),
+            F.struct(text.is_machine_account(client).alias("m"), "ts", "client", "orig_h"),
         ).alias("login")
     )
     directory = text.unc_domain(F.col("path"))
-    server = smb_mapping.where(directory.isNotNull()).groupBy(CAPTURE).agg(
+    paths = smb_mapping.groupBy(CAPTURE, "path").agg(F.min("ts").alias("ts"))
+    server = paths.where(directory.isNotNull()).groupBy(CAPTURE).agg(
         F.min_by(directory, F.struct("ts", "path")).alias("server_domain")
     )
     ids = reduce(
@@ -57,9 +60,12 @@ def victim_identity(
         F.coalesce("server_domain", "lease.domain", "login.realm").alias("domain"),
     )
     query = F.col("query")
-    local_names = dns.where(text.is_mdns(query) & F.col("orig_h").isNotNull()).groupBy(
-        CAPTURE, F.col("orig_h").alias("ip")
-    ).agg(F.min_by("query", F.struct("ts", "query")).alias("local_name"))
+    own_names = dns.where(text.is_mdns(query) & F.col("orig_h").isNotNull()).groupBy(
+        CAPTURE, F.col("orig_h").alias("ip"), "query"
+    ).agg(F.min("ts").alias("ts"))
+    local_names = own_names.groupBy(CAPTURE, "ip").agg(
+        F.min_by("query", F.struct("ts", "query")).alias("local_name")
+    )
     macs = mac_ip.groupBy(CAPTURE, "ip").agg(
         F.min_by("mac", F.struct("first_frame", "mac")).alias("seen_mac")
     )
@@ -117,23 +123,19 @@ def summary(
 ) -> DataFrame:
     """One row per capture with findings: counts, severity, family, main techniques, victim."""
     level = F.col("confidence")
+    # A capture has at most one finding per rule, so its list is as short as the rule table.
+    ranked = F.array_sort(
+        F.collect_list(F.struct(confidence_rank(level).alias("rank"), (-F.col("score")).alias("s"), "ttp_id", "name"))
+    )
     counts = findings.groupBy(CAPTURE).agg(
         F.count("*").alias("findings"),
         count_if(level.isin("CONFIRMED", "HIGH")).alias("high"),
         count_if(level == "MEDIUM").alias("medium"),
         count_if(level == "LOW").alias("low"),
-        F.count_distinct("category").alias("tactic_areas"),
-    )
-    order = [F.asc("rank"), F.desc("score"), F.asc("ttp_id")]
-    best = top_k(findings.withColumn("rank", confidence_rank(level)), [CAPTURE], order, 4, rank="position")
-    names = best.groupBy(CAPTURE).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "name"))), lambda e: e["name"]
-        ).alias("names")
-    )
-    out = counts.join(names, CAPTURE, "left").join(
-        victims.select(CAPTURE, "ip", "hostname", "windows_user"), CAPTURE, "left"
+        F.size(F.collect_set("category")).cast("bigint").alias("tactic_areas"),
+        F.transform(F.slice(ranked, 1, 4), lambda f: f["name"]).alias("names"),
     )
+    out = counts.join(victims.select(CAPTURE, "ip", "hostname", "windows_user"), CAPTURE, "left")
     if alerts is not None:
         named = alerts.withColumn("family", text.family_from_text(F.col("signature"))).where("family IS NOT NULL")
         families = named.groupBy(CAPTURE).agg(

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from netquarry.functions.lists import SAFE_DOMAINS
 from netquarry.operators import artifacts, beacon, filters, inventory, ioc, report, signals as sig
 from netquarry.plans import adapters
-from netquarry.plans.catalog import query
+from netquarry.plans.catalog import ORACLES, query
 from netquarry.plans.queries_packets import CONVERSATIONS_SQL
 from netquarry.plans.queries_rules import all_signals, findings, spread_alerts
-from netquarry.sources.rules import Allowlist, load_allowlist, networks
 from netquarry.session import local_table
+from netquarry.sources.files import load_yaml
+from netquarry.sources.rules import BUILTIN, Allowlist, load_allowlist, networks
 
 # ---------------------------------------------------------------------------- files
 
@@ -327,22 +328,63 @@ def visible_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------------- report
 
 
-@query("summary")
+def summary_sql() -> str:
+    """The summary from the oracles of its parts."""
+    names = ", ".join(
+        f"('{d['ttp_id']}', '{d['name']}')"
+        for path in sorted((BUILTIN / "playbooks").rglob("*.yaml"))
+        for d in load_yaml(path.read_text())
+    )
+    return f"""
+WITH {adapters.ALERTS_SQL},
+f AS ({ORACLES["rule_boosts"]}), v AS ({ORACLES["victim_identity"]}), e AS ({ORACLES["confirmed"]}),
+names(ttp_id, name) AS (VALUES {names}),
+ranked AS (
+  SELECT f.capture_id, n.name, row_number() OVER (PARTITION BY f.capture_id ORDER BY
+         CASE confidence WHEN 'CONFIRMED' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END,
+         score DESC, f.ttp_id) AS r FROM f JOIN names n ON n.ttp_id = f.ttp_id),
+top AS (
+  SELECT capture_id, string_agg(name, '; ' ORDER BY r) AS top_techniques FROM ranked WHERE r BETWEEN 2 AND 4 GROUP BY 1),
+counts AS (
+  SELECT capture_id, count(*) AS findings, CAST(sum(CASE WHEN confidence IN ('CONFIRMED', 'HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high,
+         CAST(sum(CASE WHEN confidence = 'MEDIUM' THEN 1 ELSE 0 END) AS BIGINT) AS medium,
+         CAST(sum(CASE WHEN confidence = 'LOW' THEN 1 ELSE 0 END) AS BIGINT) AS low,
+         count(DISTINCT category) AS tactic_areas FROM f GROUP BY 1),
+family AS (
+  SELECT 'cap-' || (CAST(timestamp AS BIGINT) % 5) AS capture_id,
+         arg_min(regexp_extract(signature, '(Win\\d+/[\\w\\s]+?\\w)', 1), timestamp) AS malware_family
+  FROM alerts WHERE regexp_matches(signature, 'Win\\d+/[\\w\\s]+?\\w') GROUP BY 1),
+bad AS (
+  SELECT capture_id, string_agg(ip, ',' ORDER BY ip) AS confirmed_ips FROM e WHERE is_confirmed_malicious GROUP BY 1)
+SELECT c.*, CASE WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' ELSE 'low' END AS severity, malware_family,
+       coalesce(confirmed_ips, '') AS confirmed_ips, coalesce(top_techniques, '') AS top_techniques,
+       v.hostname || ' (' || v.ip || ')' || ', user ' || v.windows_user AS victim
+FROM counts c LEFT JOIN top USING (capture_id) LEFT JOIN family USING (capture_id) LEFT JOIN bad USING (capture_id)
+LEFT JOIN v USING (capture_id)"""
+
+
+@query("summary", summary_sql())
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     victims = victim_identity(spark, sf_dir)
     enriched = ioc.enrich(targets(spark, sf_dir), reputation(spark, sf_dir), feed(spark, sf_dir))
-    return report.summary(findings(spark, sf_dir), victims, enriched, spread_alerts(spark, sf_dir))
+    out = report.summary(findings(spark, sf_dir), victims, enriched, spread_alerts(spark, sf_dir))
+    return out.withColumns({
+        "confirmed_ips": F.array_join("confirmed_ips", ","),
+        "top_techniques": F.array_join("top_techniques", "; "),
+    })
 
 
 @query("display_filters")
 def display_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets, dns = adapters.packets(spark, sf_dir), adapters.dns(spark, sf_dir)
     conn = adapters.conn(spark, sf_dir).withColumn("capture_id", F.expr("concat('cap-', uid % 5)"))
-    top = talkers(spark, sf_dir)
+    top = talkers(spark, sf_dir).persist()
     sources = sig.scan_sources(sig.conn_rollup(conn), ports=3, hosts=20)
-    signals = all_signals(spark, sf_dir)
+    # Nearly every section reads these tables, so they are kept as in the full analysis.
+    signals = all_signals(spark, sf_dir).persist()
+    found = findings(spark, sf_dir, signals).persist()
     return filters.display_filters(
-        findings(spark, sf_dir, signals), signals,
+        found, signals,
         report.primary_victim(top, inventory.hosts(packets)), inventory.captures(packets), top,
         sig.outbound_transfers(conn, floor=20_000), sig.top_parents(dns), sig.scan_candidates(sources),
     )

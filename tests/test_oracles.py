@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_queries_without_sql_are_few_and_run(spark, duck):
     rest = sorted(set(QUERIES) - set(ORACLES))
-    assert rest == ["beacon_candidates", "beacon_spectral", "display_filters", "summary"]
+    assert rest == ["beacon_candidates", "beacon_spectral", "display_filters"]
     for name in rest:
         assert QUERIES[name](spark, str(SF_DIR)).count() > 0
 
