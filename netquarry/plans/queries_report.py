@@ -358,7 +358,9 @@ bad AS (
   SELECT capture_id, string_agg(ip, ',' ORDER BY ip) AS confirmed_ips FROM e WHERE is_confirmed_malicious GROUP BY 1)
 SELECT c.*, CASE WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' ELSE 'low' END AS severity, malware_family,
        coalesce(confirmed_ips, '') AS confirmed_ips, coalesce(top_techniques, '') AS top_techniques,
-       v.hostname || ' (' || v.ip || ')' || ', user ' || v.windows_user AS victim
+       CASE WHEN v.hostname IS NULL THEN coalesce(v.ip, 'unknown host')
+            ELSE v.hostname || ' (' || coalesce(v.ip, 'unknown host') || ')' END
+       || CASE WHEN v.windows_user IS NULL THEN '' ELSE ', user ' || v.windows_user END AS victim
 FROM counts c LEFT JOIN top USING (capture_id) LEFT JOIN family USING (capture_id) LEFT JOIN bad USING (capture_id)
 LEFT JOIN v USING (capture_id)"""
 
