@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, pii, tokens
+from netquarry.llm import bpe, mixing, pii, simhash, tokens
 from netquarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
@@ -36,3 +45,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and back."""
     return bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
