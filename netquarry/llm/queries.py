@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, mixing, pii, simhash, tokens
+from netquarry.llm import bpe, lattice, mixing, pii, simhash, tokens
 from netquarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate embeddings."""
+    return lattice.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
