@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, lattice, mixing, pii, simhash, tokens
+from netquarry.llm import bpe, cotrain, lattice, mixing, pii, simhash, tokens
 from netquarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document."""
+    return cotrain.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
