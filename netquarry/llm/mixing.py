@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import WORD, whole
+from netquarry.llm.common import WORD, kept, whole
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -28,7 +28,8 @@ def placed(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> D
     size = F.regexp_count(whole(F.col(text)), F.lit(WORD)).cast("bigint")
     octave = F.log2(F.col(SIZE)) * 8
     return (
-        docs.withColumn(SIZE, size)
+        # A generator of one row, so that the words are counted once and not again in each digit.
+        docs.select("*", F.explode(F.array(size)).alias(SIZE))
         .withColumn(SRC, F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string"))))
         .withColumn(HASH, F.xxhash64(F.col(doc_id), F.lit(seed)))
         .withColumn(DIGITS[0], F.when(F.col(SIZE) == 0, -1).otherwise(F.floor(octave)).cast("int"))
@@ -77,7 +78,8 @@ def mix(
     """
     new = ("size", "source_size", "target", "copies")
     rows = placed(docs.drop(*(set(new) - {doc_id, text, source})), doc_id, text, source, seed)
-    cells = rows.groupBy(SRC, *DIGITS).agg(F.count(F.lit(1)).alias("n"), F.sum(SIZE).alias("words"))
+    # Kept, as each level of the tree reads it again.
+    cells = kept(rows.groupBy(SRC, *DIGITS).agg(F.count(F.lit(1)).alias("n"), F.sum(SIZE).alias("words")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.pmod(F.xxhash64(SRC, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     by_source = targets(cells.groupBy(SRC).agg(F.sum("words").alias("words")), weights, most)
