@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, cotrain, fingerprint, lattice, mixing, pii, simhash, tokens
+from netquarry.llm import bpe, cotrain, fingerprint, katz, lattice, mixing, pii, simhash, tokens
 from netquarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_versions(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document."""
+    return katz.score(read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
