@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, cotrain, fingerprint, katz, lattice, mixing, pii, simhash, tokens
+from netquarry.llm import bpe, cotrain, fingerprint, katz, lattice, mixing, pii, repeats, simhash, tokens
 from netquarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings that occur elsewhere."""
+    return repeats.report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of every document."""

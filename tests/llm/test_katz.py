@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from netquarry.llm import katz
+from netquarry.llm import blocks, katz
 
 
 def tokens(text):
@@ -86,8 +86,8 @@ def test_packing():
     import numpy as np
 
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
-    assert (katz.unpack_keys(katz.pack_keys(keys), len(keys)) == keys).all()
-    at = katz.cuts(keys, 7)
+    assert (blocks.unpack_keys(blocks.pack_keys(keys), len(keys)) == keys).all()
+    at = blocks.cuts(keys, 7)
     assert at[0] == 0 and at[-1] == len(keys) and len(at) == 8
 
 
