@@ -43,39 +43,61 @@ def cells_of(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
         for n, f, x in (("n", F.sum, F.lit(1)), ("key", F.bit_xor, F.col("d")), ("check", F.bit_xor, F.col("c")))))
 
 
-def differing(pairs: DataFrame, keys: list[str], third: Column, seed: int, steps: int = STEPS) -> DataFrame:
-    """Rows (keys, a, b: sets of digests) to (keys, found, left): digests recovered, cells that stayed.
+def third_of(attempt: int) -> Column:
+    """A third of a try's cells: the fingerprint's at first for an edited text, else what both sets may need."""
+    needed = lambda k: F.ceil(F.col("both") * (0.67 * 2.0**k)).cast("bigint") + 8
+    first = F.lit(CELLS // 3).cast("bigint") if attempt == 0 else needed(attempt - 1)
+    return F.when(F.col("pair") == 0, first).otherwise(needed(attempt))
 
-    Keys whose sets are equal have no row. Give keys that begin with the columns that the rows are dealt by.
+
+def differing(pairs: DataFrame, deal: list[str], tries: int) -> DataFrame:
+    """Rows (deal, pair, a, b: sets of digests) to (deal, pair, both, found): digests in one of the sets only.
+
+    both is the size of both sets together. All tries are one chain over rows of five kinds, so that no text is
+    read again: cells (cell from 0 on), the digests themselves (below -1) until a try has succeeded, and the
+    number found (-1). What the last try leaves counts as three cells for a digest.
     """
-    tagged = lambda c, w: F.transform(c, lambda d: F.struct(F.lit(w).alias("which"), d.alias("d")))
-    rows = pairs.select(*keys, third.cast("bigint").alias("third"), F.explode(F.concat(tagged("a", 0), tagged("b", 1))).alias("x"))
-    table = cells_of(rows.select(*keys, "third", "x.which", "x.d"), keys, seed).select(
-        *keys, "third", "cell", (F.col("n0") - F.col("n1")).alias("n"), F.col("key0").bitwiseXOR(F.col("key1")).alias("key"),
-        F.col("check0").bitwiseXOR(F.col("check1")).alias("check"))
-    table = table.where("n <> 0 OR key <> 0")
+    keys = [*deal, "pair", "both"]
     zero = F.lit(0).cast("bigint")
-    for step in range(steps):
-        part = step % 3
-        begin = F.lit(part) * F.col("third")
-        pure = (
-            (F.col("cell") >= begin) & (F.col("cell") < begin + F.col("third")) & (F.abs("n") == 1)
-            & (F.col("check") == F.xxhash64("key", F.lit(CHECK)))
-        )
-        # Within one third a digest has one cell only, so no digest is taken out twice.
-        out = [F.struct((F.lit(i) * F.col("third") + F.pmod(F.xxhash64("key", F.lit(seed * 3 + i)), F.col("third"))).alias("cell"),
-                        (-F.col("n")).alias("n"), F.col("key"), F.col("check")) for i in range(3) if i != part]
-        found = F.struct(F.lit(-1).cast("bigint").alias("cell"), F.lit(1).cast("bigint").alias("n"), zero.alias("key"), zero.alias("check"))
-        table = (
-            table.select(*keys, "third", F.explode(
-                F.when(pure, F.array(found, *out)).otherwise(F.array(F.struct("cell", "n", "key", "check")))).alias("x"))
-            .groupBy(*keys, "third", F.col("x.cell").alias("cell"))
+
+    def row(cell: Column, n: Column, key: Column = zero, check: Column = zero) -> Column:
+        return F.struct(cell.cast("bigint").alias("cell"), n.cast("bigint").alias("n"), key.alias("key"), check.alias("check"))
+
+    def summed(rows: DataFrame, array: Column) -> DataFrame:
+        return (
+            rows.select(*keys, F.explode(array).alias("x")).groupBy(*keys, F.col("x.cell").alias("cell"))
             .agg(F.sum("x.n").alias("n"), F.bit_xor("x.key").alias("key"), F.bit_xor("x.check").alias("check"))
-            .where("n <> 0 OR key <> 0")
+            .where("n <> 0 OR key <> 0 OR cell = -1")
         )
-    return table.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), zero).alias("found"),
-        F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+
+    def spots(seed: int, third: Column) -> list[Column]:
+        return [F.lit(i) * third + F.pmod(F.xxhash64("key", F.lit(seed * 3 + i)), third) for i in range(3)]
+
+    listed = lambda c, w, n: F.transform(c, lambda d, i: row(F.lit(-2 - w) - i * 2, F.lit(n), d, F.xxhash64(d, F.lit(CHECK))))
+    rows = pairs.select(*deal, "pair", (F.size("a") + F.size("b")).alias("both"),
+                        F.explode(F.concat(F.array(row(F.lit(-1), zero)), listed("a", 0, 1), listed("b", 1, -1))).alias("x"))
+    rows = rows.select(*keys, "x.*")
+    own, cell = row(F.col("cell"), F.col("n"), F.col("key"), F.col("check")), F.col("cell")
+    for attempt in range(tries):
+        seed, third = attempt + 1, third_of(attempt)
+        into = [row(at, F.col("n"), F.col("key"), F.col("check")) for at in spots(seed, third)]
+        rows = summed(rows, F.when(cell < -1, F.array(own, *into)).otherwise(F.array(own)))
+        for step in range(STEPS + 2 * attempt):
+            part = step % 3
+            pure = (
+                (cell >= F.lit(part) * third) & (cell < F.lit(part + 1) * third) & (F.abs("n") == 1)
+                & (F.col("check") == F.xxhash64("key", F.lit(CHECK)))
+            )
+            # Within one third a digest has one cell only, so no digest is taken out twice.
+            out = [row(at, -F.col("n"), F.col("key"), F.col("check")) for i, at in enumerate(spots(seed, third)) if i != part]
+            rows = summed(rows, F.when(pure, F.array(row(F.lit(-1), F.lit(1)), *out)).otherwise(F.array(own)))
+        left = F.sum(F.when(cell >= 0, 1).otherwise(0)).over(Window.partitionBy(*keys))
+        rows = rows.withColumn("left", left)
+        if attempt < tries - 1:
+            again = F.col("left") > 0
+            rows = rows.where((again & (cell < 0)) | (~again & (cell == -1))).select(
+                *keys, "cell", F.when(again & (cell == -1), zero).otherwise(F.col("n")).alias("n"), "key", "check")
+    return rows.where("cell = -1").select(*keys, (F.col("n") + F.ceil(F.col("left") / 3)).alias("found"))
 
 
 def following(keys: DataFrame, high: int) -> DataFrame:
@@ -101,7 +123,7 @@ def hexed(cells: Column) -> Column:
         cells, lambda c: F.concat(wide(c["n"], 4), wide(c["key"], 16), wide(c["check"], 8))), ""))), "\r\n", "")
 
 
-def compare_versions(docs: DataFrame, tries: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_versions(docs: DataFrame, tries: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text of a document has its last quarter replaced by the beginning of the next document, by
@@ -130,7 +152,6 @@ def compare_versions(docs: DataFrame, tries: int = 4, doc_id: str = "doc_id", te
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substr("next", F.lit(1), quarter))
     own = ["bucket", "rid"]
-    keys = [*own, "pair"]
 
     def sets(r: DataFrame) -> DataFrame:
         """Digests, each made once: a generator of one row keeps them from being computed in every use."""
@@ -142,28 +163,17 @@ def compare_versions(docs: DataFrame, tries: int = 4, doc_id: str = "doc_id", te
                       F.struct(F.lit(1).alias("pair"), F.col("s.a").alias("a"), F.col("s.x").alias("b")))
         return sets(r).select(*own, F.explode(two).alias("p")).select(*own, "p.*")
 
-    fixed = F.lit(CELLS // 3)
-    result = differing(pairs(rows), keys, fixed, 1)
-    for again in range(1, tries):
-        failed = result.where("left > 0").select(*keys)
-        both = F.size("a") + F.size("b")
-        more = pairs(rows.join(failed.select(*own).distinct(), own, "left_semi")).join(failed, keys, "left_semi")
-        larger = differing(more, keys, F.ceil(both * (0.67 * 2 ** (again - 1))) + 8, 1 + again, STEPS + 2 * again)
-        result = result.join(
-            larger.withColumnsRenamed({"found": "found2", "left": "left2"}), keys, "left").select(
-            *keys, F.when(F.col("left") > 0, F.coalesce("found2", F.lit(0))).otherwise(F.col("found")).alias("found"),
-            F.when(F.col("left") > 0, F.coalesce("left2", F.lit(0))).otherwise(F.lit(0)).alias("left"))
-    by_pair = lambda p: F.sum(F.when(F.col("pair") == p, F.col("found") + F.ceil(F.col("left") / 3)))
-    gaps = result.groupBy(*own).agg(by_pair(0).alias("gap0"), by_pair(1).alias("gap1"))
-
-    # Of one digest set each: its size, and the table of fixed size as the fingerprint.
+    likeness = F.when(F.col("both") == 0, F.lit(1.0)).otherwise((F.col("both") - F.col("found")) / (F.col("both") + F.col("found")))
+    by_pair = lambda p: F.max(F.when(F.col("pair") == p, likeness))
+    near = differing(pairs(rows), own, tries).groupBy(*own).agg(by_pair(0).alias("near_edited"), by_pair(1).alias("near_next"))
+
+    # The table of fixed size is the fingerprint.
     versions = F.array(*(F.struct(F.lit(w).alias("which"), F.col(f"s.{c}").alias("set")) for w, c in ((0, "a"), (1, "e"))))
     listed = sets(rows).select(*own, F.explode(versions).alias("v")).select(*own, "v.which", F.explode("v.set").alias("d"))
-    table = cells_of(listed.withColumn("third", fixed.cast("bigint")), own, 1)
+    table = cells_of(listed.withColumn("third", F.lit(CELLS // 3).cast("bigint")), own, 1)
     cell = lambda w: F.array_sort(F.collect_list(F.when(F.col(f"n{w}") > 0, F.struct(
         "cell", F.col(f"n{w}").alias("n"), F.col(f"key{w}").alias("key"), F.col(f"check{w}").alias("check")))))
     prints = table.groupBy(*own).agg(cell(0).alias("f0"), cell(1).alias("f1"))
-    sizes = sets(rows).select(*own, *(F.size(f"s.{c}").alias(f"size_{c}") for c in "aex"))
 
     def filled(c: str) -> Column:
         at = F.map_from_arrays(F.transform(c, lambda x: x["cell"]), F.col(c))
@@ -171,14 +181,10 @@ def compare_versions(docs: DataFrame, tries: int = 4, doc_id: str = "doc_id", te
         full = F.transform(F.expr(f"sequence(0L, {CELLS - 1}L)"), lambda i: F.coalesce(F.try_element_at(at, i), empty))
         return F.when(F.size(c) > 0, hexed(full)).otherwise(F.lit(""))
 
-    def likeness(gap: str, other: str) -> Column:
-        n, d = F.col("size_a") + F.col(other), F.coalesce(F.col(gap), F.lit(0))
-        return F.when(n == 0, F.lit(1.0)).otherwise(F.greatest((n - d) / (n + d), F.lit(0.0)))
-
     return (
         rows.select(*own, "doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"))
-        .join(sizes, own).join(prints, own, "left").join(gaps, own, "left")
+        .join(prints, own, "left").join(near, own, "left")
         .select("doc_id", "n_chars", "edited_sha256",
                 F.coalesce(filled("f0"), F.lit("")).alias("fingerprint"), F.coalesce(filled("f1"), F.lit("")).alias("edited_fingerprint"),
-                likeness("gap0", "size_e").alias("near_edited"), likeness("gap1", "size_x").alias("near_next"))
+                "near_edited", "near_next")
     )
