@@ -44,6 +44,32 @@ def simhash(text: str | None, shingle: int) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def traits(text: str, shingle: int, seeds: tuple[int, ...], size: int) -> tuple[list[int], bytes]:
+    """Fingerprints of the words, one for each seed, and the least hashes of the word shingles under `size` mixings."""
+    words = text.encode().translate(LOWER).split()
+    if not words:
+        return [0] * len(seeds), bytes(4 * size)
+    fps = []
+    for seed in seeds:
+        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        ones = np.zeros(BITS, np.int64)
+        for i in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[i: i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        fps.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]))
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = max(1, len(words) - shingle + 1)
+    grams = {xxhash.xxh3_64_intdigest(line[a:b]) for a, b in zip(starts[:k].tolist(), ends[-k:].tolist())}
+    h = np.fromiter(grams, np.uint64, len(grams))
+    mult = np.random.default_rng(11).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(size, np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 4096):
+        x = h[i: i + 4096, None] * mult
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+    return fps, (least >> np.uint64(20)).astype(np.uint32).tobytes()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (64 bits as a long) of every row; a null text is an empty one, whose fingerprint is 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,3 +174,61 @@ def near_duplicates(
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43), size: int = 128,
+) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the smallest id stays.
+
+    Candidates link by fingerprints of their words, within three bits under any seed; a link holds if the
+    word shingles of both texts agree at `similarity` or more of `size` least hashes, an estimate of the share
+    of shingles that both have. Equal texts fall together first, blank ones too. Of rows with equal id and text
+    one stays; rows without an id go only where another copy has one.
+    """
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [traits(t, shingle, seeds, size) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2),
+                 pa.array([np.array(f, np.uint64).view(np.int64).tolist() for f, _ in found], pa.list_(pa.int64())),
+                 pa.array([s for _, s in found], pa.binary())], ["doc_id", "node", "fps", "least"])
+
+    texts = own.withColumn("node", F.xxhash64("text"))
+    named = kept(texts.select("doc_id", "text", "node").mapInArrow(run, "doc_id bigint, node bigint, fps array<bigint>, least binary"))
+    firsts = named.groupBy("node").agg(F.min("doc_id").alias("first"))
+    marks = kept(named.select("node", "fps", "least").dropDuplicates(["node"]))
+    each = marks.select("node", F.posexplode("fps").alias("seed", "fp"))
+    pairs = []
+    for k in range(len(seeds)):
+        by_fp = each.where(F.col("seed") == k).groupBy("fp").agg(F.min("node").alias("head"))
+        heads = each.where(F.col("seed") == k).join(by_fp, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        near = close(by_fp.select("fp"))
+        side = lambda c: by_fp.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))  # noqa: E731,B023
+        pairs += [heads, near.join(side("a"), "a").join(side("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))]
+    links_ = pairs[0]
+    for p in pairs[1:]:
+        links_ = links_.unionByName(p)
+    asked = links_.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mark = lambda c: marks.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}"))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, size) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(
+                pa.array((x == y).mean(1) >= similarity))
+
+    edges = asked.join(mark("a"), "a").join(mark("b"), "b").select("a", "b", "least_a", "least_b").mapInArrow(agree, "a bigint, b bigint")
+    roots = components(edges)
+    rooted = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
+    keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.coalesce("first", F.lit(0)).alias("first"), "node")).alias("k"))
+    keepers = kept(keepers.select(F.when(~F.col("k.none"), F.col("k.first")).alias("id"), F.col("k.node").alias("node")))
+    hashed = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("__node").eqNullSafe(F.col("node")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("id"))
+    out = hashed.join(keepers, same, "left_semi")
+    again = named.join(keepers, named["node"].eqNullSafe(keepers["node"]) & named["doc_id"].eqNullSafe(keepers["id"]), "left_semi")
+    if again.groupBy("node", "doc_id").count().where("count > 1").isEmpty():
+        return out.select(*docs.columns)
+    return out.dropDuplicates(["doc_id", "__node"]).select(*docs.columns)
