@@ -58,110 +58,76 @@ def brute_force(times, sizes, spec=BeaconSpec()):
     }
 
 
-def factors(spark, times, size=100, **spec):
-    flows = beacon.outbound_flows(conn(spark, ("c", "10.0.0.1", "1.2.3.4", 443, times, size)))
-    return beacon.beacon_factors(flows, BeaconSpec(**spec)).first()
-
-
-def test_even_gaps_score_one(spark):
-    row = factors(spark, regular(21, 60.0))
-    assert row.interval_score == pytest.approx(1.0)
-    assert row.freq_score == pytest.approx(1.0)
-    assert row.modal_interval_secs == pytest.approx(60.0)
-
-
-def test_random_gaps_score_low(spark):
-    gaps = np.random.default_rng(0).uniform(1, 3600, 50)
-    row = factors(spark, BASE + np.cumsum(gaps))
-    assert row.interval_score < 0.5
-
-
-def test_even_sizes_score_one_and_empty_sizes_half(spark):
-    assert factors(spark, regular(20, 60.0), 128).size_score == pytest.approx(1.0)
-    assert factors(spark, regular(20, 60.0), 0).size_score == pytest.approx(0.5)
-
-
-def test_persistence_is_full_after_four_hours(spark):
-    assert factors(spark, regular(241, 60.0)).persist_score == pytest.approx(1.0)
-    assert factors(spark, regular(11, 6.0)).persist_score < 0.1
-
-
-def test_long_gaps_are_cut_but_count_for_the_span(spark):
-    times = regular(10, 60.0) + regular(10, 60.0, BASE + 20_000)
-    row = factors(spark, times)
-    assert row.gap_count == 18
-    assert row.interval_score == pytest.approx(1.0)
-    assert row.persist_score == pytest.approx(1.0)
-
-
-def test_spectrum_sees_alternating_gaps():
-    _, score = spectrum_score(np.tile([30.0, 90.0], 16))
-    assert score > 0
-
-
-def test_spectrum_of_noise_is_low():
-    _, score = spectrum_score(np.random.default_rng(42).uniform(10, 3600, 30))
-    assert score < 0.5
-
-
-def test_spectrum_of_few_or_equal_gaps_is_zero():
-    assert spectrum_score(np.array([60.0, 60.0, 60.0])) == (0.0, 0.0)
-    assert spectrum_score(np.full(32, 60.0)) == (0.0, 0.0)
-
-
-def hosts(spark, *ips):
-    return spark.createDataFrame([("c", ip, True) for ip in ips], "capture_id string, ip string, is_internal boolean")
-
-
-def test_regular_beacon_is_found(spark):
-    table = conn(spark, ("c", "10.0.0.1", "1.2.3.4", 443, regular(20, 60.0), 100))
-    flows = beacon.outbound_flows(table, hosts=hosts(spark, "10.0.0.1"))
-    top = beacon.beacon_candidates(flows).first()
-    assert (top.src, top.dst, top.position) == ("10.0.0.1", "1.2.3.4", 1)
-    assert top.composite_score >= 0.5
-
-
-def test_random_traffic_scores_below_085(spark):
-    times = np.sort(BASE + np.random.default_rng(99).uniform(0, 7200, 30))
-    table = conn(spark, ("c", "10.0.0.1", "1.2.3.4", 80, times, 100))
-    rows = beacon.beacon_candidates(beacon.outbound_flows(table, hosts=hosts(spark, "10.0.0.1"))).collect()
-    assert all(r.composite_score < 0.85 for r in rows)
-
-
-def test_nine_rows_are_too_few(spark):
-    flows = beacon.outbound_flows(conn(spark, ("c", "10.0.0.1", "1.2.3.4", 443, regular(9, 60.0), 100)))
-    assert beacon.beacon_factors(flows).count() == 0
-
-
-def test_internal_targets_are_left_out(spark):
-    table = conn(spark, ("c", "10.0.0.1", "10.0.0.2", 443, regular(20, 60.0), 100))
-    assert beacon.outbound_flows(table, hosts=hosts(spark, "10.0.0.1", "10.0.0.2")).count() == 0
-    assert beacon.internal_to_external(table).count() == 0
+def own_series():
+    """Series of many kinds: steady, drifting, bursts, two clocks, pauses longer than the limit, a ramp of sizes."""
+    rng = np.random.default_rng(31)
+    count = rng.integers(10, 90, 12)
+    count[[2, 7]] = 9, 6
+    kinds = (
+        lambda n: np.full(n, 17.0),
+        lambda n: 40 + np.arange(n) * 1.5,
+        lambda n: np.where(np.arange(n) % 7 == 0, 900.0, 2.0),
+        lambda n: np.where(rng.random(n) < 0.5, 11.0, 29.0),
+        lambda n: np.where(np.arange(n) % 9 == 4, 4000.0, 75.0),
+        lambda n: rng.exponential(300, n),
+    )
+    out = {}
+    for k, n in enumerate(count):
+        times = BASE + np.cumsum(kinds[k % len(kinds)](int(n)))
+        sizes = (rng.integers(0, 2, len(times)) * 500, np.arange(len(times)) * 13 + 1, np.zeros(len(times)))[k % 3]
+        out[k] = (times, sizes.astype(int))
+    return out
+
+
+def test_own_series_equal_brute_force(spark):
+    series = own_series()
+    table = conn(spark, *[("c", f"10.1.0.{k}", "9.9.9.9", 8080, t, b) for k, (t, b) in series.items()])
+    got = {r.src: r for r in beacon.beacon_scores(beacon.internal_to_external(table), BeaconSpec(threshold=0.0)).collect()}
+    want = {f"10.1.0.{k}": brute_force(t, b) for k, (t, b) in series.items()}
+    assert set(got) == {k for k, v in want.items() if v is not None} and len(got) < len(want)
+    for src, row in got.items():
+        for name in SCORE_COLUMNS:
+            assert row[name] == pytest.approx(want[src][name], rel=1e-6, abs=1e-6), (src, name)
 
 
-def test_networks_select_the_source(spark):
-    table = conn(spark, ("c", "192.168.1.5", "8.8.8.8", 443, regular(20, 60.0), 100))
-    flows = beacon.outbound_flows(table, cidrs=["192.168.1.0/24", "not a network"])
-    assert beacon.beacon_candidates(flows).first().src == "192.168.1.5"
+def test_candidates_are_the_best_scores_rounded(spark):
+    series = own_series()
+    table = conn(spark, *[("c", f"10.1.0.{k}", "9.9.9.9", 8080, t, b) for k, (t, b) in series.items()])
+    flows = beacon.internal_to_external(table)
+    spec = BeaconSpec(threshold=0.0, top_n=4)
+    best = sorted(beacon.beacon_scores(flows, spec).collect(), key=lambda r: (-r.composite_score, r.src))[:4]
+    rows = beacon.beacon_candidates(flows, spec).orderBy("position").collect()
+    assert [(r.position, r.src, r.composite_score) for r in rows] == [
+        (i + 1, r.src, round(r.composite_score, 3)) for i, r in enumerate(best)]
 
 
-def test_hosts_take_precedence_over_networks(spark):
-    table = conn(spark, ("c", "192.168.1.5", "8.8.8.8", 443, regular(20, 60.0), 100))
-    flows = beacon.outbound_flows(table, hosts=hosts(spark, "10.0.0.1"), cidrs=["192.168.1.0/24"])
-    assert flows.count() == 0
+@pytest.mark.parametrize("length", range(0, 8))
+def test_short_sequences_have_no_spectrum(length):
+    assert spectrum_score(np.random.default_rng(length).exponential(5, length)) == (0.0, 0.0)
 
 
-def test_candidates_are_ranked(spark):
-    noisy = np.sort(BASE + 7200 + np.random.default_rng(7).uniform(0, 7200, 20))
-    table = conn(
-        spark,
-        ("c", "10.0.0.1", "1.1.1.1", 443, regular(20, 60.0), 100),
-        ("c", "10.0.0.3", "3.3.3.3", 443, regular(40, 300.0), 100),
-        ("c", "10.0.0.2", "2.2.2.2", 80, noisy, 100),
-    )
-    rows = beacon.beacon_candidates(beacon.internal_to_external(table)).orderBy("position").collect()
-    scores = [r.composite_score for r in rows]
-    assert len(rows) >= 2 and scores == sorted(scores, reverse=True)
+def test_a_sine_of_gaps_has_its_period():
+    gaps = 100 + 30 * np.sin(2 * np.pi * np.arange(400) / 20)
+    period, score = spectrum_score(gaps)
+    assert score == 1.0 and period == pytest.approx(2000, rel=0.05)
+
+
+def test_which_ends_count(spark):
+    rng = np.random.default_rng(3)
+    ends = ["10.0.0.1", "10.0.0.2", "172.20.1.1", "8.8.4.4", "1.0.0.1"]
+    groups = [("c", a, b, 1, BASE + np.cumsum(rng.exponential(9, 3)), 5) for a in ends for b in ends if a != b]
+    table = conn(spark, *groups)
+    listed = spark.createDataFrame([("c", "10.0.0.1", True), ("c", "8.8.4.4", True), ("c", "1.0.0.1", False)],
+                                   "capture_id string, ip string, is_internal boolean")
+    def pairs(df):
+        return {(r.src, r.dst) for r in df.select("src", "dst").distinct().collect()}
+
+    inside = {"10.0.0.1", "8.8.4.4"}
+    assert pairs(beacon.outbound_flows(table, hosts=listed)) == {(a, b) for a in inside for b in ends if b not in inside}
+    assert pairs(beacon.outbound_flows(table, hosts=listed, cidrs=["172.16.0.0/12"])) == pairs(beacon.outbound_flows(table, hosts=listed))
+    assert pairs(beacon.outbound_flows(table, cidrs=["172.16.0.0/12", "nonsense"])) == {("172.20.1.1", b) for b in ends if b != "172.20.1.1"}
+    private = set(ends[:3])
+    assert pairs(beacon.internal_to_external(table)) == {(a, b) for a in private for b in ends if b not in private}
 
 
 def test_empty_and_incomplete_tables(spark):

@@ -2,6 +2,8 @@
 
 import ipaddress
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from netquarry.functions import net, text
-from netquarry.functions.lists import INTERNAL_RANGES
+from netquarry.functions.lists import HIGH_RISK_TLDS, INTERNAL_RANGES, NAME_KEYWORDS
 from netquarry.operators import anomaly, inventory, signals as sig
 from netquarry.sources.rules import Allowlist, load_allowlist, networks
 from test_scoring import scored, signals
@@ -21,24 +23,45 @@ def apply(spark, fn, values):
     return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
 
 
-NAMES = {
-    "whitepepper.su": True, "whooptm.cyou": True, "randomstuff.xyz": True, "classiccrack.com": True,
-    "netsupportsoftware.com": True, "modandcrackedapk.com": True, "qxzjvwfbkpmn.net": True, "google.com": False,
-    "microsoft.com": False, "apple.com": False, "somehost.local": False, "1.168.192.in-addr.arpa": False,
-    "_ldap._tcp.domain.com": False, "": False, None: False, "abc.com": False, "crackedapps.net": True,
-    "WhitePepper.SU.": True, "localhost": False, "host.biz.pl": False, "a._tcp.bad.su": False,
-    "key.gen.example.com": True,
-}
-
-
-def test_suspicious_names(spark):
-    assert dict(zip(NAMES, apply(spark, text.is_suspicious_name, list(NAMES)))) == NAMES
-
-
 def entropy(s):
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) if s else 0.0
 
 
+def plain_suspicion(name):
+    """Risky ending, delivery keyword or random-looking stem; local, reverse and service names never."""
+    if not name:
+        return False
+    name = name.lower().rstrip(".")
+    labels = name.split(".")
+    if len(labels) < 2 or name.endswith((".local", ".arpa")) or name.startswith("_") or "._" in name:
+        return False
+    stem = labels[-2]
+    return (labels[-1] in HIGH_RISK_TLDS or bool(re.search("|".join(NAME_KEYWORDS), name.replace(".", "")))
+            or (len(stem) >= 8 and entropy(stem) > 3.5))
+
+
+def own_names():
+    """Names made from every branch of the rule, plain and mixed."""
+    rng = random.Random(12)
+    plain, endings = ["alpha", "mapleroad", "paper", "bb", "x1"], ["com", "org", "local", "arpa", *list(HIGH_RISK_TLDS)[:6]]
+    words = [w for w in NAME_KEYWORDS if w.isalnum()][:8]
+    out = [None, "", ".", "single", "..", "UPPER.LOCAL."]
+    for _ in range(300):
+        stem = rng.choice([rng.choice(plain), rng.choice(plain) + rng.choice(words or plain),
+                           "".join(rng.sample("bcdfghjklmnpqrstvwxz0123456789", rng.randint(6, 16)))])
+        front = rng.choice(["", "", "www.", "_srv._tcp.", "a._b.", "deep.er."])
+        name = front + stem + "." + rng.choice(endings)
+        out.append(rng.choice([name, name, name.upper(), name + "."]))
+    return out
+
+
+def test_suspicious_names_by_the_rule(spark):
+    names = own_names()
+    want = [plain_suspicion(n) for n in names]
+    assert apply(spark, text.is_suspicious_name, names) == want
+    assert 40 < sum(want) < len(want) - 40
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="abcXYZ019-._é$\\*+?", max_size=40), min_size=30, max_size=60))
 def test_entropy_equals_its_definition(spark, values):
