@@ -23,7 +23,7 @@ from netquarry.llm.blocks import SENT, cuts, merged, pack, rows_of, sent, unpack
 from netquarry.llm.common import kept, whole
 from netquarry.llm.suffixes import Hashed, mix, sliding_minimum, suffix_array
 
-LENGTH, K, WIDTH = 400, 32, 32
+LENGTH, K, WIDTH = 400, 32, 64
 #: Surroundings of an anchor that are compared in one suffix array; those of anchors with more are counted.
 TOGETHER = 2048
 #: Text bytes of a block, the least number of blocks, bytes hashed at once, symbols of a suffix array.
@@ -50,33 +50,38 @@ def chunks(texts: list[bytes]) -> Iterator[list[int]]:
 
 
 class Anchors:
-    """The anchors of some texts: hash, place, bytes seen to both sides, hashes of the surroundings and of either half."""
+    """The anchors of some texts: hash, place, bytes seen to both sides, hashes of the surroundings and of either half.
 
-    def __init__(self, texts: list[bytes]) -> None:
+    run: the texts' indexes in their block. Places count from the beginning of the first text.
+    """
+
+    def __init__(self, block: list[bytes], run: list[int]) -> None:
+        self.run, texts = run, [block[i] for i in run]
         size = np.array([len(t) for t in texts], np.int64)
         self.end = np.cumsum(size)
         self.start = self.end - size
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.hash = Hashed(self.data)
-        n = len(self.data)
+        hashed = Hashed(np.frombuffer(b"".join(texts), np.uint8))
+        n = int(self.end[-1])
         at = np.arange(n - K + 1)
-        grams = self.hash(at, at + K)
+        grams = hashed(at, at + K)
         least = sliding_minimum((grams & ~AT) | at.astype(np.uint64), LENGTH - K + 1)
         inside = np.zeros(len(least), bool)
         for a, b in zip(self.start, self.end):
             inside[a: b - LENGTH + 1] = True
-        p = np.unique((least[inside] & AT).astype(np.int64))
+        # The place of the leftmost least never goes back, so repeats stand together.
+        p = (least[inside] & AT).astype(np.int64)
+        p = p[np.concatenate([[True], p[1:] != p[:-1]])]
         text = np.searchsorted(self.end, p, "right")
         self.p, self.text = p, text
         self.left = np.minimum(p - self.start[text], LENGTH - K)
         self.right = np.minimum(self.end[text] - p, LENGTH)
         self.a = grams[p]
         shape = self.left.astype(np.uint64) * np.uint64(1 << 20) + self.right.astype(np.uint64)
-        self.c = mix(self.hash(p - self.left, p + self.right) ^ mix(shape + np.uint64(1)))
+        self.c = mix(hashed(p - self.left, p + self.right) ^ mix(shape + np.uint64(1)))
         half = (LENGTH - K) // 2
         before, after = self.left >= half, self.right >= K + half
-        self.hl = np.where(before, self.hash(np.maximum(p - half, 0), p + K) | np.uint64(1), np.uint64(0)).astype(np.uint32)
-        self.hr = np.where(after, self.hash(p, np.minimum(p + K + half, n)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+        self.hl = np.where(before, hashed(np.maximum(p - half, 0), p + K) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+        self.hr = np.where(after, hashed(p, np.minimum(p + K + half, n)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
 
 
 class Distinct:
@@ -91,29 +96,29 @@ class Distinct:
         first = np.flatnonzero(new)
         self.a, self.c, self.hl, self.hr = a[first], c[first], hl[order][first], hr[order][first]
         self.n = np.diff(np.append(first, len(a))).astype(np.uint32)
+        own = mix(self.a + mix(self.c))
+        self.order = np.argsort(own)
+        self.sorted = own[self.order]
 
-    def find(self, a: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Indexes of pairs that are all there."""
-        own, ask = (mix(x + mix(y)) for x, y in ((self.a, self.c), (a, c)))
-        order = np.argsort(own)
-        return order[np.searchsorted(own[order], ask)]
+    def find(self, x: Anchors) -> np.ndarray:
+        """Indexes of an anchor's pairs, which are all there."""
+        return self.order[np.searchsorted(self.sorted, mix(x.a + mix(x.c)))]
 
 
 def texts_of(table: pa.Table) -> list[bytes]:
     return [t.as_py().encode() for t in table.column("text")]
 
 
-def all_anchors(texts: list[bytes]) -> Iterator[Anchors]:
-    for run in chunks(texts):
-        yield Anchors([texts[i] for i in run])
+def all_anchors(texts: list[bytes]) -> list[Anchors]:
+    return [Anchors(texts, run) for run in chunks(texts)]
 
 
-def distinct_of(texts: list[bytes]) -> Distinct:
-    return Distinct([(x.a, x.c, x.hl, x.hr) for x in all_anchors(texts)])
+def distinct_of(anchors: list[Anchors]) -> Distinct:
+    return Distinct([(x.a, x.c, x.hl, x.hr) for x in anchors])
 
 
 def send_anchors(table: pa.Table, parts: int) -> pa.Table:
-    d, block = distinct_of(texts_of(table)), table.column("block")[0].as_py()
+    d, block = distinct_of(all_anchors(texts_of(table))), table.column("block")[0].as_py()
     at = cuts(d.a, parts)
     return rows_of([
         (p, block, ANCHOR, b - a, pack(d.a[a:b]), pack(d.c[a:b]), packs(d.hl[a:b], d.hr[a:b], d.n[a:b]))
@@ -164,11 +169,11 @@ def flags_of(answers: pa.Table) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint8), *(unpack(r["x"], np.uint8, r["n"]) for r in rows)])
 
 
-def chosen(texts: list[bytes], d: Distinct, wanted: np.ndarray) -> Iterator[tuple[Anchors, np.ndarray, np.ndarray]]:
+def chosen(anchors: list[Anchors], d: Distinct, wanted: np.ndarray) -> Iterator[tuple[Anchors, np.ndarray, np.ndarray]]:
     """Of each run of texts, the first occurrences of the wanted pairs: their indexes in the run and in d."""
     left = wanted.copy()
-    for x in all_anchors(texts):
-        at = d.find(x.a, x.c)
+    for x in anchors:
+        at = d.find(x)
         hit = np.flatnonzero(left[at])
         _, once = np.unique(at[hit], return_index=True)
         hit = hit[once]
@@ -176,15 +181,18 @@ def chosen(texts: list[bytes], d: Distinct, wanted: np.ndarray) -> Iterator[tupl
         yield x, hit, at[hit]
 
 
-def strings_of(x: Anchors, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def strings_of(block: list[bytes], x: Anchors, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every string of LENGTH bytes that holds the anchors, and which of hit it belongs to."""
+    if not len(hit):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashed = Hashed(np.frombuffer(b"".join(block[i] for i in x.run), np.uint8))
     last = np.minimum(x.left[hit], x.left[hit] + x.right[hit] - LENGTH)
     count = np.maximum(last + 1, 0)
     of = np.repeat(np.arange(len(hit)), count)
     s = (x.p[hit] - x.left[hit])[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     # With the anchor's place in it, as a string with two of them must not count as two strings.
     place = (x.p[hit][of] - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mix(x.hash(s, s + LENGTH) + mix(mix(x.a[hit])[of] + place)), of
+    return mix(hashed(s, s + LENGTH) + mix(mix(x.a[hit])[of] + place)), of
 
 
 def send_segments(table: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
@@ -192,19 +200,21 @@ def send_segments(table: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     if not table.num_rows:
         return rows_of([])
     texts, block = texts_of(table), table.column("block")[0].as_py()
-    d, flags = distinct_of(texts), flags_of(answers)
+    anchors = all_anchors(texts)
+    d, flags = distinct_of(anchors), flags_of(answers)
     wanted = (flags & OWN > 0) & (flags & SHARES > 0)
     index, left, size, held, strings, weights = [], [], [], [], [], []
-    for x, hit, at in chosen(texts, d, wanted):
+    for x, hit, at in chosen(anchors, d, wanted):
         hot = flags[at] & HOT > 0
-        key, of = strings_of(x, hit[hot])
+        key, of = strings_of(texts, x, hit[hot])
         strings.append(key)
         weights.append(np.where(flags[at[hot]] & FULL, 2, 1)[of])
         for h, i in zip(hit[~hot], at[~hot]):
             index.append(i)
             left.append(x.left[h])
             size.append(x.left[h] + x.right[h])
-            held.append(x.data[x.p[h] - x.left[h]: x.p[h] + x.right[h]].tobytes())
+            at_ = int(x.p[h] - x.start[x.text[h]])
+            held.append(texts[x.run[x.text[h]]][at_ - int(x.left[h]): at_ + int(x.right[h])])
     order = np.argsort(np.array(index, np.int64), kind="stable")
     index = np.array(index, np.int64)[order]
     shape = np.stack([np.array(v, np.uint32)[order] for v in (left, size)]) if len(index) else np.empty((2, 0), np.uint32)
@@ -266,12 +276,22 @@ def repeated(group: np.ndarray, left: np.ndarray, size: np.ndarray, twice: np.nd
     nearest = cut0[owner] + skip * WIDTH
     ahead = hashed(start[owner] + s, start[owner] + nearest)
     kind = mix(mix(group[owner]) + (left[owner] - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ahead
-    order = np.lexsort((rank[begin[owner] + skip + owner], kind))
-    whole_ = hashed(start[owner] + s, start[owner] + s + LENGTH)[order]
-    same = (whole_[1:] == whole_[:-1]) & (kind[order][1:] == kind[order][:-1])
+    ranks = rank[begin[owner] + skip + owner]
+    # One number to sort by, with the rank below the kind; both are sorted by where two kinds agree above it.
+    low = np.uint64((1 << int(len(line)).bit_length()) - 1)
+    order = np.argsort((kind & ~low) | ranks.astype(np.uint64))
+    sorted_ = kind[order]
+    alike = sorted_[1:] == sorted_[:-1]
+    if (~alike & ((sorted_[1:] & ~low) == (sorted_[:-1] & ~low))).any():
+        order = np.lexsort((ranks, kind))
+        sorted_ = kind[order]
+        alike = sorted_[1:] == sorted_[:-1]
+    one = np.flatnonzero(alike)
+    a, b = ((start[owner[i]] + s[i]) for i in (order[one], order[one + 1]))
+    same = one[hashed(a, a + LENGTH) == hashed(b, b + LENGTH)]
     ok = twice[owner] > 0
-    ok[order[1:]] |= same
-    ok[order[:-1]] |= same
+    ok[order[same]] = True
+    ok[order[same + 1]] = True
     return first_last(ok, owner, s, n)
 
 
@@ -316,7 +336,8 @@ def clean_block(table: pa.Table, answers: pa.Table) -> pa.Table:
     texts = texts_of(table)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     if texts:
-        d, flags = distinct_of(texts), flags_of(answers)
+        anchors = all_anchors(texts)
+        d, flags = distinct_of(anchors), flags_of(answers)
         low, high = np.full(len(flags), -1, np.int64), np.full(len(flags), -1, np.int64)
         wanted = (flags & OWN > 0) & (flags & SHARES > 0)
         rows = sorted((r for r in answers.to_pylist() if r["kind"] == SEGMENT), key=lambda r: r["part"])
@@ -326,26 +347,28 @@ def clean_block(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows = sorted((r for r in answers.to_pylist() if r["kind"] == STRING), key=lambda r: r["part"])
         again = np.concatenate([np.empty(0, np.uint8), *(unpack(r["x"], np.uint8, r["n"]) for r in rows)]) > 0
         if len(again):
-            found = [(*strings_of(x, hit), at) for x, hit, at in chosen(texts, d, wanted & (flags & HOT > 0))]
+            found = [(*strings_of(texts, x, hit), at) for x, hit, at in chosen(anchors, d, wanted & (flags & HOT > 0))]
             keys = np.unique(np.concatenate([k for k, _, _ in found]))
             for key, of, at in found:
                 first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
                 s = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
                 low[at], high[at] = first_last(again[np.searchsorted(keys, key)], of, s, len(at))
-        for run in chunks(texts):
-            x = Anchors([texts[i] for i in run])
-            at = d.find(x.a, x.c)
+        for x in anchors:
+            at = d.find(x)
             full = (flags[at] & FULL > 0) & (x.left + x.right >= LENGTH)
-            a = np.where(full, x.p - x.left, x.p - x.left + low[at])
-            b = np.where(full, x.p + x.right, x.p - x.left + high[at] + LENGTH)
-            use = full | (low[at] >= 0)
-            for i in np.unique(x.text[use]):
-                pick = use & (x.text == i)
-                begin, stop = a[pick] - x.start[i], b[pick] - x.start[i]
-                order = np.argsort(begin, kind="stable")
-                begin, stop = begin[order], np.maximum.accumulate(stop[order])
-                new = np.concatenate([[True], begin[1:] > stop[:-1]])
-                spans[run[i]] = list(zip(begin[new].tolist(), stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)].tolist()))
+            use = np.flatnonzero(full | (low[at] >= 0))
+            at, full = at[use], full[use]
+            seen, text = (x.p - x.left)[use], x.text[use]
+            begin = np.where(full, seen, seen + low[at])
+            stop = np.where(full, (x.p + x.right)[use], seen + high[at] + LENGTH)
+            order = np.argsort(begin, kind="stable")
+            begin, text, stop = begin[order], text[order], np.maximum.accumulate(stop[order])
+            new = np.ones(len(begin), bool)
+            new[1:] = (begin[1:] > stop[:-1]) | (text[1:] != text[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(begin)) - 1
+            for i, a, b in zip(text[first].tolist(), begin[first].tolist(), stop[last].tolist()):
+                spans[x.run[i]].append((a - int(x.start[i]), b - int(x.start[i])))
     rest = []
     for t, cut in zip(texts, spans):
         at = [0, *(v for c in cut for v in c), len(t)]
