@@ -140,7 +140,7 @@ def unc_server(c: Column) -> Column:
 def unc_domain(c: Column) -> Column:
     """Directory domain from \\\\HOST.domain.tld\\share; needs three labels or more."""
     labels = F.split(unc_server(c), r"\.")
-    return F.when(F.size(labels) >= 3, F.lower(F.array_join(F.slice(labels, 2, 1000), ".")))
+    return F.when(F.size(labels) >= 3, F.lower(F.array_join(F.slice(labels, F.lit(2), F.size(labels)), ".")))
 
 
 def smb_path(path: Column, name: Column) -> Column:

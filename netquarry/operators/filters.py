@@ -248,14 +248,13 @@ COMBINED_FILTERS = (
 DOMAIN_TECHNIQUES = ("T1071.004", "T1048.001")
 
 
-def external_addresses(talkers: DataFrame, transfers: DataFrame, k: int = 15) -> DataFrame:
-    """External targets of the 12 largest conversations and of large transfers, A-Z."""
+def external_addresses(talkers: DataFrame, transfers: DataFrame) -> DataFrame:
+    """External targets of the 12 largest conversations and of all large transfers."""
     busy = talkers.where((F.col("position") <= 12) & is_external(F.col("dst")))
     large = transfers.where(is_external(F.col("resp_h")))
-    ips = busy.select(CAPTURE, F.col("dst").alias("ip")).unionByName(
+    return busy.select(CAPTURE, F.col("dst").alias("ip")).unionByName(
         large.select(CAPTURE, F.col("resp_h").alias("ip"))
     ).distinct()
-    return top_k(ips, [CAPTURE], [F.asc("ip")], k, rank="at")
 
 
 def _fill(template: Column) -> Column:
@@ -364,7 +363,8 @@ def display_filters(
         counts.select(CAPTURE, *kinds).unpivot([CAPTURE], kinds, "source", "n").where("n > 0").select(CAPTURE, "source")
     )
 
-    addresses = external_addresses(talkers, transfers)
+    # Only as many as a reader of the filters looks at, A-Z.
+    addresses = top_k(external_addresses(talkers, transfers), [CAPTURE], [F.asc("ip")], 15, rank="at")
     per_ip = addresses.join(context.select(CAPTURE, "victim"), CAPTURE)
     each_ip = F.concat(F.lit("ip.addr == "), F.col("ip"))
     all_ips = _joined(addresses, each_ip, 10, " || ", "any_ip").join(context.select(CAPTURE, "victim"), CAPTURE)

@@ -6,7 +6,8 @@ import re
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators.common import CAPTURE, count_if, top_k
@@ -38,6 +39,25 @@ def find_column(field: str, columns: list[str]) -> str | None:
     return lowered.get(field.lower()) or lowered.get(column_name(field).lower())
 
 
+def java_pattern(plain: str) -> str | None:
+    """A rule's pattern, without regard to case, as the engine of rlike reads it; None, with a warning, if it can't."""
+    try:
+        re.compile(plain)
+    except re.error as error:
+        warnings.warn(f"pattern {plain!r} skipped: {error}", stacklevel=2)
+        return None
+    # Names of groups have letters and digits only there, and the end of a text is written in lower case.
+    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', 'u')}>", plain)
+    named = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', 'u')}>", named)
+    pattern = "(?i)" + re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", named)
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as error:
+        warnings.warn(f"pattern {plain!r} skipped: {error}", stacklevel=2)
+        return None
+    return pattern
+
+
 def compile_item(field: str, modifiers: tuple, values: tuple, columns: list[str]) -> Column:
     """One field test. Values are alternatives, or all needed with ``all``.
 
@@ -64,11 +84,10 @@ def compile_item(field: str, modifiers: tuple, values: tuple, columns: list[str]
             plain = plain.lstrip("*")
             test = text.endswith(plain)
         elif "re" in modifiers:
-            try:
-                re.compile(plain)
-            except re.error:
+            pattern = java_pattern(plain)
+            if pattern is None:
                 continue
-            test = text.rlike(f"(?i){plain}")
+            test = text.rlike(pattern)
         else:
             plain = plain.strip("*")
             test = text == plain

@@ -412,13 +412,16 @@ def outbound_transfers(
     thresholds: DataFrame | None = None,
     floor: int = EXFIL_FLOOR,
 ) -> DataFrame:
-    """Internal to external connections above the byte threshold.
+    """Internal to external connections above the byte threshold of their capture, or ``floor`` where it has none.
 
-    No capture has a threshold below ``floor``, so it is filtered in the scan first; only
-    the few rows left meet the thresholds of their capture.
+    The smallest threshold there is filters the scan; only the rows left meet the
+    thresholds of their capture.
     """
     columns = [CAPTURE, "uid", "ts", "orig_h", "resp_h", "resp_p", "orig_bytes", "proto"]
-    big = conn.where(F.col("orig_bytes") > floor).select(*columns)
+    least = F.lit(floor)
+    if thresholds is not None:
+        least = F.least(least, F.coalesce(thresholds.agg(F.min("exfil_bytes_threshold")).scalar(), least))
+    big = conn.where(F.col("orig_bytes") > least).select(*columns)
     big = external_rows(internal_rows(big, "orig_h", hosts), "resp_h", hosts)
     if thresholds is not None:
         limits = thresholds.select(CAPTURE, "exfil_bytes_threshold")

@@ -234,7 +234,7 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
         "ja3_matches": ioc.ja3_matches(log["ssl"]),
         "ioc_enrichment": enriched,
         "ioc_ips": ioc.ioc_ips(
-            talkers, scans, first_transfers, sig.post_destinations(log["http"]),
+            talkers, sources.where("candidate"), transfers, sig.post_destinations(log["http"]),
             sig.tls_anomaly_ips(log["ssl"], log["x509"]), confirmed, alerts,
         ),
         "ioc_domains": ioc.ioc_domains(parents, alerts),
@@ -244,7 +244,7 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
         "visible_protocols": report.visible_protocols(captures),
         "summary": report.summary(findings, victims, enriched, alerts),
         "display_filters": filters.display_filters(
-            findings, signals, primary, captures, talkers, first_transfers, parents, scans,
+            findings, signals, primary, captures, talkers, transfers, parents, scans,
             scan_rows, report.controller(shares), candidates,
         ),
     }

@@ -129,7 +129,7 @@ def enrichment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One address per supplier, its engine count from the key."""
-    return adapters.table(spark, sf_dir, "supplier").where("s_suppkey < 100").select(
+    return adapters.table(spark, sf_dir, "supplier").select(
         F.expr("concat('203.0.113.', s_suppkey)").alias("ip"),
         F.col("s_name").alias("owner"),
         F.lit("ZZ").alias("country"),
@@ -175,7 +175,7 @@ SELECT t.capture_id, t.ip, t.position, t.source, coalesce(s.s_suppkey % 6, 0) AS
        b.term IS NOT NULL AS threatfox_found, coalesce(b.malware, '') AS threatfox_malware,
        coalesce(b.confidence, 0) AS threatfox_confidence,
        coalesce(s.s_suppkey % 6, 0) >= 3 OR coalesce(b.confidence, 0) >= 75 AS is_confirmed_malicious
-FROM targets t LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 100) s ON '203.0.113.' || s.s_suppkey = t.ip
+FROM targets t LEFT JOIN supplier s ON '203.0.113.' || s.s_suppkey = t.ip
 LEFT JOIN best b ON b.term = t.ip""")
 def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ioc.enrich(targets(spark, sf_dir), reputation(spark, sf_dir), feed(spark, sf_dir))
@@ -237,26 +237,25 @@ def top_external_beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("external_addresses", f"""
-WITH {adapters.PACKETS_SQL} {TALKERS_SQL}
-, ips AS (SELECT DISTINCT capture_id, dst AS ip FROM talkers WHERE position <= 12 AND dst NOT LIKE '10.%')
-SELECT capture_id, ip, CAST(r AS INT) AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ip) AS r FROM ips) WHERE r <= 15""")
+WITH {adapters.PACKETS_SQL} {TALKERS_SQL}, {adapters.CONN_SQL}
+SELECT DISTINCT capture_id, dst AS ip FROM talkers WHERE position <= 12 AND dst NOT LIKE '10.%'
+UNION
+SELECT 'cap-' || (uid % 5), resp_h FROM conn WHERE orig_bytes > 20000""")
 def external_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "capture_id string, resp_h string")
-    out = filters.external_addresses(talkers(spark, sf_dir), none)
-    return out.withColumnRenamed("at", "position")
+    conn = adapters.conn(spark, sf_dir).withColumn("capture_id", F.expr("concat('cap-', uid % 5)"))
+    return filters.external_addresses(talkers(spark, sf_dir), sig.outbound_transfers(conn, floor=20_000))
 
 
 # ----------------------------------------------------------------------------- victims
 
 
 def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leases of three captures from customer; some without assigned address."""
-    return adapters.table(spark, sf_dir, "customer").where("c_custkey % 5 < 3").select(
+    """Leases from customer; some without assigned address, those of two captures without any."""
+    return adapters.table(spark, sf_dir, "customer").select(
         F.expr("concat('cap-', c_custkey % 5)").alias("capture_id"),
         F.expr("CAST(c_custkey AS DOUBLE)").alias("ts"),
-        F.expr("concat('10.0.0.', c_custkey % 200)").alias("client_addr"),
-        F.expr("CASE WHEN c_custkey % 2 = 0 THEN concat('10.0.0.', c_custkey % 100) END").alias("assigned_addr"),
+        F.expr("CASE WHEN c_custkey % 5 < 3 THEN concat('10.0.0.', c_custkey % 200) END").alias("client_addr"),
+        F.expr("CASE WHEN c_custkey % 5 < 3 AND c_custkey % 2 = 0 THEN concat('10.0.0.', c_custkey % 100) END").alias("assigned_addr"),
         F.expr("concat('mac-', c_custkey)").alias("mac"),
         F.expr("CASE WHEN c_custkey % 5 = 0 THEN c_name END").alias("host_name"),
         F.expr("CASE WHEN c_custkey % 5 = 1 THEN 'lease.example' END").alias("domain"),
@@ -267,17 +266,19 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {adapters.KERBEROS_SQL}, {adapters.SMB_SQL}, {adapters.PACKETS_SQL},
 dhcp AS (
   SELECT 'cap-' || (c_custkey % 5) AS capture_id, c_custkey AS ts,
-         coalesce(CASE WHEN c_custkey % 2 = 0 THEN '10.0.0.' || (c_custkey % 100) END, '10.0.0.' || (c_custkey % 200)) AS ip,
+         CASE WHEN c_custkey % 5 < 3 THEN
+           coalesce(CASE WHEN c_custkey % 2 = 0 THEN '10.0.0.' || (c_custkey % 100) END, '10.0.0.' || (c_custkey % 200)) END AS ip,
          'mac-' || c_custkey AS mac, CASE WHEN c_custkey % 5 = 0 THEN c_name END AS host_name,
          CASE WHEN c_custkey % 5 = 1 THEN 'lease.example' END AS domain
-  FROM customer WHERE c_custkey % 5 < 3),
-lease AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ts) AS r FROM dhcp) WHERE r = 1),
+  FROM customer),
+lease AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ts) AS r FROM dhcp WHERE ip IS NOT NULL) WHERE r = 1),
 login AS (
   SELECT * FROM (SELECT *, split_part(client, '/', 1) AS u, row_number() OVER (PARTITION BY capture_id
     ORDER BY split_part(client, '/', 1) LIKE '%$', ts, client) AS r FROM kerberos) WHERE r = 1),
 server AS (
-  SELECT capture_id, arg_min('corp.example.com', ts) AS d FROM smb WHERE path LIKE '%.corp.example.com%'
-    AND capture_id <> 'cap-2' GROUP BY 1),
+  SELECT capture_id, arg_min('corp.example.com', ts) AS d FROM (
+    SELECT *, CASE WHEN capture_id <> 'cap-2' THEN path END AS named FROM smb) WHERE named LIKE '%.corp.example.com%' GROUP BY 1),
 base AS (
   SELECT g.capture_id, coalesce(l.ip, g.orig_h) AS ip, l.host_name, l.mac AS lease_mac, g.u AS windows_user,
          coalesce(s.d, l.domain, 'corp.example') AS domain
@@ -293,7 +294,7 @@ FROM base b LEFT JOIN locals USING (capture_id, ip) LEFT JOIN macs USING (captur
 def victim_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three captures with leases, two without; one without file-server names."""
     packets = adapters.packets(spark, sf_dir)
-    shares = adapters.smb(spark, sf_dir).where("capture_id <> 'cap-2'")
+    shares = adapters.smb(spark, sf_dir).withColumn("path", F.expr("CASE WHEN capture_id <> 'cap-2' THEN path END"))
     lookups = packets.select(
         "capture_id", F.col("frame_no").alias("ts"), F.col("ip_src").alias("orig_h"),
         F.regexp_replace("dns_qry_name", r"\.example\.com$", ".local").alias("query"),

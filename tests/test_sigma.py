@@ -110,3 +110,21 @@ def test_builtin_rules_compile(spark):
     for rule in rules:
         assert sigma.compile_rule(rule, [column_name(f) for f in ZEEK_LOGS[rule.service]]) is not None
     assert sigma.rule_fields(rules, "smb_mapping") == ["orig_h", "path"]
+
+
+@pytest.mark.parametrize(("pattern", "found"), [
+    (r"(?P<first_part>good)\.", ["2.0"]),
+    (r"(?P<x>e)v.*(?P=x)xample", ["1.0"]),
+    (r"\.ORG\Z", ["2.0"]),
+])
+def test_patterns_of_the_other_dialect(spark, pattern, found):
+    assert hits(spark, {"s": {"query|re": pattern}, "condition": "s"}) == found
+
+
+def test_a_hopeless_pattern_does_not_end_the_scan(spark):
+    # The first is fine for one engine alone, the second for none.
+    rules = [sigma_rule({"title": t, "id": t, "logsource": {"service": "dns"}, "detection": {"s": {"query|re": p}, "condition": "s"}})
+             for t, p in (("a", r"(?P<n>g)(?(n)ood|x)"), ("b", "["), ("c", r"^evil"))]
+    with pytest.warns(UserWarning, match="skipped"):
+        got = sigma.scan_log(spark.createDataFrame(ROWS, SCHEMA), rules).collect()
+    assert [(r.rule_id, r.match_count, r.sample_dst_ips) for r in got] == [("c", 1, ["8.8.8.8"])]

@@ -74,6 +74,16 @@ def test_large_transfer_needs_direction_and_size(spark):
     assert sig.exfil_signals(conn, hosts).first().max_outbound_bytes == 90_000_000
 
 
+def test_a_threshold_below_the_usual_floor_counts(spark):
+    rows = [("low", f"u{i}", 1.0, "10.0.0.1", "8.8.8.8", 443, size, "tcp") for i, size in enumerate((900_000, 5_000_000))]
+    rows += [("none", "u9", 1.0, "10.0.0.1", "8.8.8.8", 443, size, "tcp") for size in (5_000_000, 50_000_000)]
+    table = spark.createDataFrame(rows, "capture_id string, uid string, ts double, orig_h string, resp_h string, resp_p int, orig_bytes bigint, proto string")
+    limits = spark.createDataFrame([("low", 1_000_000)], "capture_id string, exfil_bytes_threshold bigint")
+    got = sig.outbound_transfers(table, thresholds=limits).collect()
+    assert sorted((r.capture_id, r.orig_bytes) for r in got) == [("low", 5_000_000), ("none", 50_000_000)]
+    assert sig.outbound_transfers(table, thresholds=limits.where("false")).count() == 1
+
+
 def test_scan_of_null_sources(spark):
     schema = "capture_id string, ts double, orig_h string, resp_h string, resp_p int, orig_bytes bigint, conn_state string"
     conn = spark.createDataFrame([("c", 1.0, None, "10.0.0.1", p, None, "S0") for p in range(30)], schema)
