@@ -43,61 +43,61 @@ def cells_of(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
         for n, f, x in (("n", F.sum, F.lit(1)), ("key", F.bit_xor, F.col("d")), ("check", F.bit_xor, F.col("c")))))
 
 
+# code: the row within its range of ids, the pair (0: edited, 1: next), the size of both sets.
+
+
+def pair_of() -> Column:
+    return F.shiftright("code", 32).bitwiseAND(F.lit(1))
+
+
+def both_of() -> Column:
+    return F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def third_of(attempt: int) -> Column:
     """A third of a try's cells: the fingerprint's at first for an edited text, else what both sets may need."""
-    needed = lambda k: F.ceil(F.col("both") * (0.67 * 2.0**k)).cast("bigint") + 8
+    needed = lambda k: F.ceil(both_of() * (0.67 * 2.0**k)).cast("bigint") + 8
     first = F.lit(CELLS // 3).cast("bigint") if attempt == 0 else needed(attempt - 1)
-    return F.when(F.col("pair") == 0, first).otherwise(needed(attempt))
+    return F.when(pair_of() == 0, first).otherwise(needed(attempt))
 
 
-def differing(pairs: DataFrame, deal: list[str], tries: int) -> DataFrame:
-    """Rows (deal, pair, a, b: sets of digests) to (deal, pair, both, found): digests in one of the sets only.
+def differing(pairs: DataFrame, attempt: int) -> DataFrame:
+    """Rows (bucket, code, a, b: sets of digests) to (bucket, code, found, left): digests in one of the sets
+    only that this try recovers, and the cells that it leaves. Equal sets have no row."""
+    keys, cell = ["bucket", "code"], F.col("cell")
+    third, seed = third_of(attempt), attempt + 1
 
-    both is the size of both sets together. All tries are one chain over rows of five kinds, so that no text is
-    read again: cells (cell from 0 on), the digests themselves (below -1) until a try has succeeded, and the
-    number found (-1). What the last try leaves counts as three cells for a digest.
-    """
-    keys = [*deal, "pair", "both"]
-    zero = F.lit(0).cast("bigint")
-
-    def row(cell: Column, n: Column, key: Column = zero, check: Column = zero) -> Column:
-        return F.struct(cell.cast("bigint").alias("cell"), n.cast("bigint").alias("n"), key.alias("key"), check.alias("check"))
+    def row(at: Column, n: Column, key: Column, check: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("cell"), n.cast("bigint").alias("n"), key.alias("key"), check.alias("check"))
 
     def summed(rows: DataFrame, array: Column) -> DataFrame:
         return (
             rows.select(*keys, F.explode(array).alias("x")).groupBy(*keys, F.col("x.cell").alias("cell"))
             .agg(F.sum("x.n").alias("n"), F.bit_xor("x.key").alias("key"), F.bit_xor("x.check").alias("check"))
-            .where("n <> 0 OR key <> 0 OR cell = -1")
+            .where("n <> 0 OR key <> 0")
         )
 
-    def spots(seed: int, third: Column) -> list[Column]:
+    def spots() -> list[Column]:
         return [F.lit(i) * third + F.pmod(F.xxhash64("key", F.lit(seed * 3 + i)), third) for i in range(3)]
 
-    listed = lambda c, w, n: F.transform(c, lambda d, i: row(F.lit(-2 - w) - i * 2, F.lit(n), d, F.xxhash64(d, F.lit(CHECK))))
-    rows = pairs.select(*deal, "pair", (F.size("a") + F.size("b")).alias("both"),
-                        F.explode(F.concat(F.array(row(F.lit(-1), zero)), listed("a", 0, 1), listed("b", 1, -1))).alias("x"))
-    rows = rows.select(*keys, "x.*")
-    own, cell = row(F.col("cell"), F.col("n"), F.col("key"), F.col("check")), F.col("cell")
-    for attempt in range(tries):
-        seed, third = attempt + 1, third_of(attempt)
-        into = [row(at, F.col("n"), F.col("key"), F.col("check")) for at in spots(seed, third)]
-        rows = summed(rows, F.when(cell < -1, F.array(own, *into)).otherwise(F.array(own)))
-        for step in range(STEPS + 2 * attempt):
-            part = step % 3
-            pure = (
-                (cell >= F.lit(part) * third) & (cell < F.lit(part + 1) * third) & (F.abs("n") == 1)
-                & (F.col("check") == F.xxhash64("key", F.lit(CHECK)))
-            )
-            # Within one third a digest has one cell only, so no digest is taken out twice.
-            out = [row(at, -F.col("n"), F.col("key"), F.col("check")) for i, at in enumerate(spots(seed, third)) if i != part]
-            rows = summed(rows, F.when(pure, F.array(row(F.lit(-1), F.lit(1)), *out)).otherwise(F.array(own)))
-        left = F.sum(F.when(cell >= 0, 1).otherwise(0)).over(Window.partitionBy(*keys))
-        rows = rows.withColumn("left", left)
-        if attempt < tries - 1:
-            again = F.col("left") > 0
-            rows = rows.where((again & (cell < 0)) | (~again & (cell == -1))).select(
-                *keys, "cell", F.when(again & (cell == -1), zero).otherwise(F.col("n")).alias("n"), "key", "check")
-    return rows.where("cell = -1").select(*keys, (F.col("n") + F.ceil(F.col("left") / 3)).alias("found"))
+    # The cells of one version less those of the other, cell by cell: what both hold is gone.
+    signed = lambda c, n: F.transform(c, lambda d: F.struct(F.lit(n).alias("n"), d.alias("key")))
+    rows = pairs.select(*keys, F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("x")).select(
+        *keys, "x.*", F.xxhash64("x.key", F.lit(CHECK)).alias("check"))
+    rows = summed(rows, F.array(*(row(at, F.col("n"), F.col("key"), F.col("check")) for at in spots())))
+    zero = F.lit(0).cast("bigint")
+    own = row(cell, F.col("n"), F.col("key"), F.col("check"))
+    for step in range(STEPS + 2 * attempt):
+        part = step % 3
+        pure = (
+            (cell >= F.lit(part) * third) & (cell < F.lit(part + 1) * third) & (F.abs("n") == 1)
+            & (F.col("check") == F.xxhash64("key", F.lit(CHECK)))
+        )
+        # Within one third a digest has one cell only, so no digest is taken out twice.
+        out = [row(at, -F.col("n"), F.col("key"), F.col("check")) for i, at in enumerate(spots()) if i != part]
+        rows = summed(rows, F.when(pure, F.array(row(F.lit(-1), F.lit(1), zero, zero), *out)).otherwise(F.array(own)))
+    return rows.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(cell < 0, F.col("n"))), zero).alias("found"), F.count(F.when(cell >= 0, 1)).alias("left"))
 
 
 def following(keys: DataFrame, high: int) -> DataFrame:
@@ -135,41 +135,53 @@ def compare_versions(docs: DataFrame, tries: int = 3, doc_id: str = "doc_id", te
     base = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), whole(F.col(text)).alias("text"),
         F.coalesce(F.shiftright(F.col(doc_id).cast("bigint"), SHIFT), F.lit(none - 1).cast("bigint")).alias("bucket"))
+    # A generator of one row, so that the digests are made once and not again in each use.
+    digested = base.select("*", F.explode(F.array(digests(F.col("text")))).alias("a"))
     ends = base.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
     low, high = (ends.low, ends.high) if ends.low is not None else (0, 0)
-    dealt = base.repartition("bucket")
+    dealt = digested.repartition("bucket")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     # The first text of each range goes to the range before it, that of the first range to the last.
-    first = dealt.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("bucket").alias("next"), F.col("text").alias("beyond"))
+    first = dealt.withColumn("r", F.row_number().over(order)).where("r = 1").select(
+        F.col("bucket").alias("next"), F.struct("text", "a").alias("beyond"))
     ranges = kept(following(base.select((F.col("bucket") - low).alias("k")).distinct(), high - low)).select(
         (F.col("k") + low).alias("bucket"), (F.coalesce("next", F.lit(0)) + low).alias("next"))
     border = first.join(ranges, "next").select("bucket", "beyond")
     rows = (
         dealt.withColumn("rid", F.row_number().over(order)).withColumn("n_chars", F.length("text").cast("bigint"))
-        .withColumn("lead", F.lead("text").over(order)).join(border, "bucket", "left")
-        .select("bucket", "rid", "doc_id", "n_chars", "text", F.coalesce("lead", "beyond").alias("next"))
+        .withColumn("lead", F.lead(F.struct("text", "a")).over(order)).join(border, "bucket", "left")
+        .withColumn("next", F.coalesce("lead", "beyond"))
+        .select("bucket", "rid", "doc_id", "n_chars", "text", "a", F.col("next.text").alias("next"), F.col("next.a").alias("x"))
     )
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substr("next", F.lit(1), quarter))
     own = ["bucket", "rid"]
 
-    def sets(r: DataFrame) -> DataFrame:
-        """Digests, each made once: a generator of one row keeps them from being computed in every use."""
-        three = F.struct(digests(F.col("text")).alias("a"), digests(edited).alias("e"), digests(F.col("next")).alias("x"))
-        return r.select(*own, F.explode(F.array(three)).alias("s"))
-
     def pairs(r: DataFrame) -> DataFrame:
-        two = F.array(F.struct(F.lit(0).alias("pair"), F.col("s.a").alias("a"), F.col("s.e").alias("b")),
-                      F.struct(F.lit(1).alias("pair"), F.col("s.a").alias("a"), F.col("s.x").alias("b")))
-        return sets(r).select(*own, F.explode(two).alias("p")).select(*own, "p.*")
-
-    likeness = F.when(F.col("both") == 0, F.lit(1.0)).otherwise((F.col("both") - F.col("found")) / (F.col("both") + F.col("found")))
-    by_pair = lambda p: F.max(F.when(F.col("pair") == p, likeness))
-    near = differing(pairs(rows), own, tries).groupBy(*own).agg(by_pair(0).alias("near_edited"), by_pair(1).alias("near_next"))
+        code = lambda p, b: ((F.col("rid") * 2 + p).cast("bigint") * (1 << 32) + F.size("a") + F.size(b)).alias("code")
+        two = F.array(*(F.struct(code(p, b), F.col("a").alias("a"), F.col(b).alias("b")) for p, b in ((0, "e"), (1, "x"))))
+        return r.select("bucket", "rid", "a", "x", F.explode(F.array(digests(edited))).alias("e")).select(
+            "bucket", F.explode(two).alias("p")).select("bucket", "p.*")
+
+    # Few pairs fail; the next tries read only their texts again.
+    tried = kept(differing(pairs(rows), 0))
+    failed, result = tried.where("left > 0"), tried
+    for attempt in range(1, tries):
+        again = failed.select("bucket", "code")
+        ids = again.select("bucket", F.shiftright("code", 33).cast("int").alias("rid")).distinct()
+        larger = differing(pairs(rows.join(ids, own, "left_semi")).join(again, ["bucket", "code"], "left_semi"), attempt)
+        result = result.join(larger.withColumnsRenamed({"found": "found2", "left": "left2"}), ["bucket", "code"], "left").select(
+            "bucket", "code", F.coalesce("found2", "found").alias("found"), F.coalesce("left2", "left").alias("left"))
+        failed = larger.where("left > 0")
+    # What the last try leaves counts as three cells for a digest.
+    missing = F.col("found") + F.ceil(F.col("left") / 3)
+    by_pair = lambda p: F.max(F.when(pair_of() == p, (both_of() - missing) / (both_of() + missing)))
+    near = result.groupBy("bucket", F.shiftright("code", 33).cast("int").alias("rid")).agg(
+        by_pair(0).alias("near_edited"), by_pair(1).alias("near_next"))
 
     # The table of fixed size is the fingerprint.
-    versions = F.array(*(F.struct(F.lit(w).alias("which"), F.col(f"s.{c}").alias("set")) for w, c in ((0, "a"), (1, "e"))))
-    listed = sets(rows).select(*own, F.explode(versions).alias("v")).select(*own, "v.which", F.explode("v.set").alias("d"))
+    versions = F.array(F.struct(F.lit(0).alias("which"), F.col("a").alias("set")), F.struct(F.lit(1).alias("which"), digests(edited).alias("set")))
+    listed = rows.select(*own, F.explode(versions).alias("v")).select(*own, "v.which", F.explode("v.set").alias("d"))
     table = cells_of(listed.withColumn("third", F.lit(CELLS // 3).cast("bigint")), own, 1)
     cell = lambda w: F.array_sort(F.collect_list(F.when(F.col(f"n{w}") > 0, F.struct(
         "cell", F.col(f"n{w}").alias("n"), F.col(f"key{w}").alias("key"), F.col(f"check{w}").alias("check")))))
@@ -186,5 +198,6 @@ def compare_versions(docs: DataFrame, tries: int = 3, doc_id: str = "doc_id", te
         .join(prints, own, "left").join(near, own, "left")
         .select("doc_id", "n_chars", "edited_sha256",
                 F.coalesce(filled("f0"), F.lit("")).alias("fingerprint"), F.coalesce(filled("f1"), F.lit("")).alias("edited_fingerprint"),
-                "near_edited", "near_next")
+                # Pairs with equal sets, also with empty ones, have no difference to show.
+                F.coalesce("near_edited", F.lit(1.0)).alias("near_edited"), F.coalesce("near_next", F.lit(1.0)).alias("near_next"))
     )
