@@ -84,15 +84,58 @@ def beacon_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("capture_id", "position", "src", "port", F.round("geomean", 6).alias("geomean"))
 
 
-@query("beacon_spectral")
+SPECTRUM_SQL = FACTORS_SQL + """
+, steps AS (
+  SELECT src, port, gap, row_number() OVER w AS i, sum(gap) OVER w AS clock, count(*) OVER (PARTITION BY src, port) AS n
+  FROM gaps WHERE gap IS NOT NULL WINDOW w AS (PARTITION BY src, port ORDER BY ts)),
+knots AS (
+  SELECT *, lead(clock) OVER w AS next_clock, lead(gap) OVER w AS next_gap,
+         min(clock) OVER (PARTITION BY src, port) AS t0, max(clock) OVER (PARTITION BY src, port) AS t1
+  FROM steps WHERE n >= 8 WINDOW w AS (PARTITION BY src, port ORDER BY i)),
+lengths AS (SELECT DISTINCT src, port, n, t0, t1, (t1 - t0) / (n - 1) AS dt FROM knots),
+grid AS (SELECT src, port, n, dt, k, CASE WHEN k = n - 1 THEN t1 ELSE t0 + k * dt END AS t FROM lengths, unnest(range(n)) AS u(k)),
+even AS (
+  SELECT g.src, g.port, g.n, g.dt, g.k, q.gap + CASE WHEN q.next_clock > q.clock
+           THEN (q.next_gap - q.gap) * (g.t - q.clock) / (q.next_clock - q.clock) ELSE 0 END AS x
+  FROM grid g ASOF JOIN knots q ON g.src = q.src AND g.port = q.port AND g.t >= q.clock),
+waves AS (
+  SELECT src, port, f, any_value(n) AS n, any_value(dt) AS dt,
+         sqrt(pow(sum(x * cos(2 * pi() * ((f * k) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((f * k) % n) / n)), 2)) AS m
+  FROM even, unnest(range(1, n // 2 + 1)) AS u(f) GROUP BY src, port, f),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY src, port ORDER BY m DESC, f) AS r FROM waves),
+peaks AS (
+  SELECT src, port, max(CASE WHEN r = 1 THEN m END) AS peak, max(CASE WHEN r = 1 THEN n * dt / f END) AS period,
+         median(CASE WHEN r > 1 THEN m END) AS floor FROM ordered GROUP BY src, port),
+spectral AS (
+  SELECT src, port, peak >= 3 * floor AND floor > 0 AS clear, period,
+         greatest(0e0, least(1e0, (peak / (floor + 1e-9) - 3) / 7)) AS score FROM peaks),
+full_scores AS (
+  SELECT s.*, CASE WHEN clear THEN period ELSE 0e0 END AS sp_period, CASE WHEN clear THEN p.score ELSE 0e0 END AS sp_score,
+         least(1e0, gm + 0.1e0 * CASE WHEN clear THEN p.score ELSE 0e0 END) AS composite
+  FROM scored s LEFT JOIN spectral p USING (src, port))
+"""
+
+
+@query("beacon_spectral", SPECTRUM_SQL + """
+SELECT 'all' AS capture_id, src, CAST(port AS INT) AS port, CAST(g AS BIGINT) AS gap_count,
+       round(sp_period, 4) AS spectral_period_secs, round(sp_score, 6) AS spectral_score, round(composite, 6) AS composite_score
+FROM full_scores""")
 def beacon_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = beacon.beacon_scores(flows(spark, sf_dir), OPEN_SPEC)
     return out.select(
         "capture_id", "src", "port", "gap_count",
-        *[F.round(c, 6).alias(c) for c in ("spectral_period_secs", "spectral_score", "composite_score")],
+        F.round("spectral_period_secs", 4).alias("spectral_period_secs"),
+        *[F.round(c, 6).alias(c) for c in ("spectral_score", "composite_score")],
     )
 
 
-@query("beacon_candidates")
+@query("beacon_candidates", SPECTRUM_SQL + """
+, best AS (SELECT *, row_number() OVER (ORDER BY composite DESC, src, port) AS position FROM full_scores)
+SELECT 'all' AS capture_id, CAST(position AS INT) AS position, src, CAST(port AS INT) AS port, CAST(n AS BIGINT) AS connection_count,
+       round(med, 2) AS modal_interval_secs, round(sd, 2) AS interval_jitter_secs, round(mean_b, 1) AS avg_bytes_orig,
+       round(span / 3600, 2) AS duration_hours, round(i_s, 3) AS interval_score, round(s_s, 3) AS size_score,
+       round(f_s, 3) AS freq_score, round(p_s, 3) AS persist_score, round(sp_period, 2) AS spectral_period_secs,
+       round(composite, 3) AS composite_score
+FROM best WHERE position <= 20""")
 def beacon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beacon.beacon_candidates(flows(spark, sf_dir), OPEN_SPEC)
