@@ -54,6 +54,24 @@ conn AS (
   FROM events)"""
 
 
+def spread_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same connections over the five captures of the packet view."""
+    return conn(spark, sf_dir).withColumn("capture_id", F.expr("concat('cap-', uid % 5)"))
+
+
+def external_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from supplier balances, as an external tool would give them."""
+    return table(spark, sf_dir, "supplier").select(
+        F.expr("concat('cap-', s_suppkey % 4)").alias("capture_id"),
+        F.expr("round(abs(s_acctbal) / 1e4, 4)").alias("score"),
+    )
+
+
+EXTERNAL_SQL = """
+external AS (
+  SELECT 'cap-' || (s_suppkey % 4) AS capture_id, round(abs(s_acctbal) / 1e4, 4) AS score FROM supplier)"""
+
+
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups from pages: four captures."""
     return table(spark, sf_dir, "pages").select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators import alerts as alert_ops
-from netquarry.operators import anomaly, evidence, scoring, sigma, signals as sig
+from netquarry.operators import anomaly, beacon, evidence, inventory, scoring, sigma, signals as sig
 from netquarry.plans import adapters
 from netquarry.plans.catalog import ORACLES, query
 from netquarry.sources.files import load_yaml
@@ -16,8 +16,10 @@ from netquarry.sources.rules import BUILTIN, load_playbooks, parse_threshold, si
 
 
 def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of the five captures that packets, logins, shares, TLS, DNS and HTTP share."""
+    """Signals of the five captures that packets, connections, logins, shares, TLS, DNS and HTTP share."""
     packets = adapters.packets(spark, sf_dir)
+    conn = adapters.spread_conn(spark, sf_dir)
+    thresholds = inventory.calibrate(inventory.captures(inventory.packet_rollup(packets)))
     kerberos = adapters.kerberos(spark, sf_dir)
     return sig.assemble_signals(
         packets.select("capture_id").distinct(),
@@ -29,18 +31,31 @@ def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         sig.tls_signals(adapters.ssl(spark, sf_dir), adapters.x509(spark, sf_dir)),
         sig.smb_signals(adapters.smb(spark, sf_dir)),
         sig.kerberos_signals(kerberos),
+        sig.scan_signals(conn, thresholds=thresholds),
+        sig.exfil_signals(conn, floor=20_000),
+        beacon.external_beacon_signals(adapters.external_scores(spark, sf_dir)),
     )
 
 
 # Oracles of the parts, by their catalog names; each is a complete query.
-SIGNAL_PARTS = ("packet_signals", "arp_signals", "dns_summary", "http_summary", "tls_anomalies", "smb_lateral", "kerberos_summary")
+SIGNAL_PARTS = (
+    "packet_signals", "arp_signals", "dns_summary", "http_summary", "tls_anomalies", "smb_lateral", "kerberos_summary",
+    "scan_signals", "transfers", "external",
+)
+OWN_PARTS = {
+    "transfers": f"""WITH {adapters.CONN_SQL}
+SELECT 'cap-' || (uid % 5) AS capture_id, max(orig_bytes) AS max_outbound_bytes FROM conn WHERE orig_bytes > 20000 GROUP BY 1""",
+    "external": f"""WITH {adapters.EXTERNAL_SQL}
+SELECT capture_id, 1 AS rita_available, round(max(score), 4) AS rita_top_beacon_score,
+       sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS rita_beacon_pairs FROM external GROUP BY 1""",
+}
 
 
 def signals_sql() -> str:
     """Long form (capture_id, source, value) of all signals, defaults filled, as a WITH list."""
     joins, seen, columns = "", set(), []
     for i, part in enumerate(SIGNAL_PARTS):
-        joins += f"\n  LEFT JOIN ({ORACLES[part]}) p{i} USING (capture_id)"
+        joins += f"\n  LEFT JOIN ({OWN_PARTS.get(part) or ORACLES[part]}) p{i} USING (capture_id)"
     owner = {
         "packet_signals": sig.PACKET_SIGNALS,
         "arp_signals": ["arp_ip_conflict_count"],
@@ -56,6 +71,12 @@ def signals_sql() -> str:
             "kerberos_tgs_req_count", "kerberos_rc4_tgs_count", "kerberos_unique_spn_count",
             "kerberos_preauth_failed_count",
         ],
+        "scan_signals": [
+            "scan_candidate_count", "scan_max_unique_dst_ports", "scan_max_unique_dst_hosts", "scan_syn_only_connection_count",
+            "winrm_connection_count", "inbound_scan_unique_src_count",
+        ],
+        "transfers": ["max_outbound_bytes"],
+        "external": ["rita_available", "rita_top_beacon_score", "rita_beacon_pairs"],
     }
     for i, part in enumerate(SIGNAL_PARTS):
         for name in owner[part]:
