@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import whole
+from netquarry.llm.common import small_batches, whole
 from netquarry.llm.pretokens import PIECES, Memory, groups
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, ranks: str | None = None, text: str = "text", ids: b
     path = ranks or public_tokenizers.path(RANK_FILE)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids
     rest = [c for c in docs.columns if c not in (*new, text)]
-    inner = docs.select(*rest, whole(F.col(text)).alias("token_ids" if ids else "ids_sha256"))
+    inner = small_batches(docs).select(*rest, whole(F.col(text)).alias("token_ids" if ids else "ids_sha256"))
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(),
              "token_ids": pa.list_(pa.int32())}
 

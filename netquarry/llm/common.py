@@ -20,6 +20,15 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The table itself; from now on its session hands rows to Python in batches of at most so many.
+
+    Ten thousand whole texts, Spark's default, take hundreds of megabytes on both sides of the pipe.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The table written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

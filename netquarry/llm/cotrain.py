@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.llm.common import small_batches
+
 #: Bounds of the samples that models are fitted on, share of labelled rows kept for calibration, rounds.
 LABELLED, POOL, CALIBRATION, ROUNDS = 8000, 4000, 0.3, 2
 WORD_SPACE, META_SPACE = 1 << 17, 1 << 12
@@ -203,7 +205,7 @@ def views(texts: list, sources: list, langs: list, sizes: list) -> tuple[Rows, R
 
 
 def inputs(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
         F.col("n_chars").cast("bigint").alias("n_chars"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import components, kept
+from netquarry.llm.common import components, kept, small_batches
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
             found = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return small_batches(docs).select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def masks(blocks: int) -> list[tuple[int, int]]:
@@ -186,7 +186,7 @@ def one_of_each(
     of shingles that both have. Equal texts fall together first, blank ones too. Of rows with equal id and text
     one stays; rows without an id go only where another copy has one.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

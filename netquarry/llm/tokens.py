@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import whole
+from netquarry.llm.common import small_batches, whole
 from netquarry.llm.pretokens import PIECES, Memory, groups
 
 MODEL_FILE = "byte_bpe_50k.json"
@@ -137,7 +137,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, text: str = "text",
     path = model or public_tokenizers.path(MODEL_FILE)
     new = ["n_bytes", "n_tokens", "over_limit"]
     rest = [c for c in docs.columns if c not in (*new, text)]
-    inner = docs.select(*rest, whole(F.col(text)).alias("n_tokens"))
+    inner = small_batches(docs).select(*rest, whole(F.col(text)).alias("n_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = ragged(path)
