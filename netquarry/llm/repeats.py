@@ -27,7 +27,7 @@ LENGTH, K, WIDTH = 400, 32, 64
 #: Surroundings of an anchor that are compared in one suffix array; those of anchors with more are counted.
 TOGETHER = 2048
 #: Text bytes of a block, the least number of blocks, bytes hashed at once, symbols of a suffix array.
-BLOCK_BYTES, LEAST_BLOCKS, CHUNK, SYMBOLS = 12 << 20, 24, 1 << 20, 150_000
+BLOCK_BYTES, LEAST_BLOCKS, CHUNK, SYMBOLS = 12 << 20, 24, 1 << 20, 40_000
 AT = np.uint64((1 << 26) - 1)
 
 ANCHOR, SEGMENT, STRING = range(3)
