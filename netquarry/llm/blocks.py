@@ -6,13 +6,42 @@ what all blocks sent and answers each block in the order of its own keys.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+
+from netquarry.llm.common import small_batches
 
 SENT = "part int, block int, kind int, n int, keys binary, x binary, y binary"
 
 
+def squeeze(texts: list[str]) -> list[bytes]:
+    zip_ = zstandard.ZstdCompressor(level=1)
+    return [zip_.compress(t.encode()) for t in texts]
+
+
+def texts_of(table: pa.Table) -> list[bytes]:
+    """The texts of a block, as UTF-8."""
+    unzip = zstandard.ZstdDecompressor()
+    return [unzip.decompress(t.as_py()) for t in table.column("text")]
+
+
+def deal(rows: DataFrame) -> DataFrame:
+    """Rows with text and block dealt by block, texts compressed: they are nearly all that moves."""
+    names = rows.columns
+    schema = ", ".join(f"{n} {'binary' if n == 'text' else t}" for n, t in rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array(squeeze(batch.column("text").to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if n == "text" else batch.column(n) for n in names], names)
+
+    return small_batches(rows).mapInArrow(run, schema).repartition("block")
+
+
 def pack(a: np.ndarray) -> bytes:
     """An array, byte planes apart, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.blocks import SENT, aligned, merged, pack, rows_of, sent, unpack
+from netquarry.llm.blocks import SENT, aligned, deal, merged, pack, rows_of, sent, texts_of, unpack
 from netquarry.llm.common import kept, whole
 
 #: Counts up to this one are discounted by Good and Turing.
@@ -66,8 +66,8 @@ def block_of(table: pa.Table) -> Block:
     """columns: doc_id, text, learn."""
     digest = xxhash.xxh3_64_intdigest
     parts, sizes = [], []
-    for text in table.column("text"):
-        words = text.as_py().encode().translate(LOWER).split()
+    for text in texts_of(table):
+        words = text.translate(LOWER).split()
         parts.append(np.fromiter(map(digest, words), np.uint64, len(words)))
         sizes.append(len(words) + 1)
     size = np.array(sizes, np.int64)
@@ -238,7 +238,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(F.col(text)).alias("text"), (F.crc32(key) % 10 != 0).alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(least, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).repartition("block")
+    dealt = deal(rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")))
     counts = dealt.groupBy("block").applyInArrow(lambda t: send_counts(t, parts), SENT)
     answers = kept(counts.groupBy("kind", "part").applyInArrow(answer_counts, SENT))
     known = totals(answers)

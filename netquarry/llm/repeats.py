@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.blocks import SENT, cuts, merged, pack, rows_of, sent, unpack
+from netquarry.llm.blocks import SENT, cuts, deal, merged, pack, rows_of, sent, texts_of, unpack
 from netquarry.llm.common import kept, whole
 from netquarry.llm.suffixes import Hashed, mix, sliding_minimum, suffix_array
 
@@ -105,10 +105,6 @@ class Distinct:
         return self.order[np.searchsorted(self.sorted, mix(x.a + mix(x.c)))]
 
 
-def texts_of(table: pa.Table) -> list[bytes]:
-    return [t.as_py().encode() for t in table.column("text")]
-
-
 def all_anchors(texts: list[bytes]) -> list[Anchors]:
     return [Anchors(texts, run) for run in chunks(texts)]
 
@@ -388,7 +384,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(F.col(text)).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(least, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).repartition("block")
+    dealt = deal(rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")))
     asked = dealt.groupBy("block").applyInArrow(lambda t: send_anchors(t, parts), SENT)
     answers = kept(asked.groupBy("part").applyInArrow(answer_anchors, SENT))
     segments = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: send_segments(t, a, parts), SENT)

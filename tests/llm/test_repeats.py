@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from netquarry.llm import repeats
+from netquarry.llm.blocks import squeeze
 from netquarry.llm.suffixes import suffix_array
 
 N = repeats.LENGTH
@@ -59,7 +60,7 @@ def test_documents_against_all_strings(spark, monkeypatch, together):
 
     for k, (i, t) in enumerate(rows):
         blocks.setdefault(k % 4, []).append((i, t or "", k % 4))
-    tables = [pa.table({"doc_id": pa.array([r[0] for r in b], pa.int64()), "text": [r[1] for r in b], "block": [r[2] for r in b]}) for b in blocks.values()]
+    tables = [pa.table({"doc_id": pa.array([r[0] for r in b], pa.int64()), "text": squeeze([r[1] for r in b]), "block": [r[2] for r in b]}) for b in blocks.values()]
 
     def by(table, *keys):
         out = {}
