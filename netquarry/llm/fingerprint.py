@@ -123,7 +123,7 @@ def hexed(cells: Column) -> Column:
         cells, lambda c: F.concat(wide(c["n"], 4), wide(c["key"], 16), wide(c["check"], 8))), ""))), "\r\n", "")
 
 
-def compare_versions(docs: DataFrame, tries: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_versions(docs: DataFrame, tries: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text of a document has its last quarter replaced by the beginning of the next document, by
@@ -135,24 +135,34 @@ def compare_versions(docs: DataFrame, tries: int = 3, doc_id: str = "doc_id", te
     base = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), whole(F.col(text)).alias("text"),
         F.coalesce(F.shiftright(F.col(doc_id).cast("bigint"), SHIFT), F.lit(none - 1).cast("bigint")).alias("bucket"))
-    # A generator of one row, so that the digests are made once and not again in each use.
-    digested = base.select("*", F.explode(F.array(digests(F.col("text")))).alias("a"))
     ends = base.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
     low, high = (ends.low, ends.high) if ends.low is not None else (0, 0)
-    dealt = digested.repartition("bucket")
+    # Joins by range and row keep to the dealing by range, as each range is whole in one task.
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    dealt = base.repartition("bucket")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    # The first text of each range goes to the range before it, that of the first range to the last.
-    first = dealt.withColumn("r", F.row_number().over(order)).where("r = 1").select(
-        F.col("bucket").alias("next"), F.struct("text", "a").alias("beyond"))
     ranges = kept(following(base.select((F.col("bucket") - low).alias("k")).distinct(), high - low)).select(
         (F.col("k") + low).alias("bucket"), (F.coalesce("next", F.lit(0)) + low).alias("next"))
-    border = first.join(ranges, "next").select("bucket", "beyond")
-    rows = (
-        dealt.withColumn("rid", F.row_number().over(order)).withColumn("n_chars", F.length("text").cast("bigint"))
-        .withColumn("lead", F.lead(F.struct("text", "a")).over(order)).join(border, "bucket", "left")
-        .withColumn("next", F.coalesce("lead", "beyond"))
-        .select("bucket", "rid", "doc_id", "n_chars", "text", "a", F.col("next.text").alias("next"), F.col("next.a").alias("x"))
-    )
+
+    def numbered(more: list[str]) -> DataFrame:
+        """Each row with its number in its range and the next row's text (and a, the text's digests, if asked for)."""
+        rows = dealt
+        if more:
+            # A generator of one row, so that the digests are made once and not again in each use.
+            rows = rows.select("*", F.explode(F.array(digests(F.col("text")))).alias("a"))
+        # The first row of each range goes to the range before it, that of the first range to the last.
+        first = rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(
+            F.col("bucket").alias("next"), F.struct("text", *more).alias("beyond"))
+        border = first.join(ranges, "next").select("bucket", "beyond")
+        return (
+            rows.withColumn("rid", F.row_number().over(order)).withColumn("n_chars", F.length("text").cast("bigint"))
+            .withColumn("lead", F.lead(F.struct("text", *more)).over(order)).join(border, "bucket", "left")
+            .withColumn("next", F.coalesce("lead", "beyond"))
+            .select("bucket", "rid", "doc_id", "n_chars", "text", *more, F.col("next.text").alias("next"),
+                    *(F.col("next.a").alias("x") for _ in more))
+        )
+
+    rows = numbered(["a"])
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substr("next", F.lit(1), quarter))
     own = ["bucket", "rid"]
@@ -163,16 +173,20 @@ def compare_versions(docs: DataFrame, tries: int = 3, doc_id: str = "doc_id", te
         return r.select("bucket", "rid", "a", "x", F.explode(F.array(digests(edited))).alias("e")).select(
             "bucket", F.explode(two).alias("p")).select("bucket", "p.*")
 
-    # Few pairs fail; the next tries read only their texts again.
-    tried = kept(differing(pairs(rows), 0))
-    failed, result = tried.where("left > 0"), tried
+    # Few pairs fail; these keep their digests for the next tries, each of which is larger and reads nothing else.
+    key = ["bucket", "code"]
+    first_try = differing(pairs(rows), 0)
+    state = kept(pairs(rows).join(first_try, key).select(
+        *key, "found", "left", *(F.when(F.col("left") > 0, F.col(c)).alias(c) for c in "ab")))
+    result = state.select(*key, "found", "left")
     for attempt in range(1, tries):
-        again = failed.select("bucket", "code")
-        ids = again.select("bucket", F.shiftright("code", 33).cast("int").alias("rid")).distinct()
-        larger = differing(pairs(rows.join(ids, own, "left_semi")).join(again, ["bucket", "code"], "left_semi"), attempt)
-        result = result.join(larger.withColumnsRenamed({"found": "found2", "left": "left2"}), ["bucket", "code"], "left").select(
-            "bucket", "code", F.coalesce("found2", "found").alias("found"), F.coalesce("left2", "left").alias("left"))
-        failed = larger.where("left > 0")
+        failed = state.where("left > 0")
+        if failed.isEmpty():
+            break
+        again = differing(failed.select(*key, "a", "b"), attempt)
+        state = kept(failed.select(*key, "a", "b").join(again, key))
+        result = result.join(state.select(*key, F.col("found").alias("found2"), F.col("left").alias("left2")), key, "left").select(
+            *key, F.coalesce("found2", "found").alias("found"), F.coalesce("left2", "left").alias("left"))
     # What the last try leaves counts as three cells for a digest.
     missing = F.col("found") + F.ceil(F.col("left") / 3)
     by_pair = lambda p: F.max(F.when(pair_of() == p, (both_of() - missing) / (both_of() + missing)))
@@ -194,7 +208,7 @@ def compare_versions(docs: DataFrame, tries: int = 3, doc_id: str = "doc_id", te
         return F.when(F.size(c) > 0, hexed(full)).otherwise(F.lit(""))
 
     return (
-        rows.select(*own, "doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"))
+        numbered([]).select(*own, "doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"))
         .join(prints, own, "left").join(near, own, "left")
         .select("doc_id", "n_chars", "edited_sha256",
                 F.coalesce(filled("f0"), F.lit("")).alias("fingerprint"), F.coalesce(filled("f1"), F.lit("")).alias("edited_fingerprint"),
