@@ -26,12 +26,12 @@ def _first_values(rows: DataFrame, key: list[str], value: str, k: int, name: str
 def scan_evidence(conn: DataFrame, sources: DataFrame) -> DataFrame:
     """The top scanner of each capture: ports (first 50), targets (first 20), time span.
 
-    Ports and targets are cut per source before the join with the top scanner, so a source
-    with most of the connections never meets one task as raw rows.
+    Only the reduction of the top scanners, one source per capture, is made distinct and ranked.
     """
     top = scan_candidates(sources, 1)
-    rollup = conn_rollup(conn).select(CAPTURE, F.col("orig_h").alias("src"), "resp_h", "resp_p")
     key = [CAPTURE, "src"]
+    rollup = conn_rollup(conn).select(CAPTURE, F.col("orig_h").alias("src"), "resp_h", "resp_p")
+    rollup = rollup.join(top.select(*key), key, "left_semi")
     ports = _first_values(rollup, key, "resp_p", 50, "unique_dst_ports_sample")
     targets = _first_values(rollup, key, "resp_h", 20, "unique_dst_hosts_sample")
     return (
