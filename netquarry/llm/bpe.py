@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm.common import small_batches, whole
-from netquarry.llm.pretokens import PIECES, Memory, groups
+from netquarry.llm.pretokens import Memory, groups, pieces
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -114,7 +114,7 @@ class Replay:
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         for run in groups(texts):
-            cut = [PIECES.findall(t) for t in run]
+            cut = [pieces(t) for t in run]
             self.memory.trim()
             self.memory.learn({p for c in cut for p in c}, self.packed)
             get = self.memory.__getitem__

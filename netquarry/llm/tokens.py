@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm.common import small_batches, whole
-from netquarry.llm.pretokens import PIECES, Memory, groups
+from netquarry.llm.pretokens import Memory, groups, pieces
 
 MODEL_FILE = "byte_bpe_50k.json"
 NONE = np.int64(1) << 40
@@ -104,13 +104,13 @@ class Ragged:
     def parts(self, text: str) -> tuple[int, list[str]]:
         """Special strings in a text are one token each and cut it; leftmost first, then longest."""
         if not any(s in text for s in self.special):
-            return 0, PIECES.findall(text)
-        number, pieces, at = 0, [], 0
+            return 0, pieces(text)
+        number, cut, at = 0, [], 0
         while found := [(i, -len(s)) for s in self.special if (i := text.find(s, at)) >= 0]:
             i, size = min(found)
-            pieces += PIECES.findall(text[at:i])
+            cut += pieces(text[at:i])
             number, at = number + 1, i - size
-        return number, pieces + PIECES.findall(text[at:])
+        return number, cut + pieces(text[at:])
 
     def texts(self, texts: list[str]) -> Iterator[int]:
         for run in groups(texts):

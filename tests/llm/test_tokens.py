@@ -59,6 +59,14 @@ def test_leftmost_only_merging_gives_the_same_counts():
     assert a.counts(words).tolist() == b.counts(words).tolist()
 
 
+def test_latin_texts_are_cut_alike():
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(chr(rng.choice([rng.randrange(256), rng.randrange(128), 32, 10, 39, 115, 116])) for _ in range(rng.randint(0, 30)))
+        assert pretokens.pieces(text) == pretokens.PIECES.findall(text)
+    assert pretokens.pieces("é 中") == ["é", " 中"]
+
+
 def test_memory_starts_anew():
     memory = pretokens.Memory(most=5)
     memory.learn(["abc", "def"], lambda new: [len(x) for x in new])
