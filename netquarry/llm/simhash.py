@@ -45,13 +45,13 @@ def simhash(text: str | None, shingle: int) -> int:
 
 
 def traits(text: str, shingle: int, seeds: tuple[int, ...], size: int) -> tuple[list[int], bytes]:
-    """Fingerprints of the words, one for each seed, and the least hashes of the word shingles under `size` mixings."""
+    """Fingerprints of the distinct words, one for each seed, and the least hashes of the shingles under `size` mixings."""
     words = text.encode().translate(LOWER).split()
     if not words:
         return [0] * len(seeds), bytes(4 * size)
-    fps = []
+    fps, distinct = [], set(words)
     for seed in seeds:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))
         ones = np.zeros(BITS, np.int64)
         for i in range(0, len(h), 1 << 16):
             ones += np.unpackbits(h[i: i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -177,11 +177,11 @@ def near_duplicates(
 
 
 def one_of_each(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43), size: int = 128,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), size: int = 128,
 ) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest id stays.
 
-    Candidates link by fingerprints of their words, within three bits under any seed; a link holds if the
+    Candidates link by fingerprints of their distinct words, within three bits under any seed; a link holds if the
     word shingles of both texts agree at `similarity` or more of `size` least hashes, an estimate of the share
     of shingles that both have. Equal texts fall together first, blank ones too. Of rows with equal id and text
     one stays; rows without an id go only where another copy has one.
