@@ -18,10 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm.common import components, kept, small_batches
+from netquarry.llm.suffixes import mix
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 BITS = 64
+#: Least hashes of a run that makes texts candidates; texts of a block that are compared with another block.
+ROWS, BLOCK = 5, 256
+JUDGED = "a bigint, b bigint, sure boolean"
 
 
 def simhash(text: str | None, shingle: int) -> int:
@@ -44,30 +48,30 @@ def simhash(text: str | None, shingle: int) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def traits(text: str, shingle: int, seeds: tuple[int, ...], size: int) -> tuple[list[int], bytes]:
-    """Fingerprints of the distinct words, one for each seed, and the least hashes of the shingles under `size` mixings."""
+def grams(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the distinct word shingles, in order; fewer words than a shingle make one, no words none."""
     words = text.encode().translate(LOWER).split()
     if not words:
-        return [0] * len(seeds), bytes(4 * size)
-    fps, distinct = [], set(words)
-    for seed in seeds:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))
-        ones = np.zeros(BITS, np.int64)
-        for i in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[i: i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        fps.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]))
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = max(1, len(words) - shingle + 1)
-    grams = {xxhash.xxh3_64_intdigest(line[a:b]) for a, b in zip(starts[:k].tolist(), ends[-k:].tolist())}
-    h = np.fromiter(grams, np.uint64, len(grams))
+    found = {xxhash.xxh3_64_intdigest(line[a:b]) for a, b in zip(starts[:k].tolist(), ends[-k:].tolist())}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def traits(text: str, shingle: int, size: int) -> bytes:
+    """The least hashes of the shingles under `size` mixings."""
+    h = grams(text, shingle)
+    if not len(h):
+        return bytes(4 * size)
     mult = np.random.default_rng(11).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(size, np.iinfo(np.uint64).max)
     for i in range(0, len(h), 4096):
         x = h[i: i + 4096, None] * mult
         least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
-    return fps, (least >> np.uint64(20)).astype(np.uint32).tobytes()
+    return (least >> np.uint64(20)).astype(np.uint32).tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,51 +180,132 @@ def near_duplicates(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), size: int = 128,
-) -> DataFrame:
+def bands(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A key for every run of so many least hashes of each row; rows with one key have that run in common."""
+    count = least.shape[1] // rows
+    mult = np.random.default_rng(12).integers(1, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    runs = least[:, : count * rows].reshape(len(least), count, rows).astype(np.uint64)
+    return mix((mix(runs * mult) * mult).sum(2, dtype=np.uint64) + mix(np.arange(1, count + 1, dtype=np.uint64)))
+
+
+def across(comp: np.ndarray, least: np.ndarray, low: float, high: float) -> Iterator[tuple[int, int, bool]]:
+    """Places x, y of different components that agree at `low` or more, and whether at `high` or more.
+
+    Those at `high` or more join their components first, so that only what is still apart is asked about.
+    """
+    comp, asked = np.unique(comp, return_inverse=True)[1], []
+    for x in range(len(comp) - 1):
+        other = np.flatnonzero(comp[x + 1:] != comp[x]) + x + 1
+        share = (least[other] == least[x]).mean(1)
+        for y in other[share >= high].tolist():
+            if comp[y] != comp[x]:
+                yield x, y, True
+                comp[comp == comp[y]] = comp[x]
+        some = other[(share >= low) & (share < high)]
+        asked.append((np.full(len(some), x), some))
+    for xs, ys in asked:
+        apart = comp[xs] != comp[ys]
+        for x, y in zip(xs[apart].tolist(), ys[apart].tolist()):
+            yield x, y, False
+
+
+def apart(shared: DataFrame, roots: DataFrame, marks: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
+    """Pairs a, b of one band key but different components that agree at `low` or more, and whether they are sure.
+
+    shared: key, node. A key's members are those of its first member's component, the base, and the rest. The rest
+    is compared with itself and with the base in cells of two blocks, so no task holds a large group and what
+    has come together costs no comparisons with itself.
+    """
+    named = shared.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    first = named.groupBy("key").agg(F.min("comp").alias("base"), F.max("comp").alias("top")).where("base <> top").drop("top")
+    members = kept(named.join(first, "key").withColumn("rest", F.col("comp") != F.col("base")).drop("base"))
+    blocks = members.groupBy("key").agg(
+        F.ceil(F.sum(F.col("rest").cast("int")) / block).cast("int").alias("r"),
+        F.ceil(F.sum((~F.col("rest")).cast("int")) / block).cast("int").alias("b"))
+    salt = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n)).cast("int")
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cells = F.when(F.col("rest"), F.concat(
+        F.transform(upto("r"), lambda t: cell(0, F.least(t, salt("r")), F.greatest(t, salt("r")))),
+        F.transform(upto("b"), lambda t: cell(1, salt("r"), t)),
+    )).otherwise(F.transform(upto("r"), lambda t: cell(1, t, salt("b"))))
+    rows = members.join(blocks, "key").select("node", "comp", F.col("key").alias("k"), F.explode(cells).alias("c")).select(
+        F.xxhash64("k", "c.kind", "c.i", "c.j").alias("cell"), "node", "comp")
+    rows = rows.join(marks.select("node", "least"), "node").select("cell", "node", "comp", "least")
+    rows = rows.repartition("cell").sortWithinPartitions("cell")
+
+    def pairs(rows_: list) -> Iterator[tuple[int, int, bool]]:
+        node, comp, least = zip(*rows_)
+        least = np.frombuffer(b"".join(least), np.uint32).reshape(len(node), -1)
+        for x, y, sure in across(np.array(comp, np.int64), least, low, high):
+            yield min(node[x], node[y]), max(node[x], node[y]), sure
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, [], []
+        for batch in batches:
+            for cell_, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell_ != now:
+                    found += pairs(held) if len(held) > 1 else []
+                    now, held = cell_, []
+                held.append(row)
+            yield judged(found)
+            found = []
+        if len(held) > 1:
+            yield judged(list(pairs(held)))
+
+    return rows.mapInArrow(run, JUDGED).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def judged(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    a, b, sure = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, size: int = 128) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest id stays.
 
-    Candidates link by fingerprints of their distinct words, within three bits under any seed; a link holds if the
-    word shingles of both texts agree at `similarity` or more of `size` least hashes, an estimate of the share
-    of shingles that both have. Equal texts fall together first, blank ones too. Of rows with equal id and text
-    one stays; rows without an id go only where another copy has one.
+    Texts are linked if the sets of their word shingles agree at `similarity` or more. Candidates have one of the runs
+    of ROWS least hashes in common (of pairs at 0.8 all but 0.00005). Each run's texts are asked about its first one,
+    then about all that this has not brought together with them. The share is an estimate by
+    `size` least hashes.
+    Equal texts fall together first, blank ones too. Of rows with equal id and text one stays; rows without an id go
+    only where another copy has one.
     """
     own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [traits(t, shingle, seeds, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2),
-                 pa.array([np.array(f, np.uint64).view(np.int64).tolist() for f, _ in found], pa.list_(pa.int64())),
-                 pa.array([s for _, s in found], pa.binary())], ["doc_id", "node", "fps", "least"])
+                [batch.column(0), batch.column(2), pa.array([traits(t, shingle, size) for t in batch.column(1).to_pylist()], pa.binary())],
+                ["doc_id", "node", "least"])
 
-    texts = own.withColumn("node", F.xxhash64("text"))
-    named = kept(texts.select("doc_id", "text", "node").mapInArrow(run, "doc_id bigint, node bigint, fps array<bigint>, least binary"))
-    firsts = named.groupBy("node").agg(F.min("doc_id").alias("first"))
-    marks = kept(named.select("node", "fps", "least").dropDuplicates(["node"]))
-    each = marks.select("node", F.posexplode("fps").alias("seed", "fp"))
-    pairs = []
-    for k in range(len(seeds)):
-        by_fp = each.where(F.col("seed") == k).groupBy("fp").agg(F.min("node").alias("head"))
-        heads = each.where(F.col("seed") == k).join(by_fp, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
-        near = close(by_fp.select("fp"))
-        side = lambda c: by_fp.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))  # noqa: E731,B023
-        pairs += [heads, near.join(side("a"), "a").join(side("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))]
-    links_ = pairs[0]
-    for p in pairs[1:]:
-        links_ = links_.unionByName(p)
-    asked = links_.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    mark = lambda c: marks.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}"))
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = bands(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, size))
+            node = np.repeat(batch.column(0).to_numpy(), found.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
+
+    low = high = similarity
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, size) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(
-                pa.array((x == y).mean(1) >= similarity))
+            share = (x == y).mean(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share >= high)], ["a", "b", "sure"]).filter(pa.array(share >= low))
 
-    edges = asked.join(mark("a"), "a").join(mark("b"), "b").select("a", "b", "least_a", "least_b").mapInArrow(agree, "a bigint, b bigint")
+    texts = own.withColumn("node", F.xxhash64("text"))
+    named = kept(texts.select("doc_id", "text", "node").mapInArrow(run, "doc_id bigint, node bigint, least binary"))
+    firsts = named.groupBy("node").agg(F.min("doc_id").alias("first"))
+    marks = kept(named.select("node", "least").dropDuplicates(["node"]))
+    keyed = marks.mapInArrow(keys, "key bigint, node bigint")
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
+    shared = kept(keyed.join(heads, "key"))
+    asked = shared.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    mark = lambda c: marks.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}"))
+    stars = asked.join(mark("a"), "a").join(mark("b"), "b").select("a", "b", "least_a", "least_b").mapInArrow(agree, JUDGED)
+    near = kept(stars.select("a", "b"))
+    rest = apart(shared.select("key", "node"), components(near), marks, low, high)
+    edges = near.unionByName(rest.select("a", "b"))
     roots = components(edges)
     rooted = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.coalesce("first", F.lit(0)).alias("first"), "node")).alias("k"))

@@ -108,3 +108,53 @@ def test_close_documents_are_found(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.one_of_each(empty).collect() == []
+
+
+def stays(rows):
+    """Ids that brute force over all pairs of texts keeps: the smallest of each component."""
+    root = {i: i for i, _ in rows}
+    for n, (i, a) in enumerate(rows):
+        for j, b in rows[n + 1:]:
+            if root[i] != root[j] and jaccard(a, b) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return {i for i in root if root[i] == i}
+
+
+def test_links_hidden_behind_a_far_head_are_found(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        # The same distinct words: one in another order, and two near copies of that.
+        plain = ["g%dw%d" % (g, i) for i in range(300)]
+        other = rng.sample(plain, len(plain))
+        swapped = list(other)
+        swapped[20], swapped[200] = swapped[200], swapped[20]
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((plain, other, swapped))]
+    # A template with over eight fillings, each of which has a near copy that is no copy of the others.
+    frame = ["t%d" % i for i in range(120)]
+    for f in range(12):
+        own = ["f%dw%d" % (f, i) for i in range(60)]
+        copy = list(own)
+        copy[30] = "changed"
+        rows += [(len(rows) + k, " ".join(frame + w)) for k, w in enumerate((own, copy))]
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == stays(rows)
+
+
+def test_groups_in_blocks_ask_about_every_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    size, n = 16, 60
+    base = rng.integers(0, 1 << 32, (6, size), dtype=np.uint32)
+    least = base[rng.integers(0, 6, n)]
+    least[rng.random(least.shape) < 0.12] = 7
+    marks = spark.createDataFrame([(i, bytearray(least[i].tobytes())) for i in range(n)], "node long, least binary")
+    shared = spark.createDataFrame([(1, i) for i in range(n)], "key long, node long")
+    comp = {i: i // 20 * 20 for i in range(n) if i % 20 < 9}
+    roots = spark.createDataFrame(list(comp.items()), "node long, component long")
+    got = [(r.a, r.b) for r in simhash.apart(shared, roots, marks, 0.75, 2.0, block=4).collect()]
+    want = {(i, j) for i in range(n) for j in range(i + 1, n)
+            if comp.get(i, i) != comp.get(j, j) and (least[i] == least[j]).mean() >= 0.75}
+    assert set(got) == want and len(got) == len(want) > 50
