@@ -158,3 +158,20 @@ def test_groups_in_blocks_ask_about_every_pair(spark):
     want = {(i, j) for i in range(n) for j in range(i + 1, n)
             if comp.get(i, i) != comp.get(j, j) and (least[i] == least[j]).mean() >= 0.75}
     assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_the_share_of_shingles_is_exact(spark):
+    rng = random.Random(6)
+    rows, near, far = [], 0, 0
+    for g in range(300):
+        words = ["g%dw%d" % (g, i) for i in range(rng.randint(80, 300))]
+        other = list(words)
+        for k in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.015, 0.035)))):
+            other[k] = "changed%d" % k
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        share = jaccard(rows[-2][1], rows[-1][1])
+        near, far = near + (0.8 <= share < 0.84), far + (0.76 < share < 0.8)
+    assert near > 20 and far > 20
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i for i, _ in rows} - {b[0] for a, b in zip(rows[::2], rows[1::2]) if jaccard(a[1], b[1]) >= 0.8}
+    assert got == want
