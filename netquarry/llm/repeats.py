@@ -75,7 +75,8 @@ class Anchors:
         self.p, self.text = p, text
         self.left = np.minimum(p - self.start[text], LENGTH - K)
         self.right = np.minimum(self.end[text] - p, LENGTH)
-        self.a = grams[p]
+        # Least hashes are small; mixed, they spread evenly over the ranges of the partitions.
+        self.a = mix(grams[p])
         shape = self.left.astype(np.uint64) * np.uint64(1 << 20) + self.right.astype(np.uint64)
         self.c = mix(hashed(p - self.left, p + self.right) ^ mix(shape + np.uint64(1)))
         half = (LENGTH - K) // 2

@@ -91,3 +91,14 @@ def test_suffix_arrays():
 
 def test_empty_table(spark):
     assert repeats.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_anchors_spread_over_the_parts():
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [rng.randbytes(40_000).hex().encode() for _ in range(20)]
+    for parts in (24, 84):
+        at = repeats.cuts(repeats.distinct_of(repeats.all_anchors(texts)).a, parts)
+        held = np.diff(at)
+        assert held.sum() > 5000 and held.max() <= 2 * held.mean()
