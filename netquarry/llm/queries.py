@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, cotrain, fingerprint, katz, lattice, mixing, pii, repeats, simhash, tokens
+from netquarry.llm import bpe, cotrain, fingerprint, katz, langid, lattice, mixing, pii, repeats, simhash, tokens
 from netquarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.predict(read(spark, sf_dir, "documents"))
