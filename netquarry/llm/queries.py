@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, cotrain, fingerprint, katz, langid, lattice, mixing, pii, repeats, simhash, tokens
+from netquarry.llm import bpe, cotrain, fingerprint, katz, langid, lattice, mixing, pii, repeats, simhash, spelling, tokens
 from netquarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their more frequent forms and roots."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 @query
 def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
