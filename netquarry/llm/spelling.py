@@ -6,8 +6,9 @@ states start at once, at every node where the trie branches: there a word either
 that of another edge or skips it. States with one edit then follow edges whose label goes on as their word does,
 level by level, by joins with the edge table; a state that ends at a leaf has found a neighbour.
 
-Of two near words of which the longer has k code points, the first or last floor(k/2) are equal. One trie therefore
-holds the words and one the reversed words, both only from the middle of a word on, where nodes have few edges.
+An edit lies in the second half of a word or in the first half. One trie therefore holds the words and serves the
+former, one holds the reversed words and serves the latter, both only from the middle of a word on, where nodes have
+few edges. Prefixes that lead to one node are equal by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import kept, small_batches
+from netquarry.llm.common import small_batches, stored
 from netquarry.llm.simhash import LOWER
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -66,11 +67,8 @@ def tally(docs: DataFrame, least: int, doc_id: str = "doc_id", text: str = "text
 
 
 def path(word: str, way: int) -> list[tuple[int, int, int]]:
-    """(depth, node, next code point or 0 at the end) from the middle of a word on. Nodes are named by hashes.
-
-    Nodes of one name only lead states astray that the comparison of labels stops.
-    """
-    node, half, out = way, len(word) // 2, []
+    """(depth, node, next code point or 0 at the end) from the middle of a word on."""
+    node, half, out = way, (len(word) + way) // 2, []
     for depth, point in enumerate([*map(ord, word), 0]):
         if depth >= half:
             out.append((depth, node - (1 << 64) if node >> 63 else node, point))
@@ -101,73 +99,96 @@ def places(words: DataFrame) -> DataFrame:
 
 
 def forks(words: DataFrame) -> DataFrame:
-    """id, way, spelled (word or reversed word), word, n, at: its nodes with several edges, by depth, as (depth, node)."""
+    """way, spelled (word or reversed word), n, at: its nodes with several edges, by depth, as (depth, node)."""
     all_ = places(words)
     several = all_.groupBy("node").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("node")
     own = all_.join(several, "node").groupBy("id", "way").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("at"))
-    return own.join(words, "id").select(
-        "id", "way", F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word")).alias("spelled"), "word", "n", "at")
+    return own.join(words, "id").select("way", turned(F.col("word")).alias("spelled"), "n", "at")
+
+
+def turned(text: Column) -> Column:
+    """A word as its trie spells it, or back."""
+    return F.when(F.col("way") == 0, text).otherwise(F.reverse(text))
 
 
-def piece(text: Column, start: Column, length: Column) -> Column:
+def piece(text: Column, start: Column, length: Column | None = None) -> Column:
     """Code points from a place counted from 0."""
-    return F.substring(text, start + 1, length)
+    return F.substring(text, start + 1, F.lit(1 << 30) if length is None else length)
 
 
 def edges(own: DataFrame) -> DataFrame:
-    """node, label, first (its first code point; both empty where a word ends), and child, or the leaf's word and n."""
+    """node, label (empty where a word ends), and the child or the leaf's n; in the partitions of its nodes."""
     after = F.expr("get(at, i + 1)")
-    here = own.select("spelled", "word", "n", "at", F.posexplode("at").alias("i", "here"))
+    here = own.select("spelled", "n", "at", F.posexplode("at").alias("i", "here"))
     size = F.coalesce(after["depth"], F.length("spelled")) - F.col("here.depth")
-    leaf = after["node"].isNull()
-    return here.select(
+    rows = here.select(
         F.col("here.node").alias("node"), piece(F.col("spelled"), F.col("here.depth"), size).alias("label"),
-        after["node"].alias("child"), F.when(leaf, F.col("word")).alias("leaf"), F.when(leaf, F.col("n")).alias("leaf_n"),
-    ).distinct().withColumn("first", F.substring("label", 1, 1))
-
-
-def neighbours(words: DataFrame) -> DataFrame:
-    """a, a_n, b, b_n: every pair of words one edit apart, once, in some order. words: word, n, without repeats."""
-    numbered = kept(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"))
-    own = kept(forks(numbered))
-    trie = kept(edges(own))
-    start = own.select("spelled", "word", "n", F.explode("at").alias("here")).select(
-        "spelled", "word", "n", F.col("here.depth").alias("pos"), F.col("here.node").alias("node"))
-    pos = F.col("pos")
-    at = lambda place: piece(F.col("spelled"), place, F.lit(1))
-    # An edge to a leaf must end with the word.
-    ends = F.col("leaf").isNull() | (F.length("spelled") == pos + F.length("label"))
-
-    def moved(joined: DataFrame) -> DataFrame:
-        return joined.where(ends).select(
-            "spelled", "word", "n", (pos + F.length("label")).alias("pos"), F.col("child").alias("node"), "leaf", "leaf_n")
+        after["node"].alias("child"), F.when(after["node"].isNull(), F.col("n")).alias("leaf_n"))
+    return rows.repartition("node").distinct()
+
+
+def neighbours(words: DataFrame, levels: int = 3) -> DataFrame:
+    """a, a_n, b, b_n: every pair of words one edit apart, once, in some order. words: word, n, without repeats.
+
+    A state is (way, spelled, n, target, pos, node): the word, the word that its edit makes of it, and how far that
+    has been read. So many levels are joined at once before the states are written down.
+    """
+    numbered = stored(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"))
+    own = stored(forks(numbered))
+    trie = stored(edges(own))
+    ahead = trie.select(F.col("node").alias("key"), "label", "child", "leaf_n")
+    pos, spelled, target = F.col("pos"), F.col("spelled"), F.col("target")
+    reads = (piece(target, pos, F.length("label")) == F.col("label")) & (
+        # An edge to a leaf must end with the word.
+        F.col("child").isNotNull() | (F.length(target) == pos + F.length("label")))
+    state = ["way", "spelled", "n", "target", "pos", "node", "target_n"]
+    moved = [(pos + F.length("label")).alias("pos"), F.col("child").alias("node")]
+
+    # Words without an edit stand at every fork of their paths. There the next code point is replaced by a larger
+    # one, so that a pair is met from one side only, or skipped, where the one after it differs from it.
+    size, half = F.length(spelled), F.expr("length(spelled) div 2")
+    start = own.select("way", "spelled", "n", F.explode("at").alias("here")).select(
+        "way", "spelled", "n", F.col("here.depth").alias("pos"), F.col("here.node").alias("key"))
+    here, next_ = piece(spelled, pos, F.lit(1)), piece(spelled, pos + 1, F.lit(1))
+    head, first = F.substring(spelled, F.lit(1), pos), F.substring("label", 1, 1)
+    # A word without one of several equal code points is met at the last of them: by the first trie if that is in
+    # the second half, else by the other one.
+    twice = (F.col("way") == 1) & (F.replace(piece(spelled, size - 1 - half, pos - size + half + 2), here, F.lit("")) == "")
+    edited = F.array(
+        F.when(first > here, F.concat(head, first, piece(spelled, pos + 1))),
+        F.when((first == next_) & ~twice, F.concat(head, piece(spelled, pos + 1))))
+    front = start.where(here != "").join(ahead, "key").where((first != here) & ((first > here) | (first == next_)))
+    front = front.withColumn("target", F.explode(edited)).where(target.isNotNull() & reads)
+    front = front.select("way", "spelled", "n", "target", *moved, F.col("leaf_n").alias("target_n"))
 
     def follow(front: DataFrame) -> DataFrame:
-        joined = front.withColumn("first", at(pos)).join(trie, ["node", "first"])
-        return moved(joined.where(piece(F.col("spelled"), pos, F.length("label")) == F.col("label")))
-
-    # The word's next code point is replaced by a larger one, so that a pair is met from one side only.
-    replaced = moved(start.join(trie, "node").where((F.col("first") > at(pos)) & (at(pos) != "") & (
-        piece(F.col("spelled"), pos + 1, F.length("label") - 1) == F.expr("substring(label, 2)"))))
-    # Or it is skipped, where the next one differs from it.
-    skipped = start.where((at(pos) != "") & (at(pos) != at(pos + 1))).withColumn("pos", pos + 1)
-    found = [kept(replaced.unionByName(follow(skipped)))]
+        """One level further. What has arrived goes along, by keys of its own."""
+        on = front.withColumn("key", F.coalesce("node", F.xxhash64("spelled", "target")))
+        same = (on["key"] == ahead["key"]) & on["node"].isNotNull() & reads
+        joined = on.join(ahead, same, "left").where("node IS NULL OR label IS NOT NULL")
+        going = F.col("label").isNotNull()
+        return joined.select(
+            "way", "spelled", "n", "target", F.when(going, moved[0]).otherwise(pos).alias("pos"),
+            moved[1], F.coalesce("target_n", "leaf_n").alias("target_n"))
+
+    found = []
     while True:  # Labels are not empty, so every level brings states nearer to their words' ends.
-        front = found[-1].where("leaf IS NULL").drop("leaf", "leaf_n")
+        front = stored(reduce(lambda f, _: follow(f), range(levels - 1 if not found else levels), front).select(state))
+        found.append(front.where("node IS NULL"))
+        front = front.where("node IS NOT NULL")
         if front.isEmpty():
             break
-        found.append(kept(follow(front)))
-    return reduce(DataFrame.unionByName, found).where("leaf IS NOT NULL").select(
-        F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("leaf").alias("b"), F.col("leaf_n").alias("b_n")).distinct()
+    return reduce(DataFrame.unionByName, found).select(
+        turned(spelled).alias("a"), F.col("n").alias("a_n"), turned(target).alias("b"), F.col("target_n").alias("b_n"))
 
 
 def last(forms: DataFrame) -> DataFrame:
     """word, root of every row of forms (word, form): where the chain of forms ends. Each round doubles the steps."""
-    now = kept(forms.select("word", F.col("form").alias("root")))
+    now = stored(forms.select("word", F.col("form").alias("root")))
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
         after = now.join(on, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved"))
-        after = kept(after)
+        after = stored(after)
         now = after.drop("moved")
         if after.where("moved").isEmpty():
             return now
@@ -184,14 +205,14 @@ def variants(docs: DataFrame, shortest: int = 5, seldom: int = 3, times: int = 2
     """
     if times <= 1:
         raise ValueError("chains of forms end only if a form is more frequent than the word")
-    words = kept(tally(docs, shortest, doc_id, text).where(F.col("n") >= seldom))
+    words = stored(tally(docs, shortest, doc_id, text).where(F.col("n") >= seldom))
     pairs = neighbours(words)
     sides = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
         F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("near"), F.col("a_n").alias("near_n")),
     )).alias("s")).select("s.*")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))
-    around = kept(sides.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.max("n").alias("n"), best.alias("best")).select(
+    around = stored(sides.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.max("n").alias("n"), best.alias("best")).select(
         "word", "n_near", F.when(-F.col("best.less") >= times * F.col("n"), F.struct(
             F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("f")).select("word", "n_near", "f.form", "f.form_n"))
     roots = last(around.where("form IS NOT NULL"))

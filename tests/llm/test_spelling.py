@@ -54,6 +54,14 @@ def got(spark, rows):
     return {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in found}
 
 
+@pytest.mark.parametrize("alphabet, longest", [("ab", 8), ("abc", 6)])
+def test_every_pair_is_found_once(spark, alphabet, longest):
+    rng = random.Random(9)
+    names = {"".join(rng.choice(alphabet) for _ in range(rng.randint(3, longest))) for _ in range(300)}
+    pairs = [frozenset((r.a, r.b)) for r in spelling.neighbours(spark.createDataFrame([(w, 1) for w in names], "word string, n long")).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {frozenset((a, b)) for a in names for b in names if a < b and near(a, b)}
+
+
 @pytest.mark.parametrize("alphabet, count", [("ab", 60), ("abÀÿ×", 150), ("abcdefgh", 150)])
 def test_equals_brute_force(spark, alphabet, count):
     rng = random.Random(len(alphabet))
