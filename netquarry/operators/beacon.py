@@ -1,8 +1,9 @@
 """Beacon scoring of (source, destination, port) pairs.
 
-Pairs of ordinary size take one exchange by pair: sort by time, lag, aggregate. Pairs above
-``hot_pair_rows`` are split by time slices instead (see ``beacon_hot``), so that no task
-ever holds one of them whole. Both ways give the same numbers.
+Where every pair is small enough for a task, one exchange by pair serves: sort by time, lag,
+aggregate. Where one has more than ``piece_rows`` rows, all pairs go through a segmented scan
+instead (see ``beacon_scan``), which deals rows by range of pair and time, so that tasks are
+even whatever the pairs' sizes. Both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from netquarry.functions.lists import INTERNAL_RANGES
 from netquarry.functions.net import in_networks
 from netquarry.functions.score import clamp01, geomean
-from netquarry.operators import beacon_hot, spectral
+from netquarry.operators import beacon_scan, spectral
 from netquarry.operators.common import CAPTURE, internal_rows, not_internal_rows, top_k
 from netquarry.schemas import FLOW_SCHEMA
 
@@ -37,10 +38,8 @@ class BeaconSpec:
     spectral_weight: float = 0.10
     threshold: float = 0.50
     top_n: int = 20
-    # Size control, without influence on results.
-    hot_pair_rows: int = 1_000_000
-    slice_rows: int = 500_000
-    max_broadcast_pairs: int = 200_000
+    # Rows of a pair that a task may hold at once; without influence on results.
+    piece_rows: int = 1_000_000
 
     @property
     def pair(self) -> list[str]:
@@ -168,39 +167,20 @@ def pair_sizes_from_rollup(rollup: DataFrame) -> DataFrame:
     )
 
 
-def _route(
-    flows: DataFrame, spec: BeaconSpec, sizes: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Split flows into ordinary pairs and oversized ones.
-
-    Fewer than rows / hot_pair_rows pairs can be oversized. Their list is read back only
-    up to ``max_broadcast_pairs``; if there are more, the size limit is doubled until the
-    list fits, which keeps every pair and only makes the largest ordinary ones larger.
-    """
+def fits(flows: DataFrame, spec: BeaconSpec, sizes: DataFrame | None = None) -> bool:
+    """Whether no pair has more than ``piece_rows`` rows; one number decides."""
     counts = pair_sizes(flows, spec) if sizes is None else sizes
-    limit = spec.hot_pair_rows
-    while True:
-        rows = counts.where(F.col("n_rows") > limit).limit(spec.max_broadcast_pairs + 1).collect()
-        if len(rows) <= spec.max_broadcast_pairs:
-            break
-        limit *= 2
-    if not rows:
-        return flows, None
-    hot = flows.sparkSession.createDataFrame(rows, counts.schema)
-    ordinary = flows.join(F.broadcast(hot.select(*spec.pair)), spec.pair, "left_anti")
-    oversized = flows.join(F.broadcast(hot), spec.pair)
-    return ordinary, oversized
+    largest = counts.agg(F.max("n_rows").alias("n")).first()["n"]
+    return largest is None or largest <= spec.piece_rows
 
 
 def beacon_factors(
     flows: DataFrame, spec: BeaconSpec = BeaconSpec(), sizes: DataFrame | None = None
 ) -> DataFrame:
     """Unrounded factors of every pair with enough rows and gaps."""
-    ordinary, oversized = _route(flows, spec, sizes)
-    out = _cold_factors(ordinary, spec, keep_gaps=False)
-    if oversized is not None:
-        out = out.unionByName(beacon_hot.hot_factors(oversized, spec, factor_columns, in_tolerance))
-    return out
+    if fits(flows, spec, sizes):
+        return _cold_factors(flows, spec, keep_gaps=False)
+    return beacon_scan.factors(flows, beacon_scan.time_runs(flows, spec), spec, factor_columns, in_tolerance)
 
 
 def beacon_scores(
@@ -211,22 +191,19 @@ def beacon_scores(
     The bonus is at most ``spectral_weight``, so only pairs within that distance of the
     threshold need a spectrum. This is exact and spares nearly all Python work.
     """
-    ordinary, oversized = _route(flows, spec, sizes)
-    cold = _cold_factors(ordinary, spec, keep_gaps=True)
-    reachable = F.col("geomean") >= spec.threshold - spec.spectral_weight
-    cold = cold.where(reachable)
-    needed = F.col("gap_count") >= spec.min_spectral_gaps
     udf = spectral.spectrum_udf(spec.noise_ratio, spec.full_ratio)
-    in_order = F.transform(F.array_sort("gaps"), lambda g: g["gap"])
-    scored = cold.withColumn("spectrum", udf(F.when(needed, in_order))).select(
-        *spec.pair, *FACTOR_COLUMNS,
-        F.col("spectrum.period").alias("spectral_period_secs"),
-        F.col("spectrum.score").alias("spectral_score"),
-    )
-    if oversized is not None:
-        scored = scored.unionByName(
-            beacon_hot.hot_scores(oversized, spec, factor_columns, in_tolerance)
+    if fits(flows, spec, sizes):
+        near = _cold_factors(flows, spec, keep_gaps=True)
+        near = near.where(F.col("geomean") >= spec.threshold - spec.spectral_weight)
+        needed = F.col("gap_count") >= spec.min_spectral_gaps
+        in_order = F.transform(F.array_sort("gaps"), lambda g: g["gap"])
+        scored = near.withColumn("spectrum", udf(F.when(needed, in_order))).select(
+            *spec.pair, *FACTOR_COLUMNS,
+            F.col("spectrum.period").alias("spectral_period_secs"),
+            F.col("spectrum.score").alias("spectral_score"),
         )
+    else:
+        scored = beacon_scan.scores(flows, spec, factor_columns, in_tolerance, udf)
     bonus = F.col("spectral_score") * spec.spectral_weight
     return scored.withColumn(
         "composite_score", F.least(F.lit(1.0), F.col("geomean") + bonus)

@@ -63,15 +63,15 @@ def gap_nodes(runs: DataFrame, spec) -> tuple[DataFrame, DataFrame]:
     )
     lengths = slices.groupBy(*pair).agg(F.sum("slice_entries").alias("n"))
     ends = nodes.groupBy(*pair).agg(F.min("clock").alias("t0"), F.max("clock").alias("t1"))
-    numbered = Window.orderBy(*pair)  # one row per oversized pair
-    sequences = lengths.join(ends, pair).withColumn("pair_id", F.row_number().over(numbered))
+    # The number is for good once the table is written.
+    sequences = lengths.join(ends, pair).withColumn("pair_id", F.monotonically_increasing_id())
     sequences = sequences.withColumn("dt", (F.col("t1") - F.col("t0")) / (F.col("n") - 1)).where("dt > 0")
     return nodes, sequences
 
 
 def even_samples(nodes: DataFrame, sequences: DataFrame, spec) -> DataFrame:
     """(pair_id, k, x): the gap function on the even grid, k = 0 .. n - 1."""
-    rows = nodes.join(F.broadcast(sequences), spec.pair)
+    rows = nodes.join(sequences, spec.pair)
 
     def grid_from(clock: str):
         return F.ceil((F.col(clock) - F.col("t0")) / F.col("dt")).cast("bigint")
@@ -161,7 +161,7 @@ def inverse_step(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-SIZES = "pair_id int, n bigint, rows bigint, cols bigint"
+SIZES = "pair_id bigint, n bigint, rows bigint, cols bigint"
 
 
 def magnitudes(samples: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -175,8 +175,7 @@ def magnitudes(samples: DataFrame, sequences: DataFrame) -> DataFrame:
         F.expr("shiftleft(1L, CAST(bits DIV 2 AS INT))").alias("rows"),
         F.expr("shiftleft(1L, CAST(bits - bits DIV 2 AS INT))").alias("cols"),
     )
-    # Both tables have one row per oversized pair.
-    plan = F.broadcast(level.where("varies").join(shape, "pair_id"))
+    plan = level.where("varies").join(shape, "pair_id")
     placed = samples.join(plan, "pair_id").select(
         "pair_id", "n", "rows", "cols", "k", (F.col("k") % F.col("cols")).alias("n2"),
         (F.col("x") - F.col("mean")).alias("x"),
@@ -188,7 +187,7 @@ def magnitudes(samples: DataFrame, sequences: DataFrame) -> DataFrame:
         row_step, f"{SIZES}, j1 bigint, k1 bigint, re double, im double"
     )
     return rows.groupBy("pair_id", "j1").applyInPandas(
-        inverse_step, "pair_id int, index bigint, magnitude double"
+        inverse_step, "pair_id bigint, index bigint, magnitude double"
     )
 
 
@@ -201,7 +200,7 @@ def spectra(runs: DataFrame, spec, weighted_median: Callable) -> DataFrame:
     peaks = spectrum.groupBy("pair_id").agg(
         F.max(F.struct("magnitude", (-F.col("index")).alias("low"))).alias("top")
     ).select("pair_id", F.col("top.magnitude").alias("peak"), (-F.col("top.low")).alias("best"))
-    others = spectrum.join(F.broadcast(peaks), "pair_id").where("index <> best").withColumn("w", F.lit(1).cast("bigint"))
+    others = spectrum.join(peaks, "pair_id").where("index <> best").withColumn("w", F.lit(1).cast("bigint"))
     background = weighted_median(others, ["pair_id"], "magnitude", "w").withColumnRenamed("median", "background")
     found = sequences.join(peaks, "pair_id").join(background, "pair_id")
     clear = F.expr("background > 0") & (F.col("peak") >= spec.noise_ratio * F.col("background"))

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.operators import beacon
+from netquarry.operators import beacon, beacon_scan
 from netquarry.operators.beacon import BeaconSpec
 from netquarry.operators.spectral import spectrum_score
 
@@ -166,11 +166,11 @@ SCORE_COLUMNS = (
 )
 
 
-@pytest.mark.parametrize("hot_rows", [10_000, 50, 5])
-def test_scores_equal_brute_force_whatever_the_routing(spark, hot_rows):
+@pytest.mark.parametrize("piece_rows", [10_000, 110, 5])
+def test_scores_equal_brute_force_by_both_ways(spark, piece_rows):
     pairs, sizes = messy_pairs()
     table = conn(spark, *[("c", f"10.0.0.{k}", "1.2.3.4", 443, t, sizes[k]) for k, t in pairs.items()])
-    spec = BeaconSpec(threshold=0.0, hot_pair_rows=hot_rows, slice_rows=11)
+    spec = BeaconSpec(threshold=0.0, piece_rows=piece_rows)
     got = {r.src: r for r in beacon.beacon_scores(beacon.internal_to_external(table), spec).collect()}
     want = {f"10.0.0.{k}": brute_force(t, sizes[k]) for k, t in pairs.items()}
     assert set(got) == {k for k, v in want.items() if v is not None}
@@ -179,15 +179,28 @@ def test_scores_equal_brute_force_whatever_the_routing(spark, hot_rows):
             assert got[src][name] == pytest.approx(expected[name], rel=1e-6, abs=1e-6), (src, name)
 
 
-def test_pair_list_above_its_bound_raises_the_limit(spark):
+def test_factors_are_equal_by_both_ways(spark):
     pairs, sizes = messy_pairs()
     table = conn(spark, *[("c", f"10.0.0.{k}", "1.2.3.4", 443, t, sizes[k]) for k, t in pairs.items()])
     flows = beacon.internal_to_external(table)
-    plain = beacon.beacon_factors(flows, BeaconSpec())
-    tight = beacon.beacon_factors(flows, BeaconSpec(hot_pair_rows=10, slice_rows=20, max_broadcast_pairs=2))
-    order = ["src"]
-    a = plain.orderBy(*order).toPandas().round(6)
-    b = tight.orderBy(*order).toPandas().round(6)
+    a = beacon.beacon_factors(flows, BeaconSpec()).orderBy("src").toPandas().round(6)
+    b = beacon.beacon_factors(flows, BeaconSpec(piece_rows=10)).orderBy("src").toPandas().round(6)
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_a_burst_of_one_pair_is_dealt_evenly(spark):
+    rng = np.random.default_rng(4)
+    spec = BeaconSpec(piece_rows=1000)
+    # 99 % of the pair's rows in ten minutes of a month, a tenth of them at one time; and many small pairs.
+    burst = np.concatenate([BASE + rng.random(17_820) * 600, np.full(1_980, BASE + 300.0), BASE + rng.random(200) * 30 * 86400])
+    small = [("c", f"10.0.1.{k}", "1.2.3.4", 443, BASE + rng.random(20) * 86400, np.full(20, 100)) for k in range(100)]
+    table = conn(spark, ("c", "10.0.0.1", "1.2.3.4", 443, burst, rng.integers(80, 140, len(burst))), *small)
+    flows = beacon.internal_to_external(table)
+    rows = [r["count"] for r in beacon_scan.dealt(flows, spec).groupBy("slice").count().collect()]
+    assert len(rows) == 4 and max(rows) < 1.5 * sum(rows) / 4
+    assert not beacon.fits(flows, spec) and beacon.fits(flows, BeaconSpec())
+    a = beacon.beacon_factors(flows, spec).orderBy("src").toPandas().round(6)
+    b = beacon.beacon_factors(flows, BeaconSpec()).orderBy("src").toPandas().round(6)
     pd.testing.assert_frame_equal(a, b)
 
 
