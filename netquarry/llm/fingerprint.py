@@ -5,18 +5,21 @@ falls into one cell of each of three parts of a table; a cell holds a count, the
 the XOR of their checks. The table of a fixed size is the fingerprint. Two versions are compared by
 subtracting cell from cell, so that common digests vanish; then cells with a single digest left are peeled,
 part after part, which frees others, until the digests that differ are recovered. Where some cells stay,
-a larger table with other hashes is tried, sized by both texts' digests and growing from try to try.
+a larger table with other hashes is tried, sized by both texts' digests and growing from try to try; what the
+last try leaves is compared set by set, so that the likeness is exact in every row.
 
-All steps of a document run beside each other in the task that holds it: rows are dealt once, by ranges of
-256 ids, and every later grouping is within that.
+Texts are dealt once, by ranges of 256 ids, and turned into their digests and those of their edited texts. The
+digests are dealt alike, and every step of a document runs beside the others in the task that holds it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import kept, whole
+from netquarry.llm.common import kept, stored, whole
 
 WORDS = 12
 #: Cells of the fingerprint, and the steps of peeling of a try (each looks at one third of the table).
@@ -123,7 +126,7 @@ def hexed(cells: Column) -> Column:
         cells, lambda c: F.concat(wide(c["n"], 4), wide(c["key"], 16), wide(c["check"], 8))), ""))), "\r\n", "")
 
 
-def compare_versions(docs: DataFrame, tries: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_versions(docs: DataFrame, tries: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text of a document has its last quarter replaced by the beginning of the next document, by
@@ -144,58 +147,57 @@ def compare_versions(docs: DataFrame, tries: int = 6, doc_id: str = "doc_id", te
     ranges = kept(following(base.select((F.col("bucket") - low).alias("k")).distinct(), high - low)).select(
         (F.col("k") + low).alias("bucket"), (F.coalesce("next", F.lit(0)) + low).alias("next"))
 
-    def numbered(more: list[str]) -> DataFrame:
-        """Each row with its number in its range and the next row's text (and a, the text's digests, if asked for)."""
-        rows = dealt
-        if more:
-            # A generator of one row, so that the digests are made once and not again in each use.
-            rows = rows.select("*", F.explode(F.array(digests(F.col("text")))).alias("a"))
-        # The first row of each range goes to the range before it, that of the first range to the last.
-        first = rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(
-            F.col("bucket").alias("next"), F.struct("text", *more).alias("beyond"))
-        border = first.join(ranges, "next").select("bucket", "beyond")
-        return (
-            rows.withColumn("rid", F.row_number().over(order)).withColumn("n_chars", F.length("text").cast("bigint"))
-            .withColumn("lead", F.lead(F.struct("text", *more)).over(order)).join(border, "bucket", "left")
-            .withColumn("next", F.coalesce("lead", "beyond"))
-            .select("bucket", "rid", "doc_id", "n_chars", "text", *more, F.col("next.text").alias("next"),
-                    *(F.col("next.a").alias("x") for _ in more))
-        )
-
-    rows = numbered(["a"])
+    # The first row of each range goes to the range before it, that of the first range to the last.
+    head = dealt.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("bucket").alias("next"), F.col("text").alias("beyond"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substr("next", F.lit(1), quarter))
-    own = ["bucket", "rid"]
-
-    def pairs(r: DataFrame) -> DataFrame:
-        code = lambda p, b: ((F.col("rid") * 2 + p).cast("bigint") * (1 << 32) + F.size("a") + F.size(b)).alias("code")
-        two = F.array(*(F.struct(code(p, b), F.col("a").alias("a"), F.col(b).alias("b")) for p, b in ((0, "e"), (1, "x"))))
-        return r.select("bucket", "rid", "a", "x", F.explode(F.array(digests(edited))).alias("e")).select(
-            "bucket", F.explode(two).alias("p")).select("bucket", "p.*")
-
-    # Few pairs fail; these keep their digests for the next tries, each of which is larger and reads nothing else.
-    key = ["bucket", "code"]
-    first_try = differing(pairs(rows), 0)
-    state = kept(pairs(rows).join(first_try, key).select(
-        *key, "found", "left", *(F.when(F.col("left") > 0, F.col(c)).alias(c) for c in "ab")))
-    result = state.select(*key, "found", "left")
+    # Generators of one row, so that the edited text and the digests are made once and not again in each use.
+    versions = (
+        dealt.withColumn("rid", F.row_number().over(order)).withColumn("n_chars", F.length("text").cast("bigint"))
+        .withColumn("lead", F.lead("text").over(order)).join(head.join(ranges, "next").select("bucket", "beyond"), "bucket", "left")
+        .withColumn("next", F.coalesce("lead", "beyond"))
+        .select("bucket", "rid", "doc_id", "n_chars", "text", F.explode(F.array(edited)).alias("edited"))
+        .select("bucket", "rid", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"))
+    )
+    # From here on texts are sets of digests.
+    rows = stored(versions)
+    own, key = ["bucket", "rid"], ["bucket", "code"]
+    sets = rows.select(*own, "a", "e").repartition("bucket")
+    beyond = rows.where("rid = 1").select(F.col("bucket").alias("next"), F.col("a").alias("beyond")).join(ranges, "next").select("bucket", "beyond")
+    following_a = F.lead("a").over(Window.partitionBy("bucket").orderBy("rid"))
+    triples = sets.withColumn("lead", following_a).join(beyond, "bucket", "left").select(
+        *own, "a", "e", F.coalesce("lead", "beyond").alias("x"))
+    code = lambda p, b: ((F.col("rid") * 2 + p).cast("bigint") * (1 << 32) + F.size("a") + F.size(b)).alias("code")
+    two = F.array(*(F.struct(code(p, b), F.col("a").alias("a"), F.col(b).alias("b")) for p, b in ((0, "e"), (1, "x"))))
+    pairs = triples.select("bucket", F.explode(two).alias("p")).select("bucket", "p.*")
+
+    def tried(pairs: DataFrame, attempt: int) -> DataFrame:
+        """Pairs with what a try finds; those that it leaves keep their digests for the next, larger one."""
+        return stored(pairs.join(differing(pairs, attempt), key).select(
+            *key, "found", "left", *(F.when(F.col("left") > 0, F.col(c)).alias(c) for c in "ab")))
+
+    state = tried(pairs, 0)
+    settled = [state]
     for attempt in range(1, tries):
-        failed = state.where("left > 0")
+        failed = settled[-1].where("left > 0")
         if failed.isEmpty():
             break
-        again = differing(failed.select(*key, "a", "b"), attempt)
-        state = kept(failed.select(*key, "a", "b").join(again, key))
-        result = result.join(state.select(*key, F.col("found").alias("found2"), F.col("left").alias("left2")), key, "left").select(
-            *key, F.coalesce("found2", "found").alias("found"), F.coalesce("left2", "left").alias("left"))
-    # What the last try leaves counts as three cells for a digest.
-    missing = F.col("found") + F.ceil(F.col("left") / 3)
+        settled[-1] = settled[-1].where("left = 0")
+        # Dealt once; every step of peeling is within that.
+        settled.append(tried(failed.select(*key, "a", "b").repartition("bucket"), attempt))
+    # What is still left after the last try is compared set by set.
+    rest = F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))
+    result = reduce(DataFrame.unionByName, (d.select(
+        *key, F.when(F.col("left") > 0, rest).otherwise(F.col("found")).alias("found")) for d in settled))
+    missing = F.col("found")
     by_pair = lambda p: F.max(F.when(pair_of() == p, (both_of() - missing) / (both_of() + missing)))
     near = result.groupBy("bucket", F.shiftright("code", 33).cast("int").alias("rid")).agg(
         by_pair(0).alias("near_edited"), by_pair(1).alias("near_next"))
 
     # The table of fixed size is the fingerprint.
-    versions = F.array(F.struct(F.lit(0).alias("which"), F.col("a").alias("set")), F.struct(F.lit(1).alias("which"), digests(edited).alias("set")))
-    listed = rows.select(*own, F.explode(versions).alias("v")).select(*own, "v.which", F.explode("v.set").alias("d"))
+    both = F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("set")) for i, c in enumerate("ae")))
+    listed = sets.select(*own, F.explode(both).alias("v")).select(*own, "v.which", F.explode("v.set").alias("d"))
     table = cells_of(listed.withColumn("third", F.lit(CELLS // 3).cast("bigint")), own, 1)
     cell = lambda w: F.array_sort(F.collect_list(F.when(F.col(f"n{w}") > 0, F.struct(
         "cell", F.col(f"n{w}").alias("n"), F.col(f"key{w}").alias("key"), F.col(f"check{w}").alias("check")))))
@@ -208,7 +210,7 @@ def compare_versions(docs: DataFrame, tries: int = 6, doc_id: str = "doc_id", te
         return F.when(F.size(c) > 0, hexed(full)).otherwise(F.lit(""))
 
     return (
-        numbered([]).select(*own, "doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"))
+        rows.select(*own, "doc_id", "n_chars", "edited_sha256")
         .join(prints, own, "left").join(near, own, "left")
         .select("doc_id", "n_chars", "edited_sha256",
                 F.coalesce(filled("f0"), F.lit("")).alias("fingerprint"), F.coalesce(filled("f1"), F.lit("")).alias("edited_fingerprint"),
