@@ -9,7 +9,8 @@ spanning tree of its links, not all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import components, kept, small_batches
+from netquarry.llm.blocks import pack_keys, unpack_keys
+from netquarry.llm.common import components, kept, small_batches, stored
 from netquarry.llm.suffixes import mix
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -190,37 +192,73 @@ def bands(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix((mix(runs * mult) * mult).sum(2, dtype=np.uint64) + mix(np.arange(1, count + 1, dtype=np.uint64)))
 
 
-def across(comp: np.ndarray, least: np.ndarray, low: float, high: float) -> Iterator[tuple[int, int, bool]]:
-    """Places x, y of different components that agree at `low` or more, and whether at `high` or more.
+def forest(
+    comp: np.ndarray, least: np.ndarray, low: float, high: float, holds: Callable[[int, int], bool] | None = None,
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges that join components, and the places that remain in doubt.
 
-    Those at `high` or more join their components first, so that only what is still apart is asked about.
+    Places that agree at `high` or more are joined first. Of those at `low` or more that are still apart `holds`
+    decides, one by one as long as they are apart; without it they are returned. There is never an edge more than
+    it takes to join the components.
     """
-    comp, asked = np.unique(comp, return_inverse=True)[1], []
+    comp, edges, asked = np.unique(comp, return_inverse=True)[1], [], [np.empty((2, 0), np.int64)]
+
+    def join(x: int, y: int) -> None:
+        edges.append((x, y))
+        comp[comp == comp[y]] = comp[x]
+
     for x in range(len(comp) - 1):
         other = np.flatnonzero(comp[x + 1:] != comp[x]) + x + 1
         share = (least[other] == least[x]).mean(1)
         for y in other[share >= high].tolist():
             if comp[y] != comp[x]:
-                yield x, y, True
-                comp[comp == comp[y]] = comp[x]
+                join(x, y)
         some = other[(share >= low) & (share < high)]
-        asked.append((np.full(len(some), x), some))
-    for xs, ys in asked:
-        apart = comp[xs] != comp[ys]
-        for x, y in zip(xs[apart].tolist(), ys[apart].tolist()):
-            yield x, y, False
+        asked.append(np.stack([np.full(len(some), x), some]))
+    xs, ys = np.concatenate(asked, axis=1)
+    apart = comp[xs] != comp[ys]
+    xs, ys = xs[apart], ys[apart]
+    if holds is None:
+        return edges, np.unique(np.concatenate([xs, ys]))
+    for x, y in zip(xs.tolist(), ys.tolist()):
+        if comp[x] != comp[y] and holds(x, y):
+            join(x, y)
+    return edges, np.empty(0, np.int64)
+
+
+def by_cell(rows: DataFrame, decide: Callable[[int, list[tuple]], list[tuple]]) -> DataFrame:
+    """What `decide` makes of each cell's rows; the first column names the cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            found: list[tuple] = []
+            for cell, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != now:
+                    found += decide(now, held) if len(held) > 1 else []
+                    now, held = cell, []
+                held.append(row)
+            yield judged(found)
+        if len(held) > 1:
+            yield judged(decide(now, held))
 
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, JUDGED)
 
-def apart(shared: DataFrame, roots: DataFrame, marks: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
-    """Pairs a, b of one band key but different components that agree at `low` or more, and whether they are sure.
+
+def apart(
+    shared: DataFrame, roots: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, similarity: float,
+    low: float, high: float, block: int = BLOCK,
+) -> DataFrame:
+    """Edges a, b that connect what pairs of one band key, but of different components, connect at `similarity`.
 
     shared: key, node. A key's members are those of its first member's component, the base, and the rest. The rest
     is compared with itself and with the base in cells of two blocks, so no task holds a large group and what
-    has come together costs no comparisons with itself.
+    has come together costs no comparisons with itself. A cell is decided by the least hashes where they suffice;
+    where they do not, the doubtful members' shingles come to it, once each, and it decides by them. A cell gives
+    fewer edges than it has members, however many pairs are close.
     """
     named = shared.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     first = named.groupBy("key").agg(F.min("comp").alias("base"), F.max("comp").alias("top")).where("base <> top").drop("top")
-    members = kept(named.join(first, "key").withColumn("rest", F.col("comp") != F.col("base")).drop("base"))
+    members = stored(named.join(first, "key").withColumn("rest", F.col("comp") != F.col("base")).drop("base"))
     blocks = members.groupBy("key").agg(
         F.ceil(F.sum(F.col("rest").cast("int")) / block).cast("int").alias("r"),
         F.ceil(F.sum((~F.col("rest")).cast("int")) / block).cast("int").alias("b"))
@@ -233,29 +271,40 @@ def apart(shared: DataFrame, roots: DataFrame, marks: DataFrame, low: float, hig
     )).otherwise(F.transform(upto("r"), lambda t: cell(1, t, salt("b"))))
     rows = members.join(blocks, "key").select("node", "comp", F.col("key").alias("k"), F.explode(cells).alias("c")).select(
         F.xxhash64("k", "c.kind", "c.i", "c.j").alias("cell"), "node", "comp")
-    rows = rows.join(marks.select("node", "least"), "node").select("cell", "node", "comp", "least")
-    rows = rows.repartition("cell").sortWithinPartitions("cell")
+    least = marks.select("node", "least")
 
-    def pairs(rows_: list) -> Iterator[tuple[int, int, bool]]:
-        node, comp, least = zip(*rows_)
-        least = np.frombuffer(b"".join(least), np.uint32).reshape(len(node), -1)
-        for x, y, sure in across(np.array(comp, np.int64), least, low, high):
-            yield min(node[x], node[y]), max(node[x], node[y]), sure
+    def by_least(cell_: int, rows_: list[tuple]) -> list[tuple]:
+        node, comp, marked = zip(*rows_)
+        edges, doubt = forest(np.array(comp, np.int64), np.frombuffer(b"".join(marked), np.uint32).reshape(len(node), -1), low, high)
+        return [(node[x], node[y], True) for x, y in edges] + [(cell_, node[x], False) for x in doubt.tolist()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, found = None, [], []
+    def by_shingles(_: int, rows_: list[tuple]) -> list[tuple]:
+        node, comp, marked, packed, size = zip(*rows_)
+        sets = lru_cache(64)(lambda x: unpack_keys(packed[x], size[x]) if size[x] else np.empty(0, np.uint64))
+
+        def holds(x: int, y: int) -> bool:
+            both = len(np.intersect1d(sets(x), sets(y), assume_unique=True))
+            return both >= similarity * (size[x] + size[y] - both)
+
+        edges, _ = forest(np.array(comp, np.int64), np.frombuffer(b"".join(marked), np.uint32).reshape(len(node), -1), low, high, holds)
+        return [(node[x], node[y], True) for x, y in edges]
+
+    found = stored(by_cell(rows.join(least, "node").select("cell", "node", "comp", "least"), by_least))
+    doubtful = found.where("NOT sure").select(F.col("a").alias("cell"), F.col("b").alias("node"))
+    # As a table the nodes have a known size, by which Spark decides whether the texts must move to meet them.
+    wanted = stored(doubtful.select("node").distinct())
+    bodies = texts.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell_, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if cell_ != now:
-                    found += pairs(held) if len(held) > 1 else []
-                    now, held = cell_, []
-                held.append(row)
-            yield judged(found)
-            found = []
-        if len(held) > 1:
-            yield judged(list(pairs(held)))
+            sets = [grams(t, shingle) for t in batch.column(1).to_pylist()]
+            packed = [pack_keys(s) if len(s) else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["node", "shingles", "size"])
 
-    return rows.mapInArrow(run, JUDGED).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    full = doubtful.join(bodies.mapInArrow(shingled, "node bigint, shingles binary, size bigint"), "node").join(least, "node")
+    full = full.join(roots, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("comp"), "least", "shingles", "size")
+    return found.where("sure").select("a", "b").unionByName(by_cell(full, by_shingles).select("a", "b")).distinct()
 
 
 def holding(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -264,7 +313,7 @@ def holding(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     pairs: a, b, sure. texts: node, text, with repeats.
     """
     unsure = pairs.where("NOT sure").select("a", "b")
-    nodes = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = stored(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     bodies = texts.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     body = lambda c: bodies.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
 
@@ -293,8 +342,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, size
     """The rows of docs without near-duplicates: of each group the row with the smallest id stays.
 
     Texts are linked if the sets of their word shingles agree at `similarity` or more. Candidates have one of the runs
-    of ROWS least hashes in common (of pairs at 0.8 all but 0.00005). Each run's texts are asked about its first one,
-    then about all that this has not brought together with them. What `size` least hashes
+    of ROWS least hashes in common (of pairs at 0.8 all but 0.00005). Each text is asked about the first one of its
+    runs; then all of a run are compared that this has not brought together. What `size` least hashes
     estimate within MARGIN of the similarity is decided by the sets themselves.
     Equal texts fall together first, blank ones too. Of rows with equal id and text one stays; rows without an id go
     only where another copy has one.
@@ -328,16 +377,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, size
     keyed = marks.mapInArrow(keys, "key bigint, node bigint")
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
     shared = kept(keyed.join(heads, "key"))
-    asked = shared.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    # Every text is asked about one head, the least of its runs'; the rest is for `apart`.
+    asked = shared.groupBy("node").agg(F.min("head").alias("head")).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
     mark = lambda c: marks.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}"))
     stars = asked.join(mark("a"), "a").join(mark("b"), "b").select("a", "b", "least_a", "least_b").mapInArrow(agree, JUDGED)
     near = kept(holding(kept(stars), texts, shingle, similarity))
-    rest = apart(shared.select("key", "node"), components(near), marks, low, high)
-    edges = near.unionByName(holding(kept(rest), texts, shingle, similarity))
-    roots = components(edges)
+    rest = apart(shared.select("key", "node"), components(near), marks, texts, shingle, similarity, low, high)
+    roots = components(near.unionByName(rest))
     rooted = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.coalesce("first", F.lit(0)).alias("first"), "node")).alias("k"))
-    keepers = kept(keepers.select(F.when(~F.col("k.none"), F.col("k.first")).alias("id"), F.col("k.node").alias("node")))
+    keepers = stored(keepers.select(F.when(~F.col("k.none"), F.col("k.first")).alias("id"), F.col("k.node").alias("node")))
     hashed = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = F.col("__node").eqNullSafe(F.col("node")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("id"))
     out = hashed.join(keepers, same, "left_semi")

@@ -142,22 +142,54 @@ def test_links_hidden_behind_a_far_head_are_found(spark):
     assert got == stays(rows)
 
 
-def test_groups_in_blocks_ask_about_every_pair(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    size, n = 16, 60
-    base = rng.integers(0, 1 << 32, (6, size), dtype=np.uint32)
-    least = base[rng.integers(0, 6, n)]
-    least[rng.random(least.shape) < 0.12] = 7
-    marks = spark.createDataFrame([(i, bytearray(least[i].tobytes())) for i in range(n)], "node long, least binary")
-    shared = spark.createDataFrame([(1, i) for i in range(n)], "key long, node long")
-    comp = {i: i // 20 * 20 for i in range(n) if i % 20 < 9}
+def components_of(nodes, links):
+    root = {i: i for i in nodes}
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def apart(spark, texts, comp, block=256):
+    marks = [(i, bytearray(simhash.traits(t, 5, 128))) for i, t in texts]
+    table = spark.createDataFrame(texts, "node long, text string")
     roots = spark.createDataFrame(list(comp.items()), "node long, component long")
-    got = [(r.a, r.b) for r in simhash.apart(shared, roots, marks, 0.75, 2.0, block=4).collect()]
-    want = {(i, j) for i in range(n) for j in range(i + 1, n)
-            if comp.get(i, i) != comp.get(j, j) and (least[i] == least[j]).mean() >= 0.75}
-    assert set(got) == want and len(got) == len(want) > 50
+    shared = spark.createDataFrame([(1, i) for i, _ in texts], "key long, node long")
+    found = simhash.apart(shared, roots, spark.createDataFrame(marks, "node long, least binary"), table, 5, 0.8, 0.66, 0.94, block=block)
+    return [(r.a, r.b) for r in found.collect()]
+
+
+def test_groups_in_blocks_are_joined_like_all_pairs(spark):
+    rng = random.Random(3)
+    bases = [["b%dw%d" % (b, i) for i in range(200)] for b in range(8)]
+    texts = []
+    for i in range(70):
+        words = list(rng.choice(bases))
+        for k in rng.sample(range(200), rng.choice([0, 1, 3, 4, 5, 6])):
+            words[k] = "c%dw%d" % (rng.randrange(3), k)
+        texts.append((i, " ".join(words)))
+    comp = {i: 0 for i in range(0, 70, 9)}
+    given = [(0, i) for i in comp]
+    close = [(i, j) for i, a in texts for j, b in texts if i < j and jaccard(a, b) >= 0.8]
+    want = components_of(range(70), given + close)
+    assert 8 <= len(set(want.values())) < 60
+    for block in (4, 256):
+        got = apart(spark, texts, comp, block)
+        assert all(jaccard(texts[a][1], texts[b][1]) >= 0.8 for a, b in got)
+        assert components_of(range(70), given + got) == want
+
+
+def test_a_template_gives_no_more_edges_than_texts(spark):
+    rng = random.Random(5)
+    frame = ["t%d" % i for i in range(200)]
+    for n in (100, 200, 400):
+        # Fillings share some 0.6 to 0.8 of their shingles, which the least hashes cannot tell from 0.8.
+        texts = [(i, " ".join(frame + ["f%dw%d" % (i, k) for k in range(rng.randint(24, 48))])) for i in range(n)]
+        got = apart(spark, texts, {})
+        close = [(i, j) for i, a in texts[:60] for j, b in texts[:60] if i < j and jaccard(a, b) >= 0.8]
+        assert len(got) < n
+        root = components_of(range(n), got)
+        assert all(root[i] == root[j] for i, j in close) and all(jaccard(texts[a][1], texts[b][1]) >= 0.8 for a, b in got)
 
 
 def test_the_share_of_shingles_is_exact(spark):
