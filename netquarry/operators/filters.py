@@ -1,6 +1,6 @@
 """Display-filter texts for a packet viewer, filled with the values of each capture.
 
-Templates are small tables joined by technique or by signal; placeholders are replaced in
+Templates are constant arrays, chosen by technique or by signal; placeholders are replaced in
 Spark. Internal hosts are written as the internal networks, which covers the same
 addresses and keeps a filter short whatever the size of the network.
 """
@@ -16,7 +16,6 @@ from netquarry.functions.lists import INTERNAL_RANGES
 from netquarry.functions.net import is_external
 from netquarry.operators.common import CAPTURE, top_k
 from netquarry.operators.scoring import REPORT_THRESHOLD
-from netquarry.session import local_table
 
 QUICK, VICTIM, FINDING, ADDRESS, DOMAIN, PROTOCOL, COMBINED, TIME, BEACON = range(9)
 
@@ -257,18 +256,44 @@ def external_addresses(talkers: DataFrame, transfers: DataFrame) -> DataFrame:
     ).distinct()
 
 
+PLACEHOLDERS = ("victim", "scanner", "dc", "dc_addr", "dc_dst", "targets", "domains3")
+
+
 def _fill(template: Column) -> Column:
     """Replace the placeholders; a placeholder without a value makes the filter null."""
     out = template
-    for name in ("victim", "scanner", "dc", "dc_addr", "dc_dst", "targets", "domains3"):
+    for name in PLACEHOLDERS:
         out = F.when(out.contains("{" + name + "}"), F.replace(out, F.lit("{" + name + "}"), F.col(name))).otherwise(out)
     return out
 
 
-def _joined(rows: DataFrame, text: Column, k: int, sep: str, name: str) -> DataFrame:
-    """First k rows per capture as one text; rows carry their order in ``at``."""
-    entries = F.array_sort(F.collect_list(F.when(F.col("at") <= k, F.struct("at", text.alias("t")))))
-    return rows.groupBy(CAPTURE).agg(F.array_join(F.transform(entries, lambda e: e["t"]), sep).alias(name))
+def _facts(df: DataFrame, kind: str, at: Column | None = None, a: Column | None = None, b: Column | None = None, port: Column | None = None) -> DataFrame:
+    none = F.lit(None)
+    return df.select(
+        CAPTURE, F.lit(kind).alias("kind"), (F.lit(0) if at is None else at).cast("int").alias("at"),
+        (none if a is None else a).cast("string").alias("a"), (none if b is None else b).cast("string").alias("b"),
+        (none if port is None else port).cast("int").alias("port"))
+
+
+def _row(section: int, at: Column, label: Column, text: Column, ttp: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"), (F.lit("") if ttp is None else ttp).alias("ttp_id"),
+        at.cast("int").alias("at"), label.alias("label"), text.alias("text"))
+
+
+def _table(section: int, entries: list[tuple[str, str, str]], ttp: bool = False) -> Column:
+    """Rows (key, label, text) as one constant array, numbered from 1."""
+    return F.array(*(
+        F.struct(F.lit(key).alias("key"), _row(section, F.lit(i), F.lit(label), F.lit(text), F.lit(key) if ttp else None).alias("row"))
+        for i, (key, label, text) in enumerate(entries, 1)))
+
+
+def _of_keys(table: Column, keys: Column) -> Column:
+    return F.transform(F.filter(table, lambda t: F.array_contains(keys, t["key"])), lambda t: t["row"])
+
+
+def _flat(templates: dict) -> list[tuple[str, str, str]]:
+    return [(key, label, text) for key, entries in templates.items() for label, text in entries]
 
 
 def display_filters(
@@ -287,148 +312,101 @@ def display_filters(
     """(capture_id, section, ttp_id, at, label, filter) rows.
 
     victims from report.primary_victim, controllers from report.controller, scans and
-    parents are the ranked top lists, scan_targets the scan evidence.
+    parents are the ranked top lists, scan_targets the scan evidence. Facts of all inputs
+    meet once, in one row a capture with short lists; all templates are filled from that row.
     """
-    spark = signals.sparkSession
-    domains = top_k(
-        parents.where("fqdn_count > 10").select(CAPTURE, F.col("parent").alias("domain"), "position"),
-        [CAPTURE], [F.asc("position")], 20, rank="at",
-    ).select(CAPTURE, "domain", "at")
-    named = F.concat(F.lit('dns.qry.name contains "'), F.col("domain"), F.lit('"'))
-    base = signals.select(CAPTURE).join(victims, CAPTURE, "left")
-    scanner = scans.where("position = 1").select(CAPTURE, F.col("src").alias("found_scanner"))
-    base = base.join(scanner, CAPTURE, "left")
+    def moment(c: str) -> Column:
+        return F.date_format(F.timestamp_seconds(c), "MMM dd, yyyy HH:mm:ss")
+
+    window = captures.where("start_ts IS NOT NULL").select(CAPTURE, F.posexplode(F.array(
+        F.format_string('frame.time >= "%s" && frame.time <= "%s"', moment("start_ts"), moment("end_ts")),
+        F.format_string('frame.time >= "%s" && frame.time_relative <= 600', moment("start_ts")),
+        F.format_string("frame.time_relative >= %d", F.greatest(F.lit(0), F.floor("duration_secs") - 600)),
+    )).alias("i", "text"))
+    counts = {k: F.col(k) for k in PROTOCOL_FILTERS if k in signals.columns}
+    counts["directory_packet_count"] = F.expr("ldap_packet_count + cldap_packet_count")
+    seen = F.array_compact(F.array(F.lit(""), *(F.when(n > 0, F.lit(k)) for k, n in counts.items())))
+    # Only as many addresses as a reader of the filters looks at, A-Z.
+    addresses = top_k(external_addresses(talkers, transfers), [CAPTURE], [F.asc("ip")], 15, rank="at")
+    facts = [
+        _facts(signals.select(CAPTURE, F.explode(seen).alias("k")), "signal", a=F.col("k")),
+        _facts(findings.where(F.col("score") >= REPORT_THRESHOLD), "fired", a=F.col("ttp_id")),
+        _facts(victims, "victim", a=F.col("victim")),
+        _facts(scans.where("position = 1"), "scanner", a=F.col("src")),
+        _facts(parents.where("fqdn_count > 10"), "domain", F.col("position"), F.col("parent")),
+        _facts(addresses, "ip", F.col("at"), F.col("ip")),
+        _facts(window, "time", F.col("i"), F.col("text")),
+    ]
     if controllers is not None:
-        base = base.join(controllers, CAPTURE, "left")
-    else:
-        base = base.withColumn("dc", F.lit(None).cast("string"))
+        facts.append(_facts(controllers, "dc", a=F.col("dc")))
     if scan_targets is not None:
-        first = F.transform(
-            F.slice("unique_dst_hosts_sample", 1, 5), lambda h: F.concat(F.lit("ip.addr == "), h)
-        )
-        base = base.join(
-            scan_targets.select(CAPTURE, F.nullif(F.array_join(first, " || "), F.lit("")).alias("targets")),
-            CAPTURE, "left",
-        )
-    else:
-        base = base.withColumn("targets", F.lit(None).cast("string"))
-    base = base.join(_joined(domains, named, 3, " || ", "domains3"), CAPTURE, "left")
-    victim = F.coalesce("victim", F.lit("VICTIM_IP"))
-    context = base.select(
-        CAPTURE,
-        victim.alias("victim"),
-        F.coalesce("found_scanner", victim).alias("scanner"),
-        "dc",
-        F.coalesce(F.concat(F.lit(" && ip.addr == "), "dc"), F.lit("")).alias("dc_addr"),
-        F.coalesce(F.concat(F.lit(" && ip.dst == "), "dc"), F.lit("")).alias("dc_dst"),
-        "targets",
-        "domains3",
-    )
-
-    def rows(df: DataFrame, section: int, at: Column, label: Column, text: Column, ttp: Column | None = None):
-        return df.select(
-            CAPTURE,
-            F.lit(section).alias("section"),
-            (F.lit("") if ttp is None else ttp).alias("ttp_id"),
-            at.cast("int").alias("at"),
-            label.alias("label"),
-            text.alias("filter"),
-        )
-
-    def fixed(df: DataFrame, section: int, templates) -> DataFrame:
-        items = F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), F.lit(text).alias("text"))
-            for i, (label, text) in enumerate(templates, 1)
-        ])
-        wide = df.select(*context.columns, F.inline(items))
-        return rows(wide, section, F.col("i"), F.col("label"), _fill(F.col("text")))
-
-    def keyed(df: DataFrame, key: str, section: int, templates: dict) -> DataFrame:
-        flat, i = [], 0
-        for name, entries in templates.items():
-            for label, text in entries:
-                i += 1
-                flat.append({key: name, "i": i, "label": label, "text": text})
-        table = local_table(spark, flat, f"{key} string, i int, label string, text string")
-        wide = df.join(table, key).join(context, CAPTURE)
-        ttp = F.col(key) if key == "ttp_id" else None
-        return rows(wide, section, F.col("i"), F.col("label"), _fill(F.col("text")), ttp)
-
-    fired = findings.where(F.col("score") >= REPORT_THRESHOLD).select(CAPTURE, "ttp_id")
-    counts = signals.withColumn(
-        "directory_packet_count", F.expr("ldap_packet_count + cldap_packet_count")
-    )
-    kinds = list(PROTOCOL_FILTERS)
-    protocols = (
-        counts.select(CAPTURE, *kinds).unpivot([CAPTURE], kinds, "source", "n").where("n > 0").select(CAPTURE, "source")
-    )
-
-    # Only as many as a reader of the filters looks at, A-Z.
-    addresses = top_k(external_addresses(talkers, transfers), [CAPTURE], [F.asc("ip")], 15, rank="at")
-    per_ip = addresses.join(context.select(CAPTURE, "victim"), CAPTURE)
-    each_ip = F.concat(F.lit("ip.addr == "), F.col("ip"))
-    all_ips = _joined(addresses, each_ip, 10, " || ", "any_ip").join(context.select(CAPTURE, "victim"), CAPTURE)
-    any_domain = _joined(domains, named, 5, " || ", "any_domain")
-    fired_ids = fired.groupBy(CAPTURE).agg(F.collect_set("ttp_id").alias("fired"))
-    combined = context.join(fired_ids, CAPTURE, "left")
-    none = F.array().cast("array<string>")
-    items = F.array(*[
-        F.when(
-            F.lit(True) if not ids else F.arrays_overlap(F.coalesce("fired", none), F.array(*[F.lit(t) for t in ids])),
-            F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), F.lit(text).alias("text")),
-        )
-        for i, (ids, label, text) in enumerate(COMBINED_FILTERS, 1)
-    ])
-    combined = combined.select(*context.columns, F.inline(F.array_compact(items)))
+        first = F.transform(F.slice("unique_dst_hosts_sample", 1, 5), lambda h: F.concat(F.lit("ip.addr == "), h))
+        facts.append(_facts(scan_targets, "targets", a=F.nullif(F.array_join(first, " || "), F.lit(""))))
+    if beacons is not None:
+        facts.append(_facts(beacons.where("position <= 5"), "beacon", *map(F.col, ("position", "src", "dst", "port"))))
 
-    def moment(c: str) -> Column:
-        return F.date_format(F.timestamp_seconds(c), "MMM dd, yyyy HH:mm:ss")
+    def one(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("a")))
 
-    window = captures.where("start_ts IS NOT NULL").select(
-        CAPTURE,
-        F.format_string('frame.time >= "%s" && frame.time <= "%s"', moment("start_ts"), moment("end_ts")).alias("full"),
-        F.format_string('frame.time >= "%s" && frame.time_relative <= 600', moment("start_ts")).alias("head"),
-        F.format_string(
-            "frame.time_relative >= %d", F.greatest(F.lit(0), F.floor("duration_secs") - 600)
-        ).alias("tail"),
-    )
-    times = window.select(CAPTURE, F.posexplode(F.array("full", "head", "tail")).alias("i", "text"))
-    time_labels = F.array(*[F.lit(x) for x in ("whole capture", "first 10 minutes", "last 10 minutes")])
+    def several(kind: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "a", "b", "port")))).alias(kind)
+
+    kinds = ("signal", "fired", "domain", "ip", "time", "beacon")
+    met = reduce(DataFrame.unionByName, facts).groupBy(CAPTURE).agg(
+        *(several(k) for k in kinds), *(one(k).alias(f"found_{k}") for k in ("victim", "scanner", "dc", "targets")))
+    named = lambda d: F.concat(F.lit('dns.qry.name contains "'), d["a"], F.lit('"'))
+    victim, dc = F.coalesce("found_victim", F.lit("VICTIM_IP")), F.col("found_dc")
+    joined = lambda items, k, each: F.nullif(F.array_join(F.transform(F.slice(items, 1, k), each), " || "), F.lit(""))
+    each_ip = lambda x: F.concat(F.lit("ip.addr == "), x["a"])
+    context = met.select(
+        CAPTURE, *kinds, victim.alias("victim"), F.coalesce("found_scanner", victim).alias("scanner"), dc.alias("dc"),
+        F.coalesce(F.concat(F.lit(" && ip.addr == "), dc), F.lit("")).alias("dc_addr"),
+        F.coalesce(F.concat(F.lit(" && ip.dst == "), dc), F.lit("")).alias("dc_dst"),
+        F.col("found_targets").alias("targets"), F.slice("domain", 1, 20).alias("domains"),
+        joined("domain", 3, named).alias("domains3"),
+        F.transform("fired", lambda f: f["a"]).alias("ids"), F.transform("signal", lambda f: f["a"]).alias("sources"))
 
-    parts = [
-        fixed(context, QUICK, QUICK_FILTERS),
-        fixed(context, VICTIM, VICTIM_FILTERS),
-        keyed(fired, "ttp_id", FINDING, FINDING_FILTERS),
-        rows(
-            domains.where("at <= 3").join(fired.where(F.col("ttp_id").isin(*DOMAIN_TECHNIQUES)), CAPTURE),
-            FINDING, F.col("at") + 1000, F.concat(F.lit("suspicious domain "), F.col("domain")), named, F.col("ttp_id"),
-        ),
-        rows(per_ip, ADDRESS, F.col("at") * 2 - 1, F.concat(F.lit("traffic of "), F.col("ip")), each_ip),
-        rows(per_ip, ADDRESS, F.col("at") * 2, F.concat(F.lit("victim to "), F.col("ip")),
-             F.format_string("ip.src == %s && ip.dst == %s", "victim", "ip")),
-        rows(all_ips, ADDRESS, F.lit(1000), F.lit("all suspicious addresses"),
-             F.format_string("(%s) && ip.addr == %s", "any_ip", "victim")),
-        rows(domains.where("at <= 10"), DOMAIN, F.col("at"), F.concat(F.lit("lookups below "), F.col("domain")), named),
-        rows(any_domain, DOMAIN, F.lit(1000), F.lit("all suspicious domains"), F.col("any_domain")),
-        keyed(protocols, "source", PROTOCOL, PROTOCOL_FILTERS),
-        rows(combined, COMBINED, F.col("i"), F.col("label"), _fill(F.col("text"))),
-        rows(times, TIME, F.col("i") + 1, F.get(time_labels, F.col("i")), F.col("text")),
-        rows(signals.where("drsuapi_packet_count > 0"), QUICK, F.lit(100), F.lit("replication"), F.lit("drsuapi")),
-        rows(domains.where("at = 1"), QUICK, F.lit(101), F.lit("suspicious domain"), named),
+    # A capture without a signal row has no section that speaks of its victim.
+    known = F.size("signal") > 0
+    ids, domains = F.col("ids"), F.col("domains")
+    always = F.array(F.lit(""))
+    combined = F.array(*(
+        F.struct(F.array(*map(F.lit, ttps)).cast("array<string>").alias("ttps"), _row(COMBINED, F.lit(i), F.lit(label), F.lit(text)).alias("row"))
+        for i, (ttps, label, text) in enumerate(COMBINED_FILTERS, 1)))
+    time_labels = F.array(*[F.lit(x) for x in ("whole capture", "first 10 minutes", "last 10 minutes")])
+    at_domain = lambda d, i, section, at, label, ttp=None: _row(section, at, F.concat(F.lit(label), d["a"]), named(d), ttp)
+    by_victim = [
+        _of_keys(_table(QUICK, [("", *t) for t in QUICK_FILTERS]), always),
+        _of_keys(_table(VICTIM, [("", *t) for t in VICTIM_FILTERS]), always),
+        _of_keys(_table(FINDING, _flat(FINDING_FILTERS), ttp=True), ids),
+        F.transform("ip", lambda x: _row(ADDRESS, x["at"] * 2 - 1, F.concat(F.lit("traffic of "), x["a"]), each_ip(x))),
+        F.transform("ip", lambda x: _row(ADDRESS, x["at"] * 2, F.concat(F.lit("victim to "), x["a"]),
+                                         F.concat(F.lit("ip.src == "), F.col("victim"), F.lit(" && ip.dst == "), x["a"]))),
+        F.array(_row(ADDRESS, F.lit(1000), F.lit("all suspicious addresses"),
+                     F.concat(F.lit("("), joined("ip", 10, each_ip), F.lit(") && ip.addr == "), F.col("victim")))),
+        _of_keys(_table(PROTOCOL, _flat(PROTOCOL_FILTERS)), F.col("sources")),
+        F.transform(F.filter(combined, lambda c: (F.size(c["ttps"]) == 0) | F.arrays_overlap(c["ttps"], ids)), lambda c: c["row"]),
     ]
-    if beacons is not None:
-        pair = F.format_string("ip.src == %s && ip.dst == %s", "src", "dst")
-        listed = beacons.where("position <= 5").join(context.select(CAPTURE, "victim"), CAPTURE)
-        first = (F.col("position") - 1) * 4
-        label = F.format_string("%s to %s:%d", "src", "dst", "port")
-        parts += [
-            rows(beacons.where("position = 1"), QUICK, F.lit(102), F.lit("best beacon"), pair),
-            rows(listed, BEACON, first + 1, F.concat(F.lit("all traffic "), label), pair),
-            rows(listed, BEACON, first + 2, F.concat(F.lit("beacon channel "), label),
-                 F.concat(pair, F.format_string(" && tcp.dstport == %d", "port"))),
-            rows(listed, BEACON, first + 3, F.concat(F.lit("outbound of "), F.col("src")),
-                 F.format_string("ip.src == %s && !ip.dst == %s", "src", "victim")),
-            rows(listed, BEACON, first + 4, F.concat(F.lit("same port, any target "), label),
-                 F.format_string("ip.src == %s && tcp.dstport == %d", "src", "port")),
-        ]
-    return reduce(lambda a, b: a.unionByName(b), parts).where("filter <> ''")
+    pair = lambda x: F.concat(F.lit("ip.src == "), x["a"], F.lit(" && ip.dst == "), x["b"])
+    called = lambda text, x: F.concat(F.lit(text), x["a"], F.lit(" to "), x["b"], F.lit(":"), x["port"].cast("string"))
+    port = lambda x: F.concat(F.lit(" && tcp.dstport == "), x["port"].cast("string"))
+    source = lambda x: F.concat(F.lit("ip.src == "), x["a"])
+    by_victim.append(F.flatten(F.transform("beacon", lambda x: F.array(
+        _row(BEACON, x["at"] * 4 - 3, called("all traffic ", x), pair(x)),
+        _row(BEACON, x["at"] * 4 - 2, called("beacon channel ", x), F.concat(pair(x), port(x))),
+        _row(BEACON, x["at"] * 4 - 1, F.concat(F.lit("outbound of "), x["a"]), F.concat(source(x), F.lit(" && !ip.dst == "), F.col("victim"))),
+        _row(BEACON, x["at"] * 4, called("same port, any target ", x), F.concat(source(x), port(x))),
+    ))))
+    others = [
+        F.flatten(F.transform(F.array_intersect(ids, F.array(*map(F.lit, DOMAIN_TECHNIQUES))), lambda t: F.transform(
+            F.slice(domains, 1, 3), lambda d, i: at_domain(d, i, FINDING, i + 1001, "suspicious domain ", t)))),
+        F.transform(F.slice(domains, 1, 10), lambda d, i: at_domain(d, i, DOMAIN, i + 1, "lookups below ")),
+        F.array(_row(DOMAIN, F.lit(1000), F.lit("all suspicious domains"), joined("domains", 5, named))),
+        F.transform("time", lambda t: _row(TIME, t["at"] + 1, F.get(time_labels, t["at"]), t["a"])),
+        F.when(F.array_contains("sources", "drsuapi_packet_count"), F.array(_row(QUICK, F.lit(100), F.lit("replication"), F.lit("drsuapi")))),
+        F.transform(F.slice(domains, 1, 1), lambda d: _row(QUICK, F.lit(101), F.lit("suspicious domain"), named(d))),
+        F.transform(F.filter("beacon", lambda x: x["at"] == 1), lambda x: _row(QUICK, F.lit(102), F.lit("best beacon"), pair(x))),
+    ]
+    items = F.flatten(F.array_compact(F.array(*(F.when(known, p) for p in by_victim), *others)))
+    wide = context.select(CAPTURE, *PLACEHOLDERS, F.inline(items))
+    return wide.select(CAPTURE, "section", "ttp_id", "at", "label", _fill(F.col("text")).alias("filter")).where("filter <> ''")
