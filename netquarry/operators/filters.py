@@ -259,12 +259,14 @@ def external_addresses(talkers: DataFrame, transfers: DataFrame) -> DataFrame:
 PLACEHOLDERS = ("victim", "scanner", "dc", "dc_addr", "dc_dst", "targets", "domains3")
 
 
+#: Stands for a value that is not known.
+UNKNOWN = "{}"
+
+
 def _fill(template: Column) -> Column:
-    """Replace the placeholders; a placeholder without a value makes the filter null."""
-    out = template
-    for name in PLACEHOLDERS:
-        out = F.when(out.contains("{" + name + "}"), F.replace(out, F.lit("{" + name + "}"), F.col(name))).otherwise(out)
-    return out
+    """Replace the placeholders; UNKNOWN remains where one has no value."""
+    return reduce(
+        lambda out, name: F.replace(out, F.lit("{" + name + "}"), F.coalesce(name, F.lit(UNKNOWN))), PLACEHOLDERS, template)
 
 
 def _facts(df: DataFrame, kind: str, at: Column | None = None, a: Column | None = None, b: Column | None = None, port: Column | None = None) -> DataFrame:
@@ -409,4 +411,5 @@ def display_filters(
     ]
     items = F.flatten(F.array_compact(F.array(*(F.when(known, p) for p in by_victim), *others)))
     wide = context.select(CAPTURE, *PLACEHOLDERS, F.inline(items))
-    return wide.select(CAPTURE, "section", "ttp_id", "at", "label", _fill(F.col("text")).alias("filter")).where("filter <> ''")
+    filled = wide.select(CAPTURE, "section", "ttp_id", "at", "label", _fill(F.col("text")).alias("filter"))
+    return filled.where((F.col("filter") != "") & ~F.col("filter").contains(UNKNOWN))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions.lists import SAFE_DOMAINS
-from netquarry.operators import artifacts, beacon, filters, inventory, ioc, report, signals as sig
-from netquarry.plans import adapters
+from netquarry.operators import artifacts, beacon, evidence, filters, inventory, ioc, report, signals as sig
+from netquarry.plans import adapters, queries_beacon
 from netquarry.plans.catalog import ORACLES, query
 from netquarry.plans.queries_packets import CONVERSATIONS_SQL
-from netquarry.plans.queries_rules import all_signals, findings, spread_alerts
+from netquarry.plans.queries_rules import all_signals, findings, signals_sql, spread_alerts
 from netquarry.session import local_table
 from netquarry.sources.files import load_yaml
 from netquarry.sources.rules import BUILTIN, Allowlist, load_allowlist, networks
@@ -377,17 +377,117 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-@query("display_filters")
+def beacons_by_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best beacons dealt over the five captures, each with a target made from its port."""
+    best = beacon.beacon_candidates(queries_beacon.flows(spark, sf_dir), queries_beacon.OPEN_SPEC)
+    return best.select(
+        F.expr("concat('cap-', position % 5)").alias("capture_id"), F.expr("CAST((position - 1) DIV 5 + 1 AS INT)").alias("position"),
+        "src", F.expr("concat('203.0.113.', port % 250)").alias("dst"), "port")
+
+
+def filters_sql() -> str:
+    """Every section by itself, from the templates as VALUES."""
+    def listed(entries) -> str:
+        text = lambda x: "'" + x.replace("'", "''") + "'"
+        return "VALUES " + ", ".join(f"({text(k)}, {i}, {text(label)}, {text(t)})" for i, (k, label, t) in enumerate(entries, 1))
+
+    def flat(templates: dict) -> list[tuple[str, str, str]]:
+        return [(k, label, t) for k, entries in templates.items() for label, t in entries]
+
+    fill = "text"
+    for name in filters.PLACEHOLDERS:
+        fill = f"CASE WHEN contains({fill}, '{{{name}}}') THEN replace({fill}, '{{{name}}}', {name}) ELSE {fill} END"
+    counts = ", ".join(f"('{k}', {k})" for k in filters.PROTOCOL_FILTERS if k != "directory_packet_count")
+    combined = [("|".join(ttps), label, t) for ttps, label, t in filters.COMBINED_FILTERS]
+    moment = lambda c: f"strftime(to_timestamp({c}) AT TIME ZONE 'UTC', '%b %d, %Y %H:%M:%S')"
+    named = "'dns.qry.name contains \"' || domain || '\"'"
+    return f"""
+WITH {signals_sql()}, {adapters.CONN_SQL},
+spread AS (SELECT 'cap-' || (uid % 5) AS capture_id, * EXCLUDE (capture_id) FROM conn),
+fired AS (SELECT DISTINCT capture_id, ttp_id FROM ({ORACLES["rule_boosts"]}) WHERE score >= {filters.REPORT_THRESHOLD}),
+ids AS (SELECT capture_id, list(ttp_id) AS ids FROM fired GROUP BY 1),
+sources AS (
+  SELECT capture_id, orig_h AS src, count(DISTINCT resp_p) AS p, count(DISTINCT resp_h) AS h FROM spread GROUP BY 1, 2),
+scanners AS (
+  SELECT capture_id, src AS scanner FROM sources WHERE p >= 3 OR h >= 20
+  QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY p DESC, h DESC, src) = 1),
+aims AS (
+  SELECT capture_id, string_agg('ip.addr == ' || resp_h, ' || ' ORDER BY resp_h) AS targets FROM (
+    SELECT DISTINCT s.capture_id, s.resp_h, dense_rank() OVER (PARTITION BY s.capture_id ORDER BY s.resp_h) AS r
+    FROM spread s JOIN scanners c ON c.capture_id = s.capture_id AND c.scanner = s.orig_h) WHERE r <= 5 GROUP BY 1),
+domains AS (
+  SELECT capture_id, parent AS domain, row_number() OVER (PARTITION BY capture_id ORDER BY fqdn_count DESC, parent) AS pos
+  FROM ({ORACLES["dns_parents"]}) WHERE fqdn_count > 10 QUALIFY pos <= 20),
+domains3 AS (SELECT capture_id, string_agg({named}, ' || ' ORDER BY pos) AS domains3 FROM domains WHERE pos <= 3 GROUP BY 1),
+ips AS (
+  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ip) AS pos FROM ({ORACLES["external_addresses"]}) QUALIFY pos <= 15),
+beacons AS (
+  SELECT 'cap-' || (position % 5) AS capture_id, (position - 1) // 5 + 1 AS pos, src, '203.0.113.' || (port % 250) AS dst, port
+  FROM ({ORACLES["beacon_candidates"]})),
+context AS (
+  SELECT w.capture_id, coalesce(v.victim, 'VICTIM_IP') AS victim, coalesce(c.scanner, v.victim, 'VICTIM_IP') AS scanner, dc,
+         coalesce(' && ip.addr == ' || dc, '') AS dc_addr, coalesce(' && ip.dst == ' || dc, '') AS dc_dst, targets, domains3,
+         coalesce(ids, []) AS ids
+  FROM wide w LEFT JOIN ({ORACLES["primary_victim"]}) v USING (capture_id) LEFT JOIN scanners c USING (capture_id)
+  LEFT JOIN ({ORACLES["controller"]}) d USING (capture_id) LEFT JOIN aims USING (capture_id)
+  LEFT JOIN domains3 USING (capture_id) LEFT JOIN ids USING (capture_id)),
+present AS (
+  SELECT w.capture_id, t.source FROM wide w, LATERAL (VALUES {counts}, ('directory_packet_count', ldap_packet_count + cldap_packet_count)) t(source, n)
+  WHERE n > 0),
+quick(k, pos, label, text) AS ({listed([("", *t) for t in filters.QUICK_FILTERS])}),
+victims(k, pos, label, text) AS ({listed([("", *t) for t in filters.VICTIM_FILTERS])}),
+by_finding(k, pos, label, text) AS ({listed(flat(filters.FINDING_FILTERS))}),
+by_protocol(k, pos, label, text) AS ({listed(flat(filters.PROTOCOL_FILTERS))}),
+by_any(k, pos, label, text) AS ({listed(combined)}),
+filled AS (
+  SELECT capture_id, section, ttp_id, pos, label, {fill} AS filter FROM (
+    SELECT c.*, {filters.QUICK} AS section, '' AS ttp_id, pos, label, text FROM context c, quick
+    UNION ALL SELECT c.*, {filters.VICTIM}, '', pos, label, text FROM context c, victims
+    UNION ALL SELECT c.*, {filters.FINDING}, k, pos, label, text FROM context c JOIN by_finding ON list_contains(ids, k)
+    UNION ALL SELECT c.*, {filters.PROTOCOL}, '', pos, label, text FROM context c JOIN present p USING (capture_id) JOIN by_protocol ON k = source
+    UNION ALL SELECT c.*, {filters.COMBINED}, '', pos, label, text FROM context c JOIN by_any ON k = '' OR list_has_any(ids, string_split(k, '|')))),
+times AS (
+  SELECT capture_id, unnest([
+    {{'pos': 1, 'label': 'whole capture', 'text': 'frame.time >= "' || {moment("start_ts")} || '" && frame.time <= "' || {moment("end_ts")} || '"'}},
+    {{'pos': 2, 'label': 'first 10 minutes', 'text': 'frame.time >= "' || {moment("start_ts")} || '" && frame.time_relative <= 600'}},
+    {{'pos': 3, 'label': 'last 10 minutes', 'text': 'frame.time_relative >= ' || CAST(greatest(0, floor(duration_secs) - 600) AS BIGINT)}}]) AS t
+  FROM ({ORACLES["captures"]}))
+SELECT capture_id, section, ttp_id, CAST(pos AS INT) AS "at", label, filter FROM (
+  SELECT * FROM filled
+  UNION ALL SELECT d.capture_id, {filters.FINDING}, ttp_id, pos + 1000, 'suspicious domain ' || domain, {named}
+            FROM domains d JOIN fired f USING (capture_id) WHERE pos <= 3 AND ttp_id IN {filters.DOMAIN_TECHNIQUES}
+  UNION ALL SELECT capture_id, {filters.ADDRESS}, '', pos * 2 - 1, 'traffic of ' || ip, 'ip.addr == ' || ip FROM ips JOIN context USING (capture_id)
+  UNION ALL SELECT capture_id, {filters.ADDRESS}, '', pos * 2, 'victim to ' || ip, 'ip.src == ' || victim || ' && ip.dst == ' || ip
+            FROM ips JOIN context USING (capture_id)
+  UNION ALL SELECT capture_id, {filters.ADDRESS}, '', 1000, 'all suspicious addresses',
+            '(' || string_agg('ip.addr == ' || ip, ' || ' ORDER BY pos) || ') && ip.addr == ' || any_value(victim)
+            FROM ips JOIN context USING (capture_id) WHERE pos <= 10 GROUP BY 1
+  UNION ALL SELECT capture_id, {filters.DOMAIN}, '', pos, 'lookups below ' || domain, {named} FROM domains WHERE pos <= 10
+  UNION ALL SELECT capture_id, {filters.DOMAIN}, '', 1000, 'all suspicious domains', string_agg({named}, ' || ' ORDER BY pos)
+            FROM domains WHERE pos <= 5 GROUP BY 1
+  UNION ALL SELECT capture_id, {filters.TIME}, '', t.pos, t.label, t.text FROM times
+  UNION ALL SELECT capture_id, {filters.QUICK}, '', 100, 'replication', 'drsuapi' FROM present WHERE source = 'drsuapi_packet_count'
+  UNION ALL SELECT capture_id, {filters.QUICK}, '', 101, 'suspicious domain', {named} FROM domains WHERE pos = 1
+  UNION ALL SELECT capture_id, {filters.QUICK}, '', 102, 'best beacon', 'ip.src == ' || src || ' && ip.dst == ' || dst FROM beacons WHERE pos = 1
+  UNION ALL SELECT capture_id, {filters.BEACON}, '', pos * 4 - 4 + k, CASE k WHEN 1 THEN 'all traffic ' WHEN 2 THEN 'beacon channel '
+              WHEN 3 THEN 'outbound of ' ELSE 'same port, any target ' END || src || CASE k WHEN 3 THEN '' ELSE ' to ' || dst || ':' || port END,
+            'ip.src == ' || src || CASE k WHEN 3 THEN ' && !ip.dst == ' || victim ELSE '' END
+              || CASE WHEN k <= 2 THEN ' && ip.dst == ' || dst ELSE '' END || CASE WHEN k IN (2, 4) THEN ' && tcp.dstport == ' || port ELSE '' END
+            FROM beacons JOIN context USING (capture_id), (VALUES (1), (2), (3), (4)) n(k) WHERE pos <= 5)
+WHERE filter <> ''"""
+
+
+@query("display_filters", filters_sql())
 def display_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets, dns = adapters.packets(spark, sf_dir), adapters.dns(spark, sf_dir)
     conn = adapters.conn(spark, sf_dir).withColumn("capture_id", F.expr("concat('cap-', uid % 5)"))
-    top = talkers(spark, sf_dir).persist()
+    top = talkers(spark, sf_dir)
     sources = sig.scan_sources(sig.conn_rollup(conn), ports=3, hosts=20)
-    # Nearly every section reads these tables, so they are kept as in the full analysis.
-    signals = all_signals(spark, sf_dir).persist()
-    found = findings(spark, sf_dir, signals).persist()
+    signals = all_signals(spark, sf_dir)
     return filters.display_filters(
-        found, signals,
+        findings(spark, sf_dir, signals), signals,
         report.primary_victim(top, inventory.hosts(packets)), inventory.captures(packets), top,
         sig.outbound_transfers(conn, floor=20_000), sig.top_parents(dns), sig.scan_candidates(sources),
+        evidence.scan_evidence(conn, sources), report.controller(evidence.smb_share_evidence(adapters.smb(spark, sf_dir))),
+        beacons_by_capture(spark, sf_dir),
     )
