@@ -59,23 +59,34 @@ BEACON_HEADER = {
 }
 
 
+#: Columns of a file of beacon scores that are looked at.
+WIDTH = 64
+
+
 def read_beacon_csv(spark: SparkSession, path: str) -> DataFrame:
     """Beacon scores by header name; rows with a bad number are skipped.
 
-    A text starting with "No results" has no score column and gives no rows. All files
-    of one call share their header; an absent column reads as 0.
+    Every file has its own header, in any order: the line with a field "Score". A file without one, such as a
+    text starting with "No results", gives no rows; an absent column reads as 0.
     """
+    names = [f"c{i}" for i in range(WIDTH)]
     raw = read_or_none(
-        lambda: spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+        lambda: spark.read.schema(", ".join(f"{n} string" for n in names)).option("recursiveFileLookup", True).csv(path)
     )
-    if raw is None or "Score" not in raw.columns:
+    if raw is None:
         return spark.createDataFrame([], BEACON_CSV_SCHEMA)
-    columns, valid = [capture_from_path().alias("capture_id")], F.lit(True)
+    lines = raw.select(
+        F.col("_metadata.file_path").alias("file"), capture_from_path().alias("capture_id"), F.array(*names).alias("cells"))
+    is_header = F.array_contains("cells", "Score")
+    # One short row a file.
+    headers = lines.where(is_header).groupBy("file").agg(F.min("cells").alias("header"))
+    rows = lines.where(F.coalesce(~is_header, F.lit(True))).join(headers, "file")
+    columns, valid = [F.col("capture_id")], F.lit(True)
     for header, (name, kind) in BEACON_HEADER.items():
-        present = header in raw.columns
-        value = F.col(f"`{header}`") if present else F.lit("0" if kind != "string" else "")
+        at = F.coalesce(F.array_position("header", header), F.lit(0)).cast("int") - 1
+        value = F.when(at < 0, F.lit("0" if kind != "string" else "")).otherwise(F.get("cells", at))
         value = F.trim(value) if kind == "string" else value.try_cast(kind)
         columns.append(value.alias(name))
         if kind != "string":
             valid = valid & F.col(name).isNotNull()
-    return raw.select(*columns).where(valid)
+    return rows.select(*columns).where(valid)

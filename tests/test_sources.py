@@ -102,6 +102,21 @@ def test_alerts(spark, tmp_path):
     assert alerts.read_alerts(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_beacon_csv_files_have_their_own_header(spark, tmp_path):
+    for capture, lines in {
+        "a": ["Score,Source IP,Destination IP,Connections", '0.9,10.0.0.1,"1.2.3.4",12', "bad,10.0.0.1,1.2.3.4,1"],
+        "b": ["Connections,Destination IP,Score,Other,Source IP", "7,5.6.7.8,0.4,x,10.0.0.2", "8,5.6.7.9,0.5,,10.0.0.2"],
+        "c": ["No results"],
+    }.items():
+        (tmp_path / capture).mkdir()
+        (tmp_path / capture / "beacons.csv").write_text("\n".join(lines) + "\n")
+    rows = {(r.capture_id, r.dst_ip): r for r in alerts.read_beacon_csv(spark, str(tmp_path)).collect()}
+    assert set(rows) == {("a", "1.2.3.4"), ("b", "5.6.7.8"), ("b", "5.6.7.9")}
+    first, second = rows["a", "1.2.3.4"], rows["b", "5.6.7.8"]
+    assert (first.score, first.src_ip, first.connections, first.avg_bytes) == (0.9, "10.0.0.1", 12, 0.0)
+    assert (second.score, second.src_ip, second.connections, second.size_skew) == (0.4, "10.0.0.2", 7, 0.0)
+
+
 def test_beacon_csv(spark, tmp_path):
     header = "Score,Source IP,Destination IP,Connections,Avg. Bytes,Intvl Range,Size Range,Top Intvl,Top Size,Intvl Skew,Size Skew"
     text = f"{header}\n0.9, 10.0.0.1 ,1.2.3.4,100,50.5,1,1,60,1,0.1,0.2\nbad,10.0.0.2,1.2.3.4,1,1,1,1,1,1,1,1\n"
