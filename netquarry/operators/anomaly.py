@@ -104,9 +104,19 @@ def _list_of(df: DataFrame | None, value: Column, order: list[Column], k: int, n
     return lists, name, kind
 
 
+def _techniques(findings: DataFrame) -> DataFrame:
+    return findings.groupBy(CAPTURE).agg(
+        F.array_sort(F.collect_set(F.when(F.col("score") >= DEEP_DIVE_THRESHOLD, F.col("ttp_id")))).alias("strong_ttps"),
+        F.transform(
+            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ttp_id"))),
+            lambda e: e["ttp_id"],
+        ).alias("ttps_checked"),
+    )
+
+
 def anomalies(
     signals: DataFrame,
-    findings: DataFrame,
+    findings: DataFrame | None = None,
     captures: DataFrame | None = None,
     parents: DataFrame | None = None,
     scans: DataFrame | None = None,
@@ -114,16 +124,11 @@ def anomalies(
 ) -> DataFrame:
     """Six checks per capture, numbered in fixed order, each with a question for an analyst.
 
+    Without ``findings``, ``signals`` has their techniques (scoring.assessed_captures).
     The optional tables (dns_parents, scan_sources candidates, dns_singletons) add examples.
     """
-    known = findings.groupBy(CAPTURE).agg(
-        F.array_sort(F.collect_set(F.when(F.col("score") >= DEEP_DIVE_THRESHOLD, F.col("ttp_id")))).alias("strong_ttps"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ttp_id"))),
-            lambda e: e["ttp_id"],
-        ).alias("ttps_checked"),
-    )
-    base = signals.join(known, CAPTURE, "left")
+    base = signals if findings is None else signals.join(_techniques(findings), CAPTURE, "left")
+
     examples = [
         _list_of(parents, F.struct("parent", "fqdn_count"), [F.desc("fqdn_count"), F.asc("parent")], 5,
                  "top_domains", "array<struct<parent:string,fqdn_count:bigint>>"),

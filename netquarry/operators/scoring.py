@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +46,28 @@ def _plain_number(c: Column) -> Column:
     return F.when(c == whole, whole.cast("string")).otherwise(c.cast("string"))
 
 
-def score_rules(signals: DataFrame, rules: Rules, ioc_match: DataFrame | None = None) -> DataFrame:
+def score_rules(
+    signals: DataFrame, rules: Rules, ioc_match: DataFrame | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
     """Score of every rule for every capture.
 
     The rule tables are a fixed, small input: they come in as one array value, and each
     capture row is expanded to its rules in place. Nothing is shuffled.
     ``ioc_match`` names captures (and optionally ttp_id) with a confirmed indicator.
+    ``carry`` names columns that are no signals and go along; every capture then keeps a row,
+    with a null technique if there are no rules.
     """
-    names = [c for c in signals.columns if c != CAPTURE]
+    names = [c for c in signals.columns if c not in (CAPTURE, *carry)]
+    expand = F.explode_outer if carry else F.explode
     values = F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names])
     )
     nested = nested_rules(rules)
     table = nested.agg(F.array_sort(F.collect_list(F.struct(*nested.columns)))).scalar()
     rows = (
-        signals.select(CAPTURE, values.alias("v"), table.alias("rules"))
-        .select(CAPTURE, "v", F.explode("rules").alias("r"))
-        .select(CAPTURE, "v", "r.*")
+        signals.select(CAPTURE, *carry, values.alias("v"), table.alias("rules"))
+        .select(CAPTURE, *carry, "v", expand("rules").alias("r"))
+        .select(CAPTURE, *carry, "v", "r.*")
     )
     if ioc_match is not None:
         keys = [c for c in (CAPTURE, "ttp_id") if c in ioc_match.columns]
@@ -117,7 +125,7 @@ def score_rules(signals: DataFrame, rules: Rules, ioc_match: DataFrame | None =
     no_ids = F.array().cast("array<string>")
     rows = rows.select(
         CAPTURE, "ttp_id", "name", "category", "mitre_tactic", "confidence_ceiling", "fp_notes",
-        "ioc_match",
+        "ioc_match", *carry,
         skipped.alias("skipped"),
         F.when(skipped, 0.0).otherwise(F.least(raw, F.lit(1)).cast("double")).alias("score"),
         F.coalesce(fired_ids, no_ids).alias("signals_fired"),
@@ -147,7 +155,7 @@ def score_rules(signals: DataFrame, rules: Rules, ioc_match: DataFrame | None =
     return rows.select(
         CAPTURE, "ttp_id", "name", "category", "mitre_tactic", "score", "signals_fired",
         "categories_hit", confidence.alias("confidence"), "skipped", "skip_reason",
-        "raw_values", "fp_notes",
+        "raw_values", "fp_notes", *carry,
     )
 
 
@@ -162,33 +170,80 @@ def sweep(
     Only an exact technique match confirms. The threshold applies before the boosts, and a
     boost may pass the ceiling of its rule.
     """
-    out = scores.where(~F.col("skipped") & (F.col("score") >= report_threshold)).drop(
-        "skipped", "skip_reason"
-    )
+    reported = ~F.col("skipped") & (F.col("score") >= report_threshold)
+    return boost(scores.where(reported).drop("skipped", "skip_reason"), alerts, sigma_hits)
+
+
+def confirmations(alerts: DataFrame | None, sigma_hits: DataFrame | None) -> DataFrame | None:
+    """Techniques named by alerts and by log rules: two lists a capture, no longer than the known techniques."""
+    parts = []
+    nothing = F.lit(None).cast("string")
     if alerts is not None:
-        hit = alerts.where("technique IS NOT NULL").select(
-            CAPTURE, F.col("technique").alias("ttp_id")
-        ).distinct()
-        out = _boost(out, hit, "suricata_signature_confirmed", always_note=False)
+        parts.append(alerts.select(CAPTURE, F.col("technique").alias("a"), nothing.alias("r")))
     if sigma_hits is not None:
-        hit = sigma_hits.select(CAPTURE, F.explode("techniques").alias("ttp_id")).distinct()
-        out = _boost(out, hit, "sigma_rule_confirmed", always_note=True)
-    return out
+        parts.append(sigma_hits.select(CAPTURE, nothing.alias("a"), F.explode("techniques").alias("r")))
+    if not parts:
+        return None
+    named = reduce(DataFrame.unionByName, parts).where("a IS NOT NULL OR r IS NOT NULL").distinct()
+    return named.groupBy(CAPTURE).agg(F.collect_set("a").alias("_by_alert"), F.collect_set("r").alias("_by_rule"))
+
+
+def boost(scores: DataFrame, alerts: DataFrame | None = None, sigma_hits: DataFrame | None = None) -> DataFrame:
+    """Raise scores whose technique an alert, then a log rule, confirms.
+
+    The confirmations meet the scores by capture, as which they are partitioned already.
+    """
+    marks = confirmations(alerts, sigma_hits)
+    if marks is None:
+        return scores
+    columns = scores.columns
+    out = scores.join(marks, CAPTURE, "left")
+    for mark, note, always_note in (
+        ("_by_alert", "suricata_signature_confirmed", False), ("_by_rule", "sigma_rule_confirmed", True),
+    ):
+        hit = F.coalesce(F.array_contains(mark, F.col("ttp_id")), F.lit(False))
+        raised = hit & ~F.col("confidence").isin("CONFIRMED", "HIGH")
+        noted = hit if always_note else raised
+        score, fired = F.col("score"), F.col("signals_fired")
+        changed = {
+            "score": F.when(hit, F.least(F.lit(1.0), F.round(score + BOOST, 4))).otherwise(score),
+            "signals_fired": F.when(noted, F.array_append(fired, F.lit(note))).otherwise(fired),
+            "confidence": F.when(raised, "HIGH").otherwise(F.col("confidence")),
+        }
+        out = out.select(*[changed.get(c, F.col(c)).alias(c) for c in columns], "_by_alert", "_by_rule")
+    return out.select(*columns)
+
 
+def assessed_captures(
+    signals: DataFrame,
+    rules: Rules,
+    alerts: DataFrame | None = None,
+    sigma_hits: DataFrame | None = None,
+    report_threshold: float = REPORT_THRESHOLD,
+    strong_threshold: float = DEEP_DIVE_THRESHOLD,
+) -> DataFrame:
+    """The signals of each capture with the techniques of its findings.
 
-def _boost(findings: DataFrame, confirmed: DataFrame, note: str, always_note: bool) -> DataFrame:
-    hit = F.coalesce("_hit", F.lit(False))
-    raised = hit & ~F.col("confidence").isin("CONFIRMED", "HIGH")
-    noted = hit if always_note else raised
-    score, fired = F.col("score"), F.col("signals_fired")
-    changed = {
-        "score": F.when(hit, F.least(F.lit(1.0), F.round(score + BOOST, 4))).otherwise(score),
-        "signals_fired": F.when(noted, F.array_append(fired, F.lit(note))).otherwise(fired),
-        "confidence": F.when(raised, "HIGH").otherwise(F.col("confidence")),
-    }
-    marked = confirmed.withColumn("_hit", F.lit(True))
-    return findings.join(marked, [CAPTURE, "ttp_id"], "left").select(
-        *[changed.get(c, F.col(c)).alias(c) for c in findings.columns]
+    ``ttps_checked`` holds all of them by falling score, ``strong_ttps`` those at the strong threshold.
+    The signals travel with their scores, so that both come from one tree and no join.
+    """
+    names = [c for c in signals.columns if c != CAPTURE]
+    scores = score_rules(signals.withColumn("_signals", F.struct(*names)), rules, carry=["_signals"])
+    reported = ~F.col("skipped") & (F.col("score") >= report_threshold)
+    marked = scores.select(
+        CAPTURE, "_signals", "ttp_id", "score", "confidence", "signals_fired", reported.alias("_reported")
+    )
+    found = F.when(F.col("_reported"), F.struct((-F.col("score")).alias("s"), "ttp_id"))
+    strong = F.when(F.col("_reported") & (F.col("score") >= strong_threshold), F.col("ttp_id"))
+    return (
+        boost(marked, alerts, sigma_hits)
+        .groupBy(CAPTURE)
+        .agg(
+            F.first("_signals").alias("_signals"),
+            F.transform(F.array_sort(F.collect_list(found)), lambda e: e["ttp_id"]).alias("ttps_checked"),
+            F.array_sort(F.collect_set(strong)).alias("strong_ttps"),
+        )
+        .select(CAPTURE, "_signals.*", "ttps_checked", "strong_ttps")
     )
 
 

@@ -592,19 +592,25 @@ def dcsync_signals(packets: DataFrame, kerberos: DataFrame) -> DataFrame:
 def assemble_signals(captures: DataFrame, *parts: DataFrame) -> DataFrame:
     """One wide row per capture; a signal without data takes its default, never null.
 
-    All parts are aggregates by capture, hence already partitioned by the join key.
+    All parts are aggregates by capture: they are stacked and reduced once, without a join
+    for each. A signal that two parts have comes from the first.
     """
-    out = captures.select(CAPTURE)
+    kinds = {bool: "boolean", int: "bigint", float: "double"}
     present: set[str] = set()
+    rows = [captures.select(CAPTURE, F.lit(True).alias("_known"))]
     for part in parts:
         names = [c for c in part.columns if c in REGISTRY and c not in present]
-        out = out.join(part.select(CAPTURE, *names), CAPTURE, "left")
+        typed = [F.col(c).cast(kinds[type(REGISTRY[c].default)]).alias(c) for c in names]
+        rows.append(part.select(CAPTURE, *typed))
         present |= set(names)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    out = stacked.groupBy(CAPTURE).agg(
+        F.max("_known").alias("_known"), *[F.max(c).alias(c) for c in REGISTRY if c in present]
+    ).where("_known")
     columns = []
     for name, signal in REGISTRY.items():
-        kind = {bool: "boolean", int: "bigint", float: "double"}[type(signal.default)]
-        default = F.lit(signal.default).cast(kind)
-        value = F.coalesce(F.col(name).cast(kind), default) if name in present else default
+        default = F.lit(signal.default).cast(kinds[type(signal.default)])
+        value = F.coalesce(F.col(name), default) if name in present else default
         columns.append(value.alias(name))
     return out.select(CAPTURE, *columns)
 

@@ -9,6 +9,7 @@ from netquarry.operators import alerts as alert_ops
 from netquarry.operators import anomaly, beacon, evidence, inventory, scoring, sigma, signals as sig
 from netquarry.plans import adapters
 from netquarry.plans.catalog import ORACLES, query
+from netquarry.plans.queries_names import SUSPICIOUS
 from netquarry.sources.files import load_yaml
 from netquarry.sources.rules import BUILTIN, load_playbooks, parse_threshold, sigma_rule
 
@@ -239,28 +240,65 @@ JOIN boosted b ON b.capture_id = e.capture_id AND b.ttp_id = 'T1021.002' AND b.s
         kept = evidence.deep_dive(findings(spark, sf_dir), tables)["smb_shares"]
         return kept.select("capture_id", "uid", "path", "ttp_id")
 
-    @query("anomalies", base + boosts + """
-, strong AS (SELECT capture_id, list(ttp_id) AS ids FROM boosted WHERE score >= 0.6 GROUP BY 1),
+    @query("anomalies", base + boosts + f"""
+, strong AS (
+  SELECT capture_id, list(ttp_id) FILTER (score >= 0.6) AS ids, string_agg(ttp_id, ',' ORDER BY score DESC, ttp_id) AS checked
+  FROM boosted GROUP BY 1),
+singles AS (
+  SELECT capture_id, string_agg(query, ', ' ORDER BY query) AS names FROM (
+    SELECT capture_id, query, row_number() OVER (PARTITION BY capture_id ORDER BY query) AS r FROM (
+      WITH {adapters.DNS_SQL} SELECT capture_id, query FROM dns GROUP BY 1, 2 HAVING count(*) = 1)
+    WHERE {SUSPICIOUS}) WHERE r <= 5 GROUP BY 1),
+counts AS (
+  SELECT w.*, coalesce(ids, []) AS ids, coalesce(checked, '') AS checked, coalesce(names, '') AS names,
+         CAST(dns_unique_query_count AS BIGINT) AS n_names, CAST(http_plaintext_post_count AS BIGINT) AS n_posts,
+         CAST(scan_max_unique_dst_hosts AS BIGINT) AS n_hosts, CAST(tls_missing_sni_count AS BIGINT) AS n_tls,
+         CAST(arp_gratuitous_count AS BIGINT) AS n_arp, CAST(arp_ip_conflict_count AS BIGINT) AS n_owners,
+         CAST(dns_singleton_suspicious_count AS BIGINT) AS n_single
+  FROM wide w LEFT JOIN strong USING (capture_id) LEFT JOIN singles USING (capture_id)),
 checks AS (
-  SELECT w.capture_id, unnest([
-    {'o': 1, 'kind': 'dns_nxdomain_pattern', 'hit': dns_nxdomain_rate >= 0.2 AND NOT list_contains(coalesce(ids, []), 'T1071.004')},
-    {'o': 2, 'kind': 'high_http_post_volume', 'hit': http_plaintext_post_count >= 50 AND NOT list_contains(coalesce(ids, []), 'T1048.003')},
-    {'o': 3, 'kind': 'broad_host_contact', 'hit': scan_max_unique_dst_hosts >= 20 AND NOT list_contains(coalesce(ids, []), 'T1046')},
-    {'o': 4, 'kind': 'tls_missing_sni', 'hit': tls_missing_sni_count >= 5},
-    {'o': 5, 'kind': 'arp_anomaly', 'hit': arp_gratuitous_count >= 3 OR arp_ip_conflict_count >= 1},
-    {'o': 6, 'kind': 'singleton_suspicious_domains', 'hit': dns_singleton_suspicious_count >= 1}]) AS c
-  FROM wide w LEFT JOIN strong USING (capture_id))
+  SELECT capture_id, checked, unnest([
+    {{'o': 1, 'kind': 'dns_nxdomain_pattern', 'hit': dns_nxdomain_rate >= 0.2 AND NOT list_contains(ids, 'T1071.004'),
+      'd': printf('%.1f', dns_nxdomain_rate * 100) || '% of lookups fail, over ' || n_names ||
+           ' distinct names. Generated domains, rotating command servers or a broken client.',
+      'w': 'The failure rate is at least 20% and the tunneling rule stayed below its evidence level.'}},
+    {{'o': 2, 'kind': 'high_http_post_volume', 'hit': n_posts >= 50 AND NOT list_contains(ids, 'T1048.003'),
+      'd': n_posts || ' POST requests in clear text. Telemetry, uploads to a command server, or collected logins.',
+      'w': 'Many POST requests, but no transfer large enough for the exfiltration rule.'}},
+    {{'o': 3, 'kind': 'broad_host_contact', 'hit': n_hosts >= 20 AND NOT list_contains(ids, 'T1046'),
+      'd': 'One host contacted ' || n_hosts || ' destinations. Automation, rotating command servers, or reconnaissance.',
+      'w': 'Below the port-scan evidence level.'}},
+    {{'o': 4, 'kind': 'tls_missing_sni', 'hit': n_tls >= 5,
+      'd': n_tls || ' TLS sessions name no server. Browsers always do; custom clients often do not.',
+      'w': 'Client fingerprints are needed to tell known tooling apart.'}},
+    {{'o': 5, 'kind': 'arp_anomaly', 'hit': n_arp >= 3 OR n_owners >= 1,
+      'd': n_arp || ' unsolicited ARP announcements and ' || n_owners ||
+           ' addresses with several owners. Spoofing, or misconfigured equipment.',
+      'w': 'Below the poisoning evidence level; compare with the ARP tables of the network.'}},
+    {{'o': 6, 'kind': 'singleton_suspicious_domains', 'hit': n_single >= 1,
+      'd': n_single || ' suspicious name(s) looked up exactly once, for example ' || names || '. Too rare for the volume rules.',
+      'w': 'Each name occurs once, below every volume and entropy limit.'}}]) AS c
+  FROM counts)
 SELECT capture_id, printf('ANO-%04d', row_number() OVER (PARTITION BY capture_id ORDER BY c.o)) AS anomaly_id,
-       c.kind AS anomaly_type
+       c.kind AS anomaly_type, c.d AS description, c.w AS reason_not_classified, checked AS ttps_checked
 FROM checks WHERE c.hit""")
     def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
         dns = adapters.dns(spark, sf_dir)
-        signals = all_signals(spark, sf_dir)
+        names = sig.dns_names(dns)
+        assessed = scoring.assessed_captures(
+            all_signals(spark, sf_dir), load_playbooks(spark), spread_alerts(spark, sf_dir), log_rule_hits(spark, sf_dir)
+        )
         out = anomaly.anomalies(
-            signals, findings(spark, sf_dir, signals), parents=sig.dns_parents(dns),
-            singletons=sig.dns_singletons(dns),
+            assessed,
+            captures=inventory.captures(inventory.packet_rollup(adapters.packets(spark, sf_dir))),
+            parents=sig.dns_parents(names),
+            scans=sig.scan_sources(adapters.spread_conn(spark, sf_dir)).where("candidate"),
+            singletons=sig.dns_singletons(names),
+        )
+        return out.select(
+            "capture_id", "anomaly_id", "anomaly_type", "description", "reason_not_classified",
+            F.array_join("ttps_checked", ",").alias("ttps_checked"),
         )
-        return out.select("capture_id", "anomaly_id", "anomaly_type")
 
 
 def spread_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,10 +309,14 @@ def spread_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def findings(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
     """Findings raised by alerts and by the built-in log rules."""
     signals = all_signals(spark, sf_dir) if signals is None else signals
-    logs = {"smb_mapping": adapters.smb(spark, sf_dir), "kerberos": adapters.kerberos(spark, sf_dir)}
-    rules = [r for r in builtin_sigma() if r.service in logs]
     scores = scoring.score_rules(signals, load_playbooks(spark))
-    return scoring.sweep(scores, spread_alerts(spark, sf_dir), sigma.sigma_scan(logs, rules))
+    return scoring.sweep(scores, spread_alerts(spark, sf_dir), log_rule_hits(spark, sf_dir))
+
+
+def log_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the built-in log rules in the shares and logins."""
+    logs = {"smb_mapping": adapters.smb(spark, sf_dir), "kerberos": adapters.kerberos(spark, sf_dir)}
+    return sigma.sigma_scan(logs, [r for r in builtin_sigma() if r.service in logs])
 
 
 def builtin_sigma():
