@@ -65,22 +65,6 @@ TALKERS_SQL = CONVERSATIONS_SQL + """
 """
 
 
-@query("ioc_ips", f"""
-WITH {adapters.PACKETS_SQL}, {adapters.HTTP_SQL}, {adapters.ALERTS_SQL} {TALKERS_SQL}
-, found AS (
-  SELECT capture_id, dst AS ip, 'top_talker' AS reason FROM talkers WHERE position <= 15 AND dst NOT LIKE '10.%'
-  UNION SELECT capture_id, resp_h, 'post_destination' FROM http WHERE method = 'POST'
-  UNION SELECT 'cap-' || (CAST(timestamp AS BIGINT) % 5), dst_ip, 'alert_destination' FROM alerts)
-SELECT capture_id, ip, string_agg(reason, ',' ORDER BY reason) AS reasons FROM found GROUP BY 1, 2""")
-def ioc_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ioc.ioc_ips(
-        talkers=talkers(spark, sf_dir),
-        posts=sig.post_destinations(adapters.http(spark, sf_dir)),
-        alerts=spread_alerts(spark, sf_dir),
-    )
-    return out.withColumn("reasons", F.array_join("reasons", ","))
-
-
 SAFE = ", ".join(f"'{d}'" for d in SAFE_DOMAINS)
 
 
@@ -185,6 +169,35 @@ def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("ioc_ips", f"""
+WITH {adapters.PACKETS_SQL}, {adapters.HTTP_SQL}, {adapters.ALERTS_SQL}, {adapters.CONN_SQL} {TALKERS_SQL}
+, found AS (
+  SELECT capture_id, dst AS ip, 'top_talker' AS reason FROM talkers WHERE position <= 15 AND dst NOT LIKE '10.%'
+  UNION SELECT capture_id, resp_h, 'post_destination' FROM http WHERE method = 'POST'
+  UNION SELECT 'cap-' || (CAST(timestamp AS BIGINT) % 5), dst_ip, 'alert_destination' FROM alerts
+  UNION SELECT 'cap-' || (uid % 5), resp_h, 'large_transfer' FROM conn WHERE orig_bytes > 20000
+  UNION SELECT 'cap-' || (uid % 5), resp_h, 'scanner' FROM conn GROUP BY 1, 2
+        HAVING count(DISTINCT resp_p) >= 15 OR count(DISTINCT orig_h) >= 10
+  UNION SELECT capture_id, ip, 'certificate_anomaly' FROM ({ORACLES["tls_anomaly_ips"]})
+  UNION SELECT capture_id, ip, 'confirmed_malicious' FROM ({ORACLES["confirmed"]}) WHERE is_confirmed_malicious)
+SELECT capture_id, ip, string_agg(reason, ',' ORDER BY reason) AS reasons FROM found GROUP BY 1, 2""")
+def ioc_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven sources; scanners from connections read backwards, so that the external side connects."""
+    conn = adapters.spread_conn(spark, sf_dir)
+    backwards = conn.withColumns({"orig_h": F.col("resp_h"), "resp_h": F.col("orig_h")})
+    enriched = ioc.enrich(targets(spark, sf_dir), reputation(spark, sf_dir), feed(spark, sf_dir))
+    out = ioc.ioc_ips(
+        talkers=talkers(spark, sf_dir),
+        scans=sig.scan_sources(backwards).where("candidate"),
+        transfers=sig.outbound_transfers(conn, floor=20_000),
+        posts=sig.post_destinations(adapters.http(spark, sf_dir)),
+        tls_ips=sig.tls_anomaly_ips(adapters.ssl(spark, sf_dir), adapters.x509(spark, sf_dir)),
+        confirmed=enriched.where("is_confirmed_malicious"),
+        alerts=spread_alerts(spark, sf_dir),
+    )
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("allowed_ips", f"""
 WITH {adapters.PACKETS_SQL}
 SELECT DISTINCT ip_dst AS ip, ip_dst LIKE '203.0.113.%' AND CAST(split_part(ip_dst, '.', 4) AS INT) < 16 AS allowed FROM packets""")
