@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,40 +137,89 @@ def deep_dive(
     return out
 
 
-def evidence_summaries(
-    findings: DataFrame, tables: dict[str, DataFrame], signals: DataFrame,
-    threshold: float = DEEP_DIVE_THRESHOLD,
-) -> DataFrame:
-    """One summary line per capture and technique with evidence."""
-    dives = deep_dive(findings, tables, threshold)
+TECHNIQUE = {name: ttp for ttp, names in EVIDENCE_TABLES.items() for name in names}
+
+
+def of_strong(rows: DataFrame, findings: DataFrame, threshold: float = DEEP_DIVE_THRESHOLD) -> DataFrame:
+    """Rows by capture and technique whose finding is strong enough.
+
+    An inner join: a semi join would be pushed below a union of kinds and repeat the findings for each.
+    """
+    strong = findings.where(F.col("score") >= threshold).select(CAPTURE, "ttp_id").distinct()
+    return rows.join(strong, [CAPTURE, "ttp_id"])
+
+
+def evidence_summaries(tables: dict[str, DataFrame], signals: DataFrame) -> DataFrame:
+    """One summary line per capture and technique with evidence; of_strong keeps those of strong findings."""
+    kinds = [k for k in ("scan", "smb_shares", "dns", "credentials", "transfers") if k in tables]
+    if not kinds:
+        return signals.sparkSession.createDataFrame([], "capture_id string, ttp_id string, summary string")
+    parts = []
+    for kind in kinds:
+        if kind == "scan":
+            text_of = F.format_string("%s contacted %d hosts on %d ports.", "scanner_ip",
+                                      "unique_dst_hosts_count", "unique_dst_ports_count")
+            rows = tables[kind].select(CAPTURE, text_of.alias("text"), F.lit(1).cast("bigint").alias("n"))
+        else:
+            rows = tables[kind].groupBy(CAPTURE).agg(
+                F.max(F.lit(None).cast("string")).alias("text"), F.count("*").alias("n")
+            )
+        parts.append(rows.select(CAPTURE, F.lit(TECHNIQUE[kind]).alias("ttp_id"), F.lit(kind).alias("kind"), "text", "n"))
     values = signals.select(
         CAPTURE, "dns_max_subdomain_entropy", "dns_nxdomain_rate", "max_outbound_bytes",
         "http_plaintext_post_count",
     )
-    lines = []
-
-    def add(name: str, line: Column, grouped: bool = True) -> None:
-        if name not in dives:
-            return
-        rows = dives[name]
-        if grouped:
-            rows = rows.groupBy(CAPTURE, "ttp_id").agg(F.count("*").alias("n"))
-        lines.append(rows.join(values, CAPTURE).select(CAPTURE, "ttp_id", line.alias("summary")))
-
-    add("scan", F.format_string("%s contacted %d hosts on %d ports.", "scanner_ip",
-                                "unique_dst_hosts_count", "unique_dst_ports_count"), grouped=False)
-    add("smb_shares", F.format_string("%d administrative share events shown.", "n"))
-    add("dns", F.format_string("%d high-entropy lookups shown. Maximum entropy %.2f, failure rate %.2f%%.",
-                               "n", "dns_max_subdomain_entropy", F.col("dns_nxdomain_rate") * 100))
-    add("credentials", F.format_string("%d clear-text credential events shown.", "n"))
-    add("transfers", F.format_string("Largest upload %d bytes, %d POST requests.",
-                                     "max_outbound_bytes", "http_plaintext_post_count"))
-    if not lines:
-        return findings.sparkSession.createDataFrame([], "capture_id string, ttp_id string, summary string")
-    out = lines[0]
-    for more in lines[1:]:
-        out = out.unionByName(more)
-    return out
+    kind = F.col("kind")
+    summary = (
+        F.when(kind == "scan", F.col("text"))
+        .when(kind == "smb_shares", F.format_string("%d administrative share events shown.", "n"))
+        .when(kind == "dns", F.format_string(
+            "%d high-entropy lookups shown. Maximum entropy %.2f, failure rate %.2f%%.",
+            "n", "dns_max_subdomain_entropy", F.col("dns_nxdomain_rate") * 100))
+        .when(kind == "credentials", F.format_string("%d clear-text credential events shown.", "n"))
+        .otherwise(F.format_string(
+            "Largest upload %d bytes, %d POST requests.", "max_outbound_bytes", "http_plaintext_post_count"))
+    )
+    rows = reduce(DataFrame.unionByName, parts).join(values, CAPTURE)
+    return rows.select(CAPTURE, "ttp_id", summary.alias("summary"))
+
+
+def _lines() -> dict[str, Column]:
+    """What one row of each evidence table says, as text."""
+    return {
+        "scan": F.format_string("%s: %d ports, %d hosts", "scanner_ip", "unique_dst_ports_count", "unique_dst_hosts_count"),
+        "scan_timeline": F.format_string("%s %.3f", "event", "ts"),
+        "smb_shares": F.col("path"),
+        "smb_paths": F.format_string("%s (%d)", "path", "uses"),
+        "smb_files": F.col("name"),
+        "dns": F.col("query"),
+        "credentials": F.format_string("%s -> %s", "src", "dst"),
+        "transfers": F.format_string("%s -> %s: %d bytes", "orig_h", "resp_h", "orig_bytes"),
+        "posts": F.col("uri"),
+    }
+
+
+def evidence_lines(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """All evidence in one table: capture, technique, kind, position, line; None if there is no table.
+
+    of_strong keeps the lines of strong findings, with one join for all kinds.
+    """
+    events = {"scan_start": 1, "scan_end": 2, "duration_secs": 3}
+    parts = []
+    for kind, line in _lines().items():
+        if kind not in tables:
+            continue
+        position = F.col("position")
+        if kind == "scan":
+            position = F.lit(1)
+        elif kind == "scan_timeline":
+            position = F.lit(None).cast("int")
+            for event, at in events.items():
+                position = F.when(F.col("event") == event, at).otherwise(position)
+        parts.append(tables[kind].select(
+            CAPTURE, F.lit(TECHNIQUE[kind]).alias("ttp_id"), F.lit(kind).alias("kind"), position.cast("int").alias("position"), line.alias("line")
+        ))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def format_evidence(df: DataFrame) -> DataFrame:

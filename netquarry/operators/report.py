@@ -11,7 +11,7 @@ from netquarry.functions import text
 from netquarry.functions.lists import NOISE_PROTOCOLS
 from netquarry.functions.net import is_internal
 from netquarry.operators.common import CAPTURE, count_if
-from netquarry.operators.scoring import confidence_rank
+from netquarry.operators.scoring import DEEP_DIVE_THRESHOLD, confidence_rank
 
 
 def victim_identity(
@@ -166,19 +166,42 @@ def summary(
     )
 
 
-def finding_view(findings: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """Findings for display: plain signal ids, indicators that count, evidence and guidance."""
+def finding_view(
+    findings: DataFrame,
+    summaries: DataFrame | None = None,
+    lines: DataFrame | None = None,
+    preview: int = 3,
+    threshold: float = DEEP_DIVE_THRESHOLD,
+) -> DataFrame:
+    """Findings for display: plain signal ids, indicators that count, guidance, evidence.
+
+    Of the evidence (evidence.evidence_lines) each finding at the threshold shows the first ``preview`` rows of every kind.
+    """
     out = findings.select(
         CAPTURE, "ttp_id", "name", "category", "mitre_tactic", "score", "confidence",
         F.transform("signals_fired", lambda s: F.regexp_replace(s, "_weak$", "")).alias("signals_fired"),
         F.map_filter("raw_values", lambda k, v: v != 0).alias("indicators"),
         F.col("fp_notes").alias("guidance"),
     )
+    key, strong = [CAPTURE, "ttp_id"], F.col("score") >= threshold
     if summaries is None:
-        return out.withColumn("evidence_summary", F.lit(None).cast("string"))
-    lines = summaries.select(CAPTURE, "ttp_id", F.col("summary").alias("evidence_summary"))
-    return out.join(lines, [CAPTURE, "ttp_id"], "left")
-
-
-def evidence_preview(evidence: DataFrame, k: int = 3) -> DataFrame:
-    return evidence.where(F.col("position") <= k)
+        out = out.withColumn("evidence_summary", F.lit(None).cast("string"))
+    else:
+        out = out.join(summaries.select(*key, F.col("summary").alias("evidence_summary")), key, "left")
+        out = out.withColumn("evidence_summary", F.when(strong, F.col("evidence_summary")))
+    nothing = F.array().cast("array<string>")
+    if lines is None:
+        return out.withColumn("evidence_preview", nothing)
+    out = out.join(evidence_preview(lines, preview), key, "left")
+    return out.withColumn("evidence_preview", F.coalesce(F.when(strong, F.col("evidence_preview")), nothing))
+
+
+def evidence_preview(lines: DataFrame, k: int = 3) -> DataFrame:
+    """The first k lines of every kind of evidence, by kind and position; a short list a finding."""
+    first = lines.where(F.col("position") <= k).groupBy(CAPTURE, "ttp_id").agg(
+        F.array_sort(F.collect_list(F.struct("kind", "position", "line"))).alias("first")
+    )
+    return first.select(
+        CAPTURE, "ttp_id",
+        F.transform("first", lambda e: F.concat_ws(": ", e["kind"], e["line"])).alias("evidence_preview"),
+    )

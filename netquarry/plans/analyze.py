@@ -173,7 +173,9 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
         "posts": evidence.post_evidence(log["http"]),
     }
     dives = evidence.deep_dive(findings, tables, options.deep_dive_threshold)
-    summaries = evidence.evidence_summaries(findings, tables, signals, options.deep_dive_threshold)
+    summaries = evidence.of_strong(
+        evidence.evidence_summaries(tables, signals), findings, options.deep_dive_threshold
+    )
 
     # Indicators.
     targets = ioc.enrichment_targets(hosts, talkers, scan_rows, allowed, options.max_iocs)
@@ -227,7 +229,9 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
         "scores": scores,
         "findings": findings,
         "evidence_summaries": summaries,
-        "finding_view": report.finding_view(findings, summaries),
+        "finding_view": report.finding_view(
+            findings, summaries, evidence.evidence_lines(tables), threshold=options.deep_dive_threshold
+        ),
         "certificates": certificates,
         "smb_events": events,
         "smb_writes": artifacts.smb_writes(events),

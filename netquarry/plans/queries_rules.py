@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators import alerts as alert_ops
-from netquarry.operators import anomaly, beacon, evidence, inventory, scoring, sigma, signals as sig
+from netquarry.operators import anomaly, beacon, evidence, inventory, report, scoring, sigma, signals as sig
 from netquarry.plans import adapters
 from netquarry.plans.catalog import ORACLES, query
 from netquarry.plans.queries_names import SUSPICIOUS
@@ -178,6 +178,27 @@ scores AS (
   FROM leveled)"""
 
 
+# Findings from this score on show their evidence in the queries.
+SHOWN = scoring.REPORT_THRESHOLD
+
+
+def evidence_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The nine evidence tables over the captures of the packet view."""
+    conn, smb = adapters.spread_conn(spark, sf_dir), adapters.smb(spark, sf_dir)
+    scan = evidence.scan_evidence(conn, sig.scan_sources(conn))
+    return {
+        "scan": scan,
+        "scan_timeline": evidence.scan_timeline(scan),
+        "smb_shares": evidence.smb_share_evidence(smb),
+        "smb_paths": evidence.smb_paths(smb),
+        "smb_files": evidence.smb_file_evidence(smb),
+        "dns": evidence.dns_evidence(adapters.dns(spark, sf_dir), minimum=1.5),
+        "credentials": evidence.credential_evidence(adapters.packets(spark, sf_dir)),
+        "transfers": evidence.transfer_evidence(sig.outbound_transfers(conn, floor=20_000)),
+        "posts": evidence.post_evidence(adapters.http(spark, sf_dir)),
+    }
+
+
 def register_rules() -> None:
     base = f"WITH {signals_sql()}, {rules_sql()}"
 
@@ -221,24 +242,70 @@ boosted AS (
             F.array_join("signals_fired", ",").alias("signals_fired"),
         )
 
-    @query("finding_view", base + boosts + """
-SELECT capture_id, ttp_id, score, confidence, replace(signals_fired, '_weak', '') AS signals_fired FROM boosted""")
+    shown = f"""
+, {adapters.CONN_SQL},
+spread AS (SELECT * REPLACE ('cap-' || (uid % 5) AS capture_id) FROM conn),
+scanner AS (
+  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ports DESC, hosts DESC, src) AS r FROM (
+    SELECT capture_id, orig_h AS src, count(DISTINCT resp_p) AS ports, count(DISTINCT resp_h) AS hosts,
+           min(ts) AS f, max(ts) AS l FROM spread GROUP BY 1, 2)
+  WHERE ports >= 15 OR hosts >= 10),
+seen AS (
+  SELECT capture_id, 'T1046' AS ttp_id, 'scan' AS kind, 1 AS position, printf('%s: %d ports, %d hosts', src, ports, hosts) AS line
+  FROM scanner WHERE r = 1
+  UNION ALL SELECT capture_id, 'T1046', 'scan_timeline', 1, printf('scan_start %.3f', f) FROM scanner WHERE r = 1
+  UNION ALL SELECT capture_id, 'T1046', 'scan_timeline', 2, printf('scan_end %.3f', l) FROM scanner WHERE r = 1
+  UNION ALL SELECT capture_id, 'T1046', 'scan_timeline', 3, printf('duration_secs %.3f', l - f) FROM scanner WHERE r = 1
+  UNION ALL SELECT capture_id, 'T1021.002', 'smb_shares', position, path FROM ({ORACLES["smb_shares"]})
+  UNION ALL SELECT capture_id, 'T1021.002', 'smb_paths', position, printf('%s (%d)', path, uses) FROM ({ORACLES["smb_paths"]})
+  UNION ALL SELECT capture_id, 'T1021.002', 'smb_files', position, name FROM ({ORACLES["smb_file_evidence"]})
+  UNION ALL SELECT capture_id, 'T1071.004', 'dns', position, query FROM ({ORACLES["dns_evidence"]})
+  UNION ALL SELECT capture_id, 'T1040', 'credentials', position, src || ' -> ' || dst FROM ({ORACLES["credential_evidence"]})
+  UNION ALL SELECT capture_id, 'T1048.003', 'posts', position, uri FROM ({ORACLES["post_evidence"]})
+  UNION ALL SELECT capture_id, 'T1048.003', 'transfers', CAST(r AS INT), printf('%s -> %s: %d bytes', orig_h, resp_h, orig_bytes) FROM (
+    SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ts, uid) AS r FROM spread WHERE orig_bytes > 20000) WHERE r <= 10),
+dives AS (SELECT e.* FROM seen e JOIN boosted b ON b.capture_id = e.capture_id AND b.ttp_id = e.ttp_id AND b.score >= {SHOWN})"""
+
+    @query("finding_view", base + boosts + shown + """
+, previews AS (
+  SELECT capture_id, ttp_id, string_agg(kind || ': ' || line, '|' ORDER BY kind, position, line) AS evidence_preview
+  FROM dives WHERE position <= 3 GROUP BY 1, 2),
+numbers AS (
+  SELECT capture_id, ttp_id, kind, count(*) AS n, min(line) AS line FROM dives
+  WHERE kind IN ('scan', 'smb_shares', 'dns', 'credentials', 'transfers') GROUP BY 1, 2, 3),
+summaries AS (
+  SELECT n.capture_id, n.ttp_id, CASE kind
+    WHEN 'scan' THEN (SELECT printf('%s contacted %d hosts on %d ports.', src, hosts, ports) FROM scanner s
+                      WHERE s.capture_id = n.capture_id AND s.r = 1)
+    WHEN 'smb_shares' THEN n || ' administrative share events shown.'
+    WHEN 'dns' THEN n || printf(' high-entropy lookups shown. Maximum entropy %.2f, failure rate %.2f%%.',
+                                dns_max_subdomain_entropy, dns_nxdomain_rate * 100)
+    WHEN 'credentials' THEN n || ' clear-text credential events shown.'
+    ELSE printf('Largest upload %d bytes, %d POST requests.', CAST(max_outbound_bytes AS BIGINT),
+                CAST(http_plaintext_post_count AS BIGINT)) END AS evidence_summary
+  FROM numbers n JOIN wide w ON w.capture_id = n.capture_id)
+SELECT b.capture_id, b.ttp_id, score, confidence, replace(signals_fired, '_weak', '') AS signals_fired,
+       evidence_summary, coalesce(evidence_preview, '') AS evidence_preview
+FROM boosted b
+LEFT JOIN summaries s ON s.capture_id = b.capture_id AND s.ttp_id = b.ttp_id
+LEFT JOIN previews p ON p.capture_id = b.capture_id AND p.ttp_id = b.ttp_id""")
     def finding_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from netquarry.operators import report
-
-        out = report.finding_view(findings(spark, sf_dir))
+        signals, tables = all_signals(spark, sf_dir), evidence_tables(spark, sf_dir)
+        out = report.finding_view(
+            findings(spark, sf_dir, signals), evidence.evidence_summaries(tables, signals),
+            evidence.evidence_lines(tables), threshold=SHOWN,
+        )
         return out.select(
-            "capture_id", "ttp_id", "score", "confidence", F.array_join("signals_fired", ",").alias("signals_fired")
+            "capture_id", "ttp_id", "score", "confidence", F.array_join("signals_fired", ",").alias("signals_fired"),
+            "evidence_summary", F.array_join("evidence_preview", "|").alias("evidence_preview"),
         )
 
-    @query("deep_dive", base + boosts + f"""
-SELECT e.capture_id, e.uid, e.path, b.ttp_id FROM ({ORACLES["smb_shares"]}) e
-JOIN boosted b ON b.capture_id = e.capture_id AND b.ttp_id = 'T1021.002' AND b.score >= 0.6""")
+    @query("deep_dive", base + boosts + shown + """
+SELECT capture_id, ttp_id, kind, position, line FROM dives""")
     def deep_dive(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Share evidence of captures whose share finding is strong."""
-        tables = {"smb_shares": evidence.smb_share_evidence(adapters.smb(spark, sf_dir))}
-        kept = evidence.deep_dive(findings(spark, sf_dir), tables)["smb_shares"]
-        return kept.select("capture_id", "uid", "path", "ttp_id")
+        """All evidence of all reported findings, from the tables of every technique that has some."""
+        lines = evidence.evidence_lines(evidence_tables(spark, sf_dir))
+        return evidence.of_strong(lines, findings(spark, sf_dir), SHOWN)
 
     @query("anomalies", base + boosts + f"""
 , strong AS (
