@@ -23,7 +23,7 @@ def duplicate_alerts(alerts: DataFrame, k: int = 15) -> DataFrame:
     groups = alerts.groupBy(CAPTURE, "src_ip", "dst_ip", "signature").agg(
         F.count("*").alias("alert_count"),
         F.min("severity").alias("severity"),
-        F.min_by(row, F.struct("severity", "timestamp", "src_port", "dst_port")).alias("worst"),
+        F.min_by(row, F.struct("severity", "timestamp", "src_port", "dst_port", "technique")).alias("worst"),
     )
     order = [F.asc("severity"), F.desc("alert_count"), F.asc("src_ip"), F.asc("dst_ip"), F.asc("signature")]
     return top_k(groups, [CAPTURE], order, k, rank="position").select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import text
 from netquarry.operators.common import CAPTURE, top_k
+from netquarry.operators.packets import sample_rows
 from netquarry.operators.scoring import DEEP_DIVE_THRESHOLD
 from netquarry.operators.signals import conn_rollup, scan_candidates
 
@@ -92,9 +93,8 @@ def dns_evidence(dns: DataFrame, k: int = 30, minimum: float = 3.5) -> DataFrame
 
 
 def credential_evidence(packets: DataFrame, k: int = 20) -> DataFrame:
-    rows = packets.where("http_authorization <> ''").select(
-        CAPTURE, "frame_no", "ts", F.col("ip_src").alias("src"), F.col("ip_dst").alias("dst"),
-        F.col("http_authorization").alias("auth_header"),
+    rows = sample_rows(packets, "credentials").select(
+        CAPTURE, "frame_no", "ts", "src", "dst", F.col("http_authorization").alias("auth_header")
     )
     return top_k(rows, [CAPTURE], [F.asc("frame_no")], k, rank="position")
 

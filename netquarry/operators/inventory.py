@@ -8,55 +8,27 @@ from pyspark.sql import functions as F
 from netquarry.functions.net import first_value, ip_to_long, ip_values, is_internal, ttl_to_os
 from netquarry.functions.text import name_suffixes
 from netquarry.operators.common import CAPTURE, top_k
+from netquarry.operators.packets import packet_facts, rolled, sample_rows
 from netquarry.sources.rules import Allowlist
 
 
-def packet_rollup(packets: DataFrame) -> DataFrame:
-    """Packets reduced to one row per (capture, source, destination, protocol chain).
-
-    The inventory reads this table several times; whoever needs more than one part of it
-    persists the reduction and passes it in place of the packets.
-    """
-    return packets.groupBy(CAPTURE, "ip_src", "ip_dst", "protocols").agg(
-        F.count("*").alias("n"),
-        F.sum("frame_len").cast("bigint").alias("bytes"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.min("frame_no").alias("first_frame"),
-    )
-
-
-def _rolled(packets: DataFrame) -> DataFrame:
-    """Packets, or their reduction, with the columns of the reduction."""
-    if "n" in packets.columns:
-        return packets
-    return packets.select(
-        CAPTURE, "ip_src", "ip_dst", "protocols",
-        F.lit(1).cast("bigint").alias("n"),
-        F.col("frame_len").cast("bigint").alias("bytes"),
-        F.col("ts").alias("first_ts"),
-        F.col("ts").alias("last_ts"),
-        F.col("frame_no").alias("first_frame"),
-    )
-
-
 def protocol_histogram(packets: DataFrame) -> DataFrame:
     """Frames and bytes per protocol; ``frame`` counts every packet."""
     chain = F.coalesce("protocols", F.array().cast("array<string>"))
     names = F.array_distinct(F.concat(F.array(F.lit("frame")), chain))
     return (
-        _rolled(packets)
+        rolled(packets)
         .select(CAPTURE, "n", "bytes", F.explode(names).alias("protocol"))
         .groupBy(CAPTURE, "protocol")
         .agg(F.sum("n").alias("frames"), F.sum("bytes").alias("bytes"))
     )
 
 
-def conversations(packets: DataFrame) -> DataFrame:
-    """IP conversations, source being the sender of the first packet."""
-    rolled = _rolled(packets)
+def timed_conversations(packets: DataFrame) -> DataFrame:
+    """IP conversations with absolute times, source being the sender of the first packet."""
+    rows = rolled(packets)
     src, dst = first_value(F.col("ip_src")), first_value(F.col("ip_dst"))
-    rows = rolled.withColumns({"src": src, "dst": dst}).where("src IS NOT NULL AND dst IS NOT NULL")
+    rows = rows.withColumns({"src": src, "dst": dst}).where("src IS NOT NULL AND dst IS NOT NULL")
     low = F.least("src", "dst")
     from_low = F.col("src") == low
 
@@ -75,11 +47,10 @@ def conversations(packets: DataFrame) -> DataFrame:
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
     )
-    starts = rolled.groupBy(CAPTURE).agg(F.min("first_ts").alias("capture_start_ts"))
     low_first = F.coalesce(F.col("low_frame") <= F.col("high_frame"), F.col("high_frame").isNull())
     frames = F.when(low_first, F.col("frames_low")).otherwise(F.expr("frames_total - frames_low"))
     volume = F.when(low_first, F.col("bytes_low")).otherwise(F.expr("bytes_total - bytes_low"))
-    return pairs.join(starts, CAPTURE).select(
+    return pairs.select(
         CAPTURE,
         F.when(low_first, F.col("low")).otherwise(F.col("high")).alias("src"),
         F.when(low_first, F.col("high")).otherwise(F.col("low")).alias("dst"),
@@ -89,11 +60,26 @@ def conversations(packets: DataFrame) -> DataFrame:
         (F.col("bytes_total") - volume).alias("bytes_back"),
         "frames_total",
         "bytes_total",
-        (F.col("first_ts") - F.col("capture_start_ts")).alias("rel_start"),
-        (F.col("last_ts") - F.col("first_ts")).alias("duration_secs"),
+        "first_ts",
+        "last_ts",
     )
 
 
+def from_start(convs: DataFrame, packets: DataFrame) -> DataFrame:
+    """Conversations with their begin since the start of the capture in place of absolute times."""
+    starts = rolled(packets).groupBy(CAPTURE).agg(F.min("first_ts").alias("capture_start_ts"))
+    times = {"first_ts": F.col("first_ts") - F.col("capture_start_ts"), "last_ts": F.col("last_ts") - F.col("first_ts")}
+    names = {"first_ts": "rel_start", "last_ts": "duration_secs"}
+    return convs.join(starts, CAPTURE).select(
+        *[times[c].alias(names[c]) if c in times else F.col(c) for c in convs.columns]
+    )
+
+
+def conversations(packets: DataFrame) -> DataFrame:
+    """IP conversations, source being the sender of the first packet."""
+    return from_start(timed_conversations(packets), packets)
+
+
 def classify_conversations(convs: DataFrame) -> DataFrame:
     """Adds the direction class; internal is a property of the address, so no join is needed."""
     src, dst = is_internal(F.col("src")), is_internal(F.col("dst"))
@@ -128,54 +114,32 @@ def mac_ip(packets: DataFrame) -> DataFrame:
 
     One row per pair: a gateway's hardware address stands for unboundedly many hosts.
     """
-    return (
-        packets.select(CAPTURE, "frame_no", F.col("eth_src").alias("mac"), first_value(F.col("ip_src")).alias("ip"))
-        .where("mac <> '' AND ip IS NOT NULL")
-        .groupBy(CAPTURE, "mac", "ip")
-        .agg(F.min("frame_no").alias("first_frame"))
-    )
+    return packet_facts(packets, "mac").select(CAPTURE, F.col("a").alias("mac"), F.col("b").alias("ip"), "first_frame")
 
 
 def hostnames(packets: DataFrame) -> DataFrame:
     """Name of each address from the first answer that holds it."""
-    name = F.regexp_replace("dns_qry_name", r"\.+$", "")
-    answers = (
-        packets.where("dns_is_response AND dns_qry_name <> '' AND size(dns_a) > 0")
-        .select(CAPTURE, "frame_no", name.alias("name"), F.explode("dns_a").alias("ip"))
-        .where("ip <> ''")
+    return packet_facts(packets, "name").groupBy(CAPTURE, F.col("a").alias("ip")).agg(
+        F.min_by("b", "first_frame").alias("hostname")
     )
-    # Answers repeat: they are reduced by hashing before names are compared.
-    distinct = answers.groupBy(CAPTURE, "ip", "name").agg(F.min("frame_no").alias("first_frame"))
-    return distinct.groupBy(CAPTURE, "ip").agg(F.min_by("name", "first_frame").alias("hostname"))
 
 
 def os_hints(packets: DataFrame) -> DataFrame:
     """Operating-system family from the first time-to-live of each source."""
-    ttl = first_value(F.col("ip_ttl").cast("string"))
     return (
-        packets.select(CAPTURE, "frame_no", first_value(F.col("ip_src")).alias("ip"), ttl.alias("ttl"))
-        .where("ip IS NOT NULL AND ttl IS NOT NULL")
-        .groupBy(CAPTURE, "ip")
-        .agg(F.min_by(F.col("ttl").try_cast("int"), "frame_no").alias("ttl"))
+        packet_facts(packets, "ttl")
+        .groupBy(CAPTURE, F.col("a").alias("ip"))
+        .agg(F.min_by(F.col("b").try_cast("int"), "first_frame").alias("ttl"))
         .select(CAPTURE, "ip", ttl_to_os(F.col("ttl")).alias("os_hint"))
     )
 
 
 def odd_ports(packets: DataFrame, k: int = 20) -> DataFrame:
     """First samples of HTTP and DNS on unusual ports."""
-    http = F.array_contains("protocols", "http") & ~F.col("tcp_dstport").isin(80, 8080, 443)
-    # A packet has one transport; the port of the other one is absent and does not object.
-    udp = F.coalesce(F.col("udp_dstport") != 53, F.lit(False))
-    tcp = F.coalesce(F.col("tcp_dstport") != 53, F.lit(False))
-    dns = F.array_contains("protocols", "dns") & (udp | tcp)
-    rows = packets.select(
-        CAPTURE,
-        "frame_no",
-        F.when(http, "http").when(dns, "dns").alias("proto"),
-        F.col("ip_src").alias("src"),
-        F.col("ip_dst").alias("dst"),
-        F.when(http, F.col("tcp_dstport")).otherwise(F.col("udp_dstport")).alias("port"),
-    ).where("proto IS NOT NULL")
+    port = F.when(F.col("sample") == "http", F.col("tcp_dstport")).otherwise(F.col("udp_dstport"))
+    rows = sample_rows(packets, "odd_port").select(
+        CAPTURE, "frame_no", F.col("sample").alias("proto"), "src", "dst", port.alias("port")
+    )
     return top_k(rows, [CAPTURE, "proto"], [F.asc("frame_no")], k)
 
 
@@ -205,15 +169,14 @@ def captures(packets: DataFrame) -> DataFrame:
 
     The file size is that of a classic packet file: 24 bytes, and 16 more per packet.
     """
-    totals = _rolled(packets).groupBy(CAPTURE).agg(
+    totals = rolled(packets).groupBy(CAPTURE).agg(
         F.sum("n").alias("total_packets"),
         (F.sum("bytes") + 16 * F.sum("n") + 24).alias("file_size_bytes"),
         F.min("first_ts").alias("start_ts"),
         F.max("last_ts").alias("end_ts"),
     )
-    flows = conversations(packets).groupBy(CAPTURE).agg(
-        F.count("*").alias("total_flows"),
-        F.max(F.col("rel_start") + F.col("duration_secs")).alias("duration_secs"),
+    flows = timed_conversations(packets).groupBy(CAPTURE).agg(
+        F.count("*").alias("total_flows"), F.max("last_ts").alias("flow_end_ts")
     )
     counts = hosts(packets).groupBy(CAPTURE).agg(
         F.count("*").alias("host_count"),
@@ -223,6 +186,8 @@ def captures(packets: DataFrame) -> DataFrame:
     out = totals
     for part in (flows, counts, visibility(histogram), protocols_present(histogram)):
         out = out.join(part, CAPTURE, "left")
+    duration = F.col("flow_end_ts") - F.col("start_ts")
+    out = out.withColumn("flow_end_ts", duration).withColumnRenamed("flow_end_ts", "duration_secs")
     return out.na.fill(
         {"total_flows": 0, "duration_secs": 0.0, "host_count": 0, "internal_count": 0}
     )

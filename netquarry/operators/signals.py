@@ -15,7 +15,7 @@ from netquarry.functions.lists import (
     WEB_SERVICE_DOMAINS,
     WINRM_PORTS,
 )
-from netquarry.functions.net import first_value, is_external, is_internal
+from netquarry.functions.net import is_external, is_internal
 from netquarry.operators.common import (
     CAPTURE,
     count_if,
@@ -25,6 +25,7 @@ from netquarry.operators.common import (
     not_internal_rows,
     top_k,
 )
+from netquarry.operators.packets import has_protocol, packet_facts, rolled
 
 
 @dataclass(frozen=True)
@@ -468,12 +469,12 @@ def exfil_signals(
 # ----------------------------------------------------------------------- packets
 
 
-def _has(*names: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.array_contains("protocols", n) for n in names])
+def _frames(*names: str) -> Column:
+    return F.coalesce(F.sum(F.when(has_protocol(*names), F.col("n"))), F.lit(0).cast("bigint"))
 
 
-def _frames(*names: str) -> Column:
-    return F.coalesce(reduce(lambda a, b: a + b, [count_if(_has(n)) for n in names]), F.lit(0))
+def _marked(mark: str) -> Column:
+    return F.coalesce(F.sum(mark), F.lit(0).cast("bigint"))
 
 
 PACKET_SIGNALS = (
@@ -486,11 +487,7 @@ PACKET_SIGNALS = (
 
 
 def packet_aggregates() -> dict[str, Column]:
-    """Signals that are plain conditional aggregates of the packet table."""
-    opcode = F.col("arp_opcode")
-    auth = F.coalesce(F.col("http_authorization") != "", F.lit(False))
-    ftp = F.coalesce(F.col("ftp_command").isin("USER", "PASS"), F.lit(False))
-    odd_http = _has("http") & ~F.col("tcp_dstport").isin(80, 8080)
+    """Signals that are sums over the packet table or its reduction."""
     return {
         "dns_packet_count": _frames("dns"),
         "http_packet_count": _frames("http"),
@@ -503,12 +500,12 @@ def packet_aggregates() -> dict[str, Column]:
         "rdp_packet_count": _frames("rdp"),
         "ldap_packet_count": _frames("ldap"),
         "cldap_packet_count": _frames("cldap"),
-        "arp_gratuitous_count": count_if((opcode == 1) & (F.col("arp_src_ip") == F.col("arp_dst_ip"))),
-        "icmp_large_payload_count": count_if(_has("icmp") & (F.col("data_len") > 512)),
-        "http_on_nonstandard_port_count": count_if(odd_http),
-        "http_cleartext_creds_detected": flag_if(auth),
-        "cleartext_creds_detected": flag_if(auth | ftp),
-        "ftp_cleartext_detected": flag_if(ftp),
+        "arp_gratuitous_count": _marked("n_gratuitous"),
+        "icmp_large_payload_count": _marked("n_large_icmp"),
+        "http_on_nonstandard_port_count": _marked("n_odd_http"),
+        "http_cleartext_creds_detected": _marked("n_authorized") > 0,
+        "cleartext_creds_detected": _marked("n_authorized") + _marked("n_ftp_login") > 0,
+        "ftp_cleartext_detected": _marked("n_ftp_login") > 0,
     }
 
 
@@ -519,7 +516,7 @@ def packet_signals(packets: DataFrame) -> DataFrame:
 
 def _packet_subset(packets: DataFrame, names: tuple[str, ...]) -> DataFrame:
     all_of = packet_aggregates()
-    return packets.groupBy(CAPTURE).agg(*[all_of[n].alias(n) for n in names])
+    return rolled(packets).groupBy(CAPTURE).agg(*[all_of[n].alias(n) for n in names])
 
 
 def cleartext_signals(packets: DataFrame) -> DataFrame:
@@ -541,9 +538,9 @@ def icmp_signals(packets: DataFrame) -> DataFrame:
 def arp_conflicts(packets: DataFrame) -> DataFrame:
     """Addresses claimed by more than one hardware address."""
     return (
-        packets.where("arp_src_ip <> '' AND arp_src_mac <> ''")
-        .groupBy(CAPTURE, F.col("arp_src_ip").alias("ip"))
-        .agg(F.count_distinct("arp_src_mac").alias("mac_count"))
+        packet_facts(packets, "arp")
+        .groupBy(CAPTURE, F.col("a").alias("ip"))
+        .agg(F.count("*").alias("mac_count"))
         .where("mac_count > 1")
     )
 
@@ -570,12 +567,7 @@ def kerberos_signals(kerberos: DataFrame) -> DataFrame:
 
 def replication_sources(packets: DataFrame, kerberos: DataFrame) -> DataFrame:
     """Senders of replication traffic that never answered Kerberos, hence no controllers."""
-    senders = (
-        packets.where(_has("drsuapi"))
-        .select(CAPTURE, first_value(F.col("ip_src")).alias("ip"))
-        .where("ip IS NOT NULL")
-        .distinct()
-    )
+    senders = packet_facts(packets, "replication").select(CAPTURE, F.col("a").alias("ip"))
     controllers = kerberos.where("resp_h IS NOT NULL").select(CAPTURE, F.col("resp_h").alias("ip")).distinct()
     return senders.join(controllers, [CAPTURE, "ip"], "left_anti")
 

@@ -21,6 +21,7 @@ from netquarry.operators import (
     sigma,
     signals as sig,
 )
+from netquarry.operators import packets as packet_ops
 from netquarry.operators.common import CAPTURE
 from netquarry.schemas import ALERT_SCHEMA, BEACON_CSV_SCHEMA, PACKET_SCHEMA, ZEEK_LOGS
 from netquarry.session import local_table
@@ -108,21 +109,25 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
     log_rules = rule_source.load_sigma(spark, options.sigma_rules)
 
     # Inventory. A capture is known by its packets or by any of its logs.
-    traffic = keep(inventory.packet_rollup(packets))
+    traffic = keep(packet_ops.packet_rollup(packets))
+    facts = keep(packet_ops.packet_facts(packets))
+    samples = keep(packet_ops.packet_samples(packets))
+    rollup = keep(sig.conn_rollup(log["conn"]))
+    names = keep(sig.dns_names(log["dns"]))
     histogram = inventory.protocol_histogram(traffic)
-    convs = inventory.classify_conversations(inventory.conversations(traffic))
+    timed = inventory.classify_conversations(inventory.timed_conversations(traffic))
+    convs = inventory.from_start(timed, traffic)
     hosts = inventory.hosts(traffic)
-    talkers = keep(inventory.top_talkers(convs))
-    known = packets.select(CAPTURE)
-    for df in log.values():
+    # Begins are subtracted from the few rows kept.
+    talkers = keep(inventory.from_start(inventory.top_talkers(timed), traffic))
+    known = traffic.select(CAPTURE)
+    for df in (log | {"conn": rollup, "dns": names}).values():
         known = known.unionByName(df.select(CAPTURE))
     captures = keep(known.distinct().join(inventory.captures(traffic), CAPTURE, "left"))
     thresholds = inventory.calibrate(captures)
     allowed = inventory.mark_allowed(hosts.select("ip").distinct(), allow).where("allowed")
 
     # Signals.
-    rollup = keep(sig.conn_rollup(log["conn"]))
-    names = keep(sig.dns_names(log["dns"]))
     sources = keep(sig.scan_sources(rollup, thresholds))
     scans = sig.scan_candidates(sources)
     transfers = keep(sig.outbound_transfers(log["conn"], thresholds=thresholds))
@@ -136,9 +141,9 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
     signals = keep(
         sig.assemble_signals(
             captures,
-            sig.packet_signals(packets),
-            sig.arp_conflict_signals(packets),
-            sig.dcsync_signals(packets, log["kerberos"]),
+            sig.packet_signals(traffic),
+            sig.arp_conflict_signals(facts),
+            sig.dcsync_signals(facts, log["kerberos"]),
             sig.dns_signals(names),
             sig.http_signals(log["http"]),
             sig.tls_signals(log["ssl"], log["x509"]),
@@ -168,7 +173,7 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
         "smb_paths": evidence.smb_paths(log["smb_mapping"]),
         "smb_files": evidence.smb_file_evidence(log["smb_files"]),
         "dns": evidence.dns_evidence(log["dns"]),
-        "credentials": evidence.credential_evidence(packets),
+        "credentials": evidence.credential_evidence(samples),
         "transfers": evidence.transfer_evidence(transfers),
         "posts": evidence.post_evidence(log["http"]),
     }
@@ -188,7 +193,7 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
     confirmed = enriched.where("is_confirmed_malicious")
 
     # Report.
-    macs = inventory.mac_ip(packets)
+    macs = inventory.mac_ip(facts)
     victims = keep(
         report.victim_identity(log["dhcp"], log["kerberos"], log["smb_mapping"], log["dns"], macs)
     )
@@ -203,9 +208,9 @@ def analyze(spark: SparkSession, inputs: Inputs, options: Options = Options()) -
         "top_talkers": talkers,
         "hosts": hosts,
         "mac_ip": macs,
-        "hostnames": inventory.hostnames(packets),
-        "os_hints": inventory.os_hints(packets),
-        "odd_ports": inventory.odd_ports(packets),
+        "hostnames": inventory.hostnames(facts),
+        "os_hints": inventory.os_hints(facts),
+        "odd_ports": inventory.odd_ports(samples),
         "allowed_ips": allowed,
         "allow_summary": local_table(
             spark,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.operators import alerts as alert_ops
+from netquarry.operators import alerts as alert_ops, packets as packet_ops
 from netquarry.operators import anomaly, beacon, evidence, inventory, report, scoring, sigma, signals as sig
 from netquarry.plans import adapters
 from netquarry.plans.catalog import ORACLES, query
@@ -20,7 +20,7 @@ def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of the five captures that packets, connections, logins, shares, TLS, DNS and HTTP share."""
     packets = adapters.packets(spark, sf_dir)
     conn = adapters.spread_conn(spark, sf_dir)
-    thresholds = inventory.calibrate(inventory.captures(inventory.packet_rollup(packets)))
+    thresholds = inventory.calibrate(inventory.captures(packet_ops.packet_rollup(packets)))
     kerberos = adapters.kerberos(spark, sf_dir)
     return sig.assemble_signals(
         packets.select("capture_id").distinct(),
@@ -357,7 +357,7 @@ FROM checks WHERE c.hit""")
         )
         out = anomaly.anomalies(
             assessed,
-            captures=inventory.captures(inventory.packet_rollup(adapters.packets(spark, sf_dir))),
+            captures=inventory.captures(packet_ops.packet_rollup(adapters.packets(spark, sf_dir))),
             parents=sig.dns_parents(names),
             scans=sig.scan_sources(adapters.spread_conn(spark, sf_dir)).where("candidate"),
             singletons=sig.dns_singletons(names),
