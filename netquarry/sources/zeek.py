@@ -1,6 +1,6 @@
 """Zeek JSON logs of many captures.
 
-A root directory holds one directory per capture: ``<root>/<capture_id>/conn.log``.
+A root directory holds one directory per capture: ``<root>/<capture_id>/conn.log``, in one file or rotated.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ def read_zeek_raw(spark: SparkSession, path: str, log: str, extra_fields=()) ->
     """A log with every field as text; absent fields are null.
 
     Reading all fields as text keeps rows whose values have another JSON type than
-    expected. Only blank, comment and broken lines are dropped. ``extra_fields`` adds
+    expected. Only blank, comment and broken lines are dropped. Rotated files, such as
+    ``conn.2024-05-01-10-00-00.log.gz``, belong to their log. ``extra_fields`` adds
     fields that log rules name and the standard schema lacks.
     """
     fields = list(ZEEK_LOGS[log])
@@ -30,7 +31,7 @@ def read_zeek_raw(spark: SparkSession, path: str, log: str, extra_fields=()) ->
         lambda: spark.read.schema(schema)
         .option("mode", "DROPMALFORMED")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"{log}.log*")
+        .option("pathGlobFilter", f"{log}.{{log*,[0-9]*.log*}}")
         .json(path)
     )
     if logs is None:

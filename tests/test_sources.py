@@ -1,5 +1,6 @@
 """Readers, on hand-made files."""
 
+import gzip
 import json
 
 import pytest
@@ -46,6 +47,19 @@ def test_captures_are_directories(spark, logs):
     assert zeek.read_zeek(spark, f"{logs}/beta", "conn").first().capture_id == "beta"
 
 
+def test_rotated_and_compressed_files_belong_to_their_log(spark, tmp_path):
+    names = {
+        "conn.log": 1, "conn.log.gz": 2, "conn.10_00_00-11_00_00.log": 3, "conn.2024-05-01-10-00-00.log.gz": 4,
+        "conn-summary.log": 5, "connection.log": 6, "conn.note.txt": 7,
+    }
+    (tmp_path / "alpha").mkdir()
+    for name, ts in names.items():
+        line = (json.dumps({"ts": ts, "uid": "u"}) + "\n").encode()
+        (tmp_path / "alpha" / name).write_bytes(gzip.compress(line) if name.endswith(".gz") else line)
+    got = zeek.read_zeek(spark, str(tmp_path), "conn")
+    assert sorted((r.capture_id, r.ts) for r in got.collect()) == [("alpha", float(n)) for n in range(1, 5)]
+
+
 def test_absent_log_or_path_is_empty(spark, logs):
     assert zeek.read_zeek(spark, logs, "dns").count() == 0
     assert zeek.read_zeek(spark, f"{logs}/nowhere", "conn").count() == 0
