@@ -27,6 +27,8 @@ SEED = 42
 BITS = 64
 #: Least hashes of a run that makes texts candidates; texts of a block that are compared with another block.
 ROWS, BLOCK = 5, 256
+#: Blocks of each side of a larger group, up to so many texts in a block; pairs in doubt that a cell holds at once.
+SIDES, WIDEST, PORTION = 4, 1 << 16, 1 << 20
 #: Four standard deviations of a share of 0.8 estimated by 128 least hashes.
 MARGIN = 0.14
 JUDGED = "a bigint, b bigint, sure boolean"
@@ -184,6 +186,15 @@ def near_duplicates(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def balls(marks: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs a, b of nodes that connect all whose fingerprints are within the radius: node, fp in, one row a node."""
+    heads = kept(marks.groupBy("fp").agg(F.min("node").alias("head")))
+    same = marks.join(heads, "fp").where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    side = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    near = close(heads.select("fp"), radius).join(side("a"), "a").join(side("b"), "b")
+    return same.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+
+
 def bands(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A key for every run of so many least hashes of each row; rows with one key have that run in common."""
     count = least.shape[1] // rows
@@ -201,12 +212,23 @@ def forest(
     decides, one by one as long as they are apart; without it they are returned. There is never an edge more than
     it takes to join the components.
     """
-    comp, edges, asked = np.unique(comp, return_inverse=True)[1], [], [np.empty((2, 0), np.int64)]
+    comp, edges, doubt, asked, held = np.unique(comp, return_inverse=True)[1], [], np.zeros(len(comp), bool), [], 0
 
     def join(x: int, y: int) -> None:
         edges.append((x, y))
         comp[comp == comp[y]] = comp[x]
 
+    def settle() -> None:
+        xs, ys = np.concatenate([np.empty((2, 0), np.int64), *asked], axis=1)
+        apart = comp[xs] != comp[ys]
+        xs, ys = xs[apart], ys[apart]
+        if holds is None:
+            doubt[xs] = doubt[ys] = True
+            return
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            if comp[x] != comp[y] and holds(x, y):
+                join(x, y)
+
     for x in range(len(comp) - 1):
         other = np.flatnonzero(comp[x + 1:] != comp[x]) + x + 1
         share = (least[other] == least[x]).mean(1)
@@ -215,15 +237,12 @@ def forest(
                 join(x, y)
         some = other[(share >= low) & (share < high)]
         asked.append(np.stack([np.full(len(some), x), some]))
-    xs, ys = np.concatenate(asked, axis=1)
-    apart = comp[xs] != comp[ys]
-    xs, ys = xs[apart], ys[apart]
-    if holds is None:
-        return edges, np.unique(np.concatenate([xs, ys]))
-    for x, y in zip(xs.tolist(), ys.tolist()):
-        if comp[x] != comp[y] and holds(x, y):
-            join(x, y)
-    return edges, np.empty(0, np.int64)
+        held += len(some)
+        if held > PORTION:
+            settle()
+            asked, held = [], 0
+    settle()
+    return edges, np.flatnonzero(doubt)
 
 
 def by_cell(rows: DataFrame, decide: Callable[[int, list[tuple]], list[tuple]]) -> DataFrame:
@@ -251,17 +270,18 @@ def apart(
     """Edges a, b that connect what pairs of one band key, but of different components, connect at `similarity`.
 
     shared: key, node. A key's members are those of its first member's component, the base, and the rest. The rest
-    is compared with itself and with the base in cells of two blocks, so no task holds a large group and what
-    has come together costs no comparisons with itself. A cell is decided by the least hashes where they suffice;
+    is compared with itself and with the base in cells of two blocks, and what has come together costs no comparisons
+    with itself. A side has SIDES blocks at most, so a member goes to 2 * SIDES cells however large its group, until
+    blocks hold WIDEST members. A cell is decided by the least hashes where they suffice;
     where they do not, the doubtful members' shingles come to it, once each, and it decides by them. A cell gives
     fewer edges than it has members, however many pairs are close.
     """
     named = shared.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     first = named.groupBy("key").agg(F.min("comp").alias("base"), F.max("comp").alias("top")).where("base <> top").drop("top")
     members = stored(named.join(first, "key").withColumn("rest", F.col("comp") != F.col("base")).drop("base"))
+    parts = lambda n: F.greatest(F.least(F.ceil(n / block), F.lit(SIDES)), F.ceil(n / WIDEST)).cast("int")
     blocks = members.groupBy("key").agg(
-        F.ceil(F.sum(F.col("rest").cast("int")) / block).cast("int").alias("r"),
-        F.ceil(F.sum((~F.col("rest")).cast("int")) / block).cast("int").alias("b"))
+        parts(F.sum(F.col("rest").cast("int"))).alias("r"), parts(F.sum((~F.col("rest")).cast("int"))).alias("b"))
     salt = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n)).cast("int")
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -269,9 +289,10 @@ def apart(
         F.transform(upto("r"), lambda t: cell(0, F.least(t, salt("r")), F.greatest(t, salt("r")))),
         F.transform(upto("b"), lambda t: cell(1, salt("r"), t)),
     )).otherwise(F.transform(upto("r"), lambda t: cell(1, t, salt("b"))))
-    rows = members.join(blocks, "key").select("node", "comp", F.col("key").alias("k"), F.explode(cells).alias("c")).select(
-        F.xxhash64("k", "c.kind", "c.i", "c.j").alias("cell"), "node", "comp")
     least = marks.select("node", "least")
+    # Every member gets its least hashes once, before it goes to its cells.
+    rows = members.join(blocks, "key").join(least, "node").select("node", "comp", "least", F.col("key").alias("k"), F.explode(cells).alias("c"))
+    rows = rows.select(F.xxhash64("k", "c.kind", "c.i", "c.j").alias("cell"), "node", "comp", "least")
 
     def by_least(cell_: int, rows_: list[tuple]) -> list[tuple]:
         node, comp, marked = zip(*rows_)
@@ -289,7 +310,7 @@ def apart(
         edges, _ = forest(np.array(comp, np.int64), np.frombuffer(b"".join(marked), np.uint32).reshape(len(node), -1), low, high, holds)
         return [(node[x], node[y], True) for x, y in edges]
 
-    found = stored(by_cell(rows.join(least, "node").select("cell", "node", "comp", "least"), by_least))
+    found = stored(by_cell(rows, by_least))
     doubtful = found.where("NOT sure").select(F.col("a").alias("cell"), F.col("b").alias("node"))
     # As a table the nodes have a known size, by which Spark decides whether the texts must move to meet them.
     wanted = stored(doubtful.select("node").distinct())
@@ -341,10 +362,11 @@ def judged(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, size: int = 128) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest id stays.
 
-    Texts are linked if the sets of their word shingles agree at `similarity` or more. Candidates have one of the runs
-    of ROWS least hashes in common (of pairs at 0.8 all but 0.00005). Each text is asked about the first one of its
-    runs; then all of a run are compared that this has not brought together. What `size` least hashes
-    estimate within MARGIN of the similarity is decided by the sets themselves.
+    Texts are linked if the sets of their word shingles agree at `similarity` or more. First candidates are, for each
+    text, its least neighbour by the links of operator 10 (fingerprints within three bits, met by ball hashing) and the
+    first one of its runs of ROWS least hashes. Three bits do not reach all pairs at the similarity, so then all of a
+    run are compared that this has not brought together (of pairs at 0.8 all but 0.00005 have a run in common). What
+    `size` least hashes estimate within MARGIN of the similarity is decided by the sets themselves.
     Equal texts fall together first, blank ones too. Of rows with equal id and text one stays; rows without an id go
     only where another copy has one.
     """
@@ -352,9 +374,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bodies = batch.column(1).to_pylist()
+            fp = np.array([simhash(t, 3) for t in bodies], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([traits(t, shingle, size) for t in batch.column(1).to_pylist()], pa.binary())],
-                ["doc_id", "node", "least"])
+                [batch.column(0), batch.column(2), pa.array(fp), pa.array([traits(t, shingle, size) for t in bodies], pa.binary())],
+                ["doc_id", "node", "fp", "least"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,14 +395,18 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, size
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share >= high)], ["a", "b", "sure"]).filter(pa.array(share >= low))
 
     texts = own.withColumn("node", F.xxhash64("text"))
-    named = kept(texts.select("doc_id", "text", "node").mapInArrow(run, "doc_id bigint, node bigint, least binary"))
+    named = kept(texts.select("doc_id", "text", "node").mapInArrow(run, "doc_id bigint, node bigint, fp bigint, least binary"))
     firsts = named.groupBy("node").agg(F.min("doc_id").alias("first"))
-    marks = kept(named.select("node", "least").dropDuplicates(["node"]))
-    keyed = marks.mapInArrow(keys, "key bigint, node bigint")
+    marks = kept(named.select("node", "least", "fp").dropDuplicates(["node"]))
+    keyed = marks.select("node", "least").mapInArrow(keys, "key bigint, node bigint")
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
     shared = kept(keyed.join(heads, "key"))
-    # Every text is asked about one head, the least of its runs'; the rest is for `apart`.
+    # Every text is asked about its least neighbour by fingerprint (all of them would be many pairs in a large group of
+    # near copies) and one head, the least of its runs'; the rest is for `apart`.
     asked = shared.groupBy("node").agg(F.min("head").alias("head")).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    nearest = balls(marks.select("node", "fp")).select(*ordered).groupBy("b").agg(F.min("a").alias("a"))
+    asked = nearest.unionByName(asked.select(*ordered)).distinct()
     mark = lambda c: marks.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}"))
     stars = asked.join(mark("a"), "a").join(mark("b"), "b").select("a", "b", "least_a", "least_b").mapInArrow(agree, JUDGED)
     near = kept(holding(kept(stars), texts, shingle, similarity))

@@ -207,3 +207,50 @@ def test_the_share_of_shingles_is_exact(spark):
     got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {i for i, _ in rows} - {b[0] for a, b in zip(rows[::2], rows[1::2]) if jaccard(a[1], b[1]) >= 0.8}
     assert got == want
+
+
+def test_fingerprints_within_three_bits_are_asked_about(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for g in range(40):
+        words = ["g%dw%d" % (g, rng.randrange(10 ** 6)) for _ in range(600)]
+        other = list(words)
+        other[rng.randrange(600)] = "changed"
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((words, other))]
+    fp = {i: simhash.simhash(t, 3) for i, t in rows}
+    table = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fp.items()], "node long, fp long")
+    close = {(i, j) for i in fp for j in fp if i < j and (fp[i] ^ fp[j]).bit_count() <= 3}
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.balls(table).collect()}
+    assert len(close) > 25 and got <= close
+    assert components_of(fp, got) == components_of(fp, close)
+    # With no runs in common and so nothing but fingerprints, just these pairs come together.
+    monkeypatch.setattr(simhash, "bands", lambda least: simhash.np.random.default_rng().integers(0, 1 << 63, (len(least), 1), dtype=simhash.np.uint64))
+    stay = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(fp) - stay == {max(p) for p in close}
+
+
+def test_a_large_group_goes_to_few_cells(spark, monkeypatch):
+    rng = random.Random(13)
+    frame = ["t%d" % i for i in range(40)]
+    texts = [(i, " ".join(frame + ["f%dw%d" % (i, k) for k in range(rng.randint(20, 40))])) for i in range(300)]
+    sent, plain = [], simhash.by_cell
+
+    def counted(rows, decide):
+        sent.append(rows.count())
+        return plain(rows, decide)
+
+    monkeypatch.setattr(simhash, "by_cell", counted)
+    got = apart(spark, texts, {i: 0 for i in range(0, 300, 3)}, block=4)
+    assert sent[0] <= 2 * simhash.SIDES * len(texts) and len(got) < 300
+
+
+@pytest.mark.parametrize("portion", [1, 50, 1 << 20])
+def test_a_forest_in_portions_joins_the_same(monkeypatch, portion):
+    monkeypatch.setattr(simhash, "PORTION", portion)
+    rng = simhash.np.random.default_rng(14)
+    least = rng.integers(0, 2, (60, 16)).astype(simhash.np.uint32)
+    share = [[(x == y).mean() for y in least] for x in least]
+    holds = lambda x, y: (x * 7 + y * 7) % 5 == 0
+    edges, _ = simhash.forest(simhash.np.arange(60), least, 0.6, 0.85, holds)
+    want = [(x, y) for x in range(60) for y in range(x + 1, 60) if share[x][y] >= 0.85 or share[x][y] >= 0.6 and holds(x, y)]
+    assert components_of(range(60), edges) == components_of(range(60), want)
