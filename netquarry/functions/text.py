@@ -16,7 +16,7 @@ from netquarry.functions.lists import (
 
 ENCODED_LABEL = r"^[A-Za-z0-9+/=_-]{24,}$"
 B64_RUN = r"[A-Za-z0-9+/]{24,}={0,2}"
-ADMIN_SHARE = r"ADMIN\$|C\$|IPC\$"
+ADMIN_SHARES = ("ADMIN$", "C$", "IPC$")
 
 
 def shannon_entropy(c: Column) -> Column:
@@ -101,7 +101,7 @@ def name_suffixes(c: Column) -> Column:
 
 
 def is_admin_share(c: Column) -> Column:
-    return F.coalesce(F.upper(c).rlike(ADMIN_SHARE), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, [F.upper(c).contains(s) for s in ADMIN_SHARES]), F.lit(False))
 
 
 def signature_to_technique(c: Column) -> Column:

@@ -14,6 +14,8 @@ from netquarry.operators.scoring import DEEP_DIVE_THRESHOLD
 from netquarry.operators.signals import conn_rollup, scan_candidates
 
 ARRAY_PREVIEW = 6
+# Events of the scan timeline, in order.
+TIMELINE = ("scan_start", "scan_end", "duration_secs")
 
 
 def _first_values(rows: DataFrame, key: list[str], value: str, k: int, name: str) -> DataFrame:
@@ -57,9 +59,7 @@ def scan_evidence(conn: DataFrame, sources: DataFrame) -> DataFrame:
 
 def scan_timeline(evidence: DataFrame) -> DataFrame:
     """Timeline events of the scan evidence."""
-    return evidence.select(
-        CAPTURE, F.col("scan_start"), F.col("scan_end"), F.col("duration_secs")
-    ).unpivot([CAPTURE], ["scan_start", "scan_end", "duration_secs"], "event", "ts")
+    return evidence.select(CAPTURE, *TIMELINE).unpivot([CAPTURE], list(TIMELINE), "event", "ts")
 
 
 def smb_share_evidence(smb_mapping: DataFrame, k: int = 20) -> DataFrame:
@@ -151,37 +151,47 @@ def of_strong(rows: DataFrame, findings: DataFrame, threshold: float = DEEP_DIVE
 
 def evidence_summaries(tables: dict[str, DataFrame], signals: DataFrame) -> DataFrame:
     """One summary line per capture and technique with evidence; of_strong keeps those of strong findings."""
-    kinds = [k for k in ("scan", "smb_shares", "dns", "credentials", "transfers") if k in tables]
+    kinds = [k for k in SUMMARY_KINDS if k in tables]
     if not kinds:
         return signals.sparkSession.createDataFrame([], "capture_id string, ttp_id string, summary string")
     parts = []
     for kind in kinds:
         if kind == "scan":
-            text_of = F.format_string("%s contacted %d hosts on %d ports.", "scanner_ip",
-                                      "unique_dst_hosts_count", "unique_dst_ports_count")
-            rows = tables[kind].select(CAPTURE, text_of.alias("text"), F.lit(1).cast("bigint").alias("n"))
+            rows = tables[kind].select(CAPTURE, _scan_text().alias("text"), F.lit(1).cast("bigint").alias("n"))
         else:
             rows = tables[kind].groupBy(CAPTURE).agg(
                 F.max(F.lit(None).cast("string")).alias("text"), F.count("*").alias("n")
             )
         parts.append(rows.select(CAPTURE, F.lit(TECHNIQUE[kind]).alias("ttp_id"), F.lit(kind).alias("kind"), "text", "n"))
-    values = signals.select(
-        CAPTURE, "dns_max_subdomain_entropy", "dns_nxdomain_rate", "max_outbound_bytes",
-        "http_plaintext_post_count",
+    rows = reduce(DataFrame.unionByName, parts).join(signals.select(CAPTURE, *SUMMARY_SIGNALS), CAPTURE)
+    return rows.select(CAPTURE, "ttp_id", summary_text(F.col("kind"), F.col("text"), F.col("n")).alias("summary"))
+
+
+# Kinds that have a summary line, one of each technique, and the signals such lines name.
+SUMMARY_KINDS = ("scan", "smb_shares", "dns", "credentials", "transfers")
+SUMMARY_SIGNALS = (
+    "dns_max_subdomain_entropy", "dns_nxdomain_rate", "max_outbound_bytes", "http_plaintext_post_count",
+)
+
+
+def _scan_text() -> Column:
+    return F.format_string(
+        "%s contacted %d hosts on %d ports.", "scanner_ip", "unique_dst_hosts_count", "unique_dst_ports_count"
     )
-    kind = F.col("kind")
-    summary = (
-        F.when(kind == "scan", F.col("text"))
-        .when(kind == "smb_shares", F.format_string("%d administrative share events shown.", "n"))
+
+
+def summary_text(kind: Column, text_of: Column, n: Column) -> Column:
+    """The summary line of one kind with n rows, beside the signals it names; text_of is that of a scan."""
+    return (
+        F.when(kind == "scan", text_of)
+        .when(kind == "smb_shares", F.format_string("%d administrative share events shown.", n))
         .when(kind == "dns", F.format_string(
             "%d high-entropy lookups shown. Maximum entropy %.2f, failure rate %.2f%%.",
-            "n", "dns_max_subdomain_entropy", F.col("dns_nxdomain_rate") * 100))
-        .when(kind == "credentials", F.format_string("%d clear-text credential events shown.", "n"))
+            n, "dns_max_subdomain_entropy", F.col("dns_nxdomain_rate") * 100))
+        .when(kind == "credentials", F.format_string("%d clear-text credential events shown.", n))
         .otherwise(F.format_string(
             "Largest upload %d bytes, %d POST requests.", "max_outbound_bytes", "http_plaintext_post_count"))
     )
-    rows = reduce(DataFrame.unionByName, parts).join(values, CAPTURE)
-    return rows.select(CAPTURE, "ttp_id", summary.alias("summary"))
 
 
 def _lines() -> dict[str, Column]:
@@ -199,16 +209,19 @@ def _lines() -> dict[str, Column]:
     }
 
 
-def evidence_lines(tables: dict[str, DataFrame]) -> DataFrame | None:
+def evidence_lines(tables: dict[str, DataFrame], about: bool = False) -> DataFrame | None:
     """All evidence in one table: capture, technique, kind, position, line; None if there is no table.
 
-    of_strong keeps the lines of strong findings, with one join for all kinds.
+    of_strong keeps the lines of strong findings, with one join for all kinds. With ``about`` a last column holds
+    what the summary of a scan says, so that summaries too can be taken from the lines.
     """
-    events = {"scan_start": 1, "scan_end": 2, "duration_secs": 3}
+    events = {e: i for i, e in enumerate(TIMELINE, 1)}
     parts = []
     for kind, line in _lines().items():
         if kind not in tables:
             continue
+        if kind == "scan_timeline" and "scan" in tables:
+            continue
         position = F.col("position")
         if kind == "scan":
             position = F.lit(1)
@@ -216,12 +229,43 @@ def evidence_lines(tables: dict[str, DataFrame]) -> DataFrame | None:
             position = F.lit(None).cast("int")
             for event, at in events.items():
                 position = F.when(F.col("event") == event, at).otherwise(position)
-        parts.append(tables[kind].select(
-            CAPTURE, F.lit(TECHNIQUE[kind]).alias("ttp_id"), F.lit(kind).alias("kind"), position.cast("int").alias("position"), line.alias("line")
-        ))
+        said = F.lit(None).cast("string") if kind != "scan" else _scan_text()
+        rows = tables[kind].select(CAPTURE, *_line_columns(kind, position, line, said))
+        if kind == "scan" and "scan_timeline" in tables:
+            # The timeline is the scan's row taken apart, so both kinds come from one reading of the scans.
+            shown = [F.struct(*_line_columns(kind, position, line, said))]
+            for event, at in events.items():
+                moment = F.format_string("%s %.3f", F.lit(event), event)
+                shown.append(F.struct(*_line_columns("scan_timeline", F.lit(at), moment, F.lit(None).cast("string"))))
+            rows = tables[kind].select(CAPTURE, F.inline(F.array(*shown)))
+        parts.append(rows if about else rows.drop("about"))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _line_columns(kind: str, position: Column, line: Column, about: Column) -> list[Column]:
+    return [
+        F.lit(TECHNIQUE[kind]).alias("ttp_id"), F.lit(kind).alias("kind"), position.cast("int").alias("position"),
+        line.alias("line"), about.alias("about"),
+    ]
+
+
+def lines_by_finding(lines: DataFrame, k: int = 3) -> DataFrame:
+    """The evidence of each capture and technique in one row: the first k lines of every kind, by kind and position,
+    and, of lines with ``about``, kind, text and row count of its summary. The lines are read once for all of it."""
+    shown = F.when(F.col("position") <= k, F.struct("kind", "position", "line"))
+    columns = [F.array_sort(F.collect_list(shown)).alias("first")]
+    summed = F.col("kind").isin(*SUMMARY_KINDS)
+    if "about" in lines.columns:
+        columns += [
+            F.max(F.when(summed, F.col("kind"))).alias("summary_kind"),
+            F.max("about").alias("summary_about"),
+            F.count(F.when(summed, 1)).alias("summary_rows"),
+        ]
+    out = lines.groupBy(CAPTURE, "ttp_id").agg(*columns)
+    preview = F.transform("first", lambda e: F.concat_ws(": ", e["kind"], e["line"]))
+    return out.withColumn("evidence_preview", preview).drop("first")
+
+
 def format_evidence(df: DataFrame) -> DataFrame:
     """Evidence for display: readable names and times, internal fields dropped, lists cut.
 

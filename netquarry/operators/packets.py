@@ -121,13 +121,15 @@ def sample_rows(packets: DataFrame, *topics: str) -> DataFrame:
     topics = topics or tuple(samples)
     if "sample" in packets.columns:
         return packets.where(F.col("sample").isin(*[s for t in topics for s in samples[t]]))
-    found = _samples_of_packet()
-    return packets.select(
+    found = [_samples_of_packet()[t] for t in topics]
+    # Most packets belong to none; they go before any list is made.
+    wanted = packets.where(reduce(lambda a, b: a | b, [f.isNotNull() for f in found]))
+    return wanted.select(
         CAPTURE, "frame_no", "ts",
-        F.explode(F.array_compact(F.array(*[found[t] for t in topics]))).alias("sample"),
+        (F.explode(F.array(*found)) if len(found) > 1 else found[0]).alias("sample"),
         F.col("ip_src").alias("src"), F.col("ip_dst").alias("dst"),
         "tcp_dstport", "udp_dstport", "http_authorization",
-    )
+    ).where("sample IS NOT NULL")
 
 
 def packet_samples(packets: DataFrame, k: int = 20) -> DataFrame:

@@ -142,24 +142,26 @@ def scan_log(log: DataFrame, rules: list[SigmaRule]) -> DataFrame | None:
     """
     columns = [c for c in log.columns if c != CAPTURE]
     compiled = [(i, compile_rule(r, columns)) for i, r in enumerate(rules)]
-    tests = [F.when(c, F.lit(i)) for i, c in compiled if c is not None]
-    if not tests:
+    compiled = [(i, c) for i, c in compiled if c is not None]
+    if not compiled:
         return None
+    tests = [F.when(c, F.lit(i)) for i, c in compiled]
     order = F.col("ts").try_cast("double") if "ts" in columns else F.lit(None).cast("double")
 
     def side(name: str, column: str) -> Column:
         ip = F.col(column).cast("string") if column in columns else F.lit(None).cast("string")
         return F.struct(F.lit(name).alias("side"), ip.alias("ip"))
 
+    # Rows that no rule names go before any list is made.
     counted = (
-        log.select(
+        log.where(reduce(lambda a, b: a | b, [c for _, c in compiled]))
+        .select(
             CAPTURE,
             order.alias("ts"),
             F.array(side("src", "orig_h"), side("dst", "resp_h")).alias("sides"),
-            F.array_compact(F.array(*tests)).alias("hits"),
+            (F.explode(F.array(*tests)) if len(tests) > 1 else tests[0]).alias("rule"),
         )
-        .where(F.size("hits") > 0)
-        .select(CAPTURE, "ts", "sides", F.explode("hits").alias("rule"))
+        .where("rule IS NOT NULL")
         .select(CAPTURE, "ts", "rule", F.inline("sides"))
         .groupBy(CAPTURE, "rule", "side", "ip")
         .agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -290,11 +292,11 @@ FROM boosted b
 LEFT JOIN summaries s ON s.capture_id = b.capture_id AND s.ttp_id = b.ttp_id
 LEFT JOIN previews p ON p.capture_id = b.capture_id AND p.ttp_id = b.ttp_id""")
     def finding_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # The signals travel with the findings and the summaries are made of the lines: each is worked out once.
         signals, tables = all_signals(spark, sf_dir), evidence_tables(spark, sf_dir)
-        out = report.finding_view(
-            findings(spark, sf_dir, signals), evidence.evidence_summaries(tables, signals),
-            evidence.evidence_lines(tables), threshold=SHOWN,
-        )
+        signals = signals.withColumn("_signals", F.struct(*evidence.SUMMARY_SIGNALS))
+        found = findings(spark, sf_dir, signals, carry=["_signals"])
+        out = report.finding_view(found, lines=evidence.evidence_lines(tables, about=True), threshold=SHOWN)
         return out.select(
             "capture_id", "ttp_id", "score", "confidence", F.array_join("signals_fired", ",").alias("signals_fired"),
             "evidence_summary", F.array_join("evidence_preview", "|").alias("evidence_preview"),
@@ -373,10 +375,12 @@ def spread_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.alerts(spark, sf_dir).withColumn("capture_id", F.expr("concat('cap-', signature_id % 5)"))
 
 
-def findings(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
-    """Findings raised by alerts and by the built-in log rules."""
+def findings(
+    spark: SparkSession, sf_dir: str, signals: DataFrame | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Findings raised by alerts and by the built-in log rules; ``carry`` as in scoring.score_rules."""
     signals = all_signals(spark, sf_dir) if signals is None else signals
-    scores = scoring.score_rules(signals, load_playbooks(spark))
+    scores = scoring.score_rules(signals, load_playbooks(spark), carry=carry)
     return scoring.sweep(scores, spread_alerts(spark, sf_dir), log_rule_hits(spark, sf_dir))
 
 
