@@ -99,11 +99,12 @@ def top_talkers(convs: DataFrame, k: int = 20) -> DataFrame:
 def hosts(packets: DataFrame) -> DataFrame:
     """Distinct dotted quads with their internal flag.
 
-    Field texts are made distinct before they are taken apart.
+    Field texts are made distinct before they are taken apart, each field by itself: a distinct of one field
+    needs no reduction below it, so over the packet reduction Spark drops that one.
     """
-    texts = packets.select(CAPTURE, F.explode(F.array("ip_src", "ip_dst")).alias("text")).distinct()
+    sides = [packets.select(CAPTURE, F.col(side).alias("text")).distinct() for side in ("ip_src", "ip_dst")]
     return (
-        texts.select(CAPTURE, F.explode(ip_values(F.col("text"))).alias("ip"))
+        sides[0].unionByName(sides[1]).distinct().select(CAPTURE, F.explode(ip_values(F.col("text"))).alias("ip"))
         .distinct()
         .withColumn("is_internal", is_internal(F.col("ip")))
     )

@@ -20,7 +20,6 @@ from netquarry.operators.common import (
     CAPTURE,
     count_if,
     external_rows,
-    flag_if,
     internal_rows,
     not_internal_rows,
     top_k,
@@ -266,9 +265,13 @@ def tls_sessions(ssl: DataFrame, k: int = 50) -> DataFrame:
 
 
 def smb_signals(smb_mapping: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
-    shares = smb_mapping.groupBy(CAPTURE).agg(
-        flag_if(text.is_admin_share(F.col("path"))).alias("smb_admin_share_detected")
-    )
+    """Use of administrative shares, and internal targets of internal hosts.
+
+    Paths are tested once each, in a sum of their uses: an aggregate that ignores duplicates would test every row.
+    """
+    paths = smb_mapping.groupBy(CAPTURE, "path").agg(F.count("*").alias("n"))
+    admin = F.sum(F.when(text.is_admin_share(F.col("path")), F.col("n")).otherwise(0)) > 0
+    shares = paths.groupBy(CAPTURE).agg(admin.alias("smb_admin_share_detected"))
     pairs = smb_mapping.select(CAPTURE, "orig_h", "resp_h").distinct()
     lateral = internal_rows(internal_rows(pairs, "orig_h", hosts), "resp_h", hosts)
     counts = lateral.groupBy(CAPTURE).agg(F.count_distinct("resp_h").alias("smb_lateral_host_count"))
