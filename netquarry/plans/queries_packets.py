@@ -63,8 +63,9 @@ SELECT capture_id, src, dst, bytes_total, CAST(position AS INT) AS position FROM
   SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY bytes_total DESC, src, dst) AS position
   FROM convs) WHERE position <= 20""")
 def top_talkers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    convs = inventory.conversations(adapters.packets(spark, sf_dir))
-    return inventory.top_talkers(convs).select("capture_id", "src", "dst", "bytes_total", "position")
+    packets = adapters.packets(spark, sf_dir)
+    top = inventory.from_start(inventory.top_talkers(inventory.timed_conversations(packets)), packets)
+    return top.select("capture_id", "src", "dst", "bytes_total", "position")
 
 
 CAPTURES_SQL = CONVERSATIONS_SQL + """

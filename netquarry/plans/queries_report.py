@@ -55,7 +55,9 @@ def ioc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def talkers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.top_talkers(inventory.conversations(adapters.packets(spark, sf_dir)))
+    # Begins are subtracted from the few rows kept: a join by capture below the ranking may deal all conversations by capture.
+    packets = adapters.packets(spark, sf_dir)
+    return inventory.from_start(inventory.top_talkers(inventory.timed_conversations(packets)), packets)
 
 
 TALKERS_SQL = CONVERSATIONS_SQL + """

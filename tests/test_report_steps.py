@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import text
 from netquarry.operators import inventory, packets as packet_ops, signals as sig
+from netquarry.plans import catalog
+
+catalog.load()
 
 
 def plan(df):
@@ -40,3 +43,16 @@ def test_shares_are_tested_once_a_path(spark):
     names = spark.createDataFrame([(p,) for p in ("x$", "Admin$", "C$1", "IPC", "ipc$", "", None)], "p string")
     want = {p: bool(p and re.search(r"ADMIN\$|C\$|IPC\$", p.upper())) for p in ("x$", "Admin$", "C$1", "IPC", "ipc$", "", None)}
     assert {r.p: r.a for r in names.select("p", text.is_admin_share(F.col("p")).alias("a")).collect()} == want
+
+
+def test_talkers_are_cut_before_their_captures_are_joined(spark):
+    for name in ("top_talkers", "primary_victim"):
+        lines = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")).split("\n")
+        ranking = next(i for i, line in enumerate(lines) if "Window [" in line and "bytes_total" in line)
+        depth = len(lines[ranking]) - len(lines[ranking].lstrip(" :+-"))
+        below = []
+        for line in lines[ranking + 1:]:
+            if len(line) - len(line.lstrip(" :+-")) <= depth:
+                break
+            below.append(line)
+        assert below and not any("Join" in line for line in below)
