@@ -32,6 +32,10 @@ SIDES, WIDEST, PORTION = 4, 1 << 16, 1 << 20
 #: Four standard deviations of a share of 0.8 estimated by 128 least hashes.
 MARGIN = 0.14
 JUDGED = "a bigint, b bigint, sure boolean"
+#: Bits of a shingle's hash: two sets of 1,000 shingles meet by chance in one with a probability of 4e-9.
+GRAM = 48
+#: Low bits of a doubtful cell's name: which of the runs of least hashes it is about; with all set it may be any.
+TAG = 255
 
 
 def simhash(text: str | None, shingle: int) -> int:
@@ -63,13 +67,17 @@ def grams(text: str, shingle: int) -> np.ndarray:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = max(1, len(words) - shingle + 1)
-    found = {xxhash.xxh3_64_intdigest(line[a:b]) for a, b in zip(starts[:k].tolist(), ends[-k:].tolist())}
+    found = {xxhash.xxh3_64_intdigest(line[a:b]) >> 64 - GRAM for a, b in zip(starts[:k].tolist(), ends[-k:].tolist())}
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
 def traits(text: str, shingle: int, size: int) -> bytes:
     """The least hashes of the shingles under `size` mixings."""
-    h = grams(text, shingle)
+    return least_of(grams(text, shingle), size)
+
+
+def least_of(h: np.ndarray, size: int) -> bytes:
+    """The least of these hashes of shingles under `size` mixings."""
     if not len(h):
         return bytes(4 * size)
     mult = np.random.default_rng(11).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,9 +151,11 @@ def close(distinct: DataFrame, radius: int = 3, blocks: int = 3) -> DataFrame:
     """
     if radius > 3:
         raise ValueError("one flip on both sides and one block left out reach three bits")
-    variant = F.explode(F.array(*(F.struct(F.lit(k).alias("keep"), F.lit(f).alias("flip")) for k, f in masks(blocks))))
-    rows = distinct.select("fp", variant.alias("m")).select(
-        F.expr("(fp & m.keep) ^ m.flip").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    # Dealt by the key, but sent with the number of the variant, which takes less room than the key.
+    keep, flip = (F.array(*map(F.lit, x)) for x in zip(*masks(blocks)))
+    variant = F.explode(F.array(*(F.lit(i).cast("smallint") for i in range(len(masks(blocks))))))
+    key = F.col("fp").bitwiseAND(keep[F.col("m")]).bitwiseXOR(flip[F.col("m")])
+    rows = distinct.select("fp", variant.alias("m")).repartition(key).select(key.alias("key"), "fp").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -204,13 +214,14 @@ def bands(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def forest(
-    comp: np.ndarray, least: np.ndarray, low: float, high: float, holds: Callable[[int, int], bool] | None = None,
+    comp: np.ndarray, least: np.ndarray, low: float, high: float, holds: Callable[[int, int], bool] | None = None, run: int = 0,
 ) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Edges that join components, and the places that remain in doubt.
 
     Places that agree at `high` or more are joined first. Of those at `low` or more that are still apart `holds`
-    decides, one by one as long as they are apart; without it they are returned. There is never an edge more than
-    it takes to join the components.
+    decides, one by one as long as they are apart; without it they are returned. A pair in doubt that has one of the
+    first `run` runs of ROWS least hashes in common is left to the cells of that run, so of all the runs that two texts
+    share only the first asks about them. There is never an edge more than it takes to join the components.
     """
     comp, edges, doubt, asked, held = np.unique(comp, return_inverse=True)[1], [], np.zeros(len(comp), bool), [], 0
 
@@ -231,11 +242,16 @@ def forest(
 
     for x in range(len(comp) - 1):
         other = np.flatnonzero(comp[x + 1:] != comp[x]) + x + 1
-        share = (least[other] == least[x]).mean(1)
+        equal = least[other] == least[x]
+        share = equal.mean(1)
         for y in other[share >= high].tolist():
             if comp[y] != comp[x]:
                 join(x, y)
-        some = other[(share >= low) & (share < high)]
+        doubtful = np.flatnonzero((share >= low) & (share < high))
+        if run:
+            earlier = equal[doubtful, : run * ROWS].reshape(len(doubtful), run, ROWS).all(2).any(1)
+            doubtful = doubtful[~earlier]
+        some = other[doubtful]
         asked.append(np.stack([np.full(len(some), x), some]))
         held += len(some)
         if held > PORTION:
@@ -265,7 +281,7 @@ def by_cell(rows: DataFrame, decide: Callable[[int, list[tuple]], list[tuple]])
 
 def apart(
     shared: DataFrame, roots: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, similarity: float,
-    low: float, high: float, block: int = BLOCK,
+    low: float, high: float, block: int = BLOCK, size: int = 128,
 ) -> DataFrame:
     """Edges a, b that connect what pairs of one band key, but of different components, connect at `similarity`.
 
@@ -273,8 +289,9 @@ def apart(
     is compared with itself and with the base in cells of two blocks, and what has come together costs no comparisons
     with itself. A side has SIDES blocks at most, so a member goes to 2 * SIDES cells however large its group, until
     blocks hold WIDEST members. A cell is decided by the least hashes where they suffice;
-    where they do not, the doubtful members' shingles come to it, once each, and it decides by them. A cell gives
-    fewer edges than it has members, however many pairs are close.
+    where they do not, the doubtful members' shingles come to it, once each, and it decides by them. Texts with several
+    keys in common are in doubt at the first of them only, so a text does not bring its shingles to every key that it
+    shares. A cell gives fewer edges than it has members, however many pairs are close.
     """
     named = shared.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     first = named.groupBy("key").agg(F.min("comp").alias("base"), F.max("comp").alias("top")).where("base <> top").drop("top")
@@ -292,22 +309,27 @@ def apart(
     least = marks.select("node", "least")
     # Every member gets its least hashes once, before it goes to its cells.
     rows = members.join(blocks, "key").join(least, "node").select("node", "comp", "least", F.col("key").alias("k"), F.explode(cells).alias("c"))
-    rows = rows.select(F.xxhash64("k", "c.kind", "c.i", "c.j").alias("cell"), "node", "comp", "least")
+    rows = rows.select(F.xxhash64("k", "c.kind", "c.i", "c.j").alias("cell"), "node", "comp", "least", "k")
 
     def by_least(cell_: int, rows_: list[tuple]) -> list[tuple]:
-        node, comp, marked = zip(*rows_)
-        edges, doubt = forest(np.array(comp, np.int64), np.frombuffer(b"".join(marked), np.uint32).reshape(len(node), -1), low, high)
-        return [(node[x], node[y], True) for x, y in edges] + [(cell_, node[x], False) for x in doubt.tolist()]
-
-    def by_shingles(_: int, rows_: list[tuple]) -> list[tuple]:
-        node, comp, marked, packed, size = zip(*rows_)
-        sets = lru_cache(64)(lambda x: unpack_keys(packed[x], size[x]) if size[x] else np.empty(0, np.uint64))
+        node, comp, marked, key = zip(*rows_)
+        least_ = np.frombuffer(b"".join(marked), np.uint32).reshape(len(node), -1)
+        run = np.flatnonzero(bands(least_[:1])[0].view(np.int64) == key[0])[:1].tolist()
+        tag = run[0] if run and run[0] < TAG and len(set(key)) == 1 else TAG
+        edges, doubt = forest(np.array(comp, np.int64), least_, low, high, run=tag % TAG)
+        return [(node[x], node[y], True) for x, y in edges] + [(cell_ & ~TAG | tag, node[x], False) for x in doubt.tolist()]
+
+    def by_shingles(cell_: int, rows_: list[tuple]) -> list[tuple]:
+        node, comp, packed, count = zip(*rows_)
+        sets = lru_cache(64)(lambda x: unpack_keys(packed[x], count[x]) if count[x] else np.empty(0, np.uint64))
+        # Least hashes are made again from the shingles, so that they need not travel with them.
+        least_ = np.frombuffer(b"".join(least_of(sets(x), size) for x in range(len(node))), np.uint32).reshape(len(node), -1)
 
         def holds(x: int, y: int) -> bool:
             both = len(np.intersect1d(sets(x), sets(y), assume_unique=True))
-            return both >= similarity * (size[x] + size[y] - both)
+            return both >= similarity * (count[x] + count[y] - both)
 
-        edges, _ = forest(np.array(comp, np.int64), np.frombuffer(b"".join(marked), np.uint32).reshape(len(node), -1), low, high, holds)
+        edges, _ = forest(np.array(comp, np.int64), least_, low, high, holds, (cell_ & TAG) % TAG)
         return [(node[x], node[y], True) for x, y in edges]
 
     found = stored(by_cell(rows, by_least))
@@ -321,10 +343,10 @@ def apart(
             sets = [grams(t, shingle) for t in batch.column(1).to_pylist()]
             packed = [pack_keys(s) if len(s) else b"" for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["node", "shingles", "size"])
+                [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["node", "shingles", "count"])
 
-    full = doubtful.join(bodies.mapInArrow(shingled, "node bigint, shingles binary, size bigint"), "node").join(least, "node")
-    full = full.join(roots, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("comp"), "least", "shingles", "size")
+    full = doubtful.join(bodies.mapInArrow(shingled, "node bigint, shingles binary, count bigint"), "node")
+    full = full.join(roots, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("comp"), "shingles", "count")
     return found.where("sure").select("a", "b").unionByName(by_cell(full, by_shingles).select("a", "b")).distinct()
 
 
@@ -410,7 +432,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, size
     mark = lambda c: marks.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}"))
     stars = asked.join(mark("a"), "a").join(mark("b"), "b").select("a", "b", "least_a", "least_b").mapInArrow(agree, JUDGED)
     near = kept(holding(kept(stars), texts, shingle, similarity))
-    rest = apart(shared.select("key", "node"), components(near), marks, texts, shingle, similarity, low, high)
+    rest = apart(shared.select("key", "node"), components(near), marks, texts, shingle, similarity, low, high, size=size)
     roots = components(near.unionByName(rest))
     rooted = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.coalesce("first", F.lit(0)).alias("first"), "node")).alias("k"))

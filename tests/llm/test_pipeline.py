@@ -254,3 +254,34 @@ def test_a_forest_in_portions_joins_the_same(monkeypatch, portion):
     edges, _ = simhash.forest(simhash.np.arange(60), least, 0.6, 0.85, holds)
     want = [(x, y) for x in range(60) for y in range(x + 1, 60) if share[x][y] >= 0.85 or share[x][y] >= 0.6 and holds(x, y)]
     assert components_of(range(60), edges) == components_of(range(60), want)
+
+
+def test_a_pair_is_in_doubt_at_one_of_its_keys_only(spark, monkeypatch):
+    rng = random.Random(15)
+    frame = ["t%d" % i for i in range(150)]
+    texts = [(i, " ".join(frame + ["f%dw%d" % (i, k) for k in range(34)])) for i in range(40)]
+    texts += [(100 + i, t + " more%d" % i) for i, t in rng.sample(texts, 10)]
+    marks = [(i, bytearray(simhash.traits(t, 5, 128))) for i, t in texts]
+    least = {i: simhash.np.frombuffer(bytes(m), simhash.np.uint32) for i, m in marks}
+    keys = {i: simhash.bands(x[None])[0].view(simhash.np.int64).tolist() for i, x in least.items()}
+    sent, plain = [], simhash.by_cell
+
+    def counted(rows, decide):
+        sent.append((rows.count(), rows.columns))
+        return plain(rows, decide)
+
+    monkeypatch.setattr(simhash, "by_cell", counted)
+    roots = spark.createDataFrame([], "node long, component long")
+    shared = spark.createDataFrame([(k, i) for i, own in keys.items() for k in own], "key long, node long")
+    table = spark.createDataFrame(texts, "node long, text string")
+    got = [(r.a, r.b) for r in simhash.apart(shared, roots, spark.createDataFrame(marks, "node long, least binary"), table, 5, 0.8, 0.66, 0.94).collect()]
+    run = {(i, j): set(keys[i]) & set(keys[j]) for i in keys for j in keys if i < j}
+    close = [(i, j) for (i, j), k in run.items() if k and jaccard(dict(texts)[i], dict(texts)[j]) >= 0.8]
+    assert len(close) >= 10 and components_of(keys, got) == components_of(keys, close)
+    # Members that pairs in doubt would send to every key that they share, and to their first one.
+    doubt = [p for p, k in run.items() if k and 0.66 <= (least[p[0]] == least[p[1]]).mean() < 0.94]
+    every = {(k, x) for p in doubt for k in run[p] for x in p}
+    first = {(next(k for k in keys[p[0]] if k in run[p]), x) for p in doubt for x in p}
+    # A key has a cell of its rest and one of the rest and the base.
+    assert len(first) < 0.7 * len(every) and sent[1][0] <= 2 * len(first)
+    assert "least" not in sent[1][1]
