@@ -9,6 +9,9 @@ level by level, by joins with the edge table; a state that ends at a leaf has fo
 An edit lies in the second half of a word or in the first half. One trie therefore holds the words and serves the
 former, one holds the reversed words and serves the latter, both only from the middle of a word on, where nodes have
 few edges. Prefixes that lead to one node are equal by 64-bit hashes.
+
+Every table here grows with the words, and Catalyst sizes a table of paths, exploded forks or short Parquet columns at
+a small part of what its rows take in memory. All joins are therefore merged by hint and none is broadcast.
 """
 
 from __future__ import annotations
@@ -102,8 +105,8 @@ def forks(words: DataFrame) -> DataFrame:
     """way, spelled (word or reversed word), n, at: its nodes with several edges, by depth, as (depth, node)."""
     all_ = places(words)
     several = all_.groupBy("node").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("node")
-    own = all_.join(several, "node").groupBy("id", "way").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("at"))
-    return own.join(words, "id").select("way", turned(F.col("word")).alias("spelled"), "n", "at")
+    own = all_.join(several.hint("merge"), "node").groupBy("id", "way").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("at"))
+    return own.join(words.hint("merge"), "id").select("way", turned(F.col("word")).alias("spelled"), "n", "at")
 
 
 def turned(text: Column) -> Column:
@@ -136,7 +139,7 @@ def neighbours(words: DataFrame, levels: int = 3) -> DataFrame:
     numbered = stored(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"))
     own = stored(forks(numbered))
     trie = stored(edges(own))
-    ahead = trie.select(F.col("node").alias("key"), "label", "child", "leaf_n")
+    ahead = trie.select(F.col("node").alias("key"), "label", "child", "leaf_n").hint("merge")
     pos, spelled, target = F.col("pos"), F.col("spelled"), F.col("target")
     reads = (piece(target, pos, F.length("label")) == F.col("label")) & (
         # An edge to a leaf must end with the word.
@@ -187,7 +190,7 @@ def last(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")))
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        after = now.join(on, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved"))
+        after = now.join(on.hint("merge"), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved"))
         after = stored(after)
         now = after.drop("moved")
         if after.where("moved").isEmpty():
@@ -216,5 +219,5 @@ def variants(docs: DataFrame, shortest: int = 5, seldom: int = 3, times: int = 2
         "word", "n_near", F.when(-F.col("best.less") >= times * F.col("n"), F.struct(
             F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("f")).select("word", "n_near", "f.form", "f.form_n"))
     roots = last(around.where("form IS NOT NULL"))
-    return words.join(around.join(roots, "word", "left"), "word", "left").select(
+    return words.join(around.join(roots.hint("merge"), "word", "left").hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), "form_n")

@@ -98,3 +98,19 @@ def test_ties_go_to_the_smallest_word(spark):
 
 def test_empty_table(spark):
     assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 8))) for _ in range(60)]
+    chain = [f"abcde{'f' * k}" for k in range(5)]
+    rows = [(i, " ".join(rng.choices(names, k=40))) for i in range(30)] + [(i, f"{w} " * (3 * 2 ** i)) for i, w in enumerate(chain)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")  # any broadcast fails
+    try:
+        assert spark.range(9).join(spark.range(9).hint("merge"), "id").count() == 9
+        with pytest.raises(Exception, match="Cannot broadcast"):
+            spark.range(9).join(spark.range(9).hint("broadcast"), "id").count()
+        found = got(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert found == plain(rows) and len({r[2] for r in found}) < len(found)
